@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup
+from strataframe.llm import exact_dedup, simhash
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
+    "op8_simhash": simhash.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
