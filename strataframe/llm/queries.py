@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, simhash
+from strataframe.llm import exact_dedup, simhash, substring_dedup
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op8_simhash": simhash.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
