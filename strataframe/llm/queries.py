@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, packing, simhash, substring_dedup
+from strataframe.llm import exact_dedup, packing, quality, simhash, substring_dedup
 
 QUERIES = {
+    "op3_quality": quality.query,
     "op4_packing": packing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op8_simhash": simhash.query,
