@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, packing, quality, simhash, substring_dedup
+from strataframe.llm import exact_dedup, html_extract, kdtree, packing, quality, simhash, substring_dedup
 
 QUERIES = {
+    "op1_html_extract": html_extract.query,
     "op3_quality": quality.query,
     "op4_packing": packing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op8_simhash": simhash.query,
+    "op9_kdtree": kdtree.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 SQL = {
+    "op9_kdtree": kdtree.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
