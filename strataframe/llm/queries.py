@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, html_extract, kdtree, packing, quality, simhash, substring_dedup
+from strataframe.llm import exact_dedup, html_extract, kdtree, packing, pii, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op3_quality": quality.query,
     "op4_packing": packing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_pii": pii.query,
     "op8_simhash": simhash.query,
     "op9_kdtree": kdtree.query,
     "op10_substring_dedup": substring_dedup.query,
