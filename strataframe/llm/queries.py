@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, html_extract, kdtree, packing, pii, quality, simhash, substring_dedup
+from strataframe.llm import exact_dedup, html_extract, kdtree, license_scan, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
+    "op2_license_scan": license_scan.query,
     "op3_quality": quality.query,
     "op4_packing": packing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_pii": pii.query,
+    "op7_sentencepiece": sentencepiece_codec.query,
     "op8_simhash": simhash.query,
     "op9_kdtree": kdtree.query,
     "op10_substring_dedup": substring_dedup.query,
