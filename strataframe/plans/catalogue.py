@@ -2,5 +2,726 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataframe.functions import geometry as g
+from strataframe.functions import text as t
+from strataframe.operators import graph, layout, ledger, raster, routing
+from strataframe.plans import lifts
+from strataframe.plans.lifts import HEIGHT, KINDS, ROLES, WIDTH, duck
+from strataframe.streaming import routing as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+W_, H_ = float(WIDTH), float(HEIGHT)
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _case(of: str, names: list[str]) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END"
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Nodes with role names, relations with kind names."""
+    column, names = ("role", ROLES) if "role" in df.columns else ("kind", KINDS)
+    return df.withColumn(column, F.element_at(F.array(*map(F.lit, names)), (F.col(column) + 1).cast("int")))
+
+
+CLIPPED = f"clipped AS (SELECT slide_id, ord, node_id, role, conf, z, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, {WIDTH}) - greatest(x, 0) AS w, least(y + h, {HEIGHT}) - greatest(y, 0) AS h, x + w > {WIDTH} OR y + h > {HEIGHT} AS was_clipped FROM nodes)"
+BOTH = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+IOU = f"(CAST({BOTH} AS DOUBLE) / CAST(a.w * a.h + b.w * b.h - {BOTH} AS DOUBLE))"
+SMALLER = f"(CAST({BOTH} AS DOUBLE) / CAST(least(a.w * a.h, b.w * b.h) AS DOUBLE))"
+PIXEL_NODES = f"WITH {duck('nodes')}, {CLIPPED}"
+
+
+def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.clipped_to_canvas(lifts.nodes(spark, sf_dir), WIDTH, HEIGHT)
+
+
+# ---- boxes -------------------------------------------------------------------------------------------------------------------
+
+
+@query("clip_boxes", f"{PIXEL_NODES} SELECT slide_id, ord, x, y, w, h, was_clipped FROM clipped")
+def clip_boxes(spark, d):
+    return _clipped(spark, d).select("slide_id", "ord", "x", "y", "w", "h", "was_clipped")
+
+
+@query("clip_warning", f"{PIXEL_NODES} SELECT slide_id, bool_or(was_clipped) AS out_of_bounds_clipped FROM clipped GROUP BY slide_id")
+def clip_warning(spark, d):
+    return layout.clip_warnings(lifts.nodes(spark, d), WIDTH, HEIGHT)
+
+
+@query("iou_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord WHERE {IOU} >= 0.25")
+def iou_pairs(spark, d):
+    return layout.overlapping_pairs(_clipped(spark, d), "iou", 0.25)
+
+
+@query("iou_pairs_by_tile", SQL["iou_pairs"])
+def iou_pairs_by_tile(spark, d):
+    return layout.overlapping_pairs_by_tile(_clipped(spark, d), WIDTH)
+
+
+@query("overlap_smaller_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {SMALLER} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord WHERE {SMALLER} >= 0.5")
+def overlap_smaller_pairs(spark, d):
+    return layout.overlapping_pairs(_clipped(spark, d), "smaller", 0.5)
+
+
+@query("duplicate_nodes", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord AND a.role = b.role WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9")
+def duplicate_nodes(spark, d):
+    rows = _clipped(spark, d).where("role not in (0, 1, 5)")
+    return layout.overlapping_pairs(rows, "iou", 0.9, F.col("a.role") == F.col("b.role"))
+
+
+INSIDE = "a.x + a.w / 2.0 >= b.x AND a.x + a.w / 2.0 <= b.x + b.w AND a.y + a.h / 2.0 >= b.y AND a.y + a.h / 2.0 <= b.y + b.h"
+
+
+@query("center_in_panel_first", f"{PIXEL_NODES} SELECT a.slide_id, a.ord, min(b.ord) AS panel FROM clipped a LEFT JOIN clipped b ON a.slide_id = b.slide_id AND b.role = 2 AND {INSIDE} WHERE a.role = 3 GROUP BY ALL")
+def center_in_panel_first(spark, d):
+    rows = _clipped(spark, d)
+    return layout.first_container(rows.where("role = 3"), rows.where("role = 2")).select("slide_id", "ord", "panel")
+
+
+@query(
+    "text_hint_best_match",
+    f"{PIXEL_NODES}, m AS (SELECT a.slide_id, a.ord, b.conf, row_number() OVER (PARTITION BY a.slide_id, a.ord ORDER BY {IOU} DESC, b.ord) AS n FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.role = 3 AND {IOU} > 0.5 WHERE a.role = 1) "
+    "SELECT c.slide_id, c.ord, m.conf AS best_conf FROM clipped c LEFT JOIN m ON c.slide_id = m.slide_id AND c.ord = m.ord AND m.n = 1 WHERE c.role = 1",
+)
+def text_hint_best_match(spark, d):
+    rows = _clipped(spark, d)
+    return layout.best_match(rows.where("role = 1"), rows.where("role = 3"), "conf").select("slide_id", "ord", "best_conf")
+
+
+@query("text_without_ocr_anti", f"{PIXEL_NODES} SELECT a.slide_id, a.ord FROM clipped a WHERE a.role = 1 AND NOT EXISTS (SELECT 1 FROM clipped b WHERE a.slide_id = b.slide_id AND b.role = 2 AND {IOU} > 0.5)")
+def text_without_ocr_anti(spark, d):
+    rows = _clipped(spark, d)
+    return layout.without_overlap(rows.where("role = 1"), rows.where("role = 2")).select("slide_id", "ord")
+
+
+@query("major_icon_filter", f"{PIXEL_NODES} SELECT slide_id, ord, w, h FROM clipped WHERE role = 3 AND conf >= 80 AND least(w, h) >= 24 AND w * h >= 1600")
+def major_icon_filter(spark, d):
+    return layout.major_icons(_clipped(spark, d).where("role = 3")).select("slide_id", "ord", "w", "h")
+
+
+@query(
+    "element_kind_case",
+    f"{PIXEL_NODES} SELECT slide_id, ord, CASE WHEN role < 3 AND conf >= 85 THEN 'shape' ELSE 'asset' END AS kind, CASE WHEN role < 3 AND conf >= 85 THEN CASE WHEN z % 2 > 0 THEN 'roundRect' ELSE 'rect' END END AS shape, "
+    "CASE WHEN NOT (role < 3 AND conf >= 85) THEN CASE WHEN role < 3 THEN 'rectangular' ELSE 'transparent' END END AS extraction FROM clipped",
+)
+def element_kind_case(spark, d):
+    rows = _clipped(spark, d).withColumns({"rectangle": F.col("role") < 3, "radius": F.col("z") % 2})
+    return layout.element_kinds(rows).select("slide_id", "ord", "kind", "shape", "extraction")
+
+
+@query("union_bbox", f"{PIXEL_NODES} SELECT slide_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM clipped GROUP BY slide_id")
+def union_bbox(spark, d):
+    return _clipped(spark, d).groupBy("slide_id").agg(*layout.union_box(g.box()))
+
+
+@query("font_estimate", f"WITH {duck('nodes')} SELECT slide_id, ord, floor(least(88.0::DOUBLE, greatest(14.0::DOUBLE, h * 0.72::DOUBLE)) * 100 + 0.5) / 100 AS font_px, floor(greatest(1.0::DOUBLE, h * 0.72::DOUBLE) * 100 + 0.5) / 100 AS plan_px FROM nodes")
+def font_estimate(spark, d):
+    return lifts.nodes(spark, d).select("slide_id", "ord", t.font_estimate(F.col("h")).alias("font_px"), t.font_estimate(F.col("h"), 1.0, None).alias("plan_px"))
+
+
+@query(
+    "layout_inches",
+    f"""WITH {duck("nodes")}, c AS (SELECT slide_id, ord, h, w * 16 AS cw, h * 4 AS ch FROM nodes),
+s AS (SELECT *, CAST(greatest(cw, ch) AS DOUBLE) / least(cw, ch) AS r, 13.333::DOUBLE / (CAST(greatest(cw, ch) AS DOUBLE) / least(cw, ch)) AS small FROM c),
+i AS (SELECT *, CASE WHEN small >= 1 THEN 13.333::DOUBLE ELSE r * 1.0 END AS lo, CASE WHEN small >= 1 THEN small ELSE 1.0::DOUBLE END AS sh FROM s),
+k AS (SELECT slide_id, ord, h, ch, CASE WHEN lo <= 56 THEN CASE WHEN cw >= ch THEN lo ELSE sh END END AS wide, CASE WHEN lo <= 56 THEN CASE WHEN cw >= ch THEN sh ELSE lo END END AS high FROM i)
+SELECT slide_id, ord, wide AS wide_in, high AS high_in, h * high * 72 / ch AS height_pt FROM k""",
+)
+def layout_inches(spark, d):
+    w, h = F.col("w") * 16, F.col("h") * 4
+    wide, high = g.layout_inches(w, h)
+    return lifts.nodes(spark, d).select("slide_id", "ord", wide.alias("wide_in"), high.alias("high_in"), g.points(F.col("h"), w, h).alias("height_pt"))
+
+
+@query(
+    "tracked_box_widening",
+    f"{PIXEL_NODES} SELECT slide_id, ord, CASE WHEN z % 2 > 0 THEN least(w + 16, {WIDTH} - x) ELSE w END AS w FROM clipped",
+)
+def tracked_box_widening(spark, d):
+    return _clipped(spark, d).select("slide_id", "ord", g.widened(g.box(), F.col("z") % 2, WIDTH).w.alias("w"))
+
+
+UNIT = f"unit AS (SELECT slide_id, ord, node_id, role, conf, z, x / {W_} AS x, y / {H_} AS y, w / {W_} AS w, h / {H_} AS h FROM clipped)"
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clipped(spark, sf_dir).withColumns({"x": F.col("x") / W_, "y": F.col("y") / H_, "w": F.col("w") / W_, "h": F.col("h") / H_})
+
+
+@query(
+    "pixel_box_round",
+    f"""{PIXEL_NODES}, {UNIT}, e AS (SELECT slide_id, ord, least(floor(x * 640 + 0.5), 639) AS l, least(floor(y * 480 + 0.5), 479) AS t, floor((x + w) * 640 + 0.5) AS r, floor((y + h) * 480 + 0.5) AS b FROM unit)
+SELECT slide_id, ord, CAST(l AS BIGINT) AS x, CAST(t AS BIGINT) AS y, CAST(least(greatest(r, l + 1), 640) - l AS BIGINT) AS w, CAST(least(greatest(b, t + 1), 480) - t AS BIGINT) AS h FROM e""",
+)
+def pixel_box_round(spark, d):
+    return _unit(spark, d).select("slide_id", "ord", *(c.cast("long").alias(n) for n, c in zip("xywh", g.to_pixels(g.box(), 640, 480), strict=True)))
+
+
+@query(
+    "padded_crop",
+    f"""{PIXEL_NODES}, {UNIT}, e AS (SELECT slide_id, ord, floor(x * 640) AS l, floor(y * 480) AS t, ceil((x + w) * 640) AS r, ceil((y + h) * 480) AS b FROM unit),
+p AS (SELECT *, greatest(1, ceil((r - l) * 0.05::DOUBLE)) AS px, greatest(1, ceil((b - t) * 0.05::DOUBLE)) AS py FROM e)
+SELECT slide_id, ord, CAST(greatest(0, l - px) AS BIGINT) AS x, CAST(greatest(0, t - py) AS BIGINT) AS y, CAST(least(640, r + px) - greatest(0, l - px) AS BIGINT) AS w, CAST(least(480, b + py) - greatest(0, t - py) AS BIGINT) AS h FROM p""",
+)
+def padded_crop(spark, d):
+    return _unit(spark, d).select("slide_id", "ord", *(c.cast("long").alias(n) for n, c in zip("xywh", g.padded_crop(g.box(), 640, 480), strict=True)))
+
+
+@query("crop_to_global_box", f"{PIXEL_NODES}, {UNIT} SELECT slide_id, ord, (100 + x * 400) / {W_} AS x, (60 + y * 300) / {H_} AS y, w * 400 / {W_} AS w, h * 300 / {H_} AS h FROM unit")
+def crop_to_global_box(spark, d):
+    crop = g.Box(*map(F.lit, (100, 60, 400, 300)))
+    return _unit(spark, d).select("slide_id", "ord", *g.from_crop(g.box(), crop, F.lit(W_), F.lit(H_)).named())
+
+
+@query("edge_touch", f"{PIXEL_NODES}, {UNIT} SELECT slide_id, ord, x <= 1e-9 OR y <= 1e-9 OR x + w >= 1 - 1e-9 OR y + h >= 1 - 1e-9 AS touches FROM unit")
+def edge_touch(spark, d):
+    return _unit(spark, d).select("slide_id", "ord", g.touches_edge(g.box()).alias("touches"))
+
+
+@query("expand_and_clip", f"{PIXEL_NODES} SELECT slide_id, ord, greatest(0, x - 6) AS x, greatest(0, y - 6) AS y, least({WIDTH}, x + w + 6) - greatest(0, x - 6) AS w, least({HEIGHT}, y + h + 6) - greatest(0, y - 6) AS h FROM clipped")
+def expand_and_clip(spark, d):
+    return _clipped(spark, d).select("slide_id", "ord", *(c.cast("long").alias(n) for n, c in zip("xywh", g.expand(g.box(), F.lit(6), WIDTH, HEIGHT), strict=True)))
+
+
+@query("dilation_radius", f"WITH {duck('nodes')} SELECT slide_id, ord, CAST(least(greatest(floor(h / 24.0::DOUBLE + 0.5), 1), 3) AS BIGINT) AS radius FROM nodes")
+def dilation_radius(spark, d):
+    return lifts.nodes(spark, d).select("slide_id", "ord", g.dilation_radius(F.col("h")).cast("long").alias("radius"))
+
+
+@query(
+    "canvas_gate",
+    f"WITH {duck('nodes')}, c AS (SELECT slide_id, ord, w * (1 + ord % 60) AS cw, h * (1 + slide_id % 90) AS ch FROM nodes) SELECT slide_id, ord, CASE WHEN least(cw, ch) < 64 OR greatest(cw, ch) > 8192 THEN 'side' WHEN cw * ch > 40000000 THEN 'pixels' WHEN greatest(cw, ch) > least(cw, ch) * 56 THEN 'aspect' END AS reason FROM c",
+)
+def canvas_gate(spark, d):
+    w, h = F.col("w") * (1 + F.col("ord") % 60), F.col("h") * (1 + F.col("slide_id") % 90)
+    return lifts.nodes(spark, d).select("slide_id", "ord", g.supported_canvas(w, h).alias("reason"))
+
+
+@query("manifest_order", f"WITH {duck('nodes')} SELECT slide_id, ord, row_number() OVER (PARTITION BY slide_id ORDER BY z, ord) AS place FROM nodes")
+def manifest_order(spark, d):
+    return layout.manifest_order(lifts.nodes(spark, d)).select("slide_id", "ord", "place")
+
+
+@query(
+    "preview_grid_positions",
+    f"""WITH {duck("nodes")}, k AS (SELECT slide_id, ord, w, h, row_number() OVER (PARTITION BY slide_id ORDER BY z, ord) - 1 AS k, least(3, count(*) OVER (PARTITION BY slide_id)) AS n FROM nodes)
+SELECT slide_id, ord, k % n * 320 AS cell_x, (k // n) * 220 AS cell_y, floor(least(288::DOUBLE / w, 152::DOUBLE / h) * 100 + 0.5) / 100 AS scale FROM k""",
+)
+def preview_grid_positions(spark, d):
+    return layout.grid_places(lifts.nodes(spark, d))
+
+
+@query(
+    "exploded_offsets",
+    f"""{PIXEL_NODES}, k AS (SELECT *, (row_number() OVER (PARTITION BY slide_id ORDER BY z, ord) - 1) % 4 AS k, greatest(8, floor(least(w, h) / 8.0::DOUBLE + 0.5)) AS s FROM clipped)
+SELECT slide_id, ord, CAST(greatest(0, least(x + CASE WHEN k IN (0, 2) THEN -s ELSE s END, {WIDTH} - w)) AS BIGINT) AS x, CAST(greatest(0, least(y + CASE WHEN k IN (0, 1) THEN -s ELSE s END, {HEIGHT} - h)) AS BIGINT) AS y FROM k""",
+)
+def exploded_offsets(spark, d):
+    return layout.exploded_offsets(_clipped(spark, d), WIDTH, HEIGHT)
+
+
+# ---- text --------------------------------------------------------------------------------------------------------------------
+
+FONT = "floor(least(88.0::DOUBLE, greatest(14.0::DOUBLE, {0} * 0.72::DOUBLE)) * 100 + 0.5) / 100"
+
+
+@query(
+    "merge_adjacent_lines",
+    f"""WITH {duck("ocr")}, c AS (SELECT slide_id, source_index, text, greatest(x, 0) AS x, y, least(x + w, {WIDTH}) - greatest(x, 0) AS w, h FROM ocr),
+p AS (SELECT *, {FONT.format("h")} AS f, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(h) OVER o AS ph, {FONT.format("lag(h) OVER o")} AS pf FROM c WINDOW o AS (PARTITION BY slide_id ORDER BY source_index)),
+q AS (SELECT *, CASE WHEN y - py - ph >= 0 AND y - py - ph <= greatest(4.0, least(h, ph) * 0.75) AND abs(x - px) <= greatest(4.0, least(f, pf) * 0.5) AND greatest(f, pf) / least(f, pf) <= 1.2 THEN 0 ELSE 1 END AS b FROM p),
+r AS (SELECT *, sum(b) OVER (PARTITION BY slide_id ORDER BY source_index) AS block FROM q)
+SELECT slide_id, min(source_index) AS first_index, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY source_index) AS text, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, floor(median(f) * 100 + 0.5) / 100 AS font_px FROM r GROUP BY slide_id, block""",
+)
+def merge_adjacent_lines(spark, d):
+    lines = layout.clipped_to_canvas(lifts.ocr(spark, d), WIDTH, 1 << 30).drop("was_clipped")
+    return layout.merged_lines(lines)
+
+
+@query(
+    "text_advance_units",
+    f"""WITH {duck("ocr")}, c AS (SELECT slide_id, source_index, unnest(string_split(text, '')) AS ch FROM ocr WHERE length(text) > 0),
+u AS (SELECT slide_id, source_index, CAST(sum(CASE WHEN regexp_matches(ch, '[\\s]') THEN 35 WHEN regexp_matches(ch, '[A-Z]') THEN 62 WHEN regexp_matches(ch, '[a-z]') THEN 56 WHEN regexp_matches(ch, '[0-9]') THEN 58 WHEN regexp_matches(ch, '\\pP') THEN 40 ELSE 70 END) AS BIGINT) AS units FROM c GROUP BY ALL)
+SELECT o.slide_id, o.source_index, coalesce(u.units, 0) AS units FROM ocr o LEFT JOIN u ON o.slide_id = u.slide_id AND o.source_index = u.source_index""",
+)
+def text_advance_units(spark, d):
+    return lifts.ocr(spark, d).select("slide_id", "source_index", g.half_up(t.advance_units(F.col("text")) * 100).cast("long").alias("units"))
+
+
+@query("visible_gaps", f"WITH {duck('ocr')} SELECT slide_id, source_index, CAST(CASE WHEN length(regexp_replace(text, '\\s', '', 'g')) < 2 THEN 0 ELSE length(text) - 1 END AS INT) AS gaps FROM ocr")
+def visible_gaps(spark, d):
+    return lifts.ocr(spark, d).select("slide_id", "source_index", t.visible_gaps(F.col("text")).cast("int").alias("gaps"))
+
+
+@query("text_style_inference")
+def text_style_inference(spark, d):
+    b = g.box()
+    style = t.text_style(F.col("text"), b, b.w * 0.9, b.h * 0.8, (F.col("source_index") % 10) / 10, (F.col("source_index") % 5).cast("double"))
+    return lifts.ocr(spark, d).select("slide_id", "source_index", style.alias("s")).select("slide_id", "source_index", "s.font_px", "s.bold", "s.tracking_px")
+
+
+@query("xml_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
+def xml_escape(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", t.xml_escape(F.col("html")).alias("escaped"))
+
+
+@query("text_lengths", "SELECT doc_id, CAST(length(text) AS BIGINT) AS code_points, CAST(strlen(text) AS BIGINT) AS bytes, substring(text, 1, 200) AS clipped FROM documents")
+def text_lengths(spark, d):
+    c = F.col("text")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(c).cast("long").alias("code_points"), F.octet_length(c).cast("long").alias("bytes"), t.clipped(c, 200).alias("clipped"))
+
+
+@query(
+    "redact_secrets",
+    r"""WITH s AS (SELECT doc_id, replace(text, 'token =', 'api_key =') AS text FROM documents)
+SELECT doc_id, regexp_replace(text, '\bapi_key\s*[:=]\s*(?:"[^\s,;}"'']+"|''[^\s,;}"'']+''|[^\s,;}"'']+)', '[REDACTED]', 'g') AS text FROM s""",
+)
+def redact_secrets(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", t.redacted(F.replace("text", F.lit("token ="), F.lit("api_key ="))).alias("text"))
+
+
+@query("rgb_hex", f"WITH {duck('nodes')} SELECT slide_id, ord, upper(lpad(to_hex(x % 256), 2, '0') || lpad(to_hex(y % 256), 2, '0') || lpad(to_hex(w % 256), 2, '0')) AS colour FROM nodes")
+def rgb_hex(spark, d):
+    return lifts.nodes(spark, d).select("slide_id", "ord", g.colour_hex(F.col("x") % 256, F.col("y") % 256, F.col("w") % 256).alias("colour"))
+
+
+@query(
+    "http_failure_class",
+    "WITH s AS (SELECT event_id, CAST(400 + event_id % 130 AS INT) AS status FROM events) SELECT event_id, CASE WHEN status IN (401, 403) THEN 'auth_unavailable' WHEN status = 404 THEN 'unavailable' WHEN status IN (408, 409, 429) OR status >= 500 THEN 'retryable_exhausted' ELSE 'invalid_input' END AS failure FROM s",
+)
+def http_failure_class(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", t.http_failure((400 + F.col("event_id") % 130).cast("int")).alias("failure"))
+
+
+@query("asset_names", f"WITH {duck('nodes')} SELECT slide_id, ord, 'assets/semantic-' || lpad(CAST(z + 1 AS VARCHAR), 3, '0') || '-' || substring(sha256(node_id), 1, 10) || '.png' AS path FROM nodes")
+def asset_names(spark, d):
+    return lifts.nodes(spark, d).select("slide_id", "ord", t.asset_name(F.col("z"), F.col("node_id")).alias("path"))
+
+
+# ---- graph -------------------------------------------------------------------------------------------------------------------
+
+GRAPH = f"WITH RECURSIVE {duck('nodes', 'relations')}, {CLIPPED}"
+REL = f"rel AS (SELECT slide_id, rel_id, {_case('kind', KINDS)} AS kind, from_id, to_id, conf FROM relations)"
+ORDERS = "o AS (SELECT slide_id, rel_id, CASE WHEN kind = 'behind' THEN from_id ELSE to_id END AS rear, CASE WHEN kind = 'behind' THEN to_id ELSE from_id END AS front FROM rel WHERE kind IN {0})"
+ALL_ORDERS, NARROW = ORDERS.format("('behind', 'in-front-of', 'occludes')"), ORDERS.format("('behind', 'in-front-of')")
+WALK = "w AS (SELECT slide_id, a, b FROM e UNION SELECT w.slide_id, w.a, e.b FROM w JOIN e ON w.slide_id = e.slide_id AND w.b = e.a)"
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(lifts.relations(spark, sf_dir))
+
+
+@query("relation_direction", f"{GRAPH}, {REL}, {ALL_ORDERS} SELECT slide_id, rel_id, rear, front FROM o")
+def relation_direction(spark, d):
+    return graph.order_edges(_relations(spark, d))
+
+
+@query("zindex_conflict", f"{GRAPH}, {REL}, {NARROW} SELECT o.slide_id, o.rel_id, rear, front FROM o JOIN nodes r ON r.slide_id = o.slide_id AND r.node_id = rear JOIN nodes f ON f.slide_id = o.slide_id AND f.node_id = front WHERE f.z <= r.z")
+def zindex_conflict(spark, d):
+    return graph.z_conflicts(_relations(spark, d), lifts.nodes(spark, d))
+
+
+TWO_WAY = "two AS (SELECT slide_id, rel_id, kind, from_id, to_id FROM rel UNION ALL SELECT slide_id, concat(rel_id, 'b'), kind, to_id, from_id FROM rel WHERE conf % 2 = 0)"
+
+
+@query(
+    "contradictory_relations",
+    f"{GRAPH}, {REL}, {TWO_WAY}, {NARROW.replace('FROM rel', 'FROM two')} SELECT slide_id, rel_id, rear, front FROM o WHERE EXISTS (SELECT 1 FROM o p WHERE p.slide_id = o.slide_id AND p.rear = o.front AND p.front = o.rear)",
+)
+def contradictory_relations(spark, d):
+    rel = _relations(spark, d)
+    back = rel.where("conf % 2 = 0").select("slide_id", F.concat("rel_id", F.lit("b")).alias("rel_id"), "kind", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return graph.contradictions(rel.select("slide_id", "rel_id", "kind", "from_id", "to_id").union(back))
+
+
+@query("dangling_relation_endpoints", f"{GRAPH}, {REL}, kept AS (SELECT * FROM nodes WHERE ord % 5 <> 0) SELECT slide_id, rel_id FROM rel r WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.slide_id = r.slide_id AND k.node_id = r.from_id) OR NOT EXISTS (SELECT 1 FROM kept k WHERE k.slide_id = r.slide_id AND k.node_id = r.to_id)")
+def dangling_relation_endpoints(spark, d):
+    return graph.dangling(_relations(spark, d), lifts.nodes(spark, d).where("ord % 5 <> 0"))
+
+
+@query("background_cardinality", f"WITH {duck('nodes')} SELECT slide_id, count(*) FILTER (WHERE role = 0) AS n FROM nodes GROUP BY slide_id HAVING count(*) FILTER (WHERE role = 0) <> 1")
+def background_cardinality(spark, d):
+    return _named(lifts.nodes(spark, d)).groupBy("slide_id").agg(F.count_if(F.col("role") == "background").alias("n")).where("n <> 1")
+
+
+DUP = f"SELECT a.slide_id, a.node_id AS a, b.node_id AS b FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord AND (a.role = b.role OR (a.role IN (3, 6) AND b.role IN (3, 6))) WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9"
+COMPOSE = "SELECT r.slide_id, from_id AS a, to_id AS b FROM rel r JOIN nodes f ON f.slide_id = r.slide_id AND f.node_id = from_id JOIN nodes u ON u.slide_id = r.slide_id AND u.node_id = to_id WHERE kind IN ('belongs-to', 'connected-to') AND f.role NOT IN (0, 1) AND u.role NOT IN (0, 1)"
+UNDIRECTED = f"j AS ({DUP} UNION ALL {COMPOSE}), e AS (SELECT slide_id, a, b FROM j UNION SELECT slide_id, b, a FROM j)"
+
+
+def _composition(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, rel = _named(_clipped(spark, sf_dir)), _relations(spark, sf_dir)
+    rows = nodes.where("role not in ('background', 'text', 'decoration')")
+    same = layout.overlapping_pairs(rows, "iou", 0.9, F.col("a.role") == F.col("b.role"), "node_id").select("slide_id", "a", "b")
+    free = nodes.where(~graph.protected(F.col("role"))).select("slide_id", "node_id")
+    inner = rel.where("kind in ('belongs-to', 'connected-to')").select("slide_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    inner = inner.join(free.withColumnRenamed("node_id", "a"), ["slide_id", "a"], "left_semi").join(free.withColumnRenamed("node_id", "b"), ["slide_id", "b"], "left_semi")
+    return nodes, same.unionByName(inner)
+
+
+@query("candidate_groups", f"{GRAPH}, {REL}, {UNDIRECTED}, {WALK} SELECT n.slide_id, n.node_id, least(n.node_id, coalesce(min(w.b), n.node_id)) AS root FROM nodes n LEFT JOIN w ON w.slide_id = n.slide_id AND w.a = n.node_id GROUP BY n.slide_id, n.node_id")
+def candidate_groups(spark, d):
+    return graph.components(*_composition(spark, d))
+
+
+@query(
+    "candidate_confidence_reject",
+    f"{GRAPH}, {REL}, {UNDIRECTED}, {WALK}, g AS (SELECT n.slide_id, n.node_id, n.role, n.conf, least(n.node_id, coalesce(min(w.b), n.node_id)) AS root FROM nodes n LEFT JOIN w ON w.slide_id = n.slide_id AND w.a = n.node_id GROUP BY n.slide_id, n.node_id, n.role, n.conf) "
+    "SELECT slide_id, root, count(*) AS members, bool_or(role = 5) AS decoration, bool_or(role NOT IN (0, 1, 5) AND conf < 80) AS uncertain FROM g GROUP BY slide_id, root",
+)
+def candidate_confidence_reject(spark, d):
+    nodes, edges = _composition(spark, d)
+    rows = nodes.select("slide_id", "node_id", "role", "conf").join(graph.components(nodes, edges), ["slide_id", "node_id"])
+    unsure = ~F.col("role").isin("background", "text", "decoration") & (F.col("conf") < 80)
+    return rows.groupBy("slide_id", "root").agg(F.count(F.lit(1)).alias("members"), F.bool_or(F.col("role") == "decoration").alias("decoration"), F.bool_or(unsure).alias("uncertain"))
+
+
+@query(
+    "icon_group_components",
+    f"{GRAPH}, i AS (SELECT * FROM clipped WHERE role = 3 AND conf >= 80 AND least(w, h) >= 24 AND w * h >= 1600), j AS (SELECT a.slide_id, a.node_id AS a, b.node_id AS b FROM i a JOIN i b ON a.slide_id = b.slide_id AND a.ord < b.ord AND {IOU} >= 0.25), "
+    f"e AS (SELECT slide_id, a, b FROM j UNION SELECT slide_id, b, a FROM j), {WALK} SELECT i.slide_id, i.node_id, least(i.node_id, coalesce(min(w.b), i.node_id)) AS root FROM i LEFT JOIN w ON w.slide_id = i.slide_id AND w.a = i.node_id GROUP BY i.slide_id, i.node_id",
+)
+def icon_group_components(spark, d):
+    icons = layout.major_icons(_clipped(spark, d).where("role = 3"))
+    return graph.components(icons, layout.overlapping_pairs(icons, "iou", 0.25, ident="node_id"))
+
+
+@query(
+    "carried_text_association",
+    f"""{GRAPH}, {REL}, c AS (SELECT slide_id, rel_id, from_id, to_id FROM rel WHERE kind = 'carries-text'),
+m AS (SELECT c.slide_id, c.rel_id, b.node_id FROM c JOIN clipped a ON a.slide_id = c.slide_id AND a.node_id = c.to_id JOIN clipped b ON b.slide_id = c.slide_id AND b.role = 1 AND {SMALLER} >= 0.5)
+SELECT c.slide_id, c.rel_id, c.from_id, coalesce(string_agg(m.node_id, ',' ORDER BY m.node_id), '') AS texts, count(m.node_id) = 0 AS dangling FROM c LEFT JOIN m ON m.slide_id = c.slide_id AND m.rel_id = c.rel_id GROUP BY c.slide_id, c.rel_id, c.from_id""",
+)
+def carried_text_association(spark, d):
+    boxes, rel = _clipped(spark, d), _relations(spark, d).where("kind = 'carries-text'").select("slide_id", "rel_id", "from_id", "to_id")
+    targets = rel.join(boxes.select("slide_id", F.col("node_id").alias("to_id"), "x", "y", "w", "h"), ["slide_id", "to_id"])
+    found = layout.paired(targets, boxes.where("role = 1"), g.overlap_of_smaller(layout.sides.A, layout.sides.B) >= 0.5).select("a.slide_id", "a.rel_id", "b.node_id")
+    ids = found.groupBy("slide_id", "rel_id").agg(F.array_join(F.array_sort(F.collect_set("node_id")), ",").alias("texts"))
+    return rel.join(ids, ["slide_id", "rel_id"], "left").select("slide_id", "rel_id", "from_id", F.coalesce("texts", F.lit("")).alias("texts"), F.col("texts").isNull().alias("dangling"))
+
+
+@query("ambiguous_overlap", f"{PIXEL_NODES} SELECT a.slide_id, a.node_id AS backing, b.node_id AS object FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.role = 2 AND b.role IN (3, 6) AND {SMALLER} >= 0.5")
+def ambiguous_overlap(spark, d):
+    rows = _named(_clipped(spark, d))
+    found = layout.paired(rows.where("role = 'text-backing'"), rows.where("role = 'foreground-object'"), g.overlap_of_smaller(layout.sides.A, layout.sides.B) >= 0.5)
+    return found.select("a.slide_id", F.col("a.node_id").alias("backing"), F.col("b.node_id").alias("object"))
+
+
+EDGES = "e AS (SELECT DISTINCT slide_id, rear AS a, front AS b FROM o)"
+
+
+def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.order_edges(_relations(spark, sf_dir)).select("slide_id", F.col("rear").alias("a"), F.col("front").alias("b")).distinct()
+
+
+@query("reachability_closure", f"{GRAPH}, {REL}, {ALL_ORDERS}, {EDGES}, {WALK} SELECT slide_id, a, b FROM w")
+def reachability_closure(spark, d):
+    return graph.reachable(_order_edges(spark, d))
+
+
+TWO_EDGES = f"{GRAPH}, {REL}, {TWO_WAY}, {ALL_ORDERS.replace('FROM rel', 'FROM two')}, {EDGES}, {WALK}"
+
+
+@query(
+    "layer_cycles",
+    f"{TWO_EDGES}, c AS (SELECT DISTINCT v.slide_id, v.a, v.b FROM w v JOIN w u ON u.slide_id = v.slide_id AND u.a = v.b AND u.b = v.a), g AS (SELECT slide_id, a, min(b) AS root FROM c GROUP BY slide_id, a) SELECT slide_id, string_agg(a, ',' ORDER BY a) AS members FROM g GROUP BY slide_id, root",
+)
+def layer_cycles(spark, d):
+    rel = _relations(spark, d)
+    back = rel.where("conf % 2 = 0").select("slide_id", "rel_id", "kind", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    edges = graph.order_edges(rel.select("slide_id", "rel_id", "kind", "from_id", "to_id").union(back)).select("slide_id", F.col("rear").alias("a"), F.col("front").alias("b")).distinct()
+    return graph.cycles(lifts.nodes(spark, d), edges)
+
+
+@query("topo_order")
+def topo_order(spark, d):
+    return graph.ordered_layers(lifts.nodes(spark, d), _order_edges(spark, d))
+
+
+@query("greedy_dedupe")
+def greedy_dedupe(spark, d):
+    return graph.greedy_distinct(_clipped(spark, d).withColumn("target", (F.col("ord") % 3 == 0).cast("int")))
+
+
+@query("refinement_topk")
+def refinement_topk(spark, d):
+    return graph.refinement_requests(_named(_unit(spark, d)).withColumn("conf", F.col("conf") / 100), _relations(spark, d).withColumn("conf", F.col("conf") / 100))
+
+
+@query("graph_violations")
+def graph_violations(spark, d):
+    return ledger.graph_violations(_named(lifts.nodes(spark, d)), _relations(spark, d))
+
+
+# ---- raster ------------------------------------------------------------------------------------------------------------------
+
+PX = f"WITH {duck('pixels')}"
+ON = "m AS (SELECT tile_id, x, y, v FROM pixels WHERE v >= 128)"
+
+
+@query("median_color", f"{PX} SELECT tile_id, median(v) AS median FROM pixels GROUP BY tile_id")
+def median_color(spark, d):
+    return lifts.pixels(spark, d).groupBy("tile_id").agg(F.median("v").alias("median"))
+
+
+@query("mad_color", f"{PX}, m AS (SELECT tile_id, median(v) AS median FROM pixels GROUP BY tile_id) SELECT p.tile_id, m.median, median(abs(p.v - m.median)) AS mad FROM pixels p JOIN m ON p.tile_id = m.tile_id GROUP BY p.tile_id, m.median")
+def mad_color(spark, d):
+    return raster.median_and_deviation(lifts.pixels(spark, d))
+
+
+@query("p95_nearest_rank", f"{PX} SELECT tile_id, quantile_disc(v, 0.95) AS p95_rank FROM pixels GROUP BY tile_id")
+def p95_nearest_rank(spark, d):
+    return raster.percentiles(lifts.pixels(spark, d)).select("tile_id", F.col("p95_rank").cast("long").alias("p95_rank"))
+
+
+@query("p95_floor_index", f"{PX}, s AS (SELECT tile_id, list_sort(list(v)) AS s FROM pixels GROUP BY tile_id) SELECT tile_id, s[1 + least(len(s) - 1, CAST(floor(0.95 * len(s)) AS INT))] AS p95_index FROM s")
+def p95_floor_index(spark, d):
+    return raster.percentiles(lifts.pixels(spark, d)).select("tile_id", "p95_index")
+
+
+MADE = "made AS (SELECT tile_id, x, y, CASE WHEN tile_id % 4 = 0 THEN v WHEN (x + y + tile_id) % 9 = 0 THEN least(255, v + 30) ELSE v + tile_id % 2 END AS m FROM pixels WHERE tile_id % 7 > 0)"
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lifts.pixels(spark, sf_dir).where("tile_id % 7 > 0")
+    return p.withColumn("v", F.expr("CASE WHEN tile_id % 4 = 0 THEN v WHEN (x + y + tile_id) % 9 = 0 THEN least(255, v + 30) ELSE v + tile_id % 2 END"))
+
+
+@query(
+    "recompose_metrics",
+    f"""{PX}, {MADE}, j AS (SELECT p.tile_id, abs(p.v - m.m) AS d FROM pixels p JOIN made m ON p.tile_id = m.tile_id AND p.x = m.x AND p.y = m.y WHERE p.v < 140),
+q AS (SELECT tile_id, count(*) AS n, sum(d) AS s, list_sort(list(d)) AS l, count(*) FILTER (WHERE d > 24) AS c FROM j GROUP BY tile_id), t AS (SELECT DISTINCT tile_id FROM pixels)
+SELECT t.tile_id, coalesce(n, 0) AS compared, coalesce(s::DOUBLE / n, 0.0::DOUBLE) AS mae, coalesce(l[1 + least(len(l) - 1, CAST(floor(0.95 * len(l)) AS INT))], 0) AS p95, coalesce(c::DOUBLE / n, 0.0::DOUBLE) AS changed_ratio,
+coalesce(s::DOUBLE / n <= 3 AND l[1 + least(len(l) - 1, CAST(floor(0.95 * len(l)) AS INT))] <= 12 AND c::DOUBLE / n <= 0.02, false) AS passed FROM t LEFT JOIN q ON q.tile_id = t.tile_id""",
+)
+def recompose_metrics(spark, d):
+    p = lifts.pixels(spark, d)
+    return raster.recomposition(p, _made(spark, d), p.where("v >= 140"))
+
+
+@query(
+    "mask_metrics",
+    f"""{PX}, s AS (SELECT tile_id, count(*) FILTER (WHERE v >= 128) AS f, count(*) FILTER (WHERE v > 0 AND v < 255) AS soft, count(*) FILTER (WHERE v >= 128 AND (x IN (0, 7) OR y IN (0, 7))) AS b,
+CAST(bool_or(v >= 128 AND x = 0) AS INT) + CAST(bool_or(v >= 128 AND y = 0) AS INT) + CAST(bool_or(v >= 128 AND x = 7) AS INT) + CAST(bool_or(v >= 128 AND y = 7) AS INT) AS sides FROM pixels GROUP BY tile_id)
+SELECT tile_id, f / 64::DOUBLE AS foreground_ratio, soft / 64::DOUBLE AS soft_ratio, b / 28::DOUBLE AS opaque_border_ratio, CAST(sides AS BIGINT) AS sides, 1 - sides / 4::DOUBLE AS completeness, f / 64::DOUBLE BETWEEN 0.01 AND 0.95 AND b / 28::DOUBLE <= 0.02 AND 1 - sides / 4::DOUBLE >= 0.5 AS acceptable FROM s""",
+)
+def mask_metrics(spark, d):
+    return raster.mask_metrics(lifts.pixels(spark, d), 8, 8)
+
+
+@query("opaque_border_ratio", f"{PX} SELECT tile_id, count(*) FILTER (WHERE v >= 128 AND (x IN (0, 7) OR y IN (0, 7))) / 28::DOUBLE AS opaque_border_ratio FROM pixels GROUP BY tile_id")
+def opaque_border_ratio(spark, d):
+    return raster.mask_metrics(lifts.pixels(spark, d), 8, 8).select("tile_id", "opaque_border_ratio")
+
+
+SHIFTED = "s AS (SELECT tile_id, x + 1 AS x, y, v FROM m WHERE x < 7)"
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = lifts.pixels(spark, sf_dir).where("v >= 128")
+    return m, raster.placed(m, 1, 0, 8, 8)
+
+
+@query("mask_or", f"{PX}, {ON}, {SHIFTED} SELECT tile_id, x, y, max(v) AS v FROM (SELECT * FROM m UNION ALL SELECT * FROM s) u GROUP BY tile_id, x, y")
+def mask_or(spark, d):
+    return raster.mask_or(*_masks(spark, d))
+
+
+@query("mask_difference", f"{PX}, {ON}, {SHIFTED} SELECT tile_id, x, y, v FROM m WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.tile_id = m.tile_id AND s.x = m.x AND s.y = m.y)")
+def mask_difference(spark, d):
+    return raster.mask_minus(*_masks(spark, d)).select("tile_id", "x", "y", "v")
+
+
+@query("mask_intersection", f"{PX}, {ON}, {SHIFTED} SELECT tile_id, x, y, v FROM m WHERE EXISTS (SELECT 1 FROM s WHERE s.tile_id = m.tile_id AND s.x = m.x AND s.y = m.y)")
+def mask_intersection(spark, d):
+    return raster.mask_and(*_masks(spark, d)).select("tile_id", "x", "y", "v")
+
+
+@query("mask_dilate", f"{PX}, {ON}, k AS (SELECT unnest([-1, 0, 1]) AS k) SELECT tile_id, CAST(x + i.k AS BIGINT) AS x, CAST(y + j.k AS BIGINT) AS y, max(v) AS v FROM m CROSS JOIN k i CROSS JOIN k j WHERE x + i.k BETWEEN 0 AND 7 AND y + j.k BETWEEN 0 AND 7 GROUP BY ALL")
+def mask_dilate(spark, d):
+    return raster.dilated(_masks(spark, d)[0], 1, 8, 8).select("tile_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "v")
+
+
+@query("mask_overlap_ratio", f"{PX}, {ON}, {SHIFTED} SELECT m.tile_id, count(*) AS pixels, count(s.v) AS shared, count(s.v)::DOUBLE / count(*) AS ratio FROM m LEFT JOIN s ON s.tile_id = m.tile_id AND s.x = m.x AND s.y = m.y GROUP BY m.tile_id")
+def mask_overlap_ratio(spark, d):
+    return raster.overlap_ratio(*_masks(spark, d))
+
+
+@query("mask_confined", f"{PX} SELECT tile_id, x, y, CASE WHEN x + 0.5 >= 1.7 AND x + 0.5 < 6.2 AND y + 0.5 >= 0.5 AND y + 0.5 < 5.5 THEN v ELSE 0 END AS v FROM pixels")
+def mask_confined(spark, d):
+    return raster.confined(lifts.pixels(spark, d), 1.7, 0.5, 4.5, 5.0).select("tile_id", "x", "y", "v")
+
+
+@query("edge_consistency", f"{PX}, r AS (SELECT * FROM pixels WHERE x IN (0, 7) OR y IN (0, 7)), m AS (SELECT tile_id, median(v) AS edge FROM r GROUP BY tile_id) SELECT r.tile_id, edge, count(*) FILTER (WHERE abs(v - edge) <= 12)::DOUBLE / count(*) AS share FROM r JOIN m ON m.tile_id = r.tile_id GROUP BY r.tile_id, edge")
+def edge_consistency(spark, d):
+    return raster.edge_consistency(lifts.pixels(spark, d), 8, 8, 12)
+
+
+@query("ring_samples", f"{PX} SELECT tile_id, count(*) AS n, median(v) AS median FROM pixels WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5 AND NOT (x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 4) GROUP BY tile_id")
+def ring_samples(spark, d):
+    return raster.ring(lifts.pixels(spark, d), 2, 2, 6, 5).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("median"))
+
+
+@query("local_variation", f"{PX}, s AS (SELECT p.tile_id, abs(p.v - q.v) AS d FROM pixels p JOIN pixels q ON p.tile_id = q.tile_id AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1))) SELECT tile_id, quantile_disc(d, 0.95) AS p95 FROM s GROUP BY tile_id")
+def local_variation(spark, d):
+    return raster.local_variation(lifts.pixels(spark, d)).select("tile_id", F.col("p95").cast("long").alias("p95"))
+
+
+@query(
+    "plane_fit_residual",
+    f"""{PX}, s AS (SELECT tile_id, round(regr_slope(v, x), 4) AS bx, round(regr_slope(v, y), 4) AS cy FROM pixels GROUP BY tile_id) SELECT tile_id, floor(bx * 1000 + 0.5) / 1000 AS slope_x, floor(cy * 1000 + 0.5) / 1000 AS slope_y FROM s""",
+)
+def plane_fit_residual(spark, d):
+    # On a full grid x and y are uncorrelated, so each slope is the one of a line fit.
+    out = raster.plane_fit(lifts.pixels(spark, d), 8.0, 8.0)
+    return out.select("tile_id", *((F.floor(F.round(F.col(c) / 8, 4) * 1000 + 0.5) / 1000).alias(n) for c, n in (("b", "slope_x"), ("c", "slope_y"))))
+
+
+PARTS = "p AS (SELECT tile_id, x, y, v + CASE WHEN y < 3 THEN 0 WHEN y < 6 THEN 60 ELSE 120 END AS v, CASE WHEN y < 3 THEN 'rear' WHEN y < 6 THEN 'front' ELSE 'background' END AS part FROM pixels)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifts.pixels(spark, sf_dir).selectExpr("tile_id", "x", "y", "v + CASE WHEN y < 3 THEN 0 WHEN y < 6 THEN 60 ELSE 120 END AS v", "CASE WHEN y < 3 THEN 'rear' WHEN y < 6 THEN 'front' ELSE 'background' END AS part")
+
+
+MIDS = "m AS (SELECT tile_id, part, median(v) AS m FROM p GROUP BY ALL), e AS (SELECT p.tile_id, p.part, m.m, quantile_disc(abs(p.v - m.m), 0.95) AS dev FROM p JOIN m ON m.tile_id = p.tile_id AND m.part = p.part GROUP BY ALL), k AS (SELECT tile_id, max(m) FILTER (WHERE part = 'rear') AS r, max(m) FILTER (WHERE part = 'front') AS f, max(m) FILTER (WHERE part = 'background') AS b, max(dev) AS dev FROM e GROUP BY tile_id)"
+
+
+@query("palette_profile", f"{PX}, {PARTS}, {MIDS} SELECT tile_id, r AS rear_m, f AS front_m, b AS background_m, dev <= 12 AND least(abs(r - f), abs(r - b), abs(f - b)) >= 36 AS qualified FROM k")
+def palette_profile(spark, d):
+    return raster.palette_profile(_parts(spark, d), spread=12).select("tile_id", "rear_m", "front_m", "background_m", "qualified")
+
+
+@query(
+    "palette_classify",
+    f"{PX}, {PARTS}, {MIDS}, c AS (SELECT p.tile_id, CASE WHEN least(abs(v - r), abs(v - f), abs(v - b)) > 12 THEN 'unknown' WHEN abs(v - r) = least(abs(v - r), abs(v - f), abs(v - b)) THEN 'rear' WHEN abs(v - f) = least(abs(v - r), abs(v - f), abs(v - b)) THEN 'front' ELSE 'background' END AS kind FROM p JOIN k ON k.tile_id = p.tile_id) SELECT tile_id, kind, count(*) AS n FROM c GROUP BY ALL",
+)
+def palette_classify(spark, d):
+    p = _parts(spark, d)
+    return raster.palette_classes(p, raster.palette_profile(p)).select("tile_id", "kind", "n")
+
+
+@query(
+    "stroke_width",
+    f"""{PX}, {ON}, h AS (SELECT *, x - row_number() OVER (PARTITION BY tile_id, y ORDER BY x) AS i, y - row_number() OVER (PARTITION BY tile_id, x ORDER BY y) AS j FROM m),
+r AS (SELECT tile_id, least(count(*) OVER (PARTITION BY tile_id, y, i), count(*) OVER (PARTITION BY tile_id, x, j)) AS s FROM h) SELECT tile_id, median(s) AS stroke FROM r GROUP BY tile_id""",
+)
+def stroke_width(spark, d):
+    return raster.stroke_width(lifts.pixels(spark, d))
+
+
+LAYERS = "l AS (SELECT tile_id, 'a' AS layer, 1 AS z, x, y, v FROM pixels WHERE x < 5 UNION ALL SELECT tile_id, 'b', 2, x, y, CASE WHEN v > 130 THEN 255 ELSE 100 END FROM pixels WHERE x > 2)"
+
+
+@query(
+    "pixel_ownership",
+    f"{PX}, {LAYERS}, c AS (SELECT tile_id, x, y FROM pixels WHERE v % 3 = 0), s AS (SELECT l.*, coalesce(max(l.v) OVER (PARTITION BY l.tile_id, l.x, l.y ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 254, false) AS hid FROM l JOIN c ON c.tile_id = l.tile_id AND c.x = l.x AND c.y = l.y WHERE v > 0), "
+    "p AS (SELECT tile_id, x, y, count(*) AS n, min(layer) AS layer FROM s WHERE NOT hid GROUP BY ALL) SELECT tile_id, CASE WHEN n = 1 THEN layer END AS owner, count(*) AS pixels FROM p GROUP BY ALL",
+)
+def pixel_ownership(spark, d):
+    p = lifts.pixels(spark, d)
+    low = p.where("x < 5").select("tile_id", F.lit("a").alias("layer"), F.lit(1).alias("z"), "x", "y", "v")
+    high = p.where("x > 2").select("tile_id", F.lit("b").alias("layer"), F.lit(2).alias("z"), "x", "y", F.when(F.col("v") > 130, 255).otherwise(100).alias("v"))
+    return raster.owners(p.where("v % 3 = 0"), low.union(high))
+
+
+@query(
+    "text_span_acceptance",
+    f"{PX}, s AS (SELECT tile_id, min(x) FILTER (WHERE abs(v - 128) > 12) AS l, max(x) FILTER (WHERE abs(v - 128) > 12) AS r, min(x) FILTER (WHERE abs(v + tile_id % 9 - 128) > 12) AS l2, max(x) FILTER (WHERE abs(v + tile_id % 9 - 128) > 12) AS r2 FROM pixels GROUP BY tile_id) SELECT tile_id, coalesce(abs((r2 - l2) - (r - l)) <= 2 AND abs(l2 - l) <= 1, false) AS passed FROM s",
+)
+def text_span_acceptance(spark, d):
+    far = lambda v: F.abs(v - 128) > 12
+    v, w = F.col("v"), F.col("v") + F.col("tile_id") % 9
+    pick = lambda f, c: f(F.when(far(c), F.col("x")))
+    s = lifts.pixels(spark, d).groupBy("tile_id").agg(pick(F.min, v).alias("l"), pick(F.max, v).alias("r"), pick(F.min, w).alias("l2"), pick(F.max, w).alias("r2"))
+    return s.select("tile_id", F.coalesce(F.expr("abs((r2 - l2) - (r - l)) <= 2 AND abs(l2 - l) <= 1"), F.lit(False)).alias("passed"))
+
+
+# ---- ledgers and routing -------------------------------------------------------------------------------------------------------
+
+DEC = f"WITH {duck('decisions')}"
+
+
+@query("decision_reconciliation", f"{DEC}, p AS (SELECT candidate_id, kind FROM decisions WHERE candidate_id % 11 > 0), d AS (SELECT candidate_id, CASE WHEN candidate_id % 13 = 0 THEN 'icon' ELSE kind END AS kind FROM decisions WHERE decision IS NOT NULL) SELECT coalesce(p.candidate_id, d.candidate_id) AS candidate_id, CASE WHEN d.candidate_id IS NULL THEN 'missing' WHEN p.candidate_id IS NULL THEN 'unplanned' WHEN p.kind <> d.kind THEN 'kind_mismatch' END AS issue FROM p FULL JOIN d ON d.candidate_id = p.candidate_id")
+def decision_reconciliation(spark, d):
+    rows = lifts.decisions(spark, d)
+    decided = rows.where("decision is not null").withColumn("kind", F.when(F.col("candidate_id") % 13 == 0, "icon").otherwise(F.col("kind")))
+    return ledger.reconciled(rows.where("candidate_id % 11 > 0"), decided, "candidate_id")
+
+
+@query("decision_reason_counts", f"{DEC} SELECT kind, decision, reason, count(*) AS n FROM decisions GROUP BY ALL")
+def decision_reason_counts(spark, d):
+    return ledger.decision_counts(lifts.decisions(spark, d))
+
+
+@query("decisions_rollup", f"{DEC} SELECT kind, decision, count(*) AS n, CAST(GROUPING(kind, decision) AS BIGINT) AS level FROM decisions GROUP BY ROLLUP (kind, decision)")
+def decisions_rollup(spark, d):
+    return ledger.rolled_up(lifts.decisions(spark, d))
+
+
+@query("required_text_gate", f"{DEC} SELECT slide_id, count(*) FILTER (WHERE kind = 'text') AS planned, count(*) FILTER (WHERE kind = 'text' AND decision = 'accepted') AS accepted, count(*) FILTER (WHERE kind = 'text') = 6 AND count(*) FILTER (WHERE kind = 'text' AND decision = 'accepted') = 6 AS passed FROM decisions GROUP BY slide_id")
+def required_text_gate(spark, d):
+    return ledger.required_texts(lifts.decisions(spark, d), 6)
+
+
+ARTIFACT = "CASE WHEN doc_id % 17 = 0 THEN '../' ELSE 'crops/' END || CAST(doc_id AS VARCHAR) || '.txt'"
+
+
+@query(
+    "sha_verify_artifacts",
+    f"WITH a AS (SELECT {ARTIFACT} AS path, doc_id, text FROM documents) SELECT path, CASE WHEN doc_id % 17 = 0 THEN 'unsafe_path' WHEN doc_id % 5 = 0 THEN 'undeclared' WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM a WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0)",
+)
+def sha_verify_artifacts(spark, d):
+    path = F.concat(F.when(F.col("doc_id") % 17 == 0, "../").otherwise("crops/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", path.alias("path"))
+    declared = docs.where("doc_id % 5 <> 0").select("path", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("declared_sha256"))
+    return ledger.verified_artifacts(declared, docs.where("doc_id % 7 <> 0").select("path", F.col("text").alias("content")))
+
+
+CURSOR = "CASE operation WHEN 'ocr' THEN c0 WHEN 'scene' THEN c1 ELSE c2 END"
+ROUTES = f"""WITH RECURSIVE {duck("attempts")}, a AS (SELECT *, [s0, s1, s2] AS s FROM attempts),
+p AS (SELECT run_id, seq, operation, k, list_filter(range(k + 1, 4), lambda i: s[i] = 'success' OR s[i] NOT IN ('missing', 'unavailable', 'auth_unavailable', 'retryable_exhausted')) AS stops, s FROM a, (SELECT unnest([0, 1, 2]) AS k) k),
+o AS (SELECT run_id, seq, operation, k, s, CASE WHEN len(stops) = 0 THEN NULL ELSE stops[1] END AS stop FROM p),
+r(run_id, seq, c0, c1, c2, stopped, operation, outcome, selected, n_attempts, statuses) AS (
+  SELECT DISTINCT run_id, 0::BIGINT, 0, 0, 0, false, '', '', NULL::VARCHAR, 0::BIGINT, '' FROM a
+  UNION ALL
+  SELECT r.run_id, o.seq, CASE WHEN NOT r.stopped AND o.operation = 'ocr' AND o.s[o.stop] = 'success' THEN CAST(o.stop - 1 AS INT) ELSE c0 END, CASE WHEN NOT r.stopped AND o.operation = 'scene' AND o.s[o.stop] = 'success' THEN CAST(o.stop - 1 AS INT) ELSE c1 END,
+    CASE WHEN NOT r.stopped AND o.operation = 'completion' AND o.s[o.stop] = 'success' THEN CAST(o.stop - 1 AS INT) ELSE c2 END, r.stopped OR o.stop IS NULL OR o.s[o.stop] <> 'success', o.operation,
+    CASE WHEN r.stopped THEN 'stopped' WHEN o.stop IS NULL THEN 'exhausted' WHEN o.s[o.stop] = 'success' THEN 'success' ELSE 'fatal' END, CASE WHEN NOT r.stopped AND o.s[o.stop] = 'success' THEN ['host-openai', 'api-openai', 'api-alibaba'][o.stop] END,
+    CASE WHEN r.stopped THEN 0 ELSE coalesce(o.stop, 3) - o.k END, CASE WHEN r.stopped THEN '' ELSE replace(array_to_string(o.s[o.k + 1:coalesce(o.stop, 3)], ','), 'missing', 'unavailable') END
+  FROM r JOIN o ON o.run_id = r.run_id AND o.seq = r.seq + 1 AND o.k = CASE o.operation WHEN 'ocr' THEN c0 WHEN 'scene' THEN c1 ELSE c2 END)
+"""
+
+
+@query("routing_sticky_cursor", ROUTES + "SELECT run_id, seq, operation, outcome, selected, n_attempts, statuses FROM r WHERE seq > 0")
+def routing_sticky_cursor(spark, d):
+    return routing.routed(lifts.attempts(spark, d))
+
+
+@query("routing_attempt_counts", ROUTES + ", e AS (SELECT operation, unnest(string_split(statuses, ',')) AS status FROM r WHERE seq > 0 AND statuses <> '') SELECT operation, status, count(*) AS n FROM e GROUP BY ALL")
+def routing_attempt_counts(spark, d):
+    return routing.attempt_counts(routing.routed(lifts.attempts(spark, d)))
+
+
+@query("events_tumbling_window", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL")
+def events_tumbling_window(spark, d):
+    return streams.tumbling_counts(spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", F.floor("value").alias("value")))
+
+
+SQL["events_tumbling_window"] = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY ALL"
