@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,23 +45,32 @@ def visible_gaps(line: Column) -> Column:
     return F.when(seen < 2, 0).otherwise(F.greatest(F.lit(0), F.length(line) - 1))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def text_style(text: Column, b: Box, glyph_w: Column, glyph_h: Column, coverage: Column, stroke: Column) -> Column:
     """(font_px, bold, tracking_px) that makes editable text fill its measured glyphs."""
-    positive = lambda v, default: F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), v).otherwise(F.lit(default))
+    positive = lambda v, default: F.when((v > 0) & ~F.isnan(v.cast("double")) & (v < float("inf")), v).otherwise(F.lit(default))
     parts = F.transform(lines(text), lambda s: F.struct(advance_units(s).alias("units"), visible_gaps(s).alias("gaps")))
-    n = F.greatest(F.lit(1), F.size(parts))
-    widest = F.greatest(F.lit(MIN_UNITS), F.array_max(F.transform(parts, lambda p: p["units"])))
-    glyph = positive(glyph_h, 1.0) / n
     width = positive(b.w, MIN_FONT)
-    budget = F.least(glyph * GLYPH, positive(b.h, MIN_FONT) / n / (1 / GLYPH), width * WIDTH_SAFETY / widest)
-    font = F.least(F.greatest(hundredths(budget), F.lit(MIN_FONT)), F.lit(MAX_FONT))
     share = F.least(F.greatest(F.coalesce(F.nanvl(coverage, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    bold = positive(stroke, 0.0) / glyph * (1 + share) >= BOLD
     span = F.least(width, positive(glyph_w, 0.0))
-    scale = F.when(font >= DISPLAY, DISPLAY_SCALE).otherwise(1.0)
-    feasible = F.transform(F.filter(parts, lambda p: p["gaps"] > 0), lambda p: F.greatest(F.lit(0.0), (span * WIDTH_SAFETY * (p["units"] / widest) - font * (p["units"] * scale)) / p["gaps"]))
-    tracking = F.least(F.greatest(F.coalesce(F.array_min(feasible), F.lit(0.0)), F.lit(0.0)), F.lit(MAX_TRACKING))
-    return F.struct(font.alias("font_px"), bold.alias("bold"), hundredths(tracking).alias("tracking_px"))
+
+    def tracked(p: Column, widest: Column, font: Column) -> Column:
+        scale = F.when(font >= DISPLAY, DISPLAY_SCALE).otherwise(1.0)
+        feasible = F.transform(F.filter(p, lambda x: x["gaps"] > 0), lambda x: F.greatest(F.lit(0.0), (span * WIDTH_SAFETY * (x["units"] / widest) - font * (x["units"] * scale)) / x["gaps"]))
+        return F.least(F.greatest(F.coalesce(F.array_min(feasible), F.lit(0.0)), F.lit(0.0)), F.lit(MAX_TRACKING))
+
+    def styled(p: Column, n: Column, widest: Column) -> Column:
+        budget = F.least(positive(glyph_h, 1.0) / n * GLYPH, positive(b.h, MIN_FONT) / n / (1 / GLYPH), width * WIDTH_SAFETY / widest)
+        bold = positive(stroke, 0.0) / (positive(glyph_h, 1.0) / n) * (1 + share) >= BOLD
+        made = lambda font: F.struct(font.alias("font_px"), bold.alias("bold"), hundredths(tracked(p, widest, font)).alias("tracking_px"))
+        return _let(F.least(F.greatest(hundredths(budget), F.lit(MIN_FONT)), F.lit(MAX_FONT)), made)
+
+    measured = lambda p: F.struct(p.alias("p"), F.greatest(F.lit(1), F.size(p)).alias("n"), F.greatest(F.lit(MIN_UNITS), F.array_max(F.transform(p, lambda x: x["units"]))).alias("widest"))
+    return _let(_let(parts, measured), lambda m: styled(m["p"], m["n"], m["widest"]))
 
 
 def xml_escape(s: Column) -> Column:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions import documents
 from strataframe.functions import geometry as g
 from strataframe.functions import text as t
-from strataframe.operators import graph, layout, ledger, raster, routing
+from strataframe.operators import graph, layout, ledger, planner, raster, raster_udf, routing
 from strataframe.plans import lifts
 from strataframe.plans.lifts import HEIGHT, KINDS, ROLES, WIDTH, duck
 from strataframe.streaming import routing as streams
@@ -725,3 +726,41 @@ def events_tumbling_window(spark, d):
 
 
 SQL["events_tumbling_window"] = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY ALL"
+
+
+# ---- one page or tile at a time -----------------------------------------------------------------------------------------------
+
+
+@query("semantic_plan")
+def semantic_plan(spark, d):
+    nodes = _named(_clipped(spark, d)).withColumn("conf", F.col("conf") / 100)
+    texts = nodes.where("role = 'text'").select("slide_id", F.concat(F.lit("ocr-"), "ord").alias("id"), "x", "y", "w", "h")
+    return planner.semantic_plan(nodes, _relations(spark, d), texts)
+
+
+FOUR = "e AS (SELECT a.tile_id, a.y * 8 + a.x AS a, b.y * 8 + b.x AS b FROM m a JOIN m b ON a.tile_id = b.tile_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1)"
+
+
+@query(
+    "connected_components_tiles",
+    f"WITH RECURSIVE {duck('pixels')}, {ON}, {FOUR}, w AS (SELECT tile_id, y * 8 + x AS a, y * 8 + x AS b FROM m UNION SELECT w.tile_id, w.a, e.b FROM w JOIN e ON e.tile_id = w.tile_id AND e.a = w.b) SELECT tile_id, a % 8 AS x, CAST((a - a % 8) / 8 AS BIGINT) AS y, min(b) AS component FROM w GROUP BY tile_id, a",
+)
+def connected_components_tiles(spark, d):
+    return raster_udf.tile_components(lifts.pixels(spark, d))
+
+
+@query("background_removal")
+def background_removal(spark, d):
+    return raster_udf.tile_backgrounds(lifts.pixels(spark, d))
+
+
+@query("local_repair")
+def local_repair(spark, d):
+    return raster_udf.tile_repairs(lifts.pixels(spark, d))
+
+
+@query("json_repair", "SELECT event_id, replace(props, ' ', '') AS repaired FROM events")
+def json_repair(spark, d):
+    """Each reply is cut before its last bracket; the repair gives it back."""
+    cut = F.expr("substring(props, 1, length(props) - 1)")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", documents.json_repaired(cut).alias("repaired"))
