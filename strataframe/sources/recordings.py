@@ -17,9 +17,9 @@ SCENE = (
 def ocr_lines(replies: DataFrame, column: str = "reply", key: str = "slide_id") -> DataFrame:
     """slide_id, source_index, text, x, y, w, h: the box around each word's four corners; words without eight numbers are left out."""
     words = F.flatten(F.transform(F.col("r.output.choices"), lambda c: F.flatten(F.transform(c["message"]["content"], lambda m: m["ocr_result"]["words_info"]))))
-    each = replies.select(key, F.from_json(column, LINES).alias("r")).select(key, F.posexplode(words).alias("source_index", "w")).where(F.size("w.location") == 8)
-    xs, ys = (F.transform(F.sequence(F.lit(k), F.lit(k + 6), F.lit(2)), lambda i: F.element_at(F.col("w.location"), i)) for k in (1, 2))
-    return each.select(key, "source_index", F.col("w.text").alias("text"), F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+    each = replies.select(key, F.from_json(column, LINES).alias("r")).select(key, F.posexplode(words).alias("source_index", "word")).where(F.size("word.location") == 8)
+    xs, ys = (F.transform(F.sequence(F.lit(k), F.lit(k + 6), F.lit(2)), lambda i: F.element_at(F.col("word.location"), i)) for k in (1, 2))
+    return each.select(key, "source_index", F.col("word.text").alias("text"), F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
 
 
 def confidence(v: Column) -> Column:
