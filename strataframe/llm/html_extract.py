@@ -51,7 +51,7 @@ class Page:
     """Elements in page order (an element's descendants follow it up to its ``end``), and the text between tags."""
 
     def __init__(self, source: str):
-        self.tag, self.path, self.good, self.bad, self.link, self.parent, self.end = ["#"], [""], [0], [0], [False], [-1], [0]
+        self.tag, self.path, self.good, self.bad, self.link, self.parent, self.end = ["#"], ["body"], [0], [0], [False], [-1], [0]
         self.said: list[tuple[int, str]] = []
         stack, at = [0], 0
         while m := TOKEN.search(source, at):
@@ -113,7 +113,7 @@ class Page:
         up, me = stack[-1], len(self.tag)
         bad = tag in DROPPED or hidden or role in ROLES or (tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(names))) or (tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack))
         self.tag.append(tag)
-        self.path.append(f"{self.path[up]}>{label}" if up else label)
+        self.path.append("body" if tag in ("html", "body") else f"{self.path[up]}>{label}")  # these two may be left out in a page
         self.good.append((tag in ("article", "main") or role in ("main", "article")) * 2 + bool(GOOD.search(names)))
         self.bad.append(me if bad else self.bad[up])  # the nearest element around it that is dropped
         self.link.append(tag == "a" or self.link[up])
@@ -176,7 +176,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 paths.append(page.path[page.best()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
-    return pages.select("host", "html").mapInArrow(rows, "host string, path string").where("path <> ''")
+    return pages.select("host", "html").mapInArrow(rows, "host string, path string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
