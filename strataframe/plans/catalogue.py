@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from strataframe.functions import documents
 from strataframe.functions import geometry as g
 from strataframe.functions import text as t
-from strataframe.operators import graph, layout, ledger, planner, raster, raster_udf, routing
+from strataframe.operators import graph, layout, ledger, planner, raster, raster_udf, routing, selection
 from strataframe.plans import lifts
 from strataframe.plans.lifts import HEIGHT, KINDS, ROLES, WIDTH, duck
+from strataframe.sources import publish
 from strataframe.streaming import routing as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -764,3 +765,156 @@ def json_repair(spark, d):
     """Each reply is cut before its last bracket; the repair gives it back."""
     cut = F.expr("substring(props, 1, length(props) - 1)")
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", documents.json_repaired(cut).alias("repaired"))
+
+
+# ---- choices ---------------------------------------------------------------------------------------------------------------------
+
+PROPOSED = f"""pr AS (SELECT slide_id, ord, w, h, unnest(list_sort(list_distinct([0, 9, CAST(greatest(9, least(18, greatest(1, floor(least(w, h) / 4.0::DOUBLE)))) AS BIGINT)]))) AS padding FROM clipped), pt AS (SELECT *, unnest([24, 32]) AS tolerance FROM pr)"""
+
+
+@query("mask_proposals", f"{PIXEL_NODES}, {PROPOSED} SELECT slide_id, ord, padding, tolerance FROM pt")
+def mask_proposals(spark, d):
+    return selection.proposals(_clipped(spark, d), WIDTH, HEIGHT).select("slide_id", "ord", "padding", "tolerance")
+
+
+SCORES = "completeness, foreground_ratio, opaque_border_ratio, components, text_overlap"
+SCORED = "1 - (ord + padding) % 3 / 4.0::DOUBLE AS completeness, (w + tolerance) % 100 / 100.0::DOUBLE AS foreground_ratio, (h + padding) % 5 / 100.0::DOUBLE AS opaque_border_ratio, (w + padding) % 4 AS components, (h + tolerance) % 2 AS text_overlap"
+
+
+@query(
+    "best_mask",
+    f"{PIXEL_NODES}, {PROPOSED}, s AS (SELECT *, {SCORED} FROM pt), r AS (SELECT *, row_number() OVER (PARTITION BY slide_id, ord ORDER BY completeness DESC, opaque_border_ratio, foreground_ratio DESC, w * h, padding, tolerance) AS n FROM s WHERE opaque_border_ratio <= 0.02 AND foreground_ratio BETWEEN 0.01 AND 0.95 AND components > 0 AND completeness > 0 AND text_overlap <= 0) SELECT slide_id, ord, padding, tolerance FROM r WHERE n = 1",
+)
+def best_mask(spark, d):
+    rows = selection.proposals(_clipped(spark, d), WIDTH, HEIGHT).selectExpr("*", *SCORED.replace("::DOUBLE", "D").split(", "))
+    return selection.best_masks(rows, "slide_id", "ord").select("slide_id", "ord", "padding", "tolerance")
+
+
+@query(
+    "padding_ladder",
+    f"{PIXEL_NODES}, l AS (SELECT slide_id, ord, w, h, unnest([4, 8, 12, 16, 20, 24, 28, 32]) AS padding FROM clipped), s AS (SELECT *, (w + padding) % 7 = 0 AS ok, (h + padding) % 11 = 0 AS bad FROM l) "
+    "SELECT slide_id, ord, CAST(coalesce(min(padding) FILTER (WHERE ok OR bad), 32) AS INT) AS padding, coalesce(arg_min(ok, padding) FILTER (WHERE ok OR bad), false) AS success FROM s GROUP BY slide_id, ord",
+)
+def padding_ladder(spark, d):
+    rows = _clipped(spark, d).select("slide_id", "ord", "w", "h", F.explode(F.array(*map(F.lit, selection.PADDINGS))).alias("padding"))
+    tries = rows.withColumns({"transparent": (F.col("w") + F.col("padding")) % 7 == 0, "hopeless": (F.col("h") + F.col("padding")) % 11 == 0})
+    return selection.first_padding(tries, "slide_id", "ord")
+
+
+@query("completion_budget", f"{PIXEL_NODES}, q AS (SELECT slide_id, ord, row_number() OVER (PARTITION BY slide_id ORDER BY z, ord) AS place FROM clipped WHERE role = 3 AND conf >= 80) SELECT slide_id, ord, place FROM q WHERE place <= 4")
+def completion_budget(spark, d):
+    rows = _clipped(spark, d).where("role = 3").withColumn("qualifies", F.col("conf") >= 80)
+    return selection.within_budget(rows, 4, ["z", "ord"]).select("slide_id", "ord", "place")
+
+
+@query("group_labels", f"{PIXEL_NODES} SELECT slide_id, role, string_agg('L' || CAST(x AS VARCHAR), ' + ' ORDER BY ord) AS label, string_agg(node_id, ',' ORDER BY ord) AS ids, max(z) AS z FROM clipped GROUP BY slide_id, role")
+def group_labels(spark, d):
+    return selection.group_labels(_clipped(spark, d).withColumn("label", F.concat(F.lit("L"), F.col("x").cast("string"))), "slide_id", "role")
+
+
+@query(
+    "provider_canvas",
+    """WITH c AS (SELECT event_id, CAST(40 + event_id * 37 % 1900 AS INT) AS w, CAST(30 + event_id * 53 % 1500 AS INT) AS h FROM events WHERE event_id < 3000), k AS (SELECT unnest(range(16, 3841, 16)) AS cw),
+s AS (SELECT event_id, w, h, cw, CAST(ceil(greatest(h, ceil(655360::DOUBLE / cw)) / 16::DOUBLE) * 16 AS BIGINT) AS ch FROM c JOIN k ON cw >= w),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(cw::DOUBLE / ch - w::DOUBLE / h), 9), cw * ch, cw) AS n FROM s WHERE ch <= 3840 AND cw * ch BETWEEN 655360 AND 8294400 AND greatest(cw, ch) <= least(cw, ch) * 3)
+SELECT c.event_id, CAST(r.cw AS BIGINT) AS width, CAST(r.ch AS BIGINT) AS height FROM c LEFT JOIN r ON r.event_id = c.event_id AND n = 1""",
+)
+def provider_canvas(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 3000").select("event_id", (40 + F.col("event_id") * 37 % 1900).cast("int").alias("w"), (30 + F.col("event_id") * 53 % 1500).cast("int").alias("h"))
+    c = e.select("event_id", selection.provider_canvas(F.col("w"), F.col("h")).alias("c"))
+    return c.select("event_id", F.col("c.width").cast("long").alias("width"), F.col("c.height").cast("long").alias("height"))
+
+
+REFINED = f"t AS (SELECT slide_id, node_id FROM clipped WHERE ord % 7 = 0), f AS (SELECT slide_id, concat('x', substring(node_id, 2, 9)) AS node_id, role, x + 2 AS x, y, w, h FROM clipped WHERE ord % 7 IN (0, 1)), k AS (SELECT a.slide_id, a.node_id FROM clipped a WHERE a.ord % 7 <> 0 AND (a.role IN (0, 1) OR NOT EXISTS (SELECT 1 FROM f b WHERE a.slide_id = b.slide_id AND {IOU} > 0.8)) UNION ALL SELECT slide_id, node_id FROM f)"
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = _named(_clipped(spark, sf_dir)).select("slide_id", "ord", "node_id", "role", "x", "y", "w", "h")
+    refined = n.where("ord % 7 in (0, 1)").withColumns({"node_id": F.concat(F.lit("x"), F.substring("node_id", 2, 9)), "x": F.col("x") + 2})
+    return selection.merged_graph(n, _relations(spark, sf_dir), refined, n.where("ord % 7 = 0"))
+
+
+@query("merged_nodes", f"{PIXEL_NODES}, {REFINED} SELECT slide_id, node_id FROM k")
+def merged_nodes(spark, d):
+    return _merged(spark, d)[0].select("slide_id", "node_id")
+
+
+@query(
+    "merged_relations",
+    f"{GRAPH}, {REL}, {REFINED} SELECT r.slide_id, r.rel_id FROM rel r WHERE EXISTS (SELECT 1 FROM k WHERE k.slide_id = r.slide_id AND k.node_id = r.from_id) AND EXISTS (SELECT 1 FROM k WHERE k.slide_id = r.slide_id AND k.node_id = r.to_id) "
+    "AND NOT (EXISTS (SELECT 1 FROM t WHERE t.slide_id = r.slide_id AND t.node_id = r.from_id) AND EXISTS (SELECT 1 FROM t WHERE t.slide_id = r.slide_id AND t.node_id = r.to_id))",
+)
+def merged_relations(spark, d):
+    return _merged(spark, d)[1].select("slide_id", "rel_id")
+
+
+@query(
+    "rollback_fixpoint",
+    f"WITH RECURSIVE {duck('nodes')}, {CLIPPED}, o AS (SELECT DISTINCT a.slide_id, a.ord AS a, b.ord AS b FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord AND a.role = 3 AND b.role = 3 AND {SMALLER} >= 0.5) SELECT slide_id, ord FROM clipped c WHERE role = 3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.slide_id = c.slide_id AND (o.a = c.ord OR o.b = c.ord))",
+)
+def rollback_fixpoint(spark, d):
+    """Layers that cover each other by half are rolled back; the next round finds none."""
+    active = _clipped(spark, d).where("role = 3").select("slide_id", "ord", "x", "y", "w", "h")
+
+    def culprits(rows: DataFrame) -> DataFrame:
+        pairs = layout.overlapping_pairs(rows, "smaller", 0.5)
+        return pairs.select("slide_id", F.col("a").alias("ord")).union(pairs.select("slide_id", F.col("b")))
+
+    return selection.rolled_back(active, culprits, ["slide_id", "ord"], 3).select("slide_id", "ord")
+
+
+@query("asset_removal_mask", f"{PX}, m AS (SELECT tile_id, x + 3 AS x, y + 1 AS y FROM pixels WHERE v >= 128), k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS k) SELECT DISTINCT tile_id, CAST(x + i.k AS BIGINT) AS x, CAST(y + j.k AS BIGINT) AS y, CAST(255 AS INT) AS v FROM m CROSS JOIN k i CROSS JOIN k j WHERE x + i.k BETWEEN 0 AND 11 AND y + j.k BETWEEN 0 AND 9")
+def asset_removal_mask(spark, d):
+    m = raster.removal_mask(lifts.pixels(spark, d), 3, 1, 12, 10, support=128)
+    return m.select("tile_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("int").alias("v"))
+
+
+@query("hidden_pixels_cleared", f"{PX} SELECT tile_id, x, y, CASE WHEN x > 4 AND y < 3 THEN 0 ELSE v END AS v FROM pixels")
+def hidden_pixels_cleared(spark, d):
+    p = lifts.pixels(spark, d)
+    return raster.cleared(p, p.where("x > 4 and y < 3")).select("tile_id", "x", "y", "v")
+
+
+@query("unchanged_outside_mask", f"{PX} SELECT tile_id, bool_and(NOT (tile_id % 3 = 0 AND x = 7 AND y = 7)) AS unchanged FROM pixels WHERE v < 128 GROUP BY tile_id")
+def unchanged_outside_mask(spark, d):
+    p = lifts.pixels(spark, d)
+    made = p.withColumn("v", F.when((F.col("tile_id") % 3 == 0) & (F.col("x") == 7) & (F.col("y") == 7), F.col("v") + 1).otherwise(F.col("v")))
+    return raster.unchanged_outside(p, made, p)
+
+
+@query("filled_rectangles", f"{PIXEL_NODES} SELECT slide_id, ord, w * h AS pixels FROM clipped WHERE slide_id < 200 AND ord < 6")
+def filled_rectangles(spark, d):
+    boxes = _clipped(spark, d).where("slide_id < 200 and ord < 6").withColumn("tile_id", F.struct("slide_id", "ord"))
+    return raster.filled_rectangle(boxes).groupBy("tile_id").agg(F.count(F.lit(1)).alias("pixels")).select("tile_id.slide_id", "tile_id.ord", "pixels")
+
+
+@query("extraction_gate", f"{PX}, m AS (SELECT tile_id, count(*) FILTER (WHERE v < 128) / 64::DOUBLE AS t, count(*) FILTER (WHERE v >= 128 AND (x IN (0, 7) OR y IN (0, 7))) / 28::DOUBLE AS b FROM pixels GROUP BY tile_id) SELECT tile_id, CASE WHEN t < 0.05 THEN 'too_little_transparency' WHEN t > 0.92 THEN 'too_much_transparency' WHEN b > 0.02 THEN 'opaque_border' END AS reason FROM m")
+def extraction_gate(spark, d):
+    m = raster.mask_metrics(lifts.pixels(spark, d), 8, 8)
+    return m.select("tile_id", raster.extraction_reason(1 - F.col("foreground_ratio"), F.col("opaque_border_ratio")).alias("reason"))
+
+
+@query("box_violations", f"WITH {duck('nodes')} SELECT slide_id, ord, rule FROM (SELECT slide_id, ord, unnest(list_filter([CASE WHEN x + w > {WIDTH} THEN 'right' END, CASE WHEN y + h > {HEIGHT} THEN 'bottom' END, CASE WHEN conf < 80 THEN 'confidence' END], lambda r: r IS NOT NULL)) AS rule FROM nodes) v")
+def box_violations(spark, d):
+    b = g.box()
+    return ledger.violations(lifts.nodes(spark, d), {"right": b.right <= WIDTH, "bottom": b.bottom <= HEIGHT, "confidence": F.col("conf") >= 80}, "slide_id", "ord")
+
+
+@query("safe_paths", "WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '../' || page_id WHEN 2 THEN 'a/b/' || page_id ELSE '/' || page_id END AS path FROM pages) SELECT page_id, length(path) > 0 AND NOT starts_with(path, '/') AND NOT contains(path, chr(92)) AND len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) = 0 AS safe FROM p")
+def safe_paths(spark, d):
+    n = F.col("page_id").cast("string")
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("../"), n)).when(k == 2, F.concat(F.lit("a/b/"), n)).otherwise(F.concat(F.lit("/"), n))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", t.safe_relative_path(path).alias("safe"))
+
+
+@query("plan_equality", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'a' ELSE 'b' END AS side FROM documents WHERE doc_id % 10 IN (0, 1)")
+def plan_equality(spark, d):
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    return ledger.same_rows(ids.where("doc_id % 10 <> 1"), ids.where("doc_id % 10 <> 0"))
+
+
+@query("manifest_json")
+def manifest_json(spark, d):
+    rows = layout.manifest_order(_clipped(spark, d)).select("slide_id", "place", "node_id", "x", "y", "w", "h")
+    return publish.manifest(rows)
