@@ -6,6 +6,7 @@ Each lift is one SELECT in SQL that both dialects read (or two where they differ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Canvas of the lifted pages.
 WIDTH, HEIGHT = 1000, 600
@@ -57,7 +58,13 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, NODES, "lineitem")
+    """NODES with one window in place of two: copies are exploded after it, so the rows stay dealt by page for what follows."""
+    first = NODES[: NODES.index("UNION ALL")]
+    base = _sql(spark, sf_dir, first[first.index("(\n") + 1 : first.rindex(") b")], "lineitem")
+    each = base.withColumn("k", F.explode(F.when(F.col("flag") == "R", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    ord_ = (F.col("o") * 2 + F.col("k")).cast("long")
+    ident = F.concat(F.lit("n"), F.lpad(ord_.cast("string"), 3, "0"))
+    return each.select("slide_id", ord_.alias("ord"), ident.alias("node_id"), "role", (F.col("x") + F.col("k")).alias("x"), "y", "w", "h", "conf", "z")
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
