@@ -181,3 +181,22 @@ def test_text_style(spark):
     b = g.Box(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h"))
     s = df.select(t.text_style(F.col("s"), b, F.col("gw"), F.col("gh"), F.col("c"), F.col("k")).alias("s")).first().s
     assert (s.font_px, s.bold, s.tracking_px) == (16.92, True, 36.0)
+
+
+def test_presentations(spark):
+    import io
+    import xml.dom.minidom
+    import zipfile
+
+    from strataframe.sources import pptx
+
+    rows = spark.createDataFrame([(1, 2, 10, 10, 100, 20, "a & b\nc"), (1, 1, 0, 0, 640, 360, None)], "slide_id long, place long, x long, y long, w long, h long, text string")
+    content = bytes(pptx.presentations(rows, 1280, 720).first().content)
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in z.namelist():
+            xml.dom.minidom.parseString(z.read(name))
+        slide = z.read("ppt/slides/slide1.xml").decode()
+    assert slide.index('cx="6095848"') < slide.index("a &amp; b") and "<a:t>c</a:t>" in slide
+    assert pptx.layout(100, 5000) == (1.0, 50.0) and pptx.layout(1280, 720)[0] == 13.333
+    with pytest.raises(ValueError):
+        pptx.layout(10, 1000)
