@@ -211,3 +211,82 @@ def tile_repairs(pixels: DataFrame, x: int = 3, y: int = 3, size: int = 2, width
         return [(reason, m["ring"], m["mad"], m["p95"], [int(v) for v in out[..., 0][mask]])]
 
     return per_tile(gathered(pixels), work, "reason string, ring long, mad double, p95 double, filled array<long>", width, height)
+
+
+#: Limits of a text mask: contrast, spread and number of surface samples, covered share, halo, outside share, line-like pieces.
+CONTRAST, SURFACE_MAD, SURFACE_SAMPLES, COVERED, HALO, OUTSIDE, LINE_SPAN, LINE_THICK = 32, 18, 8, 0.85, 8, 0.25, 0.5, 2
+
+
+def text_mask(image: np.ndarray, x: float, y: float, w: float, h: float, dilation: int = 1) -> tuple[np.ndarray | None, str, dict]:
+    """(mask, reason, metrics) of the glyphs in a text box, or why there is none.
+
+    The pixels right around the box give the surface colour, which must be consistent. What stands out from it in the box, and what joins that
+    in a small halo, are glyphs; a halo that takes too much or something like a line is refused, and so is a mask that covers most of the box.
+    """
+    height, width = image.shape[:2]
+    left, top, right, bottom = max(0, int(np.floor(x))), max(0, int(np.floor(y))), min(width, int(np.ceil(x + w))), min(height, int(np.ceil(y + h)))
+    box = np.zeros((height, width), bool)
+    box[top:bottom, left:right] = True
+    around = np.zeros_like(box)
+    around[max(0, top - 1) : bottom + 1, max(0, left - 1) : right + 1] = True
+    metrics = {"masked": 0, "coverage": 0.0, "stroke": 0.0}
+    surface = image[around & ~box][:, :3].astype(np.float64)
+    if len(surface) < SURFACE_SAMPLES:
+        return None, "surface_inconsistent", metrics
+    middle = np.median(surface, axis=0)
+    if (np.median(np.abs(surface - middle), axis=0) > SURFACE_MAD).any():
+        return None, "surface_inconsistent", metrics
+    halo = min(HALO, max(2, int(half_up(np.float64(h / 6)))))
+    window = np.zeros_like(box)
+    window[max(0, top - halo) : bottom + halo, max(0, left - halo) : right + halo] = True
+    standing = (np.abs(image[..., :3] - middle).max(axis=-1) >= CONTRAST) & window
+    inside = int((standing & box).sum())
+    if not inside:
+        return None, "no_glyphs", metrics
+    if inside == box.sum():
+        return None, "full_box", metrics
+    parts = labelled(standing, AROUND)
+    glyphs = np.isin(parts, np.unique(parts[standing & box]))
+    glyphs &= standing
+    out = labelled(glyphs & ~box, AROUND)
+    outside = 0
+    for k in range(1, int(out.max()) + 1):
+        py, px = np.nonzero(out == k)
+        ph, pw = int(np.ptp(py)) + 1, int(np.ptp(px)) + 1
+        if (ph <= LINE_THICK and pw / (right - left) >= LINE_SPAN) or (pw <= LINE_THICK and ph / (bottom - top) >= LINE_SPAN):
+            return None, "line_like_fringe", metrics
+        outside += len(py)
+    if outside / inside > OUTSIDE:
+        return None, "fringe_too_large", metrics
+    r = min(dilation, max(0, int(h // 4)))
+    mask = np.zeros_like(box)
+    padded = np.pad(glyphs, r)
+    for dy in range(2 * r + 1):
+        for dx in range(2 * r + 1):
+            mask |= padded[dy : dy + height, dx : dx + width]
+    mask &= window
+    if (mask & box).sum() / box.sum() >= COVERED:
+        return None, "covers_box", metrics
+    runs = np.minimum(_runs(standing & box), _runs((standing & box).T).T)[standing & box]
+    return mask, "", {"masked": int(mask.sum()), "coverage": inside / int(box.sum()), "stroke": float(np.median(runs))}
+
+
+def _runs(on: np.ndarray) -> np.ndarray:
+    """The length of the horizontal run through each cell that is on."""
+    out = np.zeros(on.shape, np.int64)
+    for y, row in enumerate(on):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
+        for a, b in edge.reshape(-1, 2):
+            out[y, a:b] = b - a
+    return out
+
+
+def tile_text_masks(pixels: DataFrame, x: int = 2, y: int = 2, size: int = 4, width: int = 8, height: int = 8, gain: int = 1) -> DataFrame:
+    """(tile_id, reason, masked, coverage, stroke) of a square box in each tile; ``gain`` raises the tile's contrast."""
+
+    def work(grid: np.ndarray) -> list[tuple]:
+        lifted = np.clip((grid - 128) * gain + 128, 0, 255)
+        _, reason, m = text_mask(_rgba(lifted), x, y, size, size)
+        return [(reason, m["masked"], m["coverage"], m["stroke"])]
+
+    return per_tile(gathered(pixels), work, "reason string, masked long, coverage double, stroke double", width, height)

@@ -918,3 +918,8 @@ def plan_equality(spark, d):
 def manifest_json(spark, d):
     rows = layout.manifest_order(_clipped(spark, d)).select("slide_id", "place", "node_id", "x", "y", "w", "h")
     return publish.manifest(rows)
+
+
+@query("text_mask")
+def text_mask(spark, d):
+    return raster_udf.tile_text_masks(lifts.pixels(spark, d), gain=2)

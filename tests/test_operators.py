@@ -200,3 +200,20 @@ def test_presentations(spark):
     assert pptx.layout(100, 5000) == (1.0, 50.0) and pptx.layout(1280, 720)[0] == 13.333
     with pytest.raises(ValueError):
         pptx.layout(10, 1000)
+
+
+def test_text_mask():
+    image = np.full((30, 60, 4), 240, np.uint8)
+    for x in range(12, 48, 6):
+        image[10:20, x : x + 2, :3] = 20
+    mask, reason, m = raster_udf.text_mask(image, 10, 9, 40, 12)
+    assert reason == "" and mask[10:20, 12:14].all() and mask[9, 11] and not mask[9:21, 16].any() and m["stroke"] == 2 and m["coverage"] == 120 / 480
+    line = image.copy()
+    line[20:22, 10:50, :3] = 20  # an underline right below the box
+    assert raster_udf.text_mask(line, 10, 9, 40, 11)[1] == "line_like_fringe"
+    assert raster_udf.text_mask(image, 0, 0, 8, 8)[1] == "no_glyphs"
+    noisy = np.random.default_rng(0).integers(0, 256, image.shape).astype(np.uint8)
+    assert raster_udf.text_mask(noisy, 10, 9, 40, 12)[1] == "surface_inconsistent"
+    solid = image.copy()
+    solid[9:21, 10:50, :3] = 20
+    assert raster_udf.text_mask(solid, 10, 9, 40, 12)[1] == "full_box"
