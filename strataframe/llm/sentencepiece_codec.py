@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.shared import read
 
-MARK, MODEL, CACHE = "▁", "piece_bpe_32k.model", 300_000
+MARK, MODEL, CACHE, SHORT = "▁", "piece_bpe_32k.model", 400_000, 40
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 Lattice = dict[tuple[int, int], float]
 
@@ -42,6 +42,7 @@ class Codec:
         n = self.model.get_piece_size()
         special = [self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i) for i in range(n)]
         self.pieces = {self.model.id_to_piece(i): (i, self.model.get_score(i)) for i in range(n) if not special[i]}
+        self.scores = {p: s for p, (_, s) in self.pieces.items()}
         self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.byte_ids = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
@@ -93,21 +94,44 @@ class Codec:
             j = -best[j][1]
         return out[::-1]
 
-    def word_ids(self, word: str) -> bytes:
+    def merged(self, word: str) -> list[str]:
+        """The fold of a short word: only the substrings that it asks for are looked up, for no other can be on its path."""
+        get, none, parts = self.scores.get, -np.inf, list(word)
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], none)
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+        return parts
+
+    def ids_of(self, word: str) -> list[int]:
+        parts = self.merged(word) if len(word) <= SHORT else [word[i:j] for i, j in self.fold(len(word), self.lattice(word))]
         ids: list[int] = []
-        for i, j in self.fold(len(word), self.lattice(word)):
-            found = self.pieces.get(word[i:j])
-            ids += [found[0]] if found else [self.byte_ids[b] for b in word[i:j].encode()]
+        for p in parts:
+            found = self.pieces.get(p)
+            ids += [found[0]] if found else [self.byte_ids[b] for b in p.encode()]
+        return ids
+
+    def word_ids(self, key: str) -> bytes:
+        """Of a word that is kept without its mark; one that begins with a line feed has none."""
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        data = self.cache[word] = np.array(ids, "<u4").tobytes()
+        ids = self.ids_of("\n") + (self.ids_of(key[1:]) if len(key) > 1 else []) if key[0] == "\n" else self.ids_of(MARK + key)
+        data = self.cache[key] = np.array(ids, "<u4").tobytes()
         return data
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
+        words = text.replace("\n", " \n").split(" ")
+        if words[0][:1] == "\n" or "" in words or MARK in text:  # runs of blanks: the marks of a run belong together
+            return np.array([i for w in WORD.findall(MARK + text.replace(" ", MARK)) for i in self.ids_of(w)], "<u4")
         known = self.cache.get
-        return np.frombuffer(b"".join([known(w) or self.word_ids(w) for w in WORD.findall(MARK + text.replace(" ", MARK))]), "<u4")
+        return np.frombuffer(b"".join([known(w) or self.word_ids(w) for w in words]), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         said = self.said
