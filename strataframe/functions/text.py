@@ -93,6 +93,7 @@ SENSITIVE = [
     "authorization", "apikey", "apisecret", "accesstoken", "accesskey", "accesskeyid", "accesskeysecret",
     "secretaccesskey", "clientsecret", "credential", "password", "privatekey", "secret",
 ]
+#: Prefixes of headers that carry secrets.
 VENDOR_HEADERS = ["x-dashscope", "x-acs", "x-aliyun", "x-alibaba", "x-oss"]
 
 
