@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import read
+from strataframe.llm.shared import least_hashed, read
 
 SAMPLE, THRESHOLD, SHINGLE, SIMILAR, UNKNOWN = 4000, 0.5, 5, 0.8, "unknown"
 WORDS = re.compile(r"[^\W_]+")
@@ -151,7 +151,8 @@ def train(paragraphs: list[str], copies: int = 30, seed: int = 11, steps: int =
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The negatives: the first lines (400 characters of each) of at most ``sample`` / 4 documents."""
     some = (
-        docs.select(F.xxhash64(id_col).alias("order"), F.substring(F.col(text_col), 1, 2000).alias("text"))
+        least_hashed(docs, F.xxhash64(id_col), sample // 4)
+        .select(F.xxhash64(id_col).alias("order"), F.substring(F.col(text_col), 1, 2000).alias("text"))
         .where("text is not null")
         .orderBy("order", "text")
         .limit(sample // 4)

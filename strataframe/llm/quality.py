@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import read
+from strataframe.llm.shared import least_hashed, read
 
 WIDTH, FILTERS, HIDDEN, BLOCK, LAGS = 5, 8, 16, 128, range(3, 25)
 SAMPLE, TRAIN_CHARS, EPOCHS, RATE, BATCH, SCORE_BYTES, THRESHOLD = 3000, 8192, 8, 0.01, 32, 1 << 18, 0.3
@@ -163,8 +163,9 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """From ``sample`` labelled rows at most, those whose ids have the least hashes; this bounded table is broadcast."""
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     few = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        least_hashed(usable, F.xxhash64("doc_id"), sample)
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
         .select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"), F.xxhash64("doc_id").alias("__order"))
