@@ -820,7 +820,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(cw::
 SELECT c.event_id, CAST(r.cw AS BIGINT) AS width, CAST(r.ch AS BIGINT) AS height FROM c LEFT JOIN r ON r.event_id = c.event_id AND n = 1""",
 )
 def provider_canvas(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 3000").select("event_id", (40 + F.col("event_id") * 37 % 1900).cast("int").alias("w"), (30 + F.col("event_id") * 53 % 1500).cast("int").alias("h"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (40 + F.col("event_id") * 37 % 1900).cast("int").alias("w"), (30 + F.col("event_id") * 53 % 1500).cast("int").alias("h"))
     c = e.select("event_id", selection.provider_canvas(F.col("w"), F.col("h")).alias("c"))
     return c.select("event_id", F.col("c.width").cast("long").alias("width"), F.col("c.height").cast("long").alias("height"))
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import documents, geometry as g, text as t
 from strataframe.operators import graph, layout, ledger, planner, raster_udf, routing
+from strataframe.plans import catalogue
 from strataframe.sources import images, publish, recordings
 
 
@@ -217,3 +219,19 @@ def test_text_mask():
     solid = image.copy()
     solid[9:21, 10:50, :3] = 20
     assert raster_udf.text_mask(solid, 10, 9, 40, 12)[1] == "full_box"
+
+
+def _all_rows(name, cut, folder, tables):
+    """The rows of a query's SQL without the subset ``cut`` that it names."""
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    assert catalogue.SQL[name].count(cut) <= 1
+    return sorted(con.sql(catalogue.SQL[name].replace(cut, "")).fetchall())
+
+
+def test_provider_canvas_of_every_event(spark):
+    """sf0.01 has 10,000 events, more than the 3,000 that the SQL is limited to."""
+    want = _all_rows("provider_canvas", " WHERE event_id < 3000", "/root/testdata/sf0.01", ["events"])
+    got = sorted(map(tuple, catalogue.QUERIES["provider_canvas"](spark, "/root/testdata/sf0.01").collect()))
+    assert len(got) == 10_000 and got == want
