@@ -93,10 +93,19 @@ def removal_mask(asset: DataFrame, dx: int, dy: int, width: int, height: int, su
     return dilated(placed(on, dx, dy, width, height), radius, width, height, key)
 
 
+def _covered(start: str, size: str) -> Column:
+    return F.sequence(F.floor(start), F.ceil(F.col(start) + F.col(size)) - 1)
+
+
 def filled_rectangle(boxes: DataFrame, key: str = KEY) -> DataFrame:
     """Pixels of boxes (x, y, w, h)."""
-    b = boxes.select(key, F.explode(F.sequence(F.floor("x"), F.ceil(F.col("x") + F.col("w")) - 1)).alias("x"), F.col("y").alias("y0"), "h")
-    return b.select(key, "x", F.explode(F.sequence(F.floor("y0"), F.ceil(F.col("y0") + F.col("h")) - 1)).alias("y"), F.lit(255).alias("v"))
+    b = boxes.select(key, F.explode(_covered("x", "w")).alias("x"), "y", "h")
+    return b.select(key, "x", F.explode(_covered("y", "h")).alias("y"), F.lit(255).alias("v"))
+
+
+def filled_counts(boxes: DataFrame, *keys: str) -> DataFrame:
+    """How many pixels :func:`filled_rectangle` makes of each box, without making them."""
+    return boxes.select(*keys, (F.size(_covered("x", "w")).cast("long") * F.size(_covered("y", "h"))).alias("pixels"))
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, on: int = 128, key: str = KEY) -> DataFrame:

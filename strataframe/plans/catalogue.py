@@ -884,8 +884,7 @@ def unchanged_outside_mask(spark, d):
 
 @query("filled_rectangles", f"{PIXEL_NODES} SELECT slide_id, ord, w * h AS pixels FROM clipped WHERE slide_id < 200 AND ord < 6")
 def filled_rectangles(spark, d):
-    boxes = _clipped(spark, d).where("slide_id < 200 and ord < 6").withColumn("tile_id", F.struct("slide_id", "ord"))
-    return raster.filled_rectangle(boxes).groupBy("tile_id").agg(F.count(F.lit(1)).alias("pixels")).select("tile_id.slide_id", "tile_id.ord", "pixels")
+    return raster.filled_counts(_clipped(spark, d), "slide_id", "ord")
 
 
 @query("extraction_gate", f"{PX}, m AS (SELECT tile_id, count(*) FILTER (WHERE v < 128) / 64::DOUBLE AS t, count(*) FILTER (WHERE v >= 128 AND (x IN (0, 7) OR y IN (0, 7))) / 28::DOUBLE AS b FROM pixels GROUP BY tile_id) SELECT tile_id, CASE WHEN t < 0.05 THEN 'too_little_transparency' WHEN t > 0.92 THEN 'too_much_transparency' WHEN b > 0.02 THEN 'opaque_border' END AS reason FROM m")

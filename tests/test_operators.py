@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import documents, geometry as g, text as t
-from strataframe.operators import graph, layout, ledger, planner, raster_udf, routing
+from strataframe.operators import graph, layout, ledger, planner, raster, raster_udf, routing
 from strataframe.plans import catalogue
 from strataframe.sources import images, publish, recordings
 
@@ -235,3 +235,12 @@ def test_provider_canvas_of_every_event(spark):
     want = _all_rows("provider_canvas", " WHERE event_id < 3000", "/root/testdata/sf0.01", ["events"])
     got = sorted(map(tuple, catalogue.QUERIES["provider_canvas"](spark, "/root/testdata/sf0.01").collect()))
     assert len(got) == 10_000 and got == want
+
+
+def test_filled_rectangles_of_every_box(spark):
+    want = _all_rows("filled_rectangles", " WHERE slide_id < 200 AND ord < 6", "/root/testdata/sf0.001", ["lineitem"])
+    got = sorted(map(tuple, catalogue.QUERIES["filled_rectangles"](spark, "/root/testdata/sf0.001").collect()))
+    assert any(page >= 200 and place >= 6 for page, place, _ in got) and got == want
+    boxes = spark.createDataFrame([(1, 0, 0.5, 1.0, 2.0, 3.5), (1, 1, 4.0, 4.0, 1.0, 1.0)], "slide_id long, tile_id long, x double, y double, w double, h double")
+    made = {r.tile_id: r["count"] for r in raster.filled_rectangle(boxes).groupBy("tile_id").count().collect()}
+    assert made == {r.tile_id: r.pixels for r in raster.filled_counts(boxes, "tile_id").collect()} == {0: 12, 1: 1}
