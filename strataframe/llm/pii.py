@@ -50,16 +50,22 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+?\d{{1,3}}{_JUNK})?\(\d{{3}}\){_JUNK}\d{{3}}[\-. ]\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}.\-])(?:(?:\d{{1,3}}[ .\-])?\d{{3}}[\-.])?\d{{3}}-\d{{4}}(?![\d\-])|(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,5}}(?!\d)",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z\-]{10,})(?![\p{L}\p{N}])|(?<=(?i:token|secret|passwd|password|api.key|access.key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Za-z+/_\-]{8,}",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z\-]{10,})(?![\p{L}\p{N}])|(?<=[=:\s\"'])(?<=(?i:token|secret|passwd|password|api.key|access.key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Za-z+/_\-]{8,}",
     "name": rf"(?<!\p{{L}})(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What may hold an entity, found in one cheap pass that fails at once inside a word: an assignment to a secret's name, a run of words with
-#: digits or an at sign, a run of capitalised words. ENTITY looks at these spans only.
-SPAN = (
-    r"(?<!\S)(?:[^\s\p{L}]*+(?i:token|secret|passwd|password|api.key|access.key)[\"']?\s{0,3}[=:]\s{0,3}\S++"
-    r"|[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9]*+[0-9]\S*+)*+|[^\s\p{L}]*+\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)++\S*+)"
-)
+#: Cheap conditions that hold wherever an entity of the kind can begin; the engine tries the patterns only there.
+_OPENS = {
+    "email": r"(?=[\p{L}\p{N}._%+\-])",
+    "ip": r"(?=\d)",
+    "card": r"(?=\d)",
+    "iban": r"(?=[A-Z]{2}\d)",
+    "ssn": r"(?=\d)",
+    "phone": r"(?=[+(\d])",
+    "secret": r"(?=[0-9A-Za-z+/_\-])",
+    "name": r"(?=\p{Lu})",
+}
+#: All entities of a text. Each begins at a digit or where no letter is before it, so inside a word of letters nothing is tried.
+ENTITY = r"(?:(?<!\p{L})|(?=\d))(?:" + "|".join(f"{_OPENS[k]}(?:{p})" for k, p in PATTERNS.items()) + ")"
 
 
 def kind(e: Column) -> Column:
@@ -157,16 +163,15 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _kinds(span: Column) -> Column:
-    """(e, k, c) of each entity of a span: the mention, its kind and its canonical form, each worked out once."""
-    known = F.transform(_all(span, ENTITY), lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
+def _kinds(text: Column) -> Column:
+    """(e, k, c) of each entity of a text: the mention, its kind and its canonical form, each worked out once."""
+    known = F.transform(_all(text, ENTITY), lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
     return F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), canonical(x["e"], x["k"]).alias("c")))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, canon): each distinct entity of the corpus once."""
-    spans = docs.select(F.explode(_all(F.col(text_col), SPAN)).alias("span"))
-    return spans.select(F.explode(_kinds(F.col("span"))).alias("x")).select(F.col("x.k").alias("kind"), F.col("x.c").alias("canon")).distinct()
+    return docs.select(F.explode(_kinds(F.col(text_col))).alias("x")).select(F.col("x.k").alias("kind"), F.col("x.c").alias("canon")).distinct()
 
 
 def exceptions(known: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
@@ -191,9 +196,9 @@ def exceptions(known: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
 def rewritten(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their texts rewritten, and a column n_entities."""
     odd = stored(exceptions(entities(docs, text_col), key), "exceptions")
-    held = docs.withColumns({"__spans": _all(F.col(text_col), SPAN), "__parts": F.split(F.col(text_col), SPAN, -1)})
+    held = docs.withColumns({"__found": _kinds(F.col(text_col)), "__parts": F.split(F.col(text_col), ENTITY, -1)})
     if not odd.isEmpty():
-        own = docs.select(F.col(id_col).alias("__id"), F.explode(_all(F.col(text_col), SPAN)).alias("span")).select("__id", F.explode(_kinds(F.col("span"))).alias("x"))
+        own = docs.select(F.col(id_col).alias("__id"), F.explode(_kinds(F.col(text_col))).alias("x"))
         own = own.select("__id", F.col("x.k").alias("kind"), F.col("x.c").alias("canon"))
         of_doc = own.join(odd, ["kind", "canon"]).groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__attempts"))
         held = held.join(of_doc, docs[id_col].eqNullSafe(of_doc["__id"]), "left")
@@ -201,19 +206,12 @@ def rewritten(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     def attempt(x: Column) -> Column:
         return F.lit(0) if "__attempts" not in held.columns else F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws(":", x["k"], x["c"])), F.lit(0))
 
-    def changed(span: Column) -> Column:
-        """(text, n) of a span: its surrogates between the pieces around them."""
-        tried = F.transform(_kinds(span), lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), attempt(x).alias("a")))
-        seeded = F.transform(tried, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["a"].alias("a"), seed_of(x["k"], x["c"], x["a"], key).alias("s")))
-        made = F.transform(seeded, lambda x: surrogate(x["e"], x["k"], x["s"], x["a"]))
-        return F.struct(made.alias("made"), F.split(span, ENTITY, -1).alias("parts"))
-
-    def joined(parts: Column, made: Column) -> Column:
-        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(made, lambda m, i: F.concat(m, F.element_at(parts, i + 2))), ""))
-
-    held = held.withColumn("__made", F.transform("__spans", changed))
-    size = F.coalesce(F.aggregate("__made", F.lit(0), lambda n, x: n + F.size(x["made"])), F.lit(0))
-    text = F.when(size > 0, joined(F.col("__parts"), F.transform("__made", lambda x: joined(x["parts"], x["made"])))).otherwise(F.col(text_col))
+    tried = F.transform("__found", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), attempt(x).alias("a")))
+    seeded = F.transform(tried, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["a"].alias("a"), seed_of(x["k"], x["c"], x["a"], key).alias("s")))
+    held = held.withColumn("__made", F.transform(seeded, lambda x: surrogate(x["e"], x["k"], x["s"], x["a"])))
+    size = F.greatest(F.size("__made"), F.lit(0))
+    between = F.transform("__made", lambda m, i: F.concat(m, F.element_at(F.col("__parts"), i + 2)))
+    text = F.when(size > 0, F.concat(F.element_at("__parts", 1), F.array_join(between, ""))).otherwise(F.col(text_col))
     return held.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), size.cast("long").alias("n_entities"))
 
 

@@ -342,6 +342,30 @@ def test_pii_collisions_are_drawn_again(spark):
     assert len(made) == 200 and not made & {r.canon for r in rows}
 
 
+def test_pii_of_whole_texts(spark):
+    """What the patterns alone find anywhere in a text is found and rewritten."""
+    said = {
+        "GB82 WEST 1234 5698 7654 32": "pay GB82 WEST 1234 5698 7654 32 now",
+        "NL91 ABNA 0417 1643 00": "to NL91 ABNA 0417 1643 00.",
+        "s3cr3tvalue99": "client_secret: s3cr3tvalue99",
+        "wJalrXUtnFEMIbPxRf": "aws_secret_access_key = wJalrXUtnFEMIbPxRf",
+        "abcdefghijkl": '{"access_token": "abcdefghijkl"}',
+        "Maria Lopez": "(von Maria Lopez) 12x",
+        "10.1.2.3": "hostv10.1.2.3 up",
+        "gh" + "p_" + "a" * 24: "key gh" + "p_" + "a" * 24 + " ok",
+    }
+    rng = random.Random(4)
+    bits = [*said, *said.values(), "token", "api_key", " = ", ": ", '"', " ", "\n", "Anna", "4111111111111111", "a@b.example.com", "+1 555 123 4567", "x", "9", "é", "-", "."]
+    texts = [*said.values(), *("".join(rng.choice(bits) for _ in range(12)) for _ in range(300))]
+    docs = table(spark, list(enumerate(texts)))
+    plain = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
+    seen = docs.select("doc_id", pii._all(F.col("text"), plain).alias("want"), F.transform(pii._kinds(F.col("text")), lambda x: x["e"]).alias("got")).collect()
+    assert all(r.want == r.got for r in seen) and sum(len(r.want) for r in seen) > 500
+    out = {r.doc_id: r for r in pii.rewritten(docs).collect()}
+    for k, (entity, text) in enumerate(said.items()):
+        assert out[k].n_entities == 1 and entity not in out[k].text and len(out[k].text) == len(text) or entity == "Maria Lopez" and entity not in out[k].text, text
+
+
 # ---- 2 licences, 7 SentencePiece ----------------------------------------------------------------------------------------------
 
 
