@@ -62,8 +62,9 @@ class Tree:
         return int(np.maximum(q * self.low[node], q * self.high[node]).sum())
 
     def top(self, q: np.ndarray, own: int, k: int, least: int | None = None) -> list[tuple[int, int]]:
-        """At most k (score, id), best first, of those that reach ``least``; ties go to smaller ids."""
+        """At most k different (score, id), best first, of those that reach ``least``; ties go to smaller ids."""
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst is first
+        held: set[tuple[int, int]] = set()
         queue = [(-self.bound(q, 0), 0)]
         while queue:
             bound, node = heapq.heappop(queue)
@@ -82,10 +83,15 @@ class Tree:
             if floor is not None:
                 fit &= score >= floor
             for s, i in zip(score[fit].tolist(), self.ids[a:b][fit].tolist(), strict=True):
+                if (s, -i) in held:
+                    continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+                    held.discard(heapq.heapreplace(best, (s, -i)))
+                else:
+                    continue
+                held.add((s, -i))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
@@ -113,6 +119,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0))
         .where(~bad)
         .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+        .dropDuplicates(["vec_id", "v"])
         .withColumn("dim", F.size("v")),
         "vectors",
     )
@@ -120,7 +127,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     n, n_asked = usable.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_asked // QUERIES))
     dealt = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
-    queries = usable.where(asked).dropDuplicates(["vec_id", "v"]).withColumn("block", F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    queries = usable.where(asked).withColumn("block", F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     held = dealt.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
 
     def searched(asking: DataFrame) -> DataFrame:
@@ -130,7 +137,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         return held.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(lambda a, b: _search(a, b, k), schema)
 
     at_home = stored(searched(queries.select("dim", F.col("home").alias("shard"), "block", "vec_id", "v", F.lit(None).cast("long").alias("least"))), "home")
-    kth = _best(at_home, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    kth = _best(at_home.distinct(), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
     others = queries.join(kth, "vec_id", "left").select("dim", "block", "vec_id", "v", "least", "home", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard <> home")
     found = at_home.union(searched(others)).distinct()
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

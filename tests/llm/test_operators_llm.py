@@ -274,6 +274,24 @@ def test_top_k(spark, monkeypatch):
     assert kdtree.top_k(vec.where("false")).count() == 0
 
 
+def test_top_k_of_rows_repeated_more_than_k_times(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(0, 0.3, 4).round(2).tolist()) for k in range(300)]
+    top = [[2.0, 2.0, 2.0, 2.0], [-2.0, -2.0, -2.0, -2.0]]
+    copies = [(1000 + i, v) for i, v in enumerate(top) for _ in range(25)] + [(300, [0.5] * 4)] * 12
+    same = [(2000, [0.25, 0.5, 0.25 * j, 0.0]) for j in range(30)] + [(100, [1.0, 1.0, 0.0, 0.0])] * 2  # one id, one score for the second query
+    rows += copies + same
+    monkeypatch.setattr(kdtree, "SHARD", 40)
+    ok = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows]
+    want = []
+    for q in {i for i, _ in ok if i % 100 == 0}:
+        s = {(-sum(a * b for a, b in zip(v, w)), i) for v in {v for i, v in ok if i == q} for i, w in ok if i != q}
+        want += [(q, k + 1, i, -s_) for k, (s_, i) in enumerate(sorted(s)[:10])]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, kdtree.top_k(vec).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == sorted(want) and len(got) == 10 * len({q for q, *_ in got})
+
+
 # ---- 1 HTML -----------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><article>no";</script><style>p{}</style></head><body class="x1">
