@@ -62,7 +62,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1 and not any(s in text for s in self.special):
+        if text.split() == text.replace("\n", " ").split(" ") and not any(s in text for s in self.special):
             words, known = text.replace("\n", " \n").split(" "), self.cache.get
             first = np.array(self.ordinary(words[0]), "<u4").tobytes()
             return first + b"".join([known(w) or self.word(w) for w in words[1:]])

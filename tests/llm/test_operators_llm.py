@@ -178,6 +178,15 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(packing.encoder()(t), "<u4").tolist() == whole_ids(t), repr(t)
 
 
+def test_encoder_of_balanced_gaps():
+    """As many blanks and line feeds as gaps, but not one in each gap."""
+    rng = random.Random(16)
+    texts = ["a\tb\tc\n\n\nd", "x\ty z\tw\n\n", "a\u00a0b  c", " a\tb", "a\tb\n", "a\r\nb\tc\n\nd"]
+    texts += ["".join(rng.choice("ab \n\t\u00a0\u2003\x1c") for _ in range(12)) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(packing.encoder()(t), "<u4").tolist() == whole_ids(t), repr(t)
+
+
 def test_packing(spark, corpus):
     got = packing.pack(table(spark, corpus)).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
