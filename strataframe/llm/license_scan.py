@@ -1,6 +1,8 @@
 """Licence notices by a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines; their words are lower-cased runs of letters and digits, numbers replaced by one sign. A multinomial logistic
+Each line is scanned as a paragraph. Lines without a blank one between them are also joined: where the joined words hold a template that is
+wrapped over several lines, those words are scanned as one (rows of its unconfirmed lines of that family give way), and so are all joined
+lines, whose row is given if no other of them has its family. A row carries the number of its first line. The words are lower-cased runs of letters and digits, numbers replaced by one sign. A multinomial logistic
 regression over sparse word 1- to 3-grams tells the licence families and *unknown* apart. It is trained on the driver from the templates
 below, varied by rule, against ``SAMPLE`` paragraphs of the corpus at most (a documented bound; those of the documents whose ids have the
 least hashes) that share no five words with a template. Its temperature is fitted on a third of the material that was held out, so the
@@ -71,6 +73,11 @@ def shingles(ws: list[str]) -> set[str]:
 
 
 SHINGLES = {f: [(shingles(words(t)), min(SHINGLE, len(words(t)))) for t in ts] for f, ts in TEMPLATES.items()}
+ALL_SHINGLES = [x for own in SHINGLES.values() for x in own]
+SIZES = sorted({n for _, n in ALL_SHINGLES})
+#: The templates that hold a shingle, and the words that shingles begin with.
+HOLDERS = {g: [t for t, (of, _) in enumerate(ALL_SHINGLES) if g in of] for of, _ in ALL_SHINGLES for g in of}
+FIRST = frozenset(g.split(" ")[0] for g in HOLDERS)
 
 
 def similarity(ws: list[str], family: str) -> float:
@@ -161,19 +168,83 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return train([p[:400] for r in some for p in r["text"].split("\n")[:4]])
 
 
-def scan_text(model: Model, text: str) -> list[tuple[int, str, float, float, bool]]:
+def _row(model: Model, k: int, ws: list[str]) -> list[tuple[int, str, float, float, bool]]:
+    if model.single.isdisjoint(ws):
+        return []
+    prob = model.probabilities(ws)
+    best = int(prob.argmax())
+    if FAMILIES[best] == UNKNOWN or prob[best] < THRESHOLD:
+        return []
+    like = similarity(ws, FAMILIES[best])
+    return [(k, FAMILIES[best], float(prob[best]), like, like >= SIMILAR)]
+
+
+def notices(ws: list[str]) -> list[list[tuple[int, int]]]:
+    """Where the words hold ``SIMILAR`` of a template: spans to try for each place, the longest first, then the tightest."""
+    hits: dict[int, list[tuple[int, str]]] = {}
+    for k, w in enumerate(ws):
+        if w in FIRST:
+            for n in SIZES:
+                g = " ".join(ws[k : k + n])
+                for t in HOLDERS.get(g, ()):
+                    hits.setdefault(t, []).append((k, g))
     out = []
+    for t, at in hits.items():
+        of, n = ALL_SHINGLES[t]
+        need = next(m for m in range(1, len(of) + 1) if m / len(of) >= SIMILAR)
+        now: dict[str, int] = {}  # the latest different shingles, in order
+        tight = []
+        for i, (k, g) in enumerate(at):
+            if g in now:
+                now = {x: j for x, j in now.items() if j > now[g]}
+            now[g] = i
+            if len(now) >= need:
+                first = list(now.values())[-need]
+                tight.append((k - at[first][0], first, i))
+        used: set[int] = set()
+        for _, first, last in sorted(tight):
+            if used.isdisjoint(range(first, last + 1)):
+                a, b, have = first, last, {g for _, g in at[first : last + 1]}
+                while b + 1 < len(at) and b + 1 not in used and at[b + 1][1] not in have and at[b + 1][0] - at[b][0] <= 2 * n:
+                    b += 1
+                    have.add(at[b][1])
+                while a and a - 1 not in used and at[a - 1][1] not in have and at[a][0] - at[a - 1][0] <= 2 * n:
+                    a -= 1
+                    have.add(at[a][1])
+                used.update(range(a, b + 1))
+                out.append([(at[a][0], at[b][0] + n), (at[first][0], at[last][0] + n)])
+    return sorted(out, key=lambda spans: spans[0][0] - spans[0][1])
+
+
+def _paragraph(model: Model, lines: list[tuple[int, list[str]]]) -> list[tuple[int, str, float, float, bool]]:
+    """Rows of the lines of a paragraph, of templates wrapped over several of them, and of the whole."""
+    rows = [r for k, ws in lines for r in _row(model, k, ws)]
+    if len(lines) < 2:
+        return rows
+    every, line = [w for _, ws in lines for w in ws], [k for k, ws in lines for _ in ws]
+    taken: list[tuple[str, int, int]] = []
+    for spans in notices(every):
+        for a, b in spans:
+            found = [r for r in _row(model, line[a], every[a:b]) if r[4]] if line[a] < line[b - 1] else []
+            if found:
+                family = found[0][1]
+                if not any(f == family and a < d and c < b for f, c, d in taken):
+                    taken.append((family, a, b))
+                    rows = [r for r in rows if r[4] or r[1] != family or not line[a] <= r[0] <= line[b - 1]] + found
+                break
+    families = {r[1] for r in rows}
+    return sorted(rows + [r for r in _row(model, lines[0][0], every) if r[1] not in families])
+
+
+def scan_text(model: Model, text: str) -> list[tuple[int, str, float, float, bool]]:
+    out, own = [], []
     for k, p in enumerate(text.split("\n")):
-        low = p.lower()
-        ws = words(p)
-        if not low or model.single.isdisjoint(ws):
-            continue
-        prob = model.probabilities(ws)
-        best = int(prob.argmax())
-        if FAMILIES[best] != UNKNOWN and prob[best] >= THRESHOLD:
-            like = similarity(ws, FAMILIES[best])
-            out.append((k, FAMILIES[best], float(prob[best]), like, like >= SIMILAR))
-    return out
+        if p.strip():
+            own.append((k, words(p)))
+        elif own:
+            out += _paragraph(model, own)
+            own = []
+    return out + _paragraph(model, own)
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

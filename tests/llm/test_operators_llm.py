@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -409,6 +410,22 @@ def test_licences(spark):
     assert license_scan.scan(table(spark, []), license_scan.fit(table(spark, []))).count() == 0
 
 
+def test_wrapped_licences():
+    model = license_scan.train([f"{' '.join(words_of(12, k))}." for k in range(300)] + ["The work of the version is a free license to the city.", "mit dem Wort"])
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for width in (30, 72):
+                for lead in ("", "# "):
+                    lines = textwrap.wrap(t, width)
+                    text = "\n".join(["Some words", "", *(lead + x for x in lines), "", "more words"])
+                    hits = [(r[0], r[1]) for r in license_scan.scan_text(model, text) if r[4]]
+                    assert (2, family) in hits or len(lines) > 1 and hits and {f for _, f in hits} == {family}, (t, width, hits)
+    mit = textwrap.wrap(license_scan.TEMPLATES["mit"][3], 40)
+    noisy = words_of(20, 1)
+    text = "\n".join([" ".join(noisy[:9]), "to deal in the software " + noisy[3], *mit, " ".join(noisy[9:]), *mit])
+    assert [r[:2] for r in license_scan.scan_text(model, text) if r[4]] == [(2, "mit"), (3 + len(mit), "mit")]
+
+
 def test_sentencepiece(spark, corpus):
     c = sentencepiece_codec.codec()
     rng = random.Random(3)
