@@ -156,16 +156,17 @@ def train(paragraphs: list[str], copies: int = 30, seed: int = 11, steps: int =
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The negatives: the first lines (400 characters of each) of at most ``sample`` / 4 documents."""
+    """The negatives: at most ``sample`` lines and paragraphs, whole and from anywhere in at most ``sample`` / 4 documents, those with the least hashes."""
     some = (
         least_hashed(docs, F.xxhash64(id_col), sample // 4)
-        .select(F.xxhash64(id_col).alias("order"), F.substring(F.col(text_col), 1, 2000).alias("text"))
+        .select(F.xxhash64(id_col).alias("order"), F.col(text_col).alias("text"))
         .where("text is not null")
         .orderBy("order", "text")
         .limit(sample // 4)
-        .collect()
     )
-    return train([p[:400] for r in some for p in r["text"].split("\n")[:4]])
+    parts = some.select("order", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n\s*\n")))).alias("part")).where("part rlike '\\\\S'")
+    few = parts.orderBy(F.xxhash64("order", "part"), "order", "part").limit(sample).collect()
+    return train([r["part"] for r in few])
 
 
 def _row(model: Model, k: int, ws: list[str]) -> list[tuple[int, str, float, float, bool]]:

@@ -6,8 +6,8 @@ chunks of 256 bytes, one every 128, together with the chunk's self-similarity (t
 byte some places before, over ``LAGS``). A learned layer turns a chunk into ``HIDDEN`` features, the document takes the
 maximum of each over its chunks, and one logistic unit makes a probability of them.
 
-The network is trained on the driver from ``SAMPLE`` labelled documents at most, of each the first ``TRAIN_CHARS``
-characters (both are parameters; scoring reads whole texts). Documents whose crc32(id as text) is divisible by five are
+The network is trained on the driver from ``SAMPLE`` labelled documents at most, their whole texts. A document that no
+longer fits in ``TRAIN_BYTES`` is left out (scoring reads whole texts too). Documents whose crc32(id as text) is divisible by five are
 never among them. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null text is an empty one and is scored like any other (its pooled features are zero); several labels
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strataframe.llm.shared import least_hashed, read
 
 WIDTH, FILTERS, HIDDEN, BLOCK, LAGS = 5, 8, 16, 128, range(3, 25)
-SAMPLE, TRAIN_CHARS, EPOCHS, RATE, BATCH, SCORE_BYTES, THRESHOLD = 3000, 8192, 8, 0.01, 32, 1 << 18, 0.3
+SAMPLE, TRAIN_BYTES, EPOCHS, RATE, BATCH, SCORE_BYTES, THRESHOLD = 3000, 3000 * 8192, 8, 0.01, 32, 1 << 18, 0.3
 Model = dict[str, np.ndarray]
 
 
@@ -172,13 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         .orderBy("__order", "__id")
         .limit(sample)
     )
-    rows = (
-        docs.join(F.broadcast(few), docs[id_col] == few["__id"])
-        .select("__order", "__id", "__quality", F.substring(docs[text_col], 1, TRAIN_CHARS).alias("__text"))
-        .orderBy("__order", "__id", "__text")
-        .limit(sample)
-        .collect()
-    )
+    held = docs.join(F.broadcast(few), docs[id_col] == few["__id"]).select("__order", "__id", "__quality", docs[text_col].alias("__text"))
+    keyed = held.withColumns({"__hash": F.xxhash64("__text"), "__bytes": F.coalesce(F.octet_length("__text"), F.lit(0))})
+    order = ["__order", "__id", "__hash"]
+    sizes = keyed.select(*order, "__bytes").orderBy(*order).limit(sample).collect()
+    # Whole rows in the order of their hashes, without those that no longer fit.
+    chosen, left = [], TRAIN_BYTES
+    for r in sizes:
+        if r["__bytes"] <= left:
+            left -= r["__bytes"]
+            chosen.append((r["__id"], r["__hash"]))
+    if not chosen:
+        return train([], [])
+    keys = docs.sparkSession.createDataFrame(sorted(set(chosen)), "__id long, __hash long")
+    rows = keyed.join(F.broadcast(keys), ["__id", "__hash"]).orderBy(*order).limit(len(chosen)).collect()
     return train([r["__text"] for r in rows], [int(r["__quality"] == 1) for r in rows])
 
 

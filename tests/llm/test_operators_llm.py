@@ -257,6 +257,24 @@ def test_quality_cases(spark, corpus):
     assert quality.without_rejected(docs, labels).columns == docs.columns
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    long = "good words here " * 1000 + "### the end"
+    rows = [(i, long if i == 2 else f"text {i}") for i in range(1, 12)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append(texts))
+    quality.fit(table(spark, rows), labels)
+    used = {t for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    assert long in used and set(seen[0]) == used
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1000)  # drops a row, cuts none
+    quality.fit(table(spark, rows), labels)
+    assert set(seen[1]) == used - {long}
+    monkeypatch.setattr(license_scan, "train", lambda paragraphs: seen.append(paragraphs))
+    lines = ["first " * 500, "second", "", "third", "fourth", "fifth of many " * 100]
+    license_scan.fit(table(spark, [(1, "\n".join(lines))]))
+    assert set(seen[2]) == {*lines, "\n".join(lines[:2]), "\n".join(lines[3:])} - {""}
+
+
 def test_quality_gradient_lowers_the_loss():
     texts = ["the cat sat on a mat " * 20, "### %%% $$$ " * 20, "NA NA NA NA NA NA " * 20] * 10
     labels = [1, 0, 0] * 10
