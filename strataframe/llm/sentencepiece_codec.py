@@ -1,13 +1,13 @@
-"""SentencePiece encoding and decoding of whole texts over a lattice of pieces.
+"""SentencePiece encoding and decoding of whole texts by byte-pair merging in Arrow batches.
 
-A text becomes words: runs of the space mark with what follows them, cut also at line feeds, which no piece of the model crosses. Of each
-distinct word of a batch the substrings of bounded length are looked up in the piece table (an equi-join), which gives the word's lattice,
-its edges grouped by word; a fold over the lattice then picks the pieces.
+A text becomes words: runs of the space mark with what follows them, cut also at line feeds, which no piece of the model crosses. The model
+at hand is a byte-pair model with byte fallback: its encoder merges, again and again, the neighbouring pair whose joint piece has the best
+score (the leftmost of equals). Of words up to ``SHORT`` characters the pairs are merged in a list; of longer ones a lattice of the
+substrings that are pieces is built first. Both are Python in Arrow batches.
 
-The model at hand is a byte-pair model with byte fallback: its encoder merges, again and again, the neighbouring pair whose joint piece has
-the best score (the leftmost of equals). The path with the best sum of scores (Viterbi) is a different segmentation, so the fold follows
-the merges; :func:`viterbi` gives the other for comparison. Why this runs in Arrow batches and not as joins of whole tables is in
-the README: the words of a text with their places would have to be shuffled.
+This replaces the relational method (exploded substrings, an equi-join to the piece table, edges grouped by word, a Viterbi fold in SQL), of
+which nothing runs here and no form was measured. The path with the best sum of scores (Viterbi) is a different segmentation, so the ids
+follow the merges; :func:`viterbi` gives the other for comparison.
 
 Defined cases: a null or empty text has no ids; a character without a piece becomes its UTF-8 bytes' pieces; rows that repeat an id are
 encoded each; decoding gives the text back (a literal space mark comes back as a space).
