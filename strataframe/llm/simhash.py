@@ -10,11 +10,13 @@ Copies fall together first (one row for each fingerprint). A bucket of two is co
 each fingerprint is filed under its *centres*, itself and itself with one of the bits that the table masks out:
 two fingerprints that share a centre differ in two bits at most, and any two of a bucket within two bits share one.
 A centre has at most 65 fingerprints around it, so they are linked to the least of them and no bucket, however
-large, is expanded into pairs. Components then come from :mod:`components`.
+large, is expanded into pairs. Components then come from :mod:`components`. Keys have 36 or 37 bits, so with some 10^11 different
+fingerprints nearly every bucket is crowded, and a fingerprint then costs up to 7 times about 30 short rows: linear, but a large factor.
 
 Defined cases: a null text counts as empty; no words give fingerprint zero, which links like any other; fewer than
 three words are one shingle; a row that repeats an id is one more document with that id; the id of a component is
-the least id in it (nulls are never the least unless alone); an empty table gives an empty result.
+the least id in it (nulls are never the least unless alone); :func:`one_of_each_group` keeps one row of a component, of rows
+with its least id one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm.components import components
-from strataframe.llm.shared import read, stored
+from strataframe.llm.shared import each_salt, read, removed, row_key, salt, salts, stored, survivors
 
 WIDTH, SEED, BLOCK, RADIUS = 3, 42, 1 << 15, 2
 
@@ -59,15 +61,16 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(own: DataFrame) -> DataFrame:
+    """The columns of ``own`` with fp, the fingerprint as a signed long, in place of text."""
+    rest = [c for c in own.columns if c != "text"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([signed(fingerprint(t.as_py())) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+            fp = pa.array([signed(fingerprint(t.as_py())) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), fp], [*rest, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    return own.mapInArrow(rows, ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in rest) + ", fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -86,22 +89,32 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(spokes).distinct()
 
 
+def _grouped(rows: DataFrame, *tie: str) -> DataFrame:
+    """``rows`` (doc_id, fp, tie) with best, the least (null?, doc_id, tie) of their component, and n, its rows."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *tie)
+    fps = rows.groupBy("fp").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("own_n"), salts("doc_id", *tie).alias("salts"))
+    edges = stored(links(fps.select("fp")), "links")
+    roots = components(edges)
+    joined = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", "own_n", "salts", F.coalesce("root", "fp").alias("root")), "roots")
+    removed(edges)
+    # Components of one fingerprint are known already; a large one is dealt by salts of its fingerprints.
+    least = joined.groupBy("root").agg(F.min("own").alias("best"), F.sum("own_n").alias("n"), F.count(F.lit(1)).alias("fps"), salts("fp").alias("fp_salts")).where("fps > 1")
+    least = each_salt(least.select("root", "best", "n", "fp_salts"), "fp_salts")
+    known = joined.withColumn("salt", salt("fp")).join(least, ["root", "salt"], "left").select("fp", F.coalesce("best", "own").alias("best"), F.coalesce("n", "own_n").alias("n"), "salts")
+    return rows.withColumn("salt", salt("doc_id", *tie)).join(each_salt(known), ["fp", "salt"]).drop("salt")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least id of the component): one row for each row of ``docs``."""
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps.select("fp")))
-    joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = stored(joined, "roots")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = stored(joined.join(least, "root").select("fp", "component_id"), "known")
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = stored(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
+    return _grouped(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, with all their columns."""
-    firsts = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first_id"))
-    return docs.join(firsts.distinct(), docs[id_col].eqNullSafe(F.col("__first_id")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one of each component, that with the least id (of those, the least row key)."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(docs).alias("__row"))
+    judged = _grouped(stored(fingerprints(own), "fingerprints"), "__row").where("n > 1")
+    return survivors(docs, judged.select("__row", (F.col("__row") == F.col("best.__row")).alias("__first")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,51 @@ def test_exact_groups(spark, corpus):
     assert {r.doc_id for r in kept.collect()} >= {12, 13, 28} and not {10, 11} & {r.doc_id for r in kept.collect()}
 
 
+def test_survivors_are_rows_not_ids(spark):
+    """Repeated and null ids, equal rows, the least long: one row of each group stays, and no other row goes."""
+    a, b, c = (" ".join(words_of(40, 70 + k)) for k in range(3))
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (3, c), (7, "same row"), (7, "same row"), (-(2**63), "x y"), (5, "xy "), (2**63 - 1, "x  y")]
+    docs = table(spark, rows)
+    got = exact_dedup.exact_groups(docs).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == sorted(
+        [("1", "1", 2), ("2", "1", 2), ("1", "1", 2), ("None", "1", 2), ("None", "3", 3), ("None", "3", 3), ("3", "3", 3), ("7", "7", 2), ("7", "7", 2)] + [(i, str(2**63 - 1), 3) for i in (str(-(2**63)), "5", str(2**63 - 1))]
+    )
+    kept = exact_dedup.without_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b), (3, c), (7, "same row"), (2**63 - 1, "x  y")])
+    near = simhash.one_of_each_group(table(spark, [*rows[:9], (9, "same row"), (None, "quite alone"), (None, "quite alone")]))
+    assert sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted([("1", a), ("1", b), ("3", c), ("7", "same row"), ("None", "quite alone")])
+
+
+def test_exact_dedup_moves_all_texts_when_hashes_are_many(spark, corpus, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_groups(table(spark, corpus)).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared.few, "__defaults__", (0,))
+    assert sorted(map(str, exact_dedup.exact_groups(table(spark, corpus)).collect())) == want
+    assert sorted(str(r.doc_id) for r in exact_dedup.without_copies(table(spark, corpus)).collect()) == sorted(str(r) for r in [12, 13, 14, 15, 16, 17, 22, 23, 24, 25, 26, 27, 28])
+
+
+def test_least_hashed_counts_keys_not_rows(spark):
+    for ids in ([2, 3], [1, 2, 3], range(40_000)):
+        df = spark.range(40_000).select(F.element_at(F.array(*map(F.lit, ids)), (F.col("id") % len(ids) + 1).cast("int")).alias("k")) if len(ids) < 9 else spark.range(40_000).select(F.col("id").alias("k"))
+        n = shared.least_hashed(df, F.xxhash64("k"), 2000).select("k").distinct().count()
+        assert n == len(ids) if len(ids) < 9 else 3400 < n < 4600
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        shared.scratch_dir(Session())
+
+
 def test_exact_groups_of_nothing(spark):
     assert exact_dedup.exact_groups(table(spark, [])).count() == 0
 
