@@ -19,4 +19,5 @@ QUERIES = {
 SQL = {
     "op9_kdtree": kdtree.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }

@@ -9,14 +9,19 @@ also starts in a document with a smaller id goes.
    the least hash of the 8-word shingles in it, equal windows have equal signatures, and neighbouring windows mostly
    share theirs, so a probe row is a *run* of consecutive windows with one signature (about a tenth of the windows).
    A run that holds a block start is also the index entry of that block. A signature that some block has and that at
-   least two documents have is a hit, for all its runs.
-2. *Extend.* A hit stands for the 50-word windows around its run, on both sides. Their 128-bit hashes are compared,
-   the least document id of each hash is found, and the windows that have a smaller one are merged into the maximal
-   repeats that are cut out.
+   least two documents have is a hit, for all its runs. Signatures only propose: equal ones need not be equal words.
+2. *Extend.* A hit stands for the 50-word windows around its run, on both sides. Each such window is known by a
+   BLAKE2b digest of its words' bytes (128 bits; no two different texts with one digest are known, nor can they be made
+   at will as with polynomial hashes), the least document id of each digest is found, and the windows that have a
+   smaller one are merged into the maximal repeats that are cut out.
 
-Hot passages: within a batch of about 2 MB of text only the least document of a signature or a window hash goes on to the
-shuffle, for the others are already decided (they have a smaller partner in the batch). So a passage that a third of all
-documents hold is a row for each batch, not for each document, and no pair of documents is ever made.
+Hot passages: within a batch of about 2 MB of text only the least document of a signature or a window goes on to the
+shuffle, for the others are already decided (they have a smaller partner in the batch). Each task also remembers up to
+``TOLD`` of the signatures and windows that several of its documents had, and doesn't send them again. So a passage that a third
+of all documents hold is about a row for each task, not for each document, and no pair of documents is ever made.
+
+Rows are dealt by id; if any id repeats, by id and a hash of the text, so that rows of one id are apart, each with its own windows.
+Null ids are dealt by the hash of their texts.
 
 Defined cases: a null or blank text has no words (``kept_sha256`` of the empty text); fewer than 50 words are never cut;
 rows that repeat an id are one document for the comparison ("smaller" is strict), each with its own result; a row with a
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.shared import read
 
-LENGTH, BLOCK, SHINGLE, BATCH_BYTES = 50, 25, 8, 2_000_000
+LENGTH, BLOCK, SHINGLE, BATCH_BYTES, TOLD = 50, 25, 8, 2_000_000, 1 << 18
 U = np.uint64
 
 
@@ -85,106 +90,159 @@ class Batch:
         return _mixed((self.prefix[k][j] - self.prefix[k][i]) * self.inverse[k][i])
 
 
-def _batches(records: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows with their words in place of the text (second column), in lists of about BATCH_BYTES of text."""
-    own, size = [], 0
+def _batches(records: Iterator[pa.RecordBatch], wanted: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]], list]]:
+    """(k, t, words, the column ``wanted``) of rows that can have windows, in batches of about BATCH_BYTES of text."""
+    ks, ts, words, more, size = [], [], [], [], 0
     for record in records:
-        for row in zip(*(c.to_pylist() for c in record.columns), strict=True):
-            words = (row[1] or "").encode().split()
-            own.append((row[0], words, *row[2:]))
-            size += len(row[1] or "") + 64
+        columns = [record.column(c).to_pylist() for c in ("k", "t", "doc_id", "text", *([wanted] if wanted else []))]
+        for k, t, doc_id, text, *other in zip(*columns, strict=True):
+            if doc_id is None or not text or wanted and not other[0]:
+                continue
+            own = text.encode().split()
+            if len(own) < LENGTH:
+                continue
+            ks.append(k)
+            ts.append(t)
+            words.append(own)
+            more += other
+            size += len(text) + 64
             if size >= BATCH_BYTES:
-                yield own
-                own, size = [], 0
-    if own:
-        yield own
+                yield np.array(ks, np.int64), np.array(ts, np.int64), words, more
+                ks, ts, words, more, size = [], [], [], [], 0
+    if ks:
+        yield np.array(ks, np.int64), np.array(ts, np.int64), words, more
+
+
+def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where a new one begins, and the number of each row's group."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new, np.cumsum(new) - 1
+
+
+class Told:
+    """Sorted keys that a task has already sent on, TOLD at most."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, U)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def add(self, keys: np.ndarray) -> None:
+        if len(keys) and len(self.keys) + len(keys) <= TOLD:
+            self.keys = np.union1d(self.keys, keys)
 
 
 def _runs(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, doc_id, first, n, block, many, sure): runs of rolling windows; sure: decided in the batch, wherever the row goes."""
-    for rows in _batches(records):
-        rows = [r for r in rows if r[0] is not None and len(r[1]) >= LENGTH]
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        b = Batch([r[1] for r in rows], (1,))
-        shingle = b.hashes(np.arange(len(b.doc)), SHINGLE)
-        least, width = shingle, 1
+    """(sig, k, t, first, n, block, many, sure): runs of rolling windows; sure: a hit that the batch or the task has decided."""
+    with_block, without = Told(), Told()
+    for ids, ts, words, _ in _batches(records):
+        b = Batch(words, (1,))
+        least, width = b.hashes(np.arange(len(b.doc)), SHINGLE), 1
         for step in (1, 2, 4, 8, 2):  # 18 shingles to a window: 1 + 1 + 2 + 4 + 8 + 2
             least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
             width += step
         assert width == BLOCK - SHINGLE + 1
         ok = np.flatnonzero(b.left[: len(least)] >= BLOCK)
         sig, doc, at = least[ok], b.doc[ok], b.at[ok]
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
-        head = np.flatnonzero(new)
+        head = np.flatnonzero(_group(sig, doc)[0])
         n = np.diff(np.append(head, len(sig)))
         sig, doc, at = sig[head], doc[head], at[head]
         block = (at + n - 1) // BLOCK * BLOCK >= at
         order = np.lexsort((at, ids[doc], sig))
         sig, doc, at, n, block = sig[order], doc[order], at[order], n[order], block[order]
-        group = np.concatenate(([True], sig[1:] != sig[:-1]))
-        g = np.cumsum(group) - 1
+        new, g = _group(sig)
+        starts = np.flatnonzero(new)
         of = ids[doc]
-        low, high, any_block = of[group][g], np.maximum.reduceat(of, np.flatnonzero(group))[g], np.maximum.reduceat(block.astype(np.int8), np.flatnonzero(group))[g] > 0
-        many = low != high
-        send = ~many | group
-        keep = np.flatnonzero(send)
-        sure = np.flatnonzero(many)  # sent as decided runs, to any task
-        for idx, decided in ((keep, False), (sure, True)):
+        several = of[new] != np.maximum.reduceat(of, starts)
+        blocks = np.maximum.reduceat(block.astype(np.int8), starts) > 0
+        told = with_block.has(sig[new])
+        known = told | ~blocks & without.has(sig[new])  # another batch of this task has said as much
+        decided = (several | known)[g]
+        say = np.flatnonzero(~decided | new & ~known[g])  # the first row of a new group of several speaks for all
+        sure = np.flatnonzero(decided)
+        with_block.add(sig[new][several & blocks & ~told])
+        without.add(sig[new][several & ~blocks & ~known])
+        for idx, settled in ((say, False), (sure[np.lexsort((at[sure], doc[sure]))], True)):
             if len(idx):
-                key = sig[idx].view(np.int64) if not decided else _mixed(sig[idx] ^ _mixed(of[idx].view(U) + at[idx].astype(U))).view(np.int64)
+                key = _mixed(of[idx].view(U) ^ ts[doc[idx]].view(U)) if settled else sig[idx]  # what is settled may go to any task
+                no = np.zeros(len(idx), bool)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(of[idx]), pa.array(at[idx].astype(np.int32)), pa.array(n[idx].astype(np.int32)), pa.array(any_block[idx] if not decided else np.zeros(len(idx), bool)), pa.array(many[idx] if not decided else np.zeros(len(idx), bool)), pa.array(np.full(len(idx), decided))],
-                    ["sig", "doc_id", "first", "n", "block", "many", "sure"],
+                    [pa.array(key.view(np.int64)), pa.array(of[idx]), pa.array(ts[doc[idx]]), pa.array(at[idx].astype(np.int32)), pa.array(n[idx].astype(np.int32)), pa.array(no if settled else blocks[g[idx]]), pa.array(no if settled else several[g[idx]]), pa.array(no | settled)],
+                    ["sig", "k", "t", "first", "n", "block", "many", "sure"],
                 )
 
 
+def _digests(words: list[list[bytes]], b: Batch, begin: np.ndarray) -> np.ndarray:
+    """Two numbers for each window of LENGTH words: the BLAKE2b digest of its words with one blank between them."""
+    line, digest = b" ".join([w for t in words for w in t]), hashlib.blake2b
+    i, j = b.start[begin].tolist(), (b.stop[begin + LENGTH - 1] - 1).tolist()
+    return np.frombuffer(b"".join([digest(line[x:y], digest_size=16).digest() for x, y in zip(i, j, strict=True)]), U).reshape(-1, 2)
+
+
 def _windows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc_id, first, sure): the 50-word windows around hits; a window with a smaller partner in the batch is sure."""
-    for rows in _batches(records):
-        rows = [r for r in rows if r[2] and len(r[1]) >= LENGTH]
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        b = Batch([r[1] for r in rows], (1, 2))
+    """(h1, h2, k, t, first, n, sure): the 50-word windows around hits; sure: n of them in a row that have a smaller partner in the batch or the task."""
+    told: dict[bytes, int] = {}
+    for ids, ts, words, runs in _batches(records, "runs"):
+        b = Batch(words, ())
         here = np.zeros(len(b.doc) + 1, np.int64)
-        for k, r in enumerate(rows):
-            last = len(r[1]) - LENGTH
-            begin = np.array([x["first"] for x in r[2]], np.int64)
-            end = np.minimum(begin + np.array([x["n"] for x in r[2]], np.int64) - 1, last)
+        for d, (own, hits) in enumerate(zip(words, runs, strict=True)):
+            begin = np.array([x["first"] for x in hits], np.int64)
+            end = np.minimum(begin + np.array([x["n"] for x in hits], np.int64) - 1, len(own) - LENGTH)
             begin = np.maximum(begin - (LENGTH - BLOCK), 0)
             fit = begin <= end
-            np.add.at(here, begin[fit] + b.first[k], 1)
-            np.add.at(here, end[fit] + 1 + b.first[k], -1)
+            np.add.at(here, begin[fit] + b.first[d], 1)
+            np.add.at(here, end[fit] + 1 + b.first[d], -1)
         start = np.flatnonzero(np.cumsum(here[:-1]) > 0)
-        h1, h2, of, at = b.hashes(start, LENGTH, 0), b.hashes(start, LENGTH, 1), ids[b.doc[start]], b.at[start]
-        order = np.lexsort((at, of, h2, h1))
-        h1, h2, of, at = h1[order], h2[order], of[order], at[order]
-        if not len(order):
+        if not len(start):
             continue
-        group = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-        low = of[group][np.cumsum(group) - 1]
-        sure = low < of
-        h1 = np.where(sure, _mixed(of.view(U) ^ _mixed(at.astype(U))), h1)  # decided rows may go to any task
-        keep = sure | (low == of)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(of[keep]), pa.array(at[keep].astype(np.int32)), pa.array(sure[keep])], ["h1", "h2", "doc_id", "first", "sure"]
-        )
+        h = _digests(words, b, start)
+        of = ids[b.doc[start]]
+        order = np.lexsort((start, of, h[:, 1], h[:, 0]))
+        start, h, of = start[order], h[order], of[order]
+        new, g = _group(h[:, 0], h[:, 1])
+        heads = np.flatnonzero(new)
+        low = of[heads]
+        several = np.flatnonzero(low != np.maximum.reduceat(of, heads))
+        if told:
+            keys = [x.tobytes() for x in h[heads]]
+            low = np.minimum(low, np.array([told.get(x, 2**63 - 1) for x in keys], np.int64))
+        for x in several.tolist() if len(told) + len(several) <= TOLD else ():
+            told[h[heads[x]].tobytes()] = int(low[x])
+        sure = of > low[g]
+        # Decided windows go on as runs, in page order like the others.
+        for settled in (True, False):
+            pick = np.flatnonzero(sure == settled)
+            pick = pick[np.argsort(start[pick])]
+            s = start[pick]
+            if settled and len(s):
+                head = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1] + 1) | (b.doc[s[1:]] != b.doc[s[:-1]]))))
+                n, pick, s = np.diff(np.append(head, len(s))), pick[head], s[head]
+            else:
+                n = np.ones(len(s), np.int64)
+            if len(s):
+                d = b.doc[s]
+                h1 = _mixed(of[pick].view(U) ^ ts[d].view(U)) if settled else h[pick, 0]
+                h2 = np.zeros(len(s), np.int64) if settled else h[pick, 1].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1.view(np.int64)), pa.array(h2), pa.array(of[pick]), pa.array(ts[d]), pa.array(b.at[s].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(s), settled))], ["h1", "h2", "k", "t", "first", "n", "sure"]
+                )
 
 
 def _cut(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for record in records:
         out = []
-        for doc_id, text, starts in zip(*(c.to_pylist() for c in record.columns), strict=True):
+        for doc_id, text, starts in zip(*(record.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
             words = (text or "").encode().split()
             n, gone = len(words), 0
-            if starts:
+            if starts and doc_id is not None:
                 here = np.zeros(n + 1, np.int64)
-                first = np.array(starts, np.int64)
-                first = first[first + LENGTH <= n]
+                first = np.array([x["first"] for x in starts], np.int64)
                 np.add.at(here, first, 1)
-                np.add.at(here, first + LENGTH, -1)
+                np.add.at(here, first + np.array([x["n"] for x in starts], np.int64) + LENGTH - 1, -1)
                 keep = np.cumsum(here[:-1]) == 0
                 words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone = n - len(words)
@@ -199,32 +257,49 @@ def _cut_digest(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): of each document with repeats, the first words of the windows that a smaller id has too.
+    """(k, t, starts): of each row with repeats, the runs (first, n) of first words of the windows that a smaller id has too.
 
-    ``docs`` has doc_id long and text string, dealt by doc_id; the exchange is read once for both uses.
+    ``docs`` has k, t, doc_id and text, dealt by (k, t); the exchange is read once for all its uses.
     """
-    runs = docs.mapInArrow(_runs, "sig long, doc_id long, first int, n int, block boolean, many boolean, sure boolean")
+    runs = docs.mapInArrow(_runs, "sig long, k long, t long, first int, n int, block boolean, many boolean, sure boolean")
     same = Window.partitionBy("sig")
     hits = (
-        runs.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "blocks": F.max("block").over(same), "two": F.max("many").over(same)})
+        runs.withColumns({"low": F.min("k").over(same), "high": F.max("k").over(same), "blocks": F.max("block").over(same), "two": F.max("many").over(same)})
         .where("sure or (blocks and (two or low <> high))")
-        .groupBy("doc_id")
+        .groupBy("k", "t")
         .agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     )
     # A left join, so that no filter sets this use of the exchange apart; texts without hits don't go to Python.
-    near = docs.join(hits, "doc_id", "left").select("doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
-    windows = near.mapInArrow(_windows, "h1 long, h2 long, doc_id long, first int, sure boolean")
+    near = docs.join(hits, ["k", "t"], "left").select("k", "t", "doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
+    windows = near.mapInArrow(_windows, "h1 long, h2 long, k long, t long, first int, n int, sure boolean")
     same = Window.partitionBy("h1", "h2")
-    return windows.withColumn("low", F.min("doc_id").over(same)).where("sure or low < doc_id").groupBy("doc_id").agg(F.collect_list("first").alias("starts"))
+    return windows.withColumn("low", F.min("k").over(same)).where("sure or low < k").groupBy("k", "t").agg(F.collect_list(F.struct("first", "n")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text: one row for each row of ``docs``."""
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    joined = dealt.join(repeats(dealt), "doc_id", "left").select("doc_id", "text", "starts")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # The rows of one id are told apart by their texts, but only if some id has several rows: for most tables that is nothing to send.
+    alone = own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
+    text_key = F.xxhash64(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = own.select(F.coalesce("doc_id", text_key).alias("k"), (F.lit(0).cast("long") if alone else text_key).alias("t"), "doc_id", "text")
+    dealt = keyed.repartition("k", "t")
+    joined = dealt.join(repeats(dealt), ["k", "t"], "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return joined.mapInArrow(_cut, schema + ", kept_text string") if texts else joined.mapInArrow(_cut_digest, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read(spark, sf_dir, "documents"), texts=False)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+a AS MATERIALIZED (SELECT r, doc_id, unnest(range(1, len(ws) - 48)) AS k, ws FROM d WHERE doc_id IS NOT NULL AND len(ws) >= 50),
+s AS MATERIALIZED (SELECT r, doc_id, k, array_to_string(ws[k : k + 49], ' ') AS win FROM a),
+m AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT r, unnest(range(k, k + 50)) AS i FROM s JOIN m USING (win) WHERE least < doc_id),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT w.r, string_agg(w.word, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS kept, count(g.i) AS n_removed FROM w LEFT JOIN g ON w.r = g.r AND w.i = g.i GROUP BY w.r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""

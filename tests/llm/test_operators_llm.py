@@ -209,6 +209,21 @@ def test_repeats_random(spark):
     assert substring_dedup.without_repeats(table(spark, [])).count() == 0
 
 
+def test_repeats_of_colliding_words_and_repeated_ids(spark, monkeypatch):
+    """A word and its complement that polynomial hashes modulo 2**64 can't tell apart; ids with several texts, and null ids."""
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    rest = words_of(49, 31, 900)
+    p, q = words_of(70, 32, 900), words_of(64, 33, 900)
+    rows = [(1, " ".join([thue, *rest])), (2, " ".join([thue.translate({97: 98, 98: 97}), *rest])), (3, " ".join([thue, *rest, "more"]))]
+    rows += [(5, " ".join(p)), (5, " ".join(q)), (5, " ".join(p + q)), (6, " ".join(["x"] * 9 + q)), (6, " ".join(q[:60])), (6, " ".join(["y"] * 80))]
+    rows += [(7, " ".join(["y"] * 55)), (None, " ".join(p)), (None, " ".join(p)), (None, None)] + [(k, " ".join(words_of(20, k) + p)) for k in range(10, 40)]
+    for batch, told in ((2_000_000, 1 << 18), (900, 1 << 18), (900, 0)):
+        monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch)
+        monkeypatch.setattr(substring_dedup, "TOLD", told)
+        got = substring_dedup.without_repeats(table(spark, rows, 2)).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_cut(rows)
+
+
 # ---- 4 packing --------------------------------------------------------------------------------------------------------------
 
 
