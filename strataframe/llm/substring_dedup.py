@@ -94,8 +94,9 @@ def _batches(records: Iterator[pa.RecordBatch], wanted: str | None = None) -> It
     """(k, t, words, the column ``wanted``) of rows that can have windows, in batches of about BATCH_BYTES of text."""
     ks, ts, words, more, size = [], [], [], [], 0
     for record in records:
-        columns = [record.column(c).to_pylist() for c in ("k", "t", "doc_id", "text", *([wanted] if wanted else []))]
-        for k, t, doc_id, text, *other in zip(*columns, strict=True):
+        columns = [record.column(c).to_pylist() for c in ("k", "doc_id", "text", *([wanted] if wanted else []))]
+        apart = record.column("t").to_pylist() if "t" in record.schema.names else [0] * record.num_rows
+        for t, k, doc_id, text, *other in zip(apart, *columns, strict=True):
             if doc_id is None or not text or wanted and not other[0]:
                 continue
             own = text.encode().split()
@@ -259,21 +260,22 @@ def _cut_digest(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(k, t, starts): of each row with repeats, the runs (first, n) of first words of the windows that a smaller id has too.
 
-    ``docs`` has k, t, doc_id and text, dealt by (k, t); the exchange is read once for all its uses.
+    ``docs`` has k, doc_id, text and, if ids repeat, t, dealt by k and t; the exchange is read once for all its uses.
     """
+    keys = [c for c in ("k", "t") if c in docs.columns]
     runs = docs.mapInArrow(_runs, "sig long, k long, t long, first int, n int, block boolean, many boolean, sure boolean")
     same = Window.partitionBy("sig")
     hits = (
         runs.withColumns({"low": F.min("k").over(same), "high": F.max("k").over(same), "blocks": F.max("block").over(same), "two": F.max("many").over(same)})
         .where("sure or (blocks and (two or low <> high))")
-        .groupBy("k", "t")
+        .groupBy(*keys)
         .agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     )
     # A left join, so that no filter sets this use of the exchange apart; texts without hits don't go to Python.
-    near = docs.join(hits, ["k", "t"], "left").select("k", "t", "doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
+    near = docs.join(hits, keys, "left").select(*keys, "doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
     windows = near.mapInArrow(_windows, "h1 long, h2 long, k long, t long, first int, n int, sure boolean")
     same = Window.partitionBy("h1", "h2")
-    return windows.withColumn("low", F.min("k").over(same)).where("sure or low < k").groupBy("k", "t").agg(F.collect_list(F.struct("first", "n")).alias("starts"))
+    return windows.withColumn("low", F.min("k").over(same)).where("sure or low < k").groupBy(*keys).agg(F.collect_list(F.struct("first", "n")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -282,9 +284,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The rows of one id are told apart by their texts, but only if some id has several rows: for most tables that is nothing to send.
     alone = own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
     text_key = F.xxhash64(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    keyed = own.select(F.coalesce("doc_id", text_key).alias("k"), (F.lit(0).cast("long") if alone else text_key).alias("t"), "doc_id", "text")
-    dealt = keyed.repartition("k", "t")
-    joined = dealt.join(repeats(dealt), ["k", "t"], "left").select("doc_id", "text", "starts")
+    keys = {"k": F.coalesce("doc_id", text_key)} | ({} if alone else {"t": text_key})
+    dealt = own.select(*(c.alias(k) for k, c in keys.items()), "doc_id", "text").repartition(*keys)
+    joined = dealt.join(repeats(dealt), list(keys), "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return joined.mapInArrow(_cut, schema + ", kept_text string") if texts else joined.mapInArrow(_cut_digest, schema)
 
