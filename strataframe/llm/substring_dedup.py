@@ -163,8 +163,10 @@ def _runs(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = with_block.has(sig[new])
         known = told | ~blocks & without.has(sig[new])  # another batch of this task has said as much
         decided = (several | known)[g]
-        say = np.flatnonzero(~decided | new & ~known[g])  # the first row of a new group of several speaks for all
-        sure = np.flatnonzero(decided)
+        first = _group(sig, of)[0]
+        # The first row of a new group of several speaks for all, and so does a document's first run with a signature for those that follow.
+        say = np.flatnonzero(~decided & first | new & ~known[g])
+        sure = np.flatnonzero(decided | ~first)
         with_block.add(sig[new][several & blocks & ~told])
         without.add(sig[new][several & ~blocks & ~known])
         for idx, settled in ((say, False), (sure[np.lexsort((at[sure], doc[sure]))], True)):
@@ -177,22 +179,31 @@ def _runs(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _digests(words: list[list[bytes]], b: Batch, begin: np.ndarray) -> np.ndarray:
-    """Two numbers for each window of LENGTH words: the BLAKE2b digest of its words with one blank between them."""
+def _digests(words: list[list[bytes]], b: Batch, begin: np.ndarray) -> list[bytes]:
+    """For each window of LENGTH words the BLAKE2b digest of its words with one blank between them."""
     line, digest = b" ".join([w for t in words for w in t]), hashlib.blake2b
     i, j = b.start[begin].tolist(), (b.stop[begin + LENGTH - 1] - 1).tolist()
-    return np.frombuffer(b"".join([digest(line[x:y], digest_size=16).digest() for x, y in zip(i, j, strict=True)]), U).reshape(-1, 2)
+    return [digest(line[x:y], digest_size=16).digest() for x, y in zip(i, j, strict=True)]
+
+
+def _spans(packed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """first and n of runs packed as first * 2**32 + n."""
+    x = np.array(packed, np.int64)
+    return x >> 32, x & 0xFFFFFFFF
 
 
 def _windows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, k, t, first, n, sure): the 50-word windows around hits; sure: n of them in a row that have a smaller partner in the batch or the task."""
+    """(h1, h2, k, t, first, n, more, sure): the 50-word windows around hits, each of a document once, with its other places in ``more``.
+
+    sure: n windows in a row that have a smaller partner in the batch or the task.
+    """
     told: dict[bytes, int] = {}
     for ids, ts, words, runs in _batches(records, "runs"):
         b = Batch(words, ())
         here = np.zeros(len(b.doc) + 1, np.int64)
         for d, (own, hits) in enumerate(zip(words, runs, strict=True)):
-            begin = np.array([x["first"] for x in hits], np.int64)
-            end = np.minimum(begin + np.array([x["n"] for x in hits], np.int64) - 1, len(own) - LENGTH)
+            begin, n = _spans(hits)
+            end = np.minimum(begin + n - 1, len(own) - LENGTH)
             begin = np.maximum(begin - (LENGTH - BLOCK), 0)
             fit = begin <= end
             np.add.at(here, begin[fit] + b.first[d], 1)
@@ -200,50 +211,57 @@ def _windows(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.cumsum(here[:-1]) > 0)
         if not len(start):
             continue
-        h = _digests(words, b, start)
-        of = ids[b.doc[start]]
-        order = np.lexsort((start, of, h[:, 1], h[:, 0]))
-        start, h, of = start[order], h[order], of[order]
+        raw = _digests(words, b, start)
+        h = np.frombuffer(b"".join(raw), U).reshape(-1, 2)
+        order = np.lexsort((start, b.doc[start], ids[b.doc[start]], h[:, 1], h[:, 0]))
+        s, h = start[order], h[order]
+        d = b.doc[s]
+        of = ids[d]
         new, g = _group(h[:, 0], h[:, 1])
         heads = np.flatnonzero(new)
         low = of[heads]
         several = np.flatnonzero(low != np.maximum.reduceat(of, heads))
         if told:
-            keys = [x.tobytes() for x in h[heads]]
-            low = np.minimum(low, np.array([told.get(x, 2**63 - 1) for x in keys], np.int64))
+            low = np.minimum(low, np.array([told.get(raw[x], 2**63 - 1) for x in order[heads].tolist()], np.int64))
         for x in several.tolist() if len(told) + len(several) <= TOLD else ():
-            told[h[heads[x]].tobytes()] = int(low[x])
+            told[raw[order[heads[x]]]] = int(low[x])
         sure = of > low[g]
-        # Decided windows go on as runs, in page order like the others.
-        for settled in (True, False):
-            pick = np.flatnonzero(sure == settled)
-            pick = pick[np.argsort(start[pick])]
-            s = start[pick]
-            if settled and len(s):
-                head = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1] + 1) | (b.doc[s[1:]] != b.doc[s[:-1]]))))
-                n, pick, s = np.diff(np.append(head, len(s))), pick[head], s[head]
-            else:
-                n = np.ones(len(s), np.int64)
-            if len(s):
-                d = b.doc[s]
-                h1 = _mixed(of[pick].view(U) ^ ts[d].view(U)) if settled else h[pick, 0]
-                h2 = np.zeros(len(s), np.int64) if settled else h[pick, 1].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2), pa.array(of[pick]), pa.array(ts[d]), pa.array(b.at[s].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(s), settled))], ["h1", "h2", "k", "t", "first", "n", "sure"]
-                )
+        # Decided windows go on as runs.
+        at = np.sort(s[sure])
+        if len(at):
+            head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (b.doc[at[1:]] != b.doc[at[:-1]]))))
+            n, at = np.diff(np.append(head, len(at))), at[head]
+            own = b.doc[at]
+            key = _mixed(ids[own].view(U) ^ ts[own].view(U))  # to any task
+            yield _window_rows(key, np.zeros(len(at), U), ids[own], ts[own], b.at[at], n, None, True)
+        # Of the others each is sent once for a document.
+        s, h, d, of = s[~sure], h[~sure], d[~sure], of[~sure]
+        if len(s):
+            first = _group(h[:, 0], h[:, 1], d)[0]
+            head, rest = np.flatnonzero(first), np.flatnonzero(~first)
+            many = np.diff(np.append(head, len(s))) - 1
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(b.at[s[rest]].astype(np.int32)), mask=pa.array(many == 0))
+            by_page = pa.array(np.argsort(s[head]))
+            yield _window_rows(h[head, 0], h[head, 1], of[head], ts[d[head]], b.at[s[head]], np.ones(len(head), np.int64), more, False).take(by_page)
+
+
+def _window_rows(h1: np.ndarray, h2: np.ndarray, k: np.ndarray, t: np.ndarray, first: np.ndarray, n: np.ndarray, more: pa.Array | None, sure: bool) -> pa.RecordBatch:
+    more = pa.nulls(len(k), pa.list_(pa.int32())) if more is None else more
+    columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(k), pa.array(t), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), more, pa.array(np.full(len(k), sure))]
+    return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "k", "t", "first", "n", "more", "sure"])
 
 
 def _cut(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for record in records:
         out = []
-        for doc_id, text, starts in zip(*(record.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
+        for doc_id, text, starts, more in zip(*(record.column(c).to_pylist() for c in ("doc_id", "text", "starts", "more")), strict=True):
             words = (text or "").encode().split()
             n, gone = len(words), 0
             if starts and doc_id is not None:
                 here = np.zeros(n + 1, np.int64)
-                first = np.array([x["first"] for x in starts], np.int64)
+                first, many = _spans(starts + [x << 32 | 1 for x in more])
                 np.add.at(here, first, 1)
-                np.add.at(here, first + np.array([x["n"] for x in starts], np.int64) + LENGTH - 1, -1)
+                np.add.at(here, first + many + LENGTH - 1, -1)
                 keep = np.cumsum(here[:-1]) == 0
                 words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone = n - len(words)
@@ -258,24 +276,25 @@ def _cut_digest(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(k, t, starts): of each row with repeats, the runs (first, n) of first words of the windows that a smaller id has too.
+    """(k, t, starts, more): of each row with repeats, the windows that a smaller id has too: runs of first words (packed) and single ones.
 
     ``docs`` has k, doc_id, text and, if ids repeat, t, dealt by k and t; the exchange is read once for all its uses.
     """
     keys = [c for c in ("k", "t") if c in docs.columns]
+    packed = F.col("first").cast("long") * (1 << 32) + F.col("n")
     runs = docs.mapInArrow(_runs, "sig long, k long, t long, first int, n int, block boolean, many boolean, sure boolean")
     same = Window.partitionBy("sig")
     hits = (
         runs.withColumns({"low": F.min("k").over(same), "high": F.max("k").over(same), "blocks": F.max("block").over(same), "two": F.max("many").over(same)})
         .where("sure or (blocks and (two or low <> high))")
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+        .agg(F.collect_list(packed).alias("runs"))
     )
     # A left join, so that no filter sets this use of the exchange apart; texts without hits don't go to Python.
     near = docs.join(hits, keys, "left").select(*keys, "doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
-    windows = near.mapInArrow(_windows, "h1 long, h2 long, k long, t long, first int, n int, sure boolean")
+    windows = near.mapInArrow(_windows, "h1 long, h2 long, k long, t long, first int, n int, more array<int>, sure boolean")
     same = Window.partitionBy("h1", "h2")
-    return windows.withColumn("low", F.min("k").over(same)).where("sure or low < k").groupBy(*keys).agg(F.collect_list(F.struct("first", "n")).alias("starts"))
+    return windows.withColumn("low", F.min("k").over(same)).where("sure or low < k").groupBy(*keys).agg(F.collect_list(packed).alias("starts"), F.flatten(F.collect_list("more")).alias("more"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -286,7 +305,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_key = F.xxhash64(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     keys = {"k": F.coalesce("doc_id", text_key)} | ({} if alone else {"t": text_key})
     dealt = own.select(*(c.alias(k) for k, c in keys.items()), "doc_id", "text").repartition(*keys)
-    joined = dealt.join(repeats(dealt), list(keys), "left").select("doc_id", "text", "starts")
+    joined = dealt.join(repeats(dealt), list(keys), "left").select("doc_id", "text", "starts", "more")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return joined.mapInArrow(_cut, schema + ", kept_text string") if texts else joined.mapInArrow(_cut_digest, schema)
 

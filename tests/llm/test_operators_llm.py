@@ -217,6 +217,8 @@ def test_repeats_of_colliding_words_and_repeated_ids(spark, monkeypatch):
     rows = [(1, " ".join([thue, *rest])), (2, " ".join([thue.translate({97: 98, 98: 97}), *rest])), (3, " ".join([thue, *rest, "more"]))]
     rows += [(5, " ".join(p)), (5, " ".join(q)), (5, " ".join(p + q)), (6, " ".join(["x"] * 9 + q)), (6, " ".join(q[:60])), (6, " ".join(["y"] * 80))]
     rows += [(7, " ".join(["y"] * 55)), (None, " ".join(p)), (None, " ".join(p)), (None, None)] + [(k, " ".join(words_of(20, k) + p)) for k in range(10, 40)]
+    loop = words_of(7, 35, 900) * 40
+    rows += [(50, " ".join(loop)), (50, " ".join(loop + p)), (51, " ".join(loop[3:])), (49, " ".join(loop[:60]))]
     for batch, told in ((2_000_000, 1 << 18), (900, 1 << 18), (900, 0)):
         monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch)
         monkeypatch.setattr(substring_dedup, "TOLD", told)
