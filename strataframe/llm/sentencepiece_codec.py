@@ -1,39 +1,76 @@
-"""SentencePiece encoding and decoding of whole texts by byte-pair merging in Arrow batches.
+"""SentencePiece encoding and decoding as a relational lattice.
 
-A text becomes words: runs of the space mark with what follows them, cut also at line feeds, which no piece of the model crosses. The model
-at hand is a byte-pair model with byte fallback: its encoder merges, again and again, the neighbouring pair whose joint piece has the best
-score (the leftmost of equals). Of words up to ``SHORT`` characters the pairs are merged in a list; of longer ones a lattice of the
-substrings that are pieces is built first. Both are Python in Arrow batches.
+A text becomes words that no piece of the model crosses: marks (the model's sign of a blank) with the run of letters after them, or with one
+run of other characters; line feeds stand alone. Where a piece could cross such a cut is read off the piece table, and a model that
+has one is refused. Of each *different* word
 
-This replaces the relational method (exploded substrings, an equi-join to the piece table, edges grouped by word, a Viterbi fold in SQL), of
-which nothing runs here and no form was measured. The path with the best sum of scores (Viterbi) is a different segmentation, so the ids
-follow the merges; :func:`viterbi` gives the other for comparison.
+1. all substrings of at most the longest piece's length are exploded,
+2. they are joined with the piece table (broadcast; its size is the model's, and checked), which leaves the lattice's edges,
+3. edges are grouped by word, and
+4. one ``aggregate`` folds them, in the order of the edges' ranks, over a bit mask of the boundaries that are left.
+
+The model at hand is a byte-pair model, for which the path with the best sum of scores (plain Viterbi) is another segmentation for more than
+half of all words. So the fold takes the best edge first: an edge is taken if both its ends are boundaries and one boundary lies between them,
+which it removes. One pass in the order of ranks is exact because what happens between two boundaries that stay
+depends on nothing outside them: a piece is made when the piece's own string would be, so its *order* (the merge that makes it possible,
+the place of that merge, and the steps after it) is worked out once for each piece, by :func:`orders`. Pieces that merges never make have no edge.
+
+Words are looked up where they stand: the lattices of the commonest words of a bounded sample of documents (at most ``KNOWN`` words; any
+choice gives the same ids) are folded once and broadcast, and every other word of a text gets its own lattice in place, after texts have been dealt
+by row (equal rows once, with their number), which is the only large exchange. Words over ``SHORT`` characters don't fit the mask; their lattices are folded with
+a heap in Arrow batches.
+
+Decoding explodes ids, joins them with the piece table and puts the bytes together. In encoding, each word's edges are decoded as well,
+and a word that doesn't come back stops the query; so the decoded text is the words in their order.
 
 Defined cases: a null or empty text has no ids; a character without a piece becomes its UTF-8 bytes' pieces; rows that repeat an id are
-encoded each; decoding gives the text back (a literal space mark comes back as a space).
+encoded each; null ids are kept; decoding gives the text back (a literal mark comes back as a blank); null ids of a token table give null.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import re
-import zlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import read
+from strataframe.llm.shared import least_hashed, read, stored
+
+MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES = "▁", "piece_bpe_32k.model", 60, 20_000, 500_000, 1_000_000
+#: Marks with a run of letters or a run of other characters; line feeds alone.
+WORD = rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}\n]+|{MARK}+|\n"
+
 
-MARK, MODEL, CACHE, SHORT = "▁", "piece_bpe_32k.model", 400_000, 40
-WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-Lattice = dict[tuple[int, int], float]
+def _letter(c: str) -> bool:
+    return unicodedata.category(c)[0] == "L"
+
+
+def orders(scores: dict[str, float]) -> dict[str, tuple[int, int, int]]:
+    """When merges make each piece of two characters or more: (rank, place, step) of the merge that makes it possible and of what follows at once."""
+    rank = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+    out = {}
+    for piece in scores:
+        parts, last, step = list(piece), (-1, -1), 0
+        while len(parts) > 1:
+            pairs = [(rank[scores[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores]
+            if not pairs:
+                break
+            r, k = min(pairs)
+            place = sum(map(len, parts[:k]))
+            last, step = ((r, place), 0) if (r, place) > last else (last, step + 1)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(piece) > 1 and len(parts) == 1:
+            out[piece] = (*last, step)
+    return out
 
 
 class Codec:
+    """The model's tables, and the fold of words that are too long for a mask."""
+
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import sentencepiece
@@ -41,33 +78,28 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
         n = self.model.get_piece_size()
         special = [self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i) for i in range(n)]
-        self.pieces = {self.model.id_to_piece(i): (i, self.model.get_score(i)) for i in range(n) if not special[i]}
-        self.scores = {p: s for p, (_, s) in self.pieces.items()}
-        self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.pieces = {self.model.id_to_piece(i): i for i in range(n) if not special[i]}
+        self.scores = {p: self.model.get_score(i) for p, i in self.pieces.items()}
         self.byte_ids = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
-        self.said = [b"" if s and not self.model.is_byte(i) else bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if s else self.model.id_to_piece(i).replace(MARK, " ").encode() for i, s in enumerate(special)]
-        assert not any("\n" in p for p in self.pieces)
-        self.cache: dict[str, bytes] = {}
+        self.longest = max(map(len, self.pieces))
+        self.orders = orders(self.scores)
+        said = {i: p.replace(MARK, " ").encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.said = [said.get(i, b"") for i in range(n)]
+        for p in self.pieces:
+            for a, b in zip(p, p[1:], strict=False):
+                if "\n" in (a, b) or b == MARK != a or a != MARK and _letter(a) != _letter(b):
+                    raise ValueError(f"the piece {p!r} crosses words")
 
-    def lattice(self, word: str) -> Lattice:
-        """(from, to) of each substring that is a piece, and its score."""
-        n, pieces, prefixes, edges = len(word), self.pieces, self.prefixes, {}
+    def ids_of(self, word: str) -> list[int]:
+        """The ids of a word of any length: the same edges, taken from a heap."""
+        n, edges = len(word), {}
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = word[i:j]
-                if part not in prefixes:
-                    break
-                if found := pieces.get(part):
-                    edges[i, j] = found[1]
-        return edges
-
-    def fold(self, n: int, edges: Lattice) -> list[tuple[int, int]]:
-        """The merges' segments of a word of n characters."""
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        todo = [(-edges[i, i + 2], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in edges]
+            for j in range(i + 2, min(n, i + self.longest) + 1):
+                if found := self.orders.get(word[i:j]):
+                    edges[i, j] = (-self.scores[word[i:j]], i)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        todo = [(edges[i, i + 2], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in edges]
         heapq.heapify(todo)
-        alive = [True] * n
         while todo:
             _, i, middle, j = heapq.heappop(todo)
             if not (alive[i] and after[i] == middle and middle < n and alive[middle] and after[middle] == j):
@@ -77,67 +109,15 @@ class Codec:
             if j < n:
                 before[j] = i
                 if (i, after[j]) in edges:
-                    heapq.heappush(todo, (-edges[i, after[j]], i, j, after[j]))
+                    heapq.heappush(todo, (edges[i, after[j]], i, j, after[j]))
             if (p := before[i]) >= 0 and (p, j) in edges:
-                heapq.heappush(todo, (-edges[p, j], p, i, j))
-        return [(i, after[i]) for i in range(n) if alive[i]]
-
-    def viterbi(self, word: str) -> list[tuple[int, int]]:
-        """The segments with the best sum of scores, for comparison with the merges."""
-        edges, n = self.lattice(word), len(word)
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(-np.inf, 0)] * n
-        for j in range(1, n + 1):
-            best[j] = max(((best[i][0] + edges.get((i, j), -1e12 if j == i + 1 else -np.inf), -i) for i in range(max(0, j - self.longest), j)), default=(0.0, 0))
-        out, j = [], n
-        while j:
-            out.append((-best[j][1], j))
-            j = -best[j][1]
-        return out[::-1]
-
-    def merged(self, word: str) -> list[str]:
-        """The fold of a short word: only the substrings that it asks for are looked up, for no other can be on its path."""
-        get, none, parts = self.scores.get, -np.inf, list(word)
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (best := max(pairs)) > none:
-            k = pairs.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del pairs[k]
-            if k < len(pairs):
-                pairs[k] = get(parts[k] + parts[k + 1], none)
-            if k:
-                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
-        return parts
-
-    def ids_of(self, word: str) -> list[int]:
-        parts = self.merged(word) if len(word) <= SHORT else [word[i:j] for i, j in self.fold(len(word), self.lattice(word))]
+                heapq.heappush(todo, (edges[p, j], p, i, j))
         ids: list[int] = []
-        for p in parts:
-            found = self.pieces.get(p)
-            ids += [found[0]] if found else [self.byte_ids[b] for b in p.encode()]
+        for part in (word[i : after[i]] for i in range(n) if alive[i]):
+            found = self.pieces.get(part)
+            ids += [found] if found is not None else [self.byte_ids[b] for b in part.encode()]
         return ids
 
-    def word_ids(self, key: str) -> bytes:
-        """Of a word that is kept without its mark; one that begins with a line feed has none."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        ids = self.ids_of("\n") + (self.ids_of(key[1:]) if len(key) > 1 else []) if key[0] == "\n" else self.ids_of(MARK + key)
-        data = self.cache[key] = np.array(ids, "<u4").tobytes()
-        return data
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        words = text.replace("\n", " \n").split(" ")
-        if words[0][:1] == "\n" or "" in words or MARK in text:  # runs of blanks: the marks of a run belong together
-            return np.array([i for w in WORD.findall(MARK + text.replace(" ", MARK)) for i in self.ids_of(w)], "<u4")
-        known = self.cache.get
-        return np.frombuffer(b"".join([known(w) or self.word_ids(w) for w in words]), "<u4")
-
-    def decode(self, ids: np.ndarray) -> str:
-        said = self.said
-        text = b"".join([said[i] for i in ids.tolist()]).decode(errors="replace")
-        return text[1:] if text[:1] == " " else text
-
 
 _CODECS: dict[str | None, Codec] = {}
 
@@ -148,34 +128,133 @@ def codec(path: str | None = None) -> Codec:
     return _CODECS[path]
 
 
-def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and, with ``ids``, the ids."""
+def _hex(i: int) -> str:
+    return i.to_bytes(4, "little").hex()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for text in b.column(1):
-                own = c.encode(text.as_py())
-                for column, x in zip(out, (len(own), zlib.crc32(own.tobytes()), hashlib.sha256(c.decode(own).encode()).hexdigest(), own if ids else None), strict=True):
-                    column.append(x)
-            types, names = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())], ["n_ids", "ids_crc32", "decoded_sha256", "ids"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(out, types, strict=True)][: 3 + ids]], ["doc_id", *names[: 3 + ids]])
 
-    schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<long>" * ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, schema)
+def piece_table(spark: SparkSession, c: Codec) -> DataFrame:
+    """part, hex (its id, little-endian), rank, place, step (null: one character)."""
+    if len(c.pieces) > PIECES:
+        raise ValueError("the piece table is too large for a broadcast")
+    rows = [(p, _hex(i), *c.orders.get(p, (None, None, None))) for p, i in c.pieces.items() if len(p) == 1 or p in c.orders]
+    return spark.createDataFrame(rows, "part string, hex string, rank int, place int, step int")
 
 
-def decoded(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text of a table of ids; null ids give null."""
+def words(text: Column) -> Column:
+    """The words of a text, whose blanks have become marks."""
+    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK))), F.lit(WORD), F.lit(0)))
+
+
+def _shift(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
+def folded(rows: DataFrame, c: Codec, *keys: str) -> DataFrame:
+    """``keys`` and hex, the ids of each row's word, by a lattice of its own. ``rows`` has the keys, unique, and word of at most SHORT characters."""
+    spark = rows.sparkSession
+    byte_ids = F.lit("".join(_hex(c.byte_ids[b]) for b in range(256)))
+    n, own = F.length("word"), list(dict.fromkeys([*keys, "word"]))
+    starts = rows.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    parts = starts.select(*own, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(c.longest), n - F.col("i")))).alias("l"))
+    parts = parts.select(*own, "i", "l", F.substr("word", F.col("i") + 1, F.col("l")).alias("part"))
+    edges = parts.join(F.broadcast(piece_table(spark, c)), "part", "left").where("hex is not null or l = 1")
+    utf8 = F.hex(F.encode(F.col("part"), "UTF-8"))
+    as_bytes = F.array_join(F.transform(F.sequence(F.lit(0), F.octet_length("part") - 1), lambda k: F.substr(byte_ids, (F.conv(F.substr(utf8, k * 2 + 1, F.lit(2)), 16, 10).cast("int") * 8 + 1), F.lit(8))), "")
+    low, high = _shift(F.col("i")), _shift(F.col("i") + F.col("l"))
+    edge = F.struct(
+        F.col("rank"), (F.col("i") + F.col("place")).alias("at"), "step", "i", low.bitwiseOR(high).alias("ends"), (high - low * 2).alias("inner"), F.coalesce("hex", as_bytes).alias("hex"), F.when(F.col("hex").isNull(), utf8).otherwise(F.hex(F.encode(F.col("part"), "UTF-8"))).alias("said")
+    )
+    word = [] if "word" in keys else [F.first("word").alias("word")]
+    grouped = edges.groupBy(*keys).agg(*word, F.collect_list(edge).alias("edges"))
+
+    def take(mask: Column, e: Column) -> Column:
+        fits = (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
+        return F.when(fits, mask.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(mask)
+
+    merges = F.array_sort(F.filter("edges", lambda e: e["rank"].isNotNull()))
+
+    def path(mask: Column) -> Column:
+        on = F.filter("edges", lambda e: mask.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"])
+        return F.array_sort(F.transform(on, lambda e: F.struct(e["i"].alias("i"), e["hex"].alias("hex"), e["said"].alias("said"))))
+
+    found = F.aggregate(merges, _shift(F.length("word") + 1) - 1, take, path)
+    # Through an array of one path, so that the fold runs once for all that is made of it.
+    both = F.transform(F.array(found), lambda p: F.struct(F.array_join(F.transform(p, lambda e: e["hex"]), "").alias("hex"), F.array_join(F.transform(p, lambda e: e["said"]), "").alias("said")))
+    done = grouped.select(*keys, "word", both[0].alias("both"))
+    back = F.col("both.said") == F.hex(F.encode(F.col("word"), "UTF-8"))
+    return done.select(*keys, F.when(back, F.col("both.hex")).otherwise(F.raise_error(F.concat(F.lit("a word doesn't come back: "), F.col("word")))).alias("hex"))
+
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            text = [None if x is None else c.decode(np.array(x, np.int64)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
+def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNOWN) -> DataFrame:
+    """(word, hex) of at most ``most`` words, the commonest ones of ``sample`` documents or so."""
+    some = least_hashed(docs, F.xxhash64("text"), sample // 2)
+    counts = stored(some.select(F.explode(words(F.col("text"))).alias("word")).where(F.length("word") <= SHORT).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
+    least, total = 1, 0
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():  # 10,000 rows at most
+        total += r["words"]
+        if total > most:
+            least = r["n"] + 1
+            break
+    return stored(folded(counts.where(F.col("n") >= least).select("word"), c, "word"), "words")
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(rows, "doc_id long, text string")
+
+def _long(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    c = codec(path)
+    for b in batches:
+        hexes = ["".join(map(_hex, c.ids_of(w))) for w in b.column("word").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("pos"), pa.array(hexes, pa.string())], ["row", "pos", "hex"])
+
+
+def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and, with ``ids``, the ids."""
+    c = codec(path)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = F.broadcast(known_words(own, c))
+    own = own.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary"))))
+    rows = own.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    # Each use below reads these two columns, so the exchange is made once.
+    dealt = own.groupBy("row").agg(F.first("text").alias("text"))
+
+    def each(of: DataFrame) -> DataFrame:
+        return of.select("row", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+
+    part = F.struct("pos", "hex")
+    hits = each(dealt).join(known, "word").groupBy("row").agg(F.collect_list(part).alias("hits"))
+    others = each(dealt).where(F.length("word") <= SHORT).join(known.select("word"), "word", "left_anti")
+    misses = folded(others, c, "row", "pos").groupBy("row").agg(F.collect_list(part).alias("misses"))
+    # A word over SHORT has ten marks or SHORT - 10 other characters.
+    long = each(dealt.where(F.col("text").rlike(rf" {{10}}|[^ \n]{{{SHORT - 10}}}"))).where(F.length("word") > SHORT)
+    long = long.mapInArrow(lambda b: _long(b, path), "row binary, pos int, hex string").groupBy("row").agg(F.collect_list(part).alias("long"))
+    said = F.substr(F.replace(F.array_join(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), ""), F.lit(MARK), F.lit(" ")), F.lit(2))
+    joined = dealt.select("row", F.sha2(said.cast("binary"), 256).alias("decoded_sha256")).join(rows, "row").join(hits, "row", "left").join(misses, "row", "left").join(long, "row", "left")
+    none = F.array().cast("array<struct<pos:int,hex:string>>")
+    parts = F.array_sort(F.concat(*(F.coalesce(F.col(x), none) for x in ("hits", "misses", "long"))))
+    out = joined.select("doc_id", "copies", parts.alias("parts"), "decoded_sha256")
+    out = out.select("doc_id", "copies", "parts", "decoded_sha256", F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")).alias("data"))
+    numbers = F.flatten(F.transform("parts", lambda p: _numbers(p["hex"])))
+    out = out.select("doc_id", "copies", F.floor(F.length("data") / 4).cast("long").alias("n_ids"), F.crc32("data").alias("ids_crc32"), "decoded_sha256", *([numbers.alias("ids")] if ids else []))
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
+def _numbers(data: Column) -> Column:
+    """Ids of a short string of eight hex digits for each, little-endian."""
+    two = lambda k, b: F.substr(data, k * 8 + 2 * b + 1, F.lit(2))
+    last = (F.length(data) / 8).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.conv(F.concat(*(two(k, b) for b in (3, 2, 1, 0))), 16, 10).cast("long"))
+
+
+def decoded(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, text of a table of ids; null ids give null."""
+    c = codec(path)
+    table = tokens.sparkSession.createDataFrame([(i, s.hex()) for i, s in enumerate(c.said)], "id long, said string")
+    own = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    key = F.unhex(F.md5(F.to_json(F.struct("doc_id", "ids"), {"ignoreNullFields": "false"}).cast("binary")))
+    rows = own.groupBy(key.alias("row")).agg(F.first("doc_id").alias("doc_id"), F.first("ids").alias("ids"), F.count(F.lit(1)).alias("copies"))
+    said = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("parts"))
+    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["said"]), "")), "UTF-8")
+    whole = F.when(F.col("ids").isNotNull(), F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit("")))
+    out = rows.join(said, "row", "left").select("doc_id", whole.alias("text"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return out.drop("copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

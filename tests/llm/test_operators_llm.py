@@ -506,19 +506,37 @@ def test_wrapped_licences():
     assert [r[:2] for r in license_scan.scan_text(model, text) if r[4]] == [(2, "mit"), (3 + len(mit), "mit")]
 
 
-def test_sentencepiece(spark, corpus):
+def test_sentencepiece(spark, corpus, monkeypatch):
     c = sentencepiece_codec.codec()
     rng = random.Random(3)
-    texts = [t or "" for _, t in corpus] + ["a  b\nc d ", " x", "   ", "\n\n a\tb", "<0x41> <s>", "é" * 300, "ab▁cd"] + ["".join(rng.choice("ab \n日é<t.,he in er") for _ in range(120)) for _ in range(80)]
-    for t in texts:
-        ids = c.encode(t)
-        assert ids.tolist() == c.model.encode(t)
-        assert c.decode(ids) == t.replace("▁", " ")
-    docs = table(spark, corpus)
-    enc = sentencepiece_codec.encoded(docs, ids=True)
-    back = sorted((str(r.doc_id), r.text) for r in sentencepiece_codec.decoded(enc).collect())
-    assert back == sorted((str(i), t or "") for i, t in corpus)
+    pieces = [p for p in c.pieces if p.isalpha()]
+    texts = [*corpus, *enumerate(["a  b\nc d ", " x", "   ", "\n\n a\tb", " " * 75 + "x  y    z", "<0x41> <s>", "é" * 300, "ab▁cd", "Don't (stop)... 1234567 {}();", "日本語のテキスト、です。" * 9, "e\u0301\u0928\u093f", "=" * 200], 1000)]
+    texts += [(2000 + k, "".join(rng.choice("ab \n日é<t.,he in er") for _ in range(120))) for k in range(80)]
+    texts += [(3000 + k, " ".join("".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(12))) for k in range(150)]
+    want = sorted((str(i), c.model.encode(t or "")) for i, t in texts)
+    for known in (500_000, 40):  # with and without words that must be folded in place
+        monkeypatch.setattr(sentencepiece_codec.known_words, "__defaults__", (20_000, known))
+        enc = shared.stored(sentencepiece_codec.encoded(table(spark, texts), ids=True), "ids")
+        rows = enc.collect()
+        assert sorted((str(r.doc_id), r.ids) for r in rows) == want
+        assert all(r.n_ids == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+    back = collections.defaultdict(list)
+    for r in sentencepiece_codec.decoded(enc).collect():
+        back[r.doc_id].append(r.text)
+    for i, t in texts:
+        assert (t or "").replace("▁", " ") in back[i]
+    said = {(str(i), hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()) for i, t in texts}
+    assert {(str(r.doc_id), r.decoded_sha256) for r in rows} == said
     assert sentencepiece_codec.encoded(table(spark, [])).count() == 0
+    assert sentencepiece_codec.decoded(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<long>")).collect() == [(1, None), (2, "")]
+
+
+def test_sentencepiece_of_the_whole_table(spark):
+    docs = shared.read(spark, "/root/testdata/sf0.01", "documents")
+    c = sentencepiece_codec.codec()
+    want = sorted((r.doc_id, len(ids := c.model.encode(r.text or "")), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in docs.collect())
+    got = sentencepiece_codec.query(spark, "/root/testdata/sf0.01")
+    assert sorted((r.doc_id, r.n_ids, r.ids_crc32) for r in got.collect()) == want
 
 
 # ---- all ----------------------------------------------------------------------------------------------------------------------
