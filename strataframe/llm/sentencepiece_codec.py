@@ -150,7 +150,10 @@ def _shift(n: Column) -> Column:
 
 
 def folded(rows: DataFrame, c: Codec, *keys: str) -> DataFrame:
-    """``keys`` and hex, the ids of each row's word, by a lattice of its own. ``rows`` has the keys, unique, and word of at most SHORT characters."""
+    """``keys`` and hex, the ids of each row's word, by a lattice of its own. ``rows`` has the keys, unique, and word of at most SHORT characters.
+
+    Rows come dealt by a key already, so that edges, some 25 for a word, are grouped where they are made.
+    """
     spark = rows.sparkSession
     byte_ids = F.lit("".join(_hex(c.byte_ids[b]) for b in range(256)))
     n, own = F.length("word"), list(dict.fromkeys([*keys, "word"]))
@@ -195,7 +198,7 @@ def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNO
         if total > most:
             least = r["n"] + 1
             break
-    return stored(folded(counts.where(F.col("n") >= least).select("word"), c, "word"), "words")
+    return stored(folded(counts.where(F.col("n") >= least).select("word").repartition("word"), c, "word"), "words")
 
 
 def _long(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
@@ -210,9 +213,9 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col:
     c = codec(path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = F.broadcast(known_words(own, c))
-    own = own.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary"))))
+    own = own.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary")))).where("row is not null")
     rows = own.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    # Each use below reads these two columns, so the exchange is made once.
+    # Each use below reads these two columns through one filter (joins would add it to some), so the exchange is made once.
     dealt = own.groupBy("row").agg(F.first("text").alias("text"))
 
     def each(of: DataFrame) -> DataFrame:
