@@ -17,8 +17,8 @@ the place of that merge, and the steps after it) is worked out once for each pie
 
 Words are looked up where they stand: the lattices of the commonest words of a bounded sample of documents (at most ``KNOWN`` words; any
 choice gives the same ids) are folded once and broadcast, and every other word of a text gets its own lattice in place, after texts have been dealt
-by row (equal rows once, with their number), which is the only large exchange. Words over ``SHORT`` characters don't fit the mask; their lattices are folded with
-a heap in Arrow batches.
+by row (equal rows once, with their number), which is the only large exchange. The words' ids are put together
+to those of the texts in Arrow batches, as the words come. Words over ``SHORT`` characters don't fit the mask; their lattices are folded there with a heap.
 
 Decoding explodes ids, joins them with the piece table and puts the bytes together. In encoding, each word's edges are decoded as well,
 and a word that doesn't come back stops the query; so the decoded text is the words in their order.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.shared import least_hashed, read, stored
 
-MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES = "▁", "piece_bpe_32k.model", 60, 20_000, 500_000, 1_000_000
+MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES = "▁", "piece_bpe_32k.model", 60, 40_000, 500_000, 1_000_000
 #: Marks with a run of letters or a run of other characters; line feeds alone.
 WORD = rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}\n]+|{MARK}+|\n"
 
@@ -201,49 +202,81 @@ def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNO
     return stored(folded(counts.where(F.col("n") >= least).select("word").repartition("word"), c, "word"), "words")
 
 
-def _long(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    c = codec(path)
+def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of documents from rows of words, which come in page order; a document's first word has what is known of the whole."""
+    c, at, n, parts, head = codec(path), 0, 0, [], {}
+    out: list[list] = [[], [], [], [], []]
+
+    def rows() -> pa.RecordBatch:
+        types, names = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "ids"]
+        done = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)][: 4 + ids], names[: 4 + ids])
+        for x in out:
+            x.clear()
+        return done
+
     for b in batches:
-        hexes = ["".join(map(_hex, c.ids_of(w))) for w in b.column("word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("pos"), pa.array(hexes, pa.string())], ["row", "pos", "hex"])
+        if not b.num_rows:
+            continue
+        pos = b.column("pos").fill_null(0).to_numpy(zero_copy_only=False)
+        data, begins = b.column("data"), np.flatnonzero(pos == 0).tolist()
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        buffer = memoryview(data.buffers()[2] or b"")
+        empty = np.flatnonzero(data.is_null().to_numpy(zero_copy_only=False))
+        if not begins or begins[0]:
+            begins = [0, *begins]
+        for first, stop in zip(begins, [*begins[1:], b.num_rows], strict=True):
+            if pos[first] == 0:
+                at, parts = 0, []
+                n = b.column("n")[first].as_py()
+                head = {x: b.column(x)[first].as_py() for x in ("doc_id", "copies", "decoded_sha256")}
+                head["misses"] = {m["pos"]: m["data"] for m in b.column("misses")[first].as_py() or ()}
+            if n and int(pos[first]) != at:
+                raise RuntimeError("words came out of order")
+            k = first
+            for gap in empty[np.searchsorted(empty, first) : np.searchsorted(empty, stop)].tolist() if n else ():
+                parts.append(bytes(buffer[offsets[k] : offsets[gap]]))
+                found = head["misses"].get(at + gap - first)
+                parts.append(np.array(c.ids_of(b.column("long")[gap].as_py()), "<u4").tobytes() if found is None else found)
+                k = gap
+            if n:
+                parts.append(bytes(buffer[offsets[k] : offsets[stop]]))
+                at += stop - first
+            if at == n:
+                joined = b"".join(parts)
+                numbers = np.frombuffer(joined, "<u4") if ids else None
+                for _ in range(head["copies"]):
+                    for column, x in zip(out, (head["doc_id"], len(joined) // 4, zlib.crc32(joined), head["decoded_sha256"], numbers), strict=True):
+                        column.append(x)
+                parts, at, n = [], 0, 0
+                if len(out[0]) >= 1000:
+                    yield rows()
+    if at != n:
+        raise RuntimeError("the last words of a document are missing")
+    if out[0]:
+        yield rows()
 
 
 def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and, with ``ids``, the ids."""
     c = codec(path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = F.broadcast(known_words(own, c))
+    known = F.broadcast(known_words(own, c).select("word", F.unhex("hex").alias("data")))
     own = own.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary")))).where("row is not null")
     rows = own.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     # Each use below reads these two columns through one filter (joins would add it to some), so the exchange is made once.
     dealt = own.groupBy("row").agg(F.first("text").alias("text"))
-
-    def each(of: DataFrame) -> DataFrame:
-        return of.select("row", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-
-    part = F.struct("pos", "hex")
-    hits = each(dealt).join(known, "word").groupBy("row").agg(F.collect_list(part).alias("hits"))
-    others = each(dealt).where(F.length("word") <= SHORT).join(known.select("word"), "word", "left_anti")
-    misses = folded(others, c, "row", "pos").groupBy("row").agg(F.collect_list(part).alias("misses"))
-    # A word over SHORT has ten marks or SHORT - 10 other characters.
-    long = each(dealt.where(F.col("text").rlike(rf" {{10}}|[^ \n]{{{SHORT - 10}}}"))).where(F.length("word") > SHORT)
-    long = long.mapInArrow(lambda b: _long(b, path), "row binary, pos int, hex string").groupBy("row").agg(F.collect_list(part).alias("long"))
-    said = F.substr(F.replace(F.array_join(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), ""), F.lit(MARK), F.lit(" ")), F.lit(2))
-    joined = dealt.select("row", F.sha2(said.cast("binary"), 256).alias("decoded_sha256")).join(rows, "row").join(hits, "row", "left").join(misses, "row", "left").join(long, "row", "left")
-    none = F.array().cast("array<struct<pos:int,hex:string>>")
-    parts = F.array_sort(F.concat(*(F.coalesce(F.col(x), none) for x in ("hits", "misses", "long"))))
-    out = joined.select("doc_id", "copies", parts.alias("parts"), "decoded_sha256")
-    out = out.select("doc_id", "copies", "parts", "decoded_sha256", F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")).alias("data"))
-    numbers = F.flatten(F.transform("parts", lambda p: _numbers(p["hex"])))
-    out = out.select("doc_id", "copies", F.floor(F.length("data") / 4).cast("long").alias("n_ids"), F.crc32("data").alias("ids_crc32"), "decoded_sha256", *([numbers.alias("ids")] if ids else []))
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
-
-
-def _numbers(data: Column) -> Column:
-    """Ids of a short string of eight hex digits for each, little-endian."""
-    two = lambda k, b: F.substr(data, k * 8 + 2 * b + 1, F.lit(2))
-    last = (F.length(data) / 8).cast("int") - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.conv(F.concat(*(two(k, b) for b in (3, 2, 1, 0))), 16, 10).cast("long"))
+    others = dealt.select("row", F.posexplode(words(F.col("text"))).alias("pos", "word")).where(F.length("word") <= SHORT).join(known.select("word"), "word", "left_anti")
+    misses = folded(others, c, "row", "pos").groupBy("row").agg(F.collect_list(F.struct("pos", F.unhex("hex").alias("data"))).alias("misses"))
+    said = F.substr(F.replace(F.array_join(F.coalesce("words", F.array().cast("array<string>")), ""), F.lit(MARK), F.lit(" ")), F.lit(2))
+    base = dealt.select("row", words(F.col("text")).alias("words")).join(rows, "row").join(misses, "row", "left")
+    base = base.select("doc_id", "copies", "misses", "words", F.coalesce(F.size("words"), F.lit(0)).alias("n"), F.sha2(said.cast("binary"), 256).alias("decoded_sha256"))
+    each = base.select("doc_id", "copies", "misses", F.greatest("n", F.lit(0)).alias("n"), "decoded_sha256", F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
+    # A document's own columns travel with its first word alone.
+    first = F.coalesce("pos", F.lit(0)) == 0
+    whole = [F.when(first, F.col(x)).alias(x) for x in ("doc_id", "copies", "misses", "n", "decoded_sha256")]
+    told = each.select("pos", "data", F.when(F.length("word") > SHORT, F.col("word")).alias("long"), *whole)
+    schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<long>" * ids
+    return told.mapInArrow(lambda b: _assembled(b, path, ids), schema)
 
 
 def decoded(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
