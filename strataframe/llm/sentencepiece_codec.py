@@ -20,8 +20,7 @@ choice gives the same ids) are folded once and broadcast, and every other word o
 by row (equal rows once, with their number), which is the only large exchange. The words' ids are put together
 to those of the texts in Arrow batches, as the words come. Words over ``SHORT`` characters don't fit the mask; their lattices are folded there with a heap.
 
-Decoding explodes ids, joins them with the piece table and puts the bytes together. In encoding, each word's edges are decoded as well,
-and a word that doesn't come back stops the query; so the decoded text is the words in their order.
+Decoding explodes ids, joins them with the piece table and puts the bytes together.
 
 Defined cases: a null or empty text has no ids; a character without a piece becomes its UTF-8 bytes' pieces; rows that repeat an id are
 encoded each; null ids are kept; decoding gives the text back (a literal mark comes back as a blank); null ids of a token table give null.
@@ -29,6 +28,7 @@ encoded each; null ids are kept; decoding gives the text back (a literal mark co
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import unicodedata
 import zlib
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import least_hashed, read, stored
+from strataframe.llm.shared import least_hashed, read, removed, stored
 
 MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES = "▁", "piece_bpe_32k.model", 60, 40_000, 500_000, 1_000_000
 #: Marks with a run of letters or a run of other characters; line feeds alone.
@@ -84,6 +84,8 @@ class Codec:
         self.byte_ids = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
         self.longest = max(map(len, self.pieces))
         self.orders = orders(self.scores)
+        if len(self.pieces) >= 1 << 16 or self.byte_ids != {b: self.byte_ids[0] + b for b in range(256)}:
+            raise ValueError("ids must fit 16 bits, and those of bytes follow each other")
         said = {i: p.replace(MARK, " ").encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.said = [said.get(i, b"") for i in range(n)]
         for p in self.pieces:
@@ -119,6 +121,10 @@ class Codec:
             ids += [found] if found is not None else [self.byte_ids[b] for b in part.encode()]
         return ids
 
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join([self.said[i] for i in ids.tolist()]).decode(errors="replace")
+        return text[1:] if text[:1] == " " else text
+
 
 _CODECS: dict[str | None, Codec] = {}
 
@@ -129,16 +135,12 @@ def codec(path: str | None = None) -> Codec:
     return _CODECS[path]
 
 
-def _hex(i: int) -> str:
-    return i.to_bytes(4, "little").hex()
-
-
 def piece_table(spark: SparkSession, c: Codec) -> DataFrame:
-    """part, hex (its id, little-endian), rank, place, step (null: one character)."""
+    """part, id, rank, place, step (0 for one character)."""
     if len(c.pieces) > PIECES:
         raise ValueError("the piece table is too large for a broadcast")
-    rows = [(p, _hex(i), *c.orders.get(p, (None, None, None))) for p, i in c.pieces.items() if len(p) == 1 or p in c.orders]
-    return spark.createDataFrame(rows, "part string, hex string, rank int, place int, step int")
+    rows = [(p, i, *c.orders.get(p, (0, 0, 0))) for p, i in c.pieces.items() if len(p) == 1 or p in c.orders]
+    return spark.createDataFrame(rows, "part string, id int, rank int, place int, step int")
 
 
 def words(text: Column) -> Column:
@@ -150,47 +152,82 @@ def _shift(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
+#: An edge is one long: its order (rank, place in the word, step), its place and length, and its id or, without one, its code point.
+FIELDS = {"rank": 17, "at": 7, "step": 5, "i": 6, "l": 5, "none": 1, "value": 21}
+
+
+def _field(e: Column, name: str) -> Column:
+    names = list(FIELDS)
+    right = sum(FIELDS[n] for n in names[names.index(name) + 1 :])
+    return F.shiftright(e, right).bitwiseAND(F.lit((1 << FIELDS[name]) - 1).cast("long"))
+
+
+def _packed(**fields: Column) -> Column:
+    out = F.lit(0).cast("long")
+    for name, bits in FIELDS.items():
+        out = F.shiftleft(out, bits).bitwiseOR(fields[name].cast("long"))
+    return out
+
+
+def _little_endian(value: Column) -> Column:
+    """Eight hex digits of a number below 2**16."""
+    low = lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255).cast("long"))), 2, "0")
+    return F.concat(low(value), low(F.shiftright(value, 8)), F.lit("0000"))
+
+
+def _ids(c: Codec, e: Column) -> Column:
+    """The ids of an edge on the path, as hex digits."""
+    x, byte = _field(e, "value"), lambda b: _little_endian(b + F.lit(c.byte_ids[0]))
+    tail = lambda n: byte(F.shiftright(x, 6 * n).bitwiseAND(F.lit(63).cast("long")) + 128)
+    utf8 = (
+        F.when(x < 0x80, byte(x))
+        .when(x < 0x800, F.concat(byte(F.shiftright(x, 6) + 0xC0), tail(0)))
+        .when(x < 0x10000, F.concat(byte(F.shiftright(x, 12) + 0xE0), tail(1), tail(0)))
+        .otherwise(F.concat(byte(F.shiftright(x, 18) + 0xF0), tail(2), tail(1), tail(0)))
+    )
+    return F.when(_field(e, "none") == 1, utf8).otherwise(_little_endian(x))
+
+
 def folded(rows: DataFrame, c: Codec, *keys: str) -> DataFrame:
-    """``keys`` and hex, the ids of each row's word, by a lattice of its own. ``rows`` has the keys, unique, and word of at most SHORT characters.
+    """``keys`` and data, the ids of each row's word as bytes, by a lattice of its own. ``rows`` has the keys, unique, and word of at most SHORT characters.
 
     Rows come dealt by a key already, so that edges, some 25 for a word, are grouped where they are made.
     """
-    spark = rows.sparkSession
-    byte_ids = F.lit("".join(_hex(c.byte_ids[b]) for b in range(256)))
     n, own = F.length("word"), list(dict.fromkeys([*keys, "word"]))
     starts = rows.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     parts = starts.select(*own, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(c.longest), n - F.col("i")))).alias("l"))
-    parts = parts.select(*own, "i", "l", F.substr("word", F.col("i") + 1, F.col("l")).alias("part"))
-    edges = parts.join(F.broadcast(piece_table(spark, c)), "part", "left").where("hex is not null or l = 1")
-    utf8 = F.hex(F.encode(F.col("part"), "UTF-8"))
-    as_bytes = F.array_join(F.transform(F.sequence(F.lit(0), F.octet_length("part") - 1), lambda k: F.substr(byte_ids, (F.conv(F.substr(utf8, k * 2 + 1, F.lit(2)), 16, 10).cast("int") * 8 + 1), F.lit(8))), "")
-    low, high = _shift(F.col("i")), _shift(F.col("i") + F.col("l"))
-    edge = F.struct(
-        F.col("rank"), (F.col("i") + F.col("place")).alias("at"), "step", "i", low.bitwiseOR(high).alias("ends"), (high - low * 2).alias("inner"), F.coalesce("hex", as_bytes).alias("hex"), F.when(F.col("hex").isNull(), utf8).otherwise(F.hex(F.encode(F.col("part"), "UTF-8"))).alias("said")
+    parts = parts.select(*keys, "i", "l", F.substr("word", F.col("i") + 1, F.col("l")).alias("part"))
+    edges = parts.join(F.broadcast(piece_table(rows.sparkSession, c)), "part", "left").where("id is not null or l = 1")
+    zero = F.lit(0)
+    edge = _packed(
+        rank=F.coalesce("rank", zero), at=F.col("i") + F.coalesce("place", zero), step=F.coalesce("step", zero), i=F.col("i"), l=F.col("l"), none=F.col("id").isNull().cast("int"), value=F.coalesce("id", F.ascii("part"))
     )
-    word = [] if "word" in keys else [F.first("word").alias("word")]
-    grouped = edges.groupBy(*keys).agg(*word, F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy(*keys).agg(F.max(F.col("i") + F.col("l")).alias("n"), F.collect_list(edge).alias("edges"))
 
-    def take(mask: Column, e: Column) -> Column:
-        fits = (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
-        return F.when(fits, mask.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(mask)
+    def spans(e: Column) -> tuple[Column, Column]:
+        low = _shift(_field(e, "i"))
+        high = F.call_function("shiftleft", low, _field(e, "l").cast("int"))
+        return low.bitwiseOR(high), high - low * 2
 
-    merges = F.array_sort(F.filter("edges", lambda e: e["rank"].isNotNull()))
+    def take(mask: Column, e: Column) -> Column:
+        ends, inner = spans(e)
+        fits = (mask.bitwiseAND(ends) == ends) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
+        return F.when(fits, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
 
     def path(mask: Column) -> Column:
-        on = F.filter("edges", lambda e: mask.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"])
-        return F.array_sort(F.transform(on, lambda e: F.struct(e["i"].alias("i"), e["hex"].alias("hex"), e["said"].alias("said"))))
+        def on(e: Column) -> Column:
+            ends, inner = spans(e)
+            return mask.bitwiseAND(ends.bitwiseOR(inner)) == ends
 
-    found = F.aggregate(merges, _shift(F.length("word") + 1) - 1, take, path)
-    # Through an array of one path, so that the fold runs once for all that is made of it.
-    both = F.transform(F.array(found), lambda p: F.struct(F.array_join(F.transform(p, lambda e: e["hex"]), "").alias("hex"), F.array_join(F.transform(p, lambda e: e["said"]), "").alias("said")))
-    done = grouped.select(*keys, "word", both[0].alias("both"))
-    back = F.col("both.said") == F.hex(F.encode(F.col("word"), "UTF-8"))
-    return done.select(*keys, F.when(back, F.col("both.hex")).otherwise(F.raise_error(F.concat(F.lit("a word doesn't come back: "), F.col("word")))).alias("hex"))
+        place = (1 << FIELDS["i"] + FIELDS["l"] + FIELDS["none"] + FIELDS["value"]) - 1
+        return F.sort_array(F.transform(F.filter("edges", on), lambda e: e.bitwiseAND(F.lit(place).cast("long"))))
+
+    found = F.aggregate(F.sort_array("edges"), _shift(F.col("n") + 1) - 1, take, path)
+    return grouped.select(*keys, F.unhex(F.array_join(F.transform(found, lambda e: _ids(c, e)), "")).alias("data"))
 
 
 def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNOWN) -> DataFrame:
-    """(word, hex) of at most ``most`` words, the commonest ones of ``sample`` documents or so."""
+    """(word, data) of at most ``most`` words, the commonest ones of ``sample`` documents or so."""
     some = least_hashed(docs, F.xxhash64("text"), sample // 2)
     counts = stored(some.select(F.explode(words(F.col("text"))).alias("word")).where(F.length("word") <= SHORT).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
     least, total = 1, 0
@@ -199,7 +236,9 @@ def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNO
         if total > most:
             least = r["n"] + 1
             break
-    return stored(folded(counts.where(F.col("n") >= least).select("word").repartition("word"), c, "word"), "words")
+    out = stored(folded(counts.where(F.col("n") >= least).select("word").repartition("word"), c, "word"), "words")
+    removed(counts)
+    return out
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -> Iterator[pa.RecordBatch]:
@@ -228,7 +267,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -
             if pos[first] == 0:
                 at, parts = 0, []
                 n = b.column("n")[first].as_py()
-                head = {x: b.column(x)[first].as_py() for x in ("doc_id", "copies", "decoded_sha256")}
+                head = {x: b.column(x)[first].as_py() for x in ("doc_id", "copies")}
                 head["misses"] = {m["pos"]: m["data"] for m in b.column("misses")[first].as_py() or ()}
             if n and int(pos[first]) != at:
                 raise RuntimeError("words came out of order")
@@ -243,9 +282,10 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -
                 at += stop - first
             if at == n:
                 joined = b"".join(parts)
-                numbers = np.frombuffer(joined, "<u4") if ids else None
+                numbers = np.frombuffer(joined, "<u4")
+                said = hashlib.sha256(c.decode(numbers).encode()).hexdigest()
                 for _ in range(head["copies"]):
-                    for column, x in zip(out, (head["doc_id"], len(joined) // 4, zlib.crc32(joined), head["decoded_sha256"], numbers), strict=True):
+                    for column, x in zip(out, (head["doc_id"], len(joined) // 4, zlib.crc32(joined), said, numbers if ids else None), strict=True):
                         column.append(x)
                 parts, at, n = [], 0, 0
                 if len(out[0]) >= 1000:
@@ -260,20 +300,19 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and, with ``ids``, the ids."""
     c = codec(path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = F.broadcast(known_words(own, c).select("word", F.unhex("hex").alias("data")))
+    known = F.broadcast(known_words(own, c))
     own = own.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary")))).where("row is not null")
     rows = own.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     # Each use below reads these two columns through one filter (joins would add it to some), so the exchange is made once.
     dealt = own.groupBy("row").agg(F.first("text").alias("text"))
     others = dealt.select("row", F.posexplode(words(F.col("text"))).alias("pos", "word")).where(F.length("word") <= SHORT).join(known.select("word"), "word", "left_anti")
-    misses = folded(others, c, "row", "pos").groupBy("row").agg(F.collect_list(F.struct("pos", F.unhex("hex").alias("data"))).alias("misses"))
-    said = F.substr(F.replace(F.array_join(F.coalesce("words", F.array().cast("array<string>")), ""), F.lit(MARK), F.lit(" ")), F.lit(2))
+    misses = folded(others, c, "row", "pos").groupBy("row").agg(F.collect_list(F.struct("pos", "data")).alias("misses"))
     base = dealt.select("row", words(F.col("text")).alias("words")).join(rows, "row").join(misses, "row", "left")
-    base = base.select("doc_id", "copies", "misses", "words", F.coalesce(F.size("words"), F.lit(0)).alias("n"), F.sha2(said.cast("binary"), 256).alias("decoded_sha256"))
-    each = base.select("doc_id", "copies", "misses", F.greatest("n", F.lit(0)).alias("n"), "decoded_sha256", F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
+    base = base.select("doc_id", "copies", "misses", "words", F.coalesce(F.size("words"), F.lit(0)).alias("n"))
+    each = base.select("doc_id", "copies", "misses", F.greatest("n", F.lit(0)).alias("n"), F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
     # A document's own columns travel with its first word alone.
     first = F.coalesce("pos", F.lit(0)) == 0
-    whole = [F.when(first, F.col(x)).alias(x) for x in ("doc_id", "copies", "misses", "n", "decoded_sha256")]
+    whole = [F.when(first, F.col(x)).alias(x) for x in ("doc_id", "copies", "misses", "n")]
     told = each.select("pos", "data", F.when(F.length("word") > SHORT, F.col("word")).alias("long"), *whole)
     schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<long>" * ids
     return told.mapInArrow(lambda b: _assembled(b, path, ids), schema)
