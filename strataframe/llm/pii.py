@@ -1,16 +1,23 @@
 r"""Personal data and secrets replaced by keyed surrogates (SQL functions only).
 
-Entities: e-mail addresses, IPv4 addresses, card numbers, IBANs, telephone and social-security numbers, secrets (hex strings of 32
-or more, known key prefixes, values assigned to names like "token"), and names that begin with a known given name. An entity's
-*canonical form* (digits only for numbers, lower case for e-mail addresses) and a key decide its surrogate, so every mention of it,
-however it is written, becomes the same one, in the mention's own format: a digit stays a digit, capital and small letters stay
+Entities: e-mail addresses, IPv4 and IPv6 addresses, card numbers, IBANs (with groups of letters as well), telephone and social-security
+numbers, secrets (hex strings of 32 or more, known key prefixes, values assigned to names that end in "token", "password" and the like), and
+personal names: a known given name with initials and a surname, double-barrelled or in capitals too, and unlisted names after a title or a
+label ("Dr. ...", "name: ..."). Names that neither begin with a listed given name nor stand after such a word are not found. An entity's
+*canonical form* (digits only for numbers, lower case for e-mail addresses, one case for names) and a key decide its surrogate, so every mention
+of it, however it is written, becomes the same one, in the mention's own format: a digit stays a digit, capital and small letters stay
 so, punctuation stays, a dotted number keeps the length of its parts, a card number that passed the check digit passes it again,
-the top-level domain stays. A given name becomes another of the same gender and script, its surname a made-up one of that script.
+the top-level domain stays. A given name becomes another of the same gender and script, a surname a made-up one of that script.
+A mention of only a part of a name is another entity.
+
+The key is an argument or the setting ``spark.strataframe.pii.key``; without either an application draws one at random, so that nobody can
+work the surrogates out again. Draws come from HMAC-SHA256.
 
 Collision checks: the surrogates of all distinct entities of the corpus are compared with each other and with all real entities;
-whichever meets another (all but the least entity) or is real itself draws again, until none is left. Only those exceptions, which
-are few, are joined to the texts; where there are none, texts are rewritten without a join. Distinct entities are found with partial
-aggregation, so one address in a third of all texts is a row for each task.
+whichever meets another (all but the least entity) or is real itself draws again, until none is left. A format of few values may be full
+(all 10^4 dotted numbers of single digits); from the ``GROW``th draw on surrogates get longer, so that the draws always end. Only
+exceptions, which are few, are joined to the texts; where there are none, texts are rewritten without a join. Distinct entities are found with
+partial aggregation, so one address in a third of all texts is a row for each task.
 
 Each text is rewritten in one pass, as the pieces between entities and the entities' surrogates in turn.
 
@@ -20,17 +27,22 @@ rewritten each; null ids are kept; entities do not overlap (the leftmost counts,
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataframe.llm.shared import read, stored
+from strataframe.llm.shared import few, read, removed, stored
 
-KEY = "strataframe"
+SETTING, GROW = "spark.strataframe.pii.key", 12
+#: Marks entities while a text is split; texts that hold it take a longer way.
+EDGE = "\ufdd0"
 #: Given names by gender and script.
 GIVEN = {
-    ("f", "latin"): ["Alice", "Anna", "Carla", "Elena", "Emma", "Hannah", "Julia", "Laura", "Maria", "Olivia", "Sarah", "Sophie"],
-    ("m", "latin"): ["Adam", "Carlos", "Daniel", "David", "Felix", "Jonas", "Lucas", "Martin", "Peter", "Robert", "Stefan", "Thomas"],
+    ("f", "latin"): ["Alice", "Amina", "Anna", "Carla", "Elena", "Emma", "Fatima", "Hannah", "Julia", "Laura", "Linda", "Lucy", "Maria", "Mary", "Mei", "Nina", "Olivia", "Priya", "Sarah", "Sophie", "Susan", "Yuki"],
+    ("m", "latin"): ["Adam", "Ahmed", "Carlos", "Daniel", "David", "Felix", "Hiroshi", "James", "John", "Jonas", "Lucas", "Martin", "Michael", "Mohammed", "Omar", "Paul", "Peter", "Raj", "Robert", "Stefan", "Thomas", "Wei", "William"],
     ("f", "cyrillic"): ["Анна", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"],
     ("m", "cyrillic"): ["Алексей", "Андрей", "Борис", "Дмитрий", "Иван", "Николай", "Павел", "Сергей"],
     ("f", "greek"): ["Αγγελική", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία"],
@@ -42,21 +54,26 @@ SYLLABLES = {
     "greek": ["βαρ", "γερ", "δελ", "καρ", "λαμ", "μαν", "νικ", "παλ", "ραπ", "σαρ", "ταν", "φωτ"],
 }
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_CAPITAL = "|".join(n.upper() for names in GIVEN.values() for n in names)
+_WORD, _CAPITALS = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+", r"\p{Lu}{2,}+(?:-\p{Lu}{2,}+)*+"
+_BEFORE = "|".join([r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ", r"(?i:name|contact|author|patient|customer|employee): ", "(?i:my name is|signed by|sincerely,) "])
 _JUNK = r"[^\p{L}\p{N}\s]{0,3} ?"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*(?<=\.\p{L}{2,20})",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+?\d{{1,3}}{_JUNK})?\(\d{{3}}\){_JUNK}\d{{3}}[\-. ]\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}.\-])(?:(?:\d{{1,3}}[ .\-])?\d{{3}}[\-.])?\d{{3}}-\d{{4}}(?![\d\-])|(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,5}}(?!\d)",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+?\d{{1,3}}{_JUNK})?\(\d{{3}}\){_JUNK}\d{{3}}[\-. ]\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}.\-])(?:(?:\d{{1,3}}[ .\-])?\d{{3}}[\-.])?\d{{3}}-\d{{4}}(?![\d\-])|(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,5}}(?!\d)|(?<![\p{{L}}\p{{N}}.\-])0\d{{2,4}}[ \-]\d{{3,4}}[ \-]?\d{{3,4}}(?![\d\-])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z\-]{10,})(?![\p{L}\p{N}])|(?<=[=:\s\"'])(?<=(?i:token|secret|passwd|password|api.key|access.key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Za-z+/_\-]{8,}",
-    "name": rf"(?<!\p{{L}})(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:(?:{_GIVEN})(?: \p{{Lu}}\.)*+ {_WORD}|(?:{_CAPITAL})(?: \p{{Lu}}\.)*+ {_CAPITALS}|(?<={_BEFORE}){_WORD}(?:(?: \p{{Lu}}\.)*+ {_WORD})?+)(?!\p{{L}})",
 }
 #: Cheap conditions that hold wherever an entity of the kind can begin; the engine tries the patterns only there.
 _OPENS = {
     "email": r"(?=[\p{L}\p{N}._%+\-])",
     "ip": r"(?=\d)",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)",
     "card": r"(?=\d)",
     "iban": r"(?=[A-Z]{2}\d)",
     "ssn": r"(?=\d)",
@@ -73,17 +90,18 @@ def kind(e: Column) -> Column:
     return (
         F.when(F.contains(e, F.lit("@")), "email")
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(e.rlike(r"^[0-9A-Fa-f:]+:[0-9A-Fa-f:]+$"), "ip6")
         .when(e.rlike(r"^[\d \-]+$") & (digits >= 13), "card")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^[+(\d][^\p{L}]*$"), "phone")
-        .when(e.rlike(rf"^(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}+$"), "name")
+        .when(e.rlike(rf"^(?:{_WORD}|{_CAPITALS} (?=\p{{L}}))(?:(?: \p{{Lu}}\.)* \p{{Lu}}[\p{{L}}\-]+|{_CAPITALS}|$)$") | e.rlike(rf"^{_WORD}$"), "name")
         .when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$") & (F.length(F.replace(e, F.lit(" "))) <= 34), "iban")
         .otherwise("secret")
     )
 
 
 def canonical(e: Column, k: Column) -> Column:
-    return F.when(k == "email", F.lower(e)).when(k.isin("card", "ssn", "phone"), F.regexp_replace(e, r"\D", "")).when(k == "iban", F.replace(e, F.lit(" "))).otherwise(e)
+    return F.when(k.isin("email", "ip6"), F.lower(e)).when(k == "name", F.initcap(F.lower(e))).when(k.isin("card", "ssn", "phone"), F.regexp_replace(e, r"\D", "")).when(k == "iban", F.replace(e, F.lit(" "))).otherwise(e)
 
 
 def _draw(seed: Column, i: Column | int, n: Column | int) -> Column:
@@ -129,8 +147,43 @@ def _hex(e: Column, seed: Column) -> Column:
     return F.when(e.rlike("[A-F]"), F.upper(made)).otherwise(made)
 
 
-def seed_of(k: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), k, canon, attempt.cast("string")), 256)
+def key_of(spark: SparkSession, key: str | None = None) -> str:
+    """The key given, that of the session, or one that this application draws."""
+    key = key or spark.conf.get(SETTING, None)
+    if not key:
+        context = spark.sparkContext
+        key = context._strataframe_key = getattr(context, "_strataframe_key", None) or secrets.token_hex(32)
+    return key
+
+
+def seed_of(k: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """HMAC-SHA256 of an entity and an attempt."""
+    own = key.encode()
+    own = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in own)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.concat_ws("|", k, canon, attempt.cast("string")).cast("binary")), 256))), 256)
+
+
+def _name(e: Column, seed: Column, attempt: Column) -> Column:
+    """Another given name of the gender and script, initials drawn anew, made-up words for the rest, all in the mention's case."""
+
+    def word(t: Column, place: Column) -> Column:
+        out = None
+        for script, letters in (("greek", "[Ͱ-Ͽ]"), ("cyrillic", "[Ѐ-ӿ]"), ("latin", ".")):
+            sound = F.array(*map(F.lit, SYLLABLES[script]))
+            count = F.lit(2) + F.least(attempt, F.lit(4)).cast("int")
+            made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(sound, (_draw(seed, F.concat_ws(".", place, i), 16) + 1).cast("int"))), ""))  # noqa: B023
+            out = F.when(t.rlike(letters), made) if out is None else out.when(t.rlike(letters), made)
+        return out
+
+    def part(t: Column, i: Column) -> Column:
+        out = F.when(t.rlike(r"^\p{L}\.$"), F.concat(F.char(_draw(seed, i, 26) + 65), F.lit(".")))
+        for pool in GIVEN.values():
+            out = out.when((i == 0) & F.initcap(F.lower(t)).isin(pool), F.element_at(F.array(*map(F.lit, pool)), (_draw(seed, 0, len(pool)) + 1).cast("int")))
+        return out.otherwise(F.array_join(F.transform(F.split(t, "-"), lambda p, j: word(p, F.concat_ws("-", i, j))), "-"))
+
+    made = F.array_join(F.transform(F.split(e, " "), part), " ")
+    return F.when((F.upper(e) == e) & (F.length(e) > 2), F.upper(made)).otherwise(made)
 
 
 def surrogate(e: Column, k: Column, seed: Column, attempt: Column) -> Column:
@@ -147,60 +200,76 @@ def surrogate(e: Column, k: Column, seed: Column, attempt: Column) -> Column:
     card = F.when(passed, F.concat(F.substr(card, F.lit(1), F.length(card) - 1), last)).otherwise(card)
     top = F.regexp_extract(e, r"(\.[^.@]+)$", 1)
     mail = F.concat(_letters(F.substr(e, F.lit(1), F.length(e) - F.length(top)), seed, F.lit(0)), top)
-    given, surname = F.substring_index(e, " ", 1), F.substring_index(e, " ", -1)
-    names = F.lit(None).cast("string")
-    for (_, script), pool in GIVEN.items():
-        sound = F.array(*map(F.lit, SYLLABLES[script]))
-        count = F.lit(2) + F.least(attempt, F.lit(4)).cast("int")
-        made_up = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(sound, (_draw(seed, i, len(SYLLABLES[script])) + 1).cast("int"))), ""))  # noqa: B023
-        names = F.when(given.isin(pool), F.concat(F.element_at(F.array(*map(F.lit, pool)), (_draw(seed, 0, len(pool)) + 1).cast("int")), F.lit(" "), made_up)).otherwise(names)
-    plain = _letters(e, seed, F.when(k == "phone", F.when(F.length(digits) > 10, 1).otherwise(0)).when(k == "iban", 4).otherwise(0))
+    plain = _letters(e, seed, F.when(k == "phone", F.when(F.length(digits) > 10, 1).otherwise(0)).when(k == "iban", 2).otherwise(0))
     secret = F.when(e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(e, seed)).otherwise(plain)
-    return F.when(k == "email", mail).when(k == "ip", octets).when(k == "card", card).when(k == "name", F.coalesce(names, surname)).when(k == "secret", secret).otherwise(plain)
+    six = F.regexp_replace(e, "[0-9A-Fa-f]", "0")
+    six = F.array_join(F.transform(F.split(six, ""), lambda c, i: F.when(c == "0", F.lower(F.hex(_draw(seed, i, 16)))).otherwise(c)), "")
+    # From the GROWth draw on a few more digits.
+    longer = F.array_join(F.transform(F.filter(F.sequence(F.lit(GROW), F.greatest(attempt.cast("int"), F.lit(GROW))), lambda i: i < attempt), lambda i: _draw(seed, i + 1000, 10).cast("string")), "")
+    any_octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _draw(seed, i, 256).cast("string")), ".")
+    named = F.when(k == "ip6", six).when(k == "card", card).when(k == "secret", secret).otherwise(plain)
+    return (
+        F.when(k == "email", F.concat(longer, mail))
+        .when(k == "ip", F.when(attempt < GROW, octets).otherwise(any_octets))
+        .when(k == "name", F.concat(_name(e, seed, attempt), F.translate(longer, "0123456789", "abcdefghij")))
+        .otherwise(F.concat(named, longer))
+    )
 
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _kinds(text: Column) -> Column:
-    """(e, k, c) of each entity of a text: the mention, its kind and its canonical form, each worked out once."""
-    known = F.transform(_all(text, ENTITY), lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
+def _pieces(text: Column) -> Column:
+    """What is between the entities of a text, and the entities, in turn."""
+    marked = F.split(F.regexp_replace(text, ENTITY, f"{EDGE}$0{EDGE}"), EDGE, -1)
+    apart = F.flatten(F.zip_with(F.split(text, ENTITY, -1), _all(text, ENTITY), lambda p, e: F.array(p, e)))
+    return F.when(F.contains(text, F.lit(EDGE)), F.slice(apart, 1, F.size(apart) - 1)).otherwise(marked)
+
+
+def _kinds(pieces: Column) -> Column:
+    """(e, k, c) of each entity among the pieces: the mention, its kind and its canonical form, each worked out once."""
+    known = F.transform(F.filter(pieces, lambda e, i: i % 2 == 1), lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
     return F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), canonical(x["e"], x["k"]).alias("c")))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, canon): each distinct entity of the corpus once."""
-    return docs.select(F.explode(_kinds(F.col(text_col))).alias("x")).select(F.col("x.k").alias("kind"), F.col("x.c").alias("canon")).distinct()
+    return docs.select(F.explode(_kinds(_pieces(F.col(text_col)))).alias("x")).select(F.col("x.k").alias("kind"), F.col("x.c").alias("canon")).distinct()
 
 
-def exceptions(known: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
+def exceptions(known: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt): the entities whose first surrogates met another surrogate or a real entity."""
 
     def drawn(df: DataFrame) -> DataFrame:
         seeded = df.withColumn("seed", seed_of(F.col("kind"), F.col("canon"), F.col("attempt"), key))
         return seeded.select("kind", "canon", "attempt", surrogate(F.col("canon"), F.col("kind"), F.col("seed"), F.col("attempt")).alias("made"))
 
-    now = stored(drawn(known.withColumn("attempt", F.lit(0))), "surrogates")
-    for _ in range(rounds):
-        real = now.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
-        order = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "canon"))
-        judged = now.withColumn("order", order).join(real, ["kind", "made"], "left")
+    # Few rows with much to work out: dealt by count, not by size.
+    first = stored(known, "entities")
+    tasks = known.sparkSession.sparkContext.defaultParallelism
+    now = stored(drawn(first.repartition(tasks, "kind", "canon").withColumn("attempt", F.lit(0))), "surrogates")
+    while True:
+        real = first.select("kind", canonical(F.col("canon"), F.col("kind")).alias("met"), F.lit(True).alias("real"))
+        met = now.withColumn("met", canonical(F.col("made"), F.col("kind")))
+        order = F.row_number().over(Window.partitionBy("kind", "met").orderBy("attempt", "canon"))
+        judged = met.withColumn("order", order).join(real, ["kind", "met"], "left")
         again = stored(judged.where("order > 1 or real").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "again")
         if again.isEmpty():
             return now.where("attempt > 0").select("kind", "canon", "attempt")
-        now = stored(now.join(again, ["kind", "canon"], "left_anti").unionByName(drawn(again)), "surrogates")
-    raise RuntimeError("some surrogates still collide")
+        old, now = now, stored(now.join(again, ["kind", "canon"], "left_anti").unionByName(drawn(again)), "surrogates")
+        removed(old, again)
 
 
-def rewritten(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rewritten(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their texts rewritten, and a column n_entities."""
+    key = key_of(docs.sparkSession, key)
     odd = stored(exceptions(entities(docs, text_col), key), "exceptions")
-    held = docs.withColumns({"__found": _kinds(F.col(text_col)), "__parts": F.split(F.col(text_col), ENTITY, -1)})
+    held = docs.withColumn("__pieces", _pieces(F.col(text_col))).withColumn("__found", _kinds(F.col("__pieces")))
     if not odd.isEmpty():
-        own = docs.select(F.col(id_col).alias("__id"), F.explode(_kinds(F.col(text_col))).alias("x"))
+        own = docs.select(F.col(id_col).alias("__id"), F.explode(_kinds(_pieces(F.col(text_col)))).alias("x"))
         own = own.select("__id", F.col("x.k").alias("kind"), F.col("x.c").alias("canon"))
-        of_doc = own.join(odd, ["kind", "canon"]).groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__attempts"))
+        of_doc = own.join(F.broadcast(odd) if few(odd) else odd, ["kind", "canon"]).groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__attempts"))
         held = held.join(of_doc, docs[id_col].eqNullSafe(of_doc["__id"]), "left")
 
     def attempt(x: Column) -> Column:
@@ -210,9 +279,9 @@ def rewritten(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     seeded = F.transform(tried, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["a"].alias("a"), seed_of(x["k"], x["c"], x["a"], key).alias("s")))
     held = held.withColumn("__made", F.transform(seeded, lambda x: surrogate(x["e"], x["k"], x["s"], x["a"])))
     size = F.greatest(F.size("__made"), F.lit(0))
-    between = F.transform("__made", lambda m, i: F.concat(m, F.element_at(F.col("__parts"), i + 2)))
-    text = F.when(size > 0, F.concat(F.element_at("__parts", 1), F.array_join(between, ""))).otherwise(F.col(text_col))
-    return held.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), size.cast("long").alias("n_entities"))
+    between = F.transform("__made", lambda m, i: F.concat(m, F.element_at(F.col("__pieces"), 2 * i + 3)))
+    text = F.when(size > 0, F.concat(F.element_at("__pieces", 1), F.array_join(between, ""))).otherwise(F.col(text_col))
+    return held.select(*(text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns), size.cast("long").alias("n_entities"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

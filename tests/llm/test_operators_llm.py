@@ -443,8 +443,8 @@ def test_pii(spark):
 
 def test_pii_collisions_are_drawn_again(spark):
     known = spark.createDataFrame([("ip", f"{a}.{b}.1.1") for a in range(10) for b in range(10)] + [("ip", f"{a}.{b}.2.2") for a in range(10) for b in range(10)], "kind string, canon string")
-    drawn = known.join(pii.exceptions(known), ["kind", "canon"], "left").fillna(0)
-    seed = pii.seed_of(F.col("kind"), F.col("canon"), F.col("attempt"))
+    drawn = known.join(pii.exceptions(known, "k"), ["kind", "canon"], "left").fillna(0)
+    seed = pii.seed_of(F.col("kind"), F.col("canon"), F.col("attempt"), "k")
     rows = drawn.withColumn("seed", seed).select("canon", pii.surrogate(F.col("canon"), F.col("kind"), F.col("seed"), F.col("attempt")).alias("made")).collect()
     made = {r.made for r in rows}
     assert len(made) == 200 and not made & {r.canon for r in rows}
@@ -467,13 +467,46 @@ def test_pii_of_whole_texts(spark):
     texts = [*said.values(), *("".join(rng.choice(bits) for _ in range(12)) for _ in range(300))]
     docs = table(spark, list(enumerate(texts)))
     plain = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
-    seen = docs.select("doc_id", pii._all(F.col("text"), plain).alias("want"), F.transform(pii._kinds(F.col("text")), lambda x: x["e"]).alias("got")).collect()
+    seen = docs.select("doc_id", pii._all(F.col("text"), plain).alias("want"), F.transform(pii._kinds(pii._pieces(F.col("text"))), lambda x: x["e"]).alias("got")).collect()
     assert all(r.want == r.got for r in seen) and sum(len(r.want) for r in seen) > 500
     out = {r.doc_id: r for r in pii.rewritten(docs).collect()}
     for k, (entity, text) in enumerate(said.items()):
         assert out[k].n_entities == 1 and entity not in out[k].text and len(out[k].text) == len(text) or entity == "Maria Lopez" and entity not in out[k].text, text
 
 
+def test_pii_forms(spark):
+    """Forms of entities, each in a sentence; all of an entity is replaced, in its own format."""
+    said = {
+        "GITHUB_TOKEN=%s": "abcdefghijklmnop", "db_password: %s": "hunterhunter", "see %s now": "2001:db8::8a2e:370:7334", "at %s.": "fe80:0:0:0:202:b3ff:fe1e:8329", "call %s today": "020 7946 0958",
+        "by %s, who": "ANNA SMITH", "with %s there": "Wei Zhang", "and %s too": "Anna B. Smith", "for %s and": "Anna Smith-Jones", "Dr. %s said": "Xanthe Quillfeather", "Patient: %s, ward": "Zoltan Brunk-Vale", "to %s, or": "GB82 WEST 1234 5698 7654 32", "\ufdd0 or %s here": "a.b@example.org",
+    }
+    rows = [(k, t % e) for k, (t, e) in enumerate(said.items())] + [(50, "Anna Smith"), (51, "ANNA SMITH"), (52, None)]
+    clean = ["std::move at 12:30:45 and a::b", "The Anna river. Dr. is short", "Chapter 020 of 7946", "tokens: many words follow", "MARIA is a name", "name: unknown"]
+    docs = table(spark, rows + list(enumerate(clean, 60)))
+    out = {r.doc_id: r for r in pii.rewritten(docs).collect()}
+    for k, (t, e) in enumerate(said.items()):
+        before, after = t.split("%s")
+        made = out[k].text[len(before) : len(out[k].text) - len(after)]
+        assert out[k].n_entities == 1 and out[k].text.startswith(before) and out[k].text.endswith(after), (t, out[k].text)
+        assert not set(re.findall(r"\w{3,}", e)) & set(re.findall(r"\w{3,}", made)) - {"org"}, (e, made)
+        if not any(c.isalpha() and c.isupper() for c in e[:1]):
+            assert [c.isdigit() or c.isalpha() for c in made] == [c.isdigit() or c.isalpha() for c in e]
+    assert out[51].text == out[50].text.upper() != "ANNA SMITH"
+    assert [out[k].text for k in range(60, 66)] == clean
+    again = {r.doc_id: r.text for r in pii.rewritten(docs, "one key").collect()}
+    assert again == {r.doc_id: r.text for r in pii.rewritten(docs, "one key").collect()} != {k: r.text for k, r in out.items()}
+
+
+def test_pii_of_a_full_format(spark):
+    """All dotted numbers of single digits: surrogates get longer instead of failing."""
+    known = spark.range(10_000).selectExpr("'ip' kind", "concat_ws('.', id % 10, id div 10 % 10, id div 100 % 10, id div 1000) canon")
+    drawn = known.join(pii.exceptions(known, "k"), ["kind", "canon"], "left").fillna(0)
+    seed = pii.seed_of(F.col("kind"), F.col("canon"), F.col("attempt"), "k")
+    rows = drawn.withColumn("seed", seed).select("canon", pii.surrogate(F.col("canon"), F.col("kind"), F.col("seed"), F.col("attempt")).alias("made")).collect()
+    made = {r.made for r in rows}
+    assert len(made) == 10_000 and not made & {r.canon for r in rows}
+
+
 # ---- 2 licences, 7 SentencePiece ----------------------------------------------------------------------------------------------
 
 
