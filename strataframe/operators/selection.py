@@ -85,14 +85,16 @@ def merged_graph(nodes: DataFrame, relations: DataFrame, refined: DataFrame, tar
     return out, rel.select(*relations.columns)
 
 
-def rolled_back(active: DataFrame, culprits: Callable[[DataFrame], DataFrame], key: list[str], rounds: int, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """What stays active when, round by round, the culprits among it are taken out until there are none (at most ``rounds`` rounds).
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder, where the session names one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
-    ``cut`` may write a round's result to a durable table, which ends the lineage.
+
+def rolled_back(active: DataFrame, culprits: Callable[[DataFrame], DataFrame], key: list[str], cut: Callable[[DataFrame], DataFrame] = _checkpointed) -> DataFrame:
+    """What stays active when, round by round, the culprits among it are taken out until there are none.
+
+    Each round takes rows out, so the rounds end. ``cut`` ends the lineage of a round's result.
     """
-    for _ in range(rounds):
-        bad = culprits(active)
-        if bad.isEmpty():
-            return active
+    while not (bad := culprits(active)).isEmpty():
         active = cut(active.join(bad.select(*key).distinct(), key, "left_anti"))
     return active

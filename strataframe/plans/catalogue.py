@@ -41,7 +41,7 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn(column, F.element_at(F.array(*map(F.lit, names)), (F.col(column) + 1).cast("int")))
 
 
-CLIPPED = f"clipped AS (SELECT slide_id, ord, node_id, role, conf, z, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, {WIDTH}) - greatest(x, 0) AS w, least(y + h, {HEIGHT}) - greatest(y, 0) AS h, x + w > {WIDTH} OR y + h > {HEIGHT} AS was_clipped FROM nodes)"
+CLIPPED = f"clipped AS MATERIALIZED (SELECT slide_id, ord, node_id, role, conf, z, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, {WIDTH}) - greatest(x, 0) AS w, least(y + h, {HEIGHT}) - greatest(y, 0) AS h, x + w > {WIDTH} OR y + h > {HEIGHT} AS was_clipped FROM nodes)"
 BOTH = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 IOU = f"(CAST({BOTH} AS DOUBLE) / CAST(a.w * a.h + b.w * b.h - {BOTH} AS DOUBLE))"
 SMALLER = f"(CAST({BOTH} AS DOUBLE) / CAST(least(a.w * a.h, b.w * b.h) AS DOUBLE))"
@@ -65,7 +65,7 @@ def clip_warning(spark, d):
     return layout.clip_warnings(lifts.nodes(spark, d), WIDTH, HEIGHT)
 
 
-@query("iou_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord WHERE {IOU} >= 0.25")
+@query("iou_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 WHERE {IOU} >= 0.25")
 def iou_pairs(spark, d):
     return layout.overlapping_pairs(_clipped(spark, d), "iou", 0.25)
 
@@ -75,12 +75,12 @@ def iou_pairs_by_tile(spark, d):
     return layout.overlapping_pairs_by_tile(_clipped(spark, d), WIDTH)
 
 
-@query("overlap_smaller_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {SMALLER} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord WHERE {SMALLER} >= 0.5")
+@query("overlap_smaller_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {SMALLER} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 WHERE {SMALLER} >= 0.5")
 def overlap_smaller_pairs(spark, d):
     return layout.overlapping_pairs(_clipped(spark, d), "smaller", 0.5)
 
 
-@query("duplicate_nodes", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord AND a.role = b.role WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9")
+@query("duplicate_nodes", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 AND a.role = b.role WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9")
 def duplicate_nodes(spark, d):
     rows = _clipped(spark, d).where("role not in (0, 1, 5)")
     return layout.overlapping_pairs(rows, "iou", 0.9, F.col("a.role") == F.col("b.role"))
@@ -319,7 +319,7 @@ def asset_names(spark, d):
 # ---- graph -------------------------------------------------------------------------------------------------------------------
 
 GRAPH = f"WITH RECURSIVE {duck('nodes', 'relations')}, {CLIPPED}"
-REL = f"rel AS (SELECT slide_id, rel_id, {_case('kind', KINDS)} AS kind, from_id, to_id, conf FROM relations)"
+REL = f"rel AS MATERIALIZED (SELECT slide_id, rel_id, {_case('kind', KINDS)} AS kind, from_id, to_id, conf FROM relations)"
 ORDERS = "o AS (SELECT slide_id, rel_id, CASE WHEN kind = 'behind' THEN from_id ELSE to_id END AS rear, CASE WHEN kind = 'behind' THEN to_id ELSE from_id END AS front FROM rel WHERE kind IN {0})"
 ALL_ORDERS, NARROW = ORDERS.format("('behind', 'in-front-of', 'occludes')"), ORDERS.format("('behind', 'in-front-of')")
 WALK = "w AS (SELECT slide_id, a, b FROM e UNION SELECT w.slide_id, w.a, e.b FROM w JOIN e ON w.slide_id = e.slide_id AND w.b = e.a)"
@@ -334,7 +334,7 @@ def relation_direction(spark, d):
     return graph.order_edges(_relations(spark, d))
 
 
-@query("zindex_conflict", f"{GRAPH}, {REL}, {NARROW} SELECT o.slide_id, o.rel_id, rear, front FROM o JOIN nodes r ON r.slide_id = o.slide_id AND r.node_id = rear JOIN nodes f ON f.slide_id = o.slide_id AND f.node_id = front WHERE f.z <= r.z")
+@query("zindex_conflict", f"{GRAPH}, {REL}, {NARROW} SELECT o.slide_id, o.rel_id, rear, front FROM o JOIN nodes r ON r.slide_id = o.slide_id AND r.node_id = rear JOIN nodes f ON f.slide_id = o.slide_id AND f.node_id = front WHERE f.z - r.z <= 0")
 def zindex_conflict(spark, d):
     return graph.z_conflicts(_relations(spark, d), lifts.nodes(spark, d))
 
@@ -362,7 +362,7 @@ def background_cardinality(spark, d):
     return _named(lifts.nodes(spark, d)).groupBy("slide_id").agg(F.count_if(F.col("role") == "background").alias("n")).where("n <> 1")
 
 
-DUP = f"SELECT a.slide_id, a.node_id AS a, b.node_id AS b FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord AND (a.role = b.role OR (a.role IN (3, 6) AND b.role IN (3, 6))) WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9"
+DUP = f"SELECT a.slide_id, a.node_id AS a, b.node_id AS b FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 AND (a.role = b.role OR (a.role IN (3, 6) AND b.role IN (3, 6))) WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9"
 COMPOSE = "SELECT r.slide_id, from_id AS a, to_id AS b FROM rel r JOIN nodes f ON f.slide_id = r.slide_id AND f.node_id = from_id JOIN nodes u ON u.slide_id = r.slide_id AND u.node_id = to_id WHERE kind IN ('belongs-to', 'connected-to') AND f.role NOT IN (0, 1) AND u.role NOT IN (0, 1)"
 UNDIRECTED = f"j AS ({DUP} UNION ALL {COMPOSE}), e AS (SELECT slide_id, a, b FROM j UNION SELECT slide_id, b, a FROM j)"
 
@@ -396,7 +396,7 @@ def candidate_confidence_reject(spark, d):
 
 @query(
     "icon_group_components",
-    f"{GRAPH}, i AS (SELECT * FROM clipped WHERE role = 3 AND conf >= 80 AND least(w, h) >= 24 AND w * h >= 1600), j AS (SELECT a.slide_id, a.node_id AS a, b.node_id AS b FROM i a JOIN i b ON a.slide_id = b.slide_id AND a.ord < b.ord AND {IOU} >= 0.25), "
+    f"{GRAPH}, i AS (SELECT * FROM clipped WHERE role = 3 AND conf >= 80 AND least(w, h) >= 24 AND w * h >= 1600), j AS (SELECT a.slide_id, a.node_id AS a, b.node_id AS b FROM i a JOIN i b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 AND {IOU} >= 0.25), "
     f"e AS (SELECT slide_id, a, b FROM j UNION SELECT slide_id, b, a FROM j), {WALK} SELECT i.slide_id, i.node_id, least(i.node_id, coalesce(min(w.b), i.node_id)) AS root FROM i LEFT JOIN w ON w.slide_id = i.slide_id AND w.a = i.node_id GROUP BY i.slide_id, i.node_id",
 )
 def icon_group_components(spark, d):
@@ -451,12 +451,27 @@ def layer_cycles(spark, d):
     return graph.cycles(lifts.nodes(spark, d), edges)
 
 
-@query("topo_order")
+#: One node after another: the least (z, id) of those whose rear neighbours are all placed.
+LAYERED = """p AS MATERIALIZED (SELECT n.slide_id, n.node_id, n.z, coalesce(list(e.a) FILTER (WHERE e.a IS NOT NULL), CAST([] AS VARCHAR[])) AS rear FROM nodes n LEFT JOIN e ON e.slide_id = n.slide_id AND e.b = n.node_id GROUP BY ALL),
+s AS (SELECT DISTINCT slide_id, CAST([] AS VARCHAR[]) AS done FROM nodes UNION ALL SELECT s.slide_id, list_append(any_value(s.done), arg_min(p.node_id, (p.z, p.node_id))) FROM s JOIN p ON p.slide_id = s.slide_id AND NOT list_contains(s.done, p.node_id) AND list_has_all(s.done, p.rear) GROUP BY s.slide_id),
+l AS (SELECT slide_id, arg_max(done, len(done)) AS done FROM s GROUP BY slide_id)"""
+
+
+@query("topo_order", f"{GRAPH}, {REL}, {ALL_ORDERS}, {EDGES}, {LAYERED} SELECT slide_id, done[i] AS node_id, i - 1 AS place FROM (SELECT slide_id, done, unnest(range(1, len(done) + 1)) AS i FROM l) u")
 def topo_order(spark, d):
     return graph.ordered_layers(lifts.nodes(spark, d), _order_edges(spark, d))
 
 
-@query("greedy_dedupe")
+SEEN = "greatest(0, least(q.x + q.w, n.x + n.w) - greatest(q.x, n.x)) * greatest(0, least(q.y + q.h, n.y + n.h) - greatest(q.y, n.y))"
+
+
+@query(
+    "greedy_dedupe",
+    f"""{GRAPH}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY ord % 3 = 0 DESC, conf DESC, node_id) AS k FROM clipped),
+s AS (SELECT slide_id, k, [struct_pack(i := node_id, x := x, y := y, w := w, h := h)] AS kept FROM r WHERE k = 1 UNION ALL
+  SELECT n.slide_id, n.k, CASE WHEN len(list_filter(s.kept, lambda q: CAST({SEEN} AS DOUBLE) / CAST(q.w * q.h + n.w * n.h - {SEEN} AS DOUBLE) > 0.8)) = 0 THEN list_append(s.kept, struct_pack(i := n.node_id, x := n.x, y := n.y, w := n.w, h := n.h)) ELSE s.kept END FROM s JOIN r n ON n.slide_id = s.slide_id AND n.k = s.k + 1),
+l AS (SELECT slide_id, arg_max(kept, k) AS kept FROM s GROUP BY slide_id) SELECT slide_id, unnest(list_transform(kept, lambda q: q.i)) AS node_id FROM l""",
+)
 def greedy_dedupe(spark, d):
     return graph.greedy_distinct(_clipped(spark, d).withColumn("target", (F.col("ord") % 3 == 0).cast("int")))
 
@@ -466,7 +481,14 @@ def refinement_topk(spark, d):
     return graph.refinement_requests(_named(_unit(spark, d)).withColumn("conf", F.col("conf") / 100), _relations(spark, d).withColumn("conf", F.col("conf") / 100))
 
 
-@query("graph_violations")
+@query(
+    "graph_violations",
+    f"""{GRAPH}, {REL}, n AS (SELECT slide_id, node_id, role FROM nodes),
+c AS (SELECT r.slide_id, r.rel_id FROM rel r JOIN n a ON a.slide_id = r.slide_id AND a.node_id = r.from_id JOIN n b ON b.slide_id = r.slide_id AND b.node_id = r.to_id WHERE r.kind = 'carries-text' AND NOT (a.role = 2 AND b.role = 1))
+SELECT slide_id, 'duplicate_node' AS rule, node_id AS ident FROM n GROUP BY slide_id, node_id HAVING count(*) > 1 UNION ALL SELECT slide_id, 'duplicate_relation', rel_id FROM rel GROUP BY slide_id, rel_id HAVING count(*) > 1
+UNION ALL SELECT slide_id, 'dangling_from', rel_id FROM rel WHERE (slide_id, from_id) NOT IN (SELECT (slide_id, node_id) FROM n) UNION ALL SELECT slide_id, 'dangling_to', rel_id FROM rel WHERE (slide_id, to_id) NOT IN (SELECT (slide_id, node_id) FROM n)
+UNION ALL SELECT slide_id, 'carries_text_roles', rel_id FROM c UNION ALL SELECT slide_id, 'background_count', CAST(count(*) FILTER (WHERE role = 0) AS VARCHAR) FROM n GROUP BY slide_id HAVING count(*) FILTER (WHERE role = 0) <> 1""",
+)
 def graph_violations(spark, d):
     return ledger.graph_violations(_named(lifts.nodes(spark, d)), _relations(spark, d))
 
@@ -814,7 +836,7 @@ def group_labels(spark, d):
 
 @query(
     "provider_canvas",
-    """WITH c AS (SELECT event_id, CAST(40 + event_id * 37 % 1900 AS INT) AS w, CAST(30 + event_id * 53 % 1500 AS INT) AS h FROM events WHERE event_id < 3000), k AS (SELECT unnest(range(16, 3841, 16)) AS cw),
+    """WITH c AS (SELECT event_id, CAST(40 + event_id * 37 % 1900 AS INT) AS w, CAST(30 + event_id * 53 % 1500 AS INT) AS h FROM events), k AS (SELECT unnest(range(16, 3841, 16)) AS cw),
 s AS (SELECT event_id, w, h, cw, CAST(ceil(greatest(h, ceil(655360::DOUBLE / cw)) / 16::DOUBLE) * 16 AS BIGINT) AS ch FROM c JOIN k ON cw >= w),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(cw::DOUBLE / ch - w::DOUBLE / h), 9), cw * ch, cw) AS n FROM s WHERE ch <= 3840 AND cw * ch BETWEEN 655360 AND 8294400 AND greatest(cw, ch) <= least(cw, ch) * 3)
 SELECT c.event_id, CAST(r.cw AS BIGINT) AS width, CAST(r.ch AS BIGINT) AS height FROM c LEFT JOIN r ON r.event_id = c.event_id AND n = 1""",
@@ -850,7 +872,7 @@ def merged_relations(spark, d):
 
 @query(
     "rollback_fixpoint",
-    f"WITH RECURSIVE {duck('nodes')}, {CLIPPED}, o AS (SELECT DISTINCT a.slide_id, a.ord AS a, b.ord AS b FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.ord < b.ord AND a.role = 3 AND b.role = 3 AND {SMALLER} >= 0.5) SELECT slide_id, ord FROM clipped c WHERE role = 3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.slide_id = c.slide_id AND (o.a = c.ord OR o.b = c.ord))",
+    f"WITH RECURSIVE {duck('nodes')}, {CLIPPED}, o AS (SELECT DISTINCT a.slide_id, a.ord AS a, b.ord AS b FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 AND a.role = 3 AND b.role = 3 AND {SMALLER} >= 0.5) SELECT slide_id, ord FROM clipped c WHERE role = 3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.slide_id = c.slide_id AND (o.a = c.ord OR o.b = c.ord))",
 )
 def rollback_fixpoint(spark, d):
     """Layers that cover each other by half are rolled back; the next round finds none."""
@@ -860,7 +882,7 @@ def rollback_fixpoint(spark, d):
         pairs = layout.overlapping_pairs(rows, "smaller", 0.5)
         return pairs.select("slide_id", F.col("a").alias("ord")).union(pairs.select("slide_id", F.col("b")))
 
-    return selection.rolled_back(active, culprits, ["slide_id", "ord"], 3).select("slide_id", "ord")
+    return selection.rolled_back(active, culprits, ["slide_id", "ord"]).select("slide_id", "ord")
 
 
 @query("asset_removal_mask", f"{PX}, m AS (SELECT tile_id, x + 3 AS x, y + 1 AS y FROM pixels WHERE v >= 128), k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS k) SELECT DISTINCT tile_id, CAST(x + i.k AS BIGINT) AS x, CAST(y + j.k AS BIGINT) AS y, CAST(255 AS INT) AS v FROM m CROSS JOIN k i CROSS JOIN k j WHERE x + i.k BETWEEN 0 AND 11 AND y + j.k BETWEEN 0 AND 9")
@@ -882,7 +904,7 @@ def unchanged_outside_mask(spark, d):
     return raster.unchanged_outside(p, made, p)
 
 
-@query("filled_rectangles", f"{PIXEL_NODES} SELECT slide_id, ord, w * h AS pixels FROM clipped WHERE slide_id < 200 AND ord < 6")
+@query("filled_rectangles", f"{PIXEL_NODES} SELECT slide_id, ord, w * h AS pixels FROM clipped")
 def filled_rectangles(spark, d):
     return raster.filled_counts(_clipped(spark, d), "slide_id", "ord")
 
@@ -913,7 +935,11 @@ def plan_equality(spark, d):
     return ledger.same_rows(ids.where("doc_id % 10 <> 1"), ids.where("doc_id % 10 <> 0"))
 
 
-@query("manifest_json")
+@query(
+    "manifest_json",
+    f"""{PIXEL_NODES}, e AS (SELECT slide_id, z, ord, '{{"node_id":"' || node_id || '","x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || '}}' AS e FROM clipped)
+SELECT slide_id, '{{"manifestVersion":2,"elements":[' || string_agg(e, ',' ORDER BY z, ord) || ']}}' AS manifest FROM e GROUP BY slide_id""",
+)
 def manifest_json(spark, d):
     rows = layout.manifest_order(_clipped(spark, d)).select("slide_id", "place", "node_id", "x", "y", "w", "h")
     return publish.manifest(rows)

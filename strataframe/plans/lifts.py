@@ -88,14 +88,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duck(*names: str) -> str:
-    """WITH clauses of the lifts for an oracle."""
+    """WITH clauses of the lifts for an oracle, each worked out once; relations read the clause ``nodes`` where it is there."""
     n = NODES.format(lineitem="lineitem")
     all_of = {
         "nodes": n,
-        "relations": RELATIONS.format(nodes=n),
+        "relations": RELATIONS.replace("({nodes})", "nodes" if "nodes" in names else f"({n})"),
         "ocr": OCR_BOXES.format(lines=DUCK_LINES),
         "pixels": PIXEL_CELLS.format(cells=DUCK_CELLS),
         "attempts": ATTEMPTS.format(events="events"),
         "decisions": DECISIONS.format(documents="documents", labels="labels"),
     }
-    return ", ".join(f"{k} AS ({all_of[k]})" for k in names)
+    return ", ".join(f"{k} AS MATERIALIZED ({all_of[k]})" for k in names)

@@ -14,14 +14,25 @@ SCENE = (
 )
 
 
-def ocr_lines(replies: DataFrame, column: str = "reply", key: str = "slide_id") -> DataFrame:
-    """slide_id, source_index, text, x, y, w, h: the box around each word's four corners; words without eight numbers are left out."""
+def _ocr_words(replies: DataFrame, column: str, key: str) -> DataFrame:
+    """key, words, bad: a reply is bad if it is no JSON of that shape or any of its words has no text or not eight finite numbers."""
     words = F.flatten(F.transform(F.col("r.output.choices"), lambda c: F.flatten(F.transform(c["message"]["content"], lambda m: m["ocr_result"]["words_info"]))))
-    each = replies.select(key, F.from_json(column, LINES).alias("r")).select(key, F.posexplode(words).alias("source_index", "word")).where(F.size("word.location") == 8)
+    wrong = lambda w: w["text"].isNull() | (F.coalesce(F.size(w["location"]), F.lit(-1)) != 8) | F.exists(w["location"], lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return replies.select(key, F.from_json(column, LINES).alias("r")).select(key, words.alias("words")).withColumn("bad", F.col("words").isNull() | F.exists("words", wrong))
+
+
+def ocr_lines(replies: DataFrame, column: str = "reply", key: str = "slide_id") -> DataFrame:
+    """slide_id, source_index, text, x, y, w, h: the box around each word's four corners. Replies of :func:`ocr_rejected` give no lines at all."""
+    each = _ocr_words(replies, column, key).where("not bad").select(key, F.posexplode("words").alias("source_index", "word"))
     xs, ys = (F.transform(F.sequence(F.lit(k), F.lit(k + 6), F.lit(2)), lambda i: F.element_at(F.col("word.location"), i)) for k in (1, 2))
     return each.select(key, "source_index", F.col("word.text").alias("text"), F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
 
 
+def ocr_rejected(replies: DataFrame, column: str = "reply", key: str = "slide_id") -> DataFrame:
+    """The keys of replies that are rejected whole: not of the stated shape, or with a malformed word."""
+    return _ocr_words(replies, column, key).where("bad").select(key)
+
+
 def confidence(v: Column) -> Column:
     """Percentages become shares."""
     return F.when((v > 1) & (v <= 100), v / 100).otherwise(v)
