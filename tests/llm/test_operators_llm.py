@@ -353,12 +353,11 @@ def test_top_k(spark, monkeypatch):
     rows += [(400, rows[0][1], 0), (401, None, 0), (402, [], 0), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (404, [float("nan")] + [0.0] * 5, 0), (405, [float("inf")] + [0.0] * 5, 0), (None, [1.0] * 6, 0), (500, [1.0, 2.0], 0), (501, [0.5, 0.5], 0), (7, rows[7][1], 0), (600, [9.0], 0)]
     vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     monkeypatch.setattr(kdtree, "SHARD", 60)
-    monkeypatch.setattr(kdtree, "QUERIES", 3)
     ok = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q in {i for i, _ in ok if i % 100 == 0}:
         qs = {v for i, v in ok if i == q}
-        s = {(-sum(a * b for a, b in zip(v, w)), i) for v in qs for i, w in ok if i != q and len(w) == len(v)}
+        s = [(-sum(a * b for a, b in zip(v, w)), i) for v in qs for i, w in ok if i != q and len(w) == len(v)]
         want += [(q, k + 1, i, -s_) for k, (s_, i) in enumerate(sorted(s)[:10])]
     assert sorted(map(tuple, kdtree.top_k(vec).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
     assert kdtree.top_k(vec.where("false")).count() == 0
@@ -375,9 +374,14 @@ def test_top_k_of_rows_repeated_more_than_k_times(spark, monkeypatch):
     ok = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows]
     want = []
     for q in {i for i, _ in ok if i % 100 == 0}:
-        s = {(-sum(a * b for a, b in zip(v, w)), i) for v in {v for i, v in ok if i == q} for i, w in ok if i != q}
+        s = [(-sum(a * b for a, b in zip(v, w)), i) for v in {v for i, v in ok if i == q} for i, w in ok if i != q]
         want += [(q, k + 1, i, -s_) for k, (s_, i) in enumerate(sorted(s)[:10])]
     vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    with monkeypatch.context() as m:
+        m.setattr(kdtree, "BOXES", 0)  # every shard is asked
+        assert sorted(map(tuple, kdtree.top_k(vec).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    with pytest.raises(OverflowError):
+        kdtree.top_k(spark.createDataFrame([(1, [3e15, 1.0])], "vec_id long, embedding array<double>"))
     got = sorted(map(tuple, kdtree.top_k(vec).select("query_id", "rank", "vec_id", "score").collect()))
     assert got == sorted(want) and len(got) == 10 * len({q for q, *_ in got})
 
