@@ -39,10 +39,25 @@ CLOSED_BY = {  # an open element of the key ends where one of these begins
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
     "p": BLOCK - {"br", "button", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "title", "html", "head", "body", "select"}, "head": {"body"},
 }
-BOILERPLATE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|comments?|disqus|respond|reply|replies|share|sharing|social|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommended|widget|pagination|pager|legal|copyright|disclaimer|skip)(?:$|[-_ ])",
-    re.I,
-)
+#: Words of class names and ids. The first kind names a thing that is no article wherever the word begins or ends a name ("ad-box", "nav-main");
+#: the second only as what the name says at its end, and not of a part of an article ("site-header", but not "article-header" or "notice-board").
+ALWAYS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus share sharing social cookie cookies popup modal newsletter subscribe signup login related recommended pagination pager".split())
+AT_THE_END = frozenset("banner side aside header masthead respond reply replies consent notice alert overlay widget legal copyright disclaimer skip".split())
+HOLDERS = frozenset("area bar block box container div group holder inner item items links list outer panel row section wrap wrapper".split())
+PARTS = frozenset("article content entry main post story text body".split())
+
+
+def boilerplate(names: str) -> bool:
+    """Whether class names or an id say that an element is no part of an article."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_\d]+", name) if w]
+        while len(words) > 1 and words[-1] in HOLDERS:
+            words.pop()
+        if words and (words[0] in ALWAYS or words[-1] in ALWAYS or words[-1] in AT_THE_END and words[0] not in PARTS):
+            return True
+    return False
+
+
 GOOD = re.compile(r"(?:^|[-_ ])(?:article|content|entry|main|post|story|text|body)(?:$|[-_ ])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 
@@ -111,7 +126,7 @@ class Page:
                 hidden |= key == "hidden"
                 role = value.lower() if key == "role" else role
         up, me = stack[-1], len(self.tag)
-        bad = tag in DROPPED or hidden or role in ROLES or (tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(names))) or (tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack))
+        bad = tag in DROPPED or hidden or role in ROLES or (tag not in ("html", "body", "article", "main") and boilerplate(names)) or (tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack))
         self.tag.append(tag)
         self.path.append("body" if tag in ("html", "body") else f"{self.path[up]}>{label}")  # these two may be left out in a page
         self.good.append((tag in ("article", "main") or role in ("main", "article")) * 2 + bool(GOOD.search(names)))
