@@ -2,8 +2,9 @@
 
 The UTF-8 bytes of a text, all of them, pass ``FILTERS`` learned filters of width ``WIDTH`` (a table of weights for each
 place and byte, which is an embedding and a filter in one). Their rectified responses are averaged over overlapping
-chunks of 256 bytes, one every 128, together with the chunk's self-similarity (the largest share of bytes that equal the
-byte some places before, over ``LAGS``). A learned layer turns a chunk into ``HIDDEN`` features, the document takes the
+chunks of 256 bytes, one every 128, together with the chunk's self-similarity: a fixed channel, the largest share of bytes that equal the
+byte some places before, over ``LAGS`` (without it the held-out AUC at sf0.1 is 0.967 instead of 0.9999; with a learned weight for each
+lag 0.9998, but at sf0.01, with few labels, 0.93 instead of over 0.95). A learned layer turns a chunk into ``HIDDEN`` features, the document takes the
 maximum of each over its chunks, and one logistic unit makes a probability of them.
 
 The network is trained on the driver from ``SAMPLE`` labelled documents at most, their whole texts. A document that no
@@ -29,15 +30,16 @@ from strataframe.llm.shared import least_hashed, read
 
 WIDTH, FILTERS, HIDDEN, BLOCK, LAGS = 5, 8, 16, 128, range(3, 25)
 SAMPLE, TRAIN_BYTES, EPOCHS, RATE, BATCH, SCORE_BYTES, THRESHOLD = 3000, 3000 * 8192, 8, 0.01, 32, 1 << 18, 0.3
+GAP = max(WIDTH - 1, *LAGS)
 Model = dict[str, np.ndarray]
 
 
 class Layout:
-    """Texts as one byte array, each padded with zeros to whole blocks, one zero at least after it."""
+    """Texts as one byte array, each padded with zeros to whole blocks, GAP zeros at least after it."""
 
     def __init__(self, texts: list[bytes]):
         size = np.array([len(t) for t in texts], np.int64)
-        self.blocks = size // BLOCK + 1
+        self.blocks = (size + GAP - 1) // BLOCK + 1  # neither filters nor lags reach into a neighbour
         self.first = np.concatenate(([0], np.cumsum(self.blocks)[:-1])).astype(np.int64)
         data = b"".join(t + bytes(int(n) * BLOCK - len(t)) for t, n in zip(texts, self.blocks, strict=True))
         self.bytes = np.frombuffer(data + bytes(WIDTH), np.uint8)
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     held = docs.join(F.broadcast(few), docs[id_col] == few["__id"]).select("__order", "__id", "__quality", docs[text_col].alias("__text"))
     keyed = held.withColumns({"__hash": F.xxhash64("__text"), "__bytes": F.coalesce(F.octet_length("__text"), F.lit(0))})
     order = ["__order", "__id", "__hash"]
-    sizes = keyed.select(*order, "__bytes").orderBy(*order).limit(sample).collect()
+    sizes = keyed.select(*order, "__bytes").distinct().orderBy(*order).limit(sample).collect()
     # Whole rows in the order of their hashes, without those that no longer fit.
     chosen, left = [], TRAIN_BYTES
     for r in sizes:
@@ -185,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     if not chosen:
         return train([], [])
     keys = docs.sparkSession.createDataFrame(sorted(set(chosen)), "__id long, __hash long")
-    rows = keyed.join(F.broadcast(keys), ["__id", "__hash"]).orderBy(*order).limit(len(chosen)).collect()
+    texts = keyed.join(F.broadcast(keys), ["__id", "__hash"]).groupBy(*order, "__quality").agg(F.first("__text").alias("__text"))  # a repeated row once
+    rows = texts.orderBy(*order).limit(len(chosen)).collect()
     return train([r["__text"] for r in rows], [int(r["__quality"] == 1) for r in rows])
 
 

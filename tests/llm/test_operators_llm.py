@@ -307,6 +307,31 @@ def test_quality_held_out(spark):
     assert sum(g >= 0.3 for g in good) / len(good) > 0.97
 
 
+def plain_score(m, text):
+    """The network read off its tables, byte by byte."""
+    data = list((text or "").encode())
+    act = []
+    for t in range(len(data)):
+        window = [data[t + k] if t + k < len(data) else 0 for k in range(quality.WIDTH)]
+        act.append([max(0.0, sum(float(m["filters"][k, c, f]) for k, c in enumerate(window)) + float(m["filter_bias"][f])) for f in range(quality.FILTERS)])
+    blocks = [range(a, min(a + quality.BLOCK, len(data))) for a in range(0, ((len(data) + quality.GAP - 1) // quality.BLOCK + 1) * quality.BLOCK, quality.BLOCK)]
+    chunks = [list(a) + list(b) for a, b in zip(blocks, blocks[1:])] or [list(blocks[0])]
+    pooled = np.zeros(quality.HIDDEN)
+    for chunk in chunks:
+        n = max(1, len(chunk))
+        x = [sum(act[t][f] for t in chunk) / n for f in range(quality.FILTERS)] + [max(sum(t >= lag and data[t] == data[t - lag] for t in chunk) for lag in quality.LAGS) / n]
+        pooled = np.maximum(pooled, np.maximum(np.array(x) @ m["dense"] + m["dense_bias"], 0))
+    return 1 / (1 + np.exp(-(pooled @ m["out"] + m["out_bias"][0])))
+
+
+def test_quality_scores_by_brute_force():
+    rng = random.Random(12)
+    texts = ["", "a", "x" * 127, "ab " * 43, "q" * 128, " ".join(words_of(90, 5)), "é中" * 60, "".join(rng.choice("abc #%") for _ in range(700)), "line\n" * 200]
+    m = quality.train(texts * 3, [k % 2 for k in range(len(texts))] * 3, epochs=3)
+    assert np.allclose(quality.scores(m, texts), [plain_score(m, t) for t in texts], atol=2e-4)
+    assert np.allclose(quality.scores(m, texts), [quality.scores(m, [t])[0] for t in texts], atol=1e-5)  # whatever the neighbours
+
+
 def test_quality_cases(spark, corpus):
     labels = spark.createDataFrame([(10, 1, 0), (10, 0, 0), (999, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs = table(spark, corpus)
@@ -402,6 +427,31 @@ def test_html_page():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_html_class_words_inside_an_article():
+    said = '<article><div class="article-header"><h1>Head</h1></div><p class="notice-board">Board.</p><div class="post-body">Body text of some length, with more.</div><div class="post-comments">No.</div><div class="ad1">Buy</div></article>'
+    assert html_extract.extract(said + '<div class="site-header">Top</div><div id="footer-2">Foot</div>') == "Head Board. Body text of some length, with more."
+    yes = "ad-box share-bar sidebar-left nav-main comment-42 ad300 cookie-consent-popup site-header related-posts legal-notice header".split()
+    no = "article-header notice-board story-side main-notice content legal-news header-image shadow address adventure".split()
+    assert all(map(html_extract.boilerplate, yes)) and not any(map(html_extract.boilerplate, no))
+
+
+def test_html_against_built_pages():
+    """Pages built of known parts: the article's blocks come back whole, whatever stands around and inside it."""
+    rng = random.Random(21)
+    junk = ['<nav><a href="/x">Menu %d</a></nav>', '<div class="sidebar"><p>Aside %d</p></div>', '<aside>Side %d</aside>', '<div class="cookie-bar">Accept %d</div>', "<script>var x%d = '<p>no</p>';</script>", "<style>p%d{}</style>", '<form><input value="%d"><button>Go</button></form>', "<!-- note %d -->", '<div class="ads"><p>Buy %d</p></div>']
+    for k in range(200):
+        blocks = [" ".join(words_of(rng.randint(8, 40), 1000 * k + j)) for j in range(rng.randint(2, 7))]
+        marked = []
+        for b in blocks:
+            ws = [rng.choice(["%s", "%s", "%s", "<b>%s</b>", "<em>%s</em>", '<a href="/l">%s</a>', "%s&amp;co", "<span class=note>%s</span>"]) % w for w in b.split()]
+            marked.append((b, rng.choice(["p", "h2", "blockquote", "li", "div"]), rng.choice([" ", "\n  "]).join(ws)))
+        want = " ".join(re.sub(r"<[^>]*>", "", m).replace("&amp;", "&") for _, _, m in marked)
+        noise = lambda: "".join(rng.choice(junk) % rng.randrange(99) for _ in range(rng.randint(0, 2)))  # noqa: B023, E731
+        inner = noise() + "".join(f"<{t}>{m}</{t}>" + noise() for _, t, m in marked)
+        page = f"<html><head><title>T {k}</title></head><body>{noise()}<header>Site</header><article>{inner}</article>{noise()}<footer>End {k}</footer></body></html>"
+        assert html_extract.extract(page) == " ".join(want.split()), page
+
+
 def test_html_consensus(spark):
     odd = '<body><div class="content c9"><p>Short.</p></div><div class="extra"><p>' + "Long text of a widget that is no article. " * 9 + "</p></div></body>"
     rows = [(k, f"https://H.example/{k}", PAGE.replace("First", f"First{k}")) for k in range(5)] + [(9, "http://h.example:80/z", odd), (10, None, "<p>x</p>"), (11, "https://other", None), (9, "http://h.example:80/z", odd)]
