@@ -948,3 +948,6 @@ def manifest_json(spark, d):
 @query("text_mask")
 def text_mask(spark, d):
     return raster_udf.tile_text_masks(lifts.pixels(spark, d), gain=2)
+
+
+from strataframe.plans import completion  # noqa: E402, F401  (adds its queries)
