@@ -93,6 +93,14 @@ SENSITIVE = [
     "authorization", "apikey", "apisecret", "accesstoken", "accesskey", "accesskeyid", "accesskeysecret",
     "secretaccesskey", "clientsecret", "credential", "password", "privatekey", "secret",
 ]
+#: Parameters of signed addresses, hyphens and underscores aside.
+SIGNED = ["signature", "accesskey", "securitytoken", "expires"]
+#: Names of opaque identifiers are one of the first list followed by one of the second, or one of the third alone.
+OPAQUE_OF = ["provider", "task", "request", "job", "trace", "session", "operation", "execution", "run", "correlation", "event", "opaque"]
+OPAQUE_AS = ["id", "key", "token", "uuid", "reference"]
+OPAQUE_ALONE = ["id", "uuid", "token"]
+#: A name, lower-cased and without blanks, dots, underscores and hyphens, that is an opaque identifier's.
+OPAQUE_NAME = f"(?:(?:{'|'.join(OPAQUE_OF)})(?:{'|'.join(OPAQUE_AS)})|{'|'.join(OPAQUE_ALONE)})"
 #: Prefixes of headers that carry secrets.
 VENDOR_HEADERS = ["x-dashscope", "x-acs", "x-aliyun", "x-alibaba", "x-oss"]
 
@@ -125,14 +133,13 @@ def redacted(text: Column, configured: str = "") -> Column:
         rf"(?i)\b(?:{'|'.join('[._-]*'.join(n) for n in sorted(SENSITIVE, key=len, reverse=True))})[._-]*\s*[:=]\s*([\"']?)(?:bearer\s+)?[^\s,;}}\"']+\1",
     ):
         text = F.regexp_replace(text, pattern, mark)
-    text = F.regexp_replace(text, r"(?i)https?://[^\s<>\"'?]*\?(?:[^\s<>\"'&#]*&)*[^\s<>\"'=&#]*(?:s-?_?i-?_?g-?_?n-?_?a-?_?t-?_?u-?_?r-?_?e|access-?_?key|security-?_?token|expires)[^\s<>\"']*", "[REDACTED_URL]")
+    signed = "|".join("[-_]*".join(n) for n in SIGNED)
+    text = F.regexp_replace(text, rf"(?i)https?://[^\s<>\"'?]*\?(?:[^\s<>\"'&#]*&)*[^\s<>\"'=&#]*(?:{signed})[^\s<>\"']*", "[REDACTED_URL]")
     return F.regexp_replace(text, rf"(?i)\b(?:{headers})-[a-z0-9-]+\s*[:=]\s*[^\s,;}}\"']+", mark)
 
 
 def opaque_key(key: Column) -> Column:
-    return F.regexp_replace(F.lower(key), r"[\s._-]+", "").rlike(
-        "^((provider|task|request|job|trace|session|operation|execution|run|correlation|event|opaque)(id|key|token|uuid|reference)|id|uuid|token)$"
-    )
+    return F.regexp_replace(F.lower(key), r"[\s._-]+", "").rlike(f"^{OPAQUE_NAME}$")
 
 
 def opaque_value(v: Column) -> Column:

@@ -27,6 +27,7 @@ def plan_page(nodes: list[dict], relations: list[dict], texts: list[dict]) -> tu
     overlaps, or a cycle of layers, each with a warning. What is left is ordered: rear before front, then by z and id.
     """
     by_id = {n["node_id"]: n for n in nodes}
+    stated, relations = relations, [r for r in relations if r["from_id"] in by_id and r["to_id"] in by_id]
     free = [n for n in nodes if n["role"] not in (*PROTECTED, "decoration")]
     same = [(a["node_id"], b["node_id"]) for i, a in enumerate(free) for b in free[i + 1 :] if a["role"] == b["role"] and overlap(a, b) >= DUPLICATE]
     inner = [r for r in relations if r["kind"] in INNER]
@@ -37,7 +38,7 @@ def plan_page(nodes: list[dict], relations: list[dict], texts: list[dict]) -> tu
     members: dict[str, list[str]] = defaultdict(list)
     for n in sorted(by_id):
         members[root[n]].append(n)
-    warnings: set[str] = set()
+    warnings = {f"dangling_relation:{r['rel_id']}" for r in stated if r["from_id"] not in by_id or r["to_id"] not in by_id}
     rejected: set[str] = set()
     drafts: dict[str, dict] = {}
     owner: dict[str, str] = {}

@@ -298,6 +298,21 @@ def redact_secrets(spark, d):
     return docs.select("doc_id", t.redacted(F.replace("text", F.lit("token ="), F.lit("api_key ="))).alias("text"))
 
 
+#: What stands after the tokens of a page's line, and what is left of it.
+SECRETS = [
+    ("Authorization: bearer abc.def-42", "[REDACTED]"), ("use sk-abcdefgh_12 here", "use [REDACTED] here"), ("key LTAI0123456789ab.", "key [REDACTED]."), ('{"client_secret": "x y z"}', "{[REDACTED]}"),
+    ("Access-Key-Id: 77aa", "[REDACTED]"), ("GET https://h.example/p?a=1&X-Sig-nature=zz&b=2 now", "GET [REDACTED_URL] now"), ("x-acs-date: today1", "[REDACTED]"), ("https://h.example/p?page=1 and tokens", "https://h.example/p?page=1 and tokens"),
+]
+
+
+@query("redact_forms", "SELECT page_id, 'page ' || page_id || ' ' || CASE page_id % 8 " + " ".join(f"WHEN {k} THEN '{made}'" for k, (_, made) in enumerate(SECRETS)) + " END AS line FROM pages")
+def redact_forms(spark, d):
+    """Every rule of the redaction, each on a line of its own kind."""
+    said = F.element_at(F.array(*(F.lit(s) for s, _ in SECRETS)), (F.col("page_id") % 8 + 1).cast("int"))
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", t.redacted(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" "), said)).alias("line"))
+
+
 @query("rgb_hex", f"WITH {duck('nodes')} SELECT slide_id, ord, upper(lpad(to_hex(x % 256), 2, '0') || lpad(to_hex(y % 256), 2, '0') || lpad(to_hex(w % 256), 2, '0')) AS colour FROM nodes")
 def rgb_hex(spark, d):
     return lifts.nodes(spark, d).select("slide_id", "ord", g.colour_hex(F.col("x") % 256, F.col("y") % 256, F.col("w") % 256).alias("colour"))
@@ -709,7 +724,8 @@ ARTIFACT = "CASE WHEN doc_id % 17 = 0 THEN '../' ELSE 'crops/' END || CAST(doc_i
 
 @query(
     "sha_verify_artifacts",
-    f"WITH a AS (SELECT {ARTIFACT} AS path, doc_id, text FROM documents) SELECT path, CASE WHEN doc_id % 17 = 0 THEN 'unsafe_path' WHEN doc_id % 5 = 0 THEN 'undeclared' WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM a WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0)",
+    f"""WITH a AS (SELECT {ARTIFACT} AS path, doc_id, text FROM documents), d AS (SELECT path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS declared FROM a WHERE doc_id % 5 <> 0), c AS (SELECT path, sha256(text) AS found FROM a WHERE doc_id % 7 <> 0)
+SELECT coalesce(d.path, c.path) AS path, CASE WHEN contains(coalesce(d.path, c.path), '..') THEN 'unsafe_path' WHEN declared IS NULL THEN 'undeclared' WHEN found IS NULL THEN 'missing' WHEN declared <> found THEN 'mismatch' ELSE 'ok' END AS status FROM d FULL JOIN c ON c.path = d.path""",
 )
 def sha_verify_artifacts(spark, d):
     path = F.concat(F.when(F.col("doc_id") % 17 == 0, "../").otherwise("crops/"), F.col("doc_id").cast("string"), F.lit(".txt"))

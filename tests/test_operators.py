@@ -74,6 +74,8 @@ def test_plan_page():
     assert layers[0]["occluders"] == ["c"] and layers[2]["texts"] == ["ocr-1"] and warnings == ["uncertain_candidate:low"]
     _, warnings = planner.plan_page(nodes, [*relations, rel("r3", "occludes", "d", "c")], [])
     assert "cycle_in_layer_order:c,d" in warnings and "dangling_ocr_association:c,t" in warnings
+    same, warnings = planner.plan_page(nodes, [*relations, rel("r9", "occludes", "gone", "c")], [])
+    assert "dangling_relation:r9" in warnings and [x for x in same] == planner.plan_page(nodes, relations, [])[0]
     layers, _ = planner.plan_page([node("g", "compound-group", 0, 0), node("o", "foreground-object", 10, 10)], [rel("r", "belongs-to", "o", "g")], [])
     assert [(d["id"], d["kind"], d["members"]) for d in layers] == [("g", "compound-group", ["g", "o"])]
 
