@@ -157,13 +157,9 @@ def train(paragraphs: list[str], copies: int = 30, seed: int = 11, steps: int =
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The negatives: at most ``sample`` lines and paragraphs, whole and from anywhere in at most ``sample`` / 4 documents, those with the least hashes."""
-    some = (
-        least_hashed(docs, F.xxhash64(id_col), sample // 4)
-        .select(F.xxhash64(id_col).alias("order"), F.col(text_col).alias("text"))
-        .where("text is not null")
-        .orderBy("order", "text")
-        .limit(sample // 4)
-    )
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("order")).where("text is not null")
+    # Different texts, whatever their ids: copies count once.
+    some = least_hashed(texts, F.col("order"), sample // 4).groupBy("order").agg(F.first("text").alias("text")).orderBy("order").limit(sample // 4)
     parts = some.select("order", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n\s*\n")))).alias("part")).where("part rlike '\\\\S'")
     few = parts.orderBy(F.xxhash64("order", "part"), "order", "part").limit(sample).collect()
     return train([r["part"] for r in few])
