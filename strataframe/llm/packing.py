@@ -15,6 +15,7 @@ piece may be shorter; a repeated row is packed again; null ids are kept; an empt
 from __future__ import annotations
 
 import bisect
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -137,6 +138,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         inverse[row] /= way[row]
         others = np.arange(k) != row
         inverse[others] -= np.outer(way[others], inverse[row])
+    else:
+        warnings.warn(f"the packing programme of {k} sizes was left before its optimum; the plan is whole, but may be less tight", stacklevel=2)
     return [(c, max(0.0, v)) for c, v in zip(columns, x, strict=True)]
 
 
@@ -246,13 +249,14 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rules, _ = plan(counts, capacity)
     total = max(1, sum(counts.values()))
     buckets = F.array(*[F.lit(max(1, -(-counts.get(s, 0) // 100_000), -(-256 * counts.get(s, 0) // total))) for s in range(capacity + 1)])
-    held = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(buckets, F.col("length").cast("int") + 1)))
+    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in parts.columns]  # repeated and null ids differ in the last
+    held = parts.withColumn("bucket", F.pmod(F.xxhash64(*order), F.element_at(buckets, F.col("length").cast("int") + 1)))
     before = (
         held.groupBy("length", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     )
-    ranked = held.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1).join(before, ["length", "bucket"])
+    ranked = held.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1).join(before, ["length", "bucket"])
     columns = parts.columns
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
