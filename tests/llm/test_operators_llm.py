@@ -648,3 +648,34 @@ def test_stages_of_an_empty_table(spark):
 
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table(spark, []), DATA).count() == 0
+
+
+def test_stages_of_odd_rows(spark, corpus, monkeypatch):
+    """Null and repeated ids, null, blank and long texts and clashing columns pass all stages; rows go one by one, not by id."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(quality, "THRESHOLD", 0.0)  # the classifier's own choices are tested above
+    rows = [*corpus, (30, "write anna@mail.example.com"), (30, "another text of the same id"), (None, "call 555-123-4567 " + " ".join(words_of(30, 77))), (None, "quite different " + " ".join(words_of(30, 78)))]
+    docs = table(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = shared.stored(stage(spark, docs, DATA), "odd")
+        assert out.columns == docs.columns, name
+        docs = out
+    kept = docs.collect()
+    assert sorted(str(r.doc_id) for r in kept if r.doc_id in (30, None)) == ["30", "30", "None", "None"]
+    assert not any("anna@mail" in (r.text or "") or "555-123-4567" in (r.text or "") for r in kept)
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in kept)
+    norm = [re.sub(r"[\x20\x09-\x0D]+", "", r.text or "") for r in kept]
+    assert len(norm) == len(set(norm))
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, DATA).collect()
+    assert sum(r.length for r in packed) == sum(len(whole_ids(r.text)) + 1 for r in kept)
+
+
+def test_lattice_is_relational(spark):
+    """Substrings are exploded, joined with the broadcast pieces, grouped by word without Python, and folded by one aggregate."""
+    c = sentencepiece_codec.codec()
+    out = sentencepiece_codec.folded(spark.createDataFrame([("▁words",)], "word string"), c, "word")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "BroadcastHashJoin [part" in plan and "collect_list" in plan and "aggregate(sort_array(" in plan
+    assert "Python" not in plan and "Arrow" not in plan
+    assert np.frombuffer(out.first().data, "<u4").tolist() == c.model.encode("words")
