@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, html_extract, kdtree, license_scan, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup
+from strataframe.llm import exact_dedup, fill_in_middle, html_extract, kdtree, license_scan, line_dedup, merkle, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_kdtree": kdtree.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_line_dedup": line_dedup.query,
+    "op13_fill_in_middle": fill_in_middle.query,
 }
 SQL = {
     "op9_kdtree": kdtree.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_line_dedup": line_dedup.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
