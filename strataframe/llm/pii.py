@@ -8,7 +8,8 @@ label ("Dr. ...", "name: ..."). Names that neither begin with a listed given nam
 of it, however it is written, becomes the same one, in the mention's own format: a digit stays a digit, capital and small letters stay
 so, punctuation stays, a dotted number keeps the length of its parts, a card number that passed the check digit passes it again,
 the top-level domain stays. A given name becomes another of the same gender and script, a surname a made-up one of that script.
-A mention of only a part of a name is another entity.
+Coreference: in a text, a surname that a full name there has (after a title or on its own) becomes the surname of that name's surrogate; of
+several people with one surname the first counts. A mention of only a given name stays.
 
 The key is an argument or the setting ``spark.strataframe.pii.key``; without either an application draws one at random, so that nobody can
 work the surrogates out again. Draws come from HMAC-SHA256.
@@ -172,14 +173,16 @@ def _name(e: Column, seed: Column, attempt: Column) -> Column:
         for script, letters in (("greek", "[Ͱ-Ͽ]"), ("cyrillic", "[Ѐ-ӿ]"), ("latin", ".")):
             sound = F.array(*map(F.lit, SYLLABLES[script]))
             count = F.lit(2) + F.least(attempt, F.lit(4)).cast("int")
-            made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(sound, (_draw(seed, F.concat_ws(".", place, i), 16) + 1).cast("int"))), ""))  # noqa: B023
+            made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(sound, (_draw(seed, F.concat_ws(".", place, i), len(SYLLABLES[script])) + 1).cast("int"))), ""))  # noqa: B023
             out = F.when(t.rlike(letters), made) if out is None else out.when(t.rlike(letters), made)
         return out
 
     def part(t: Column, i: Column) -> Column:
         out = F.when(t.rlike(r"^\p{L}\.$"), F.concat(F.char(_draw(seed, i, 26) + 65), F.lit(".")))
         for pool in GIVEN.values():
-            out = out.when((i == 0) & F.initcap(F.lower(t)).isin(pool), F.element_at(F.array(*map(F.lit, pool)), (_draw(seed, 0, len(pool)) + 1).cast("int")))
+            names = F.array(*map(F.lit, pool))
+            own, drawn = F.array_position(names, F.initcap(F.lower(t))), _draw(seed, 0, len(pool) - 1) + 1
+            out = out.when((i == 0) & (own > 0), F.element_at(names, (drawn + (drawn >= own).cast("int")).cast("int")))
         return out.otherwise(F.array_join(F.transform(F.split(t, "-"), lambda p, j: word(p, F.concat_ws("-", i, j))), "-"))
 
     made = F.array_join(F.transform(F.split(e, " "), part), " ")
@@ -261,16 +264,42 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
         removed(old, again)
 
 
+def _people(found: Column, made: Column) -> Column:
+    """(old, new) surnames of the full names of a text, in one case, the first of each: surrogates of later mentions of the surname alone."""
+    last = lambda name: F.element_at(F.split(F.when(F.upper(name) == name, F.initcap(F.lower(name))).otherwise(name), " "), -1)
+    both = F.zip_with(found, made, lambda x, m: F.struct(x["k"].alias("k"), x["e"].alias("e"), last(x["e"]).alias("old"), last(m).alias("new")))
+    return F.transform(F.filter(both, lambda p: (p["k"] == "name") & F.contains(p["e"], F.lit(" ")) & (F.length(p["old"]) > 2)), lambda p: F.struct(p["old"].alias("old"), p["new"].alias("new")))
+
+
+def _renamed(made: Column, mention: Column, people: Column) -> Column:
+    """The surrogate of a mention of one word: that of the person with this surname, if the text names one in full."""
+    whose = F.get(F.filter(people, lambda p: F.lower(p["old"]) == F.lower(mention)), F.lit(0))["new"]
+    return F.when(F.contains(mention, F.lit(" ")) | whose.isNull(), made).when(F.upper(mention) == mention, F.upper(whose)).otherwise(whose)
+
+
+def _surnames(piece: Column, people: Column) -> Column:
+    """What is between entities, with the surnames of people in it replaced, whole words only."""
+
+    def one(text: Column, p: Column) -> Column:
+        word = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}_\-])"), w, F.lit(r"(?![\p{L}\p{N}_\-])"))
+        big, small = F.upper(p["old"]), p["old"]
+        return F.when(F.contains(text, small) | F.contains(text, big), F.regexp_replace(F.regexp_replace(text, word(small), p["new"]), word(big), F.upper(p["new"]))).otherwise(text)
+
+    return F.aggregate(people, piece, one)
+
+
 def rewritten(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their texts rewritten, and a column n_entities."""
     key = key_of(docs.sparkSession, key)
     odd = stored(exceptions(entities(docs, text_col), key), "exceptions")
     held = docs.withColumn("__pieces", _pieces(F.col(text_col))).withColumn("__found", _kinds(F.col("__pieces")))
     if not odd.isEmpty():
-        own = docs.select(F.col(id_col).alias("__id"), F.explode(_kinds(_pieces(F.col(text_col)))).alias("x"))
+        # By the row's contents, not by its id alone: what rows of one hash would share are facts about entities, which hold everywhere.
+        row = F.xxhash64(F.col(id_col), F.col(text_col))
+        own = docs.select(row.alias("__id"), F.explode(_kinds(_pieces(F.col(text_col)))).alias("x"))
         own = own.select("__id", F.col("x.k").alias("kind"), F.col("x.c").alias("canon"))
         of_doc = own.join(F.broadcast(odd) if few(odd) else odd, ["kind", "canon"]).groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__attempts"))
-        held = held.join(of_doc, docs[id_col].eqNullSafe(of_doc["__id"]), "left")
+        held = held.withColumn("__id", row).join(of_doc, "__id", "left")
 
     def attempt(x: Column) -> Column:
         return F.lit(0) if "__attempts" not in held.columns else F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws(":", x["k"], x["c"])), F.lit(0))
@@ -278,7 +307,12 @@ def rewritten(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", t
     tried = F.transform("__found", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), attempt(x).alias("a")))
     seeded = F.transform(tried, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["a"].alias("a"), seed_of(x["k"], x["c"], x["a"], key).alias("s")))
     held = held.withColumn("__made", F.transform(seeded, lambda x: surrogate(x["e"], x["k"], x["s"], x["a"])))
+    held = held.withColumn("__people", _people(F.col("__found"), F.col("__made")))
     size = F.greatest(F.size("__made"), F.lit(0))
+    alone = lambda m, i: F.when(F.get("__found", i)["k"] == "name", _renamed(m, F.get("__found", i)["e"], F.col("__people"))).otherwise(m)
+    made = F.when(F.size("__people") > 0, F.transform("__made", alone)).otherwise(F.col("__made"))
+    pieces = F.when(F.size("__people") > 0, F.transform("__pieces", lambda p, i: F.when(i % 2 == 0, _surnames(p, F.col("__people"))).otherwise(p))).otherwise(F.col("__pieces"))
+    held = held.withColumns({"__made": made, "__pieces": pieces})
     between = F.transform("__made", lambda m, i: F.concat(m, F.element_at(F.col("__pieces"), 2 * i + 3)))
     text = F.when(size > 0, F.concat(F.element_at("__pieces", 1), F.array_join(between, ""))).otherwise(F.col(text_col))
     return held.select(*(text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns), size.cast("long").alias("n_entities"))

@@ -537,7 +537,7 @@ def test_pii_forms(spark):
     rows = [(k, t % e) for k, (t, e) in enumerate(said.items())] + [(50, "Anna Smith"), (51, "ANNA SMITH"), (52, None)]
     clean = ["std::move at 12:30:45 and a::b", "The Anna river. Dr. is short", "Chapter 020 of 7946", "tokens: many words follow", "MARIA is a name", "name: unknown"]
     docs = table(spark, rows + list(enumerate(clean, 60)))
-    out = {r.doc_id: r for r in pii.rewritten(docs).collect()}
+    out = {r.doc_id: r for r in pii.rewritten(docs, "a key for tests").collect()}
     for k, (t, e) in enumerate(said.items()):
         before, after = t.split("%s")
         made = out[k].text[len(before) : len(out[k].text) - len(after)]
