@@ -32,9 +32,9 @@ def contact_sides(visible: DataFrame, hidden: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, each).join(visible.select(*PIXEL), PIXEL).distinct()
 
 
-def rear_samples(visible: DataFrame, hidden: DataFrame, occluder: DataFrame, opaque: DataFrame, width: int, height: int) -> DataFrame:
-    """(tile_id, x, y): samples of the rear object. Both opposite sides must have contacts and SAMPLES samples each; left and right go before top and bottom."""
-    contacts = contact_sides(visible, hidden)
+def rear_samples(visible: DataFrame, hidden: DataFrame, occluder: DataFrame, opaque: DataFrame, width: int, height: int, ends: DataFrame | None = None) -> DataFrame:
+    """(tile_id, x, y): samples of the rear object around ``ends`` (all of it by default). Both opposite sides must have contacts and SAMPLES samples each; left and right go before top and bottom."""
+    contacts = contact_sides(visible if ends is None else ends, hidden)
     has = contacts.groupBy(KEY).agg(*(F.bool_or(F.col("side") == s).alias(s) for s in SIDES))
     axis = F.when(F.col("left") & F.col("right"), F.array(F.lit("left"), F.lit("right"))).when(F.col("top") & F.col("bottom"), F.array(F.lit("top"), F.lit("bottom")))
     wanted = has.select(KEY, F.explode(axis).alias("side"))
