@@ -11,45 +11,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strataframe.operators.runs import joined_runs
+
 CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))  # (dy, dx): up, left, right, down
 AROUND = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
-RING, RING_MAD, SEED_DISTANCE, PASSES, FILLED_P95 = 16, 18, 64, 64, 28
+RING, RING_MAD, SEED_DISTANCE, PASSES, FILLED_P95, SURFACE_STEP = 16, 18, 64, 64, 28, 32
 FRINGE, DOMINANT, GAP, GAP_SHARE = 96, 0.6, 4, 0.1
 
 
+def grid_runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, first x, last x) of the runs of a boolean grid, in reading order."""
+    edge = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, x0 = np.nonzero(edge == 1)
+    return y, x0, np.nonzero(edge == -1)[1] - 1
+
+
 def labelled(on: np.ndarray, steps: tuple = CROSS) -> np.ndarray:
     """Components of a boolean grid, numbered from 1 in reading order of their first pixels; 0 is off."""
-    out, n = np.zeros(on.shape, np.int32), 0
-    for start in zip(*np.nonzero(on), strict=True):
-        if out[start]:
-            continue
-        n += 1
-        out[start] = n
-        todo = [start]
-        while todo:
-            y, x = todo.pop()
-            for dy, dx in steps:
-                p = (y + dy, x + dx)
-                if 0 <= p[0] < on.shape[0] and 0 <= p[1] < on.shape[1] and on[p] and not out[p]:
-                    out[p] = n
-                    todo.append(p)
+    y, x0, x1 = grid_runs(on)
+    number = np.unique(joined_runs(y, x0, x1, int(len(steps) > 4)), return_inverse=True)[1]
+    out = np.zeros(on.shape, np.int32)
+    out[on.astype(bool)] = np.repeat(number + 1, x1 - x0 + 1)
     return out
 
 
 def flooded(open_: np.ndarray, steps: tuple = CROSS) -> np.ndarray:
-    """What is reached from the rim through open cells: rings of neighbours are added until nothing changes."""
-    rim = np.zeros_like(open_)
-    rim[[0, -1], :] = rim[:, [0, -1]] = True
-    seen = open_ & rim
-    while True:
-        grown = seen.copy()
-        for dy, dx in steps:
-            moved = np.zeros_like(seen)
-            moved[max(dy, 0) : seen.shape[0] + min(dy, 0), max(dx, 0) : seen.shape[1] + min(dx, 0)] = seen[max(-dy, 0) : seen.shape[0] + min(-dy, 0), max(-dx, 0) : seen.shape[1] + min(-dx, 0)]
-            grown |= moved & open_
-        if (grown == seen).all():
-            return seen
-        seen = grown
+    """What is reached from the rim through open cells: the components that touch it."""
+    parts = labelled(open_, steps)
+    reached = np.zeros(int(parts.max()) + 1, bool)
+    reached[np.concatenate((parts[0], parts[-1], parts[:, 0], parts[:, -1]))] = True
+    reached[0] = False
+    return reached[parts]
+
+
+def beyond(parts: np.ndarray, main: int, limit: float) -> np.ndarray:
+    """For each component, whether all of it lies farther than ``limit`` (squared) from the component ``main``; rows are searched, not pairs."""
+    y, x = np.nonzero((parts > 0) & (parts != main))
+    best, wide = np.full(len(y), np.inf), parts.shape[1] + 1
+    my, mx = np.nonzero(parts == main)
+    keys = my * wide + mx
+    for dy in range(-int(limit**0.5), int(limit**0.5) + 1):
+        after = np.searchsorted(keys, (y + dy) * wide + x)
+        for j in (np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)):
+            best = np.minimum(best, np.where(my[j] == y + dy, dy**2 + (mx[j] - x) ** 2, np.inf))
+    nearest = np.full(int(parts.max()) + 1, np.inf)
+    np.minimum.at(nearest, parts[y, x], best)
+    nearest[[0, main]] = 0
+    return nearest > limit
 
 
 def half_up(v: np.ndarray) -> np.ndarray:
@@ -76,14 +84,9 @@ def without_background(image: np.ndarray, tolerance: int = 32, consistent: float
     sizes = np.bincount(parts.ravel())[1:]
     if len(sizes) > 1 and sizes.max() / sizes.sum() >= DOMINANT:
         main = int(sizes.argmax()) + 1
-        my, mx = np.nonzero(parts == main)
-        limit = max(GAP, GAP_SHARE * float(np.hypot(*parts.shape))) ** 2
-        for k in range(1, len(sizes) + 1):
-            if k != main:
-                y, x = np.nonzero(parts == k)
-                if min(int(((my - a) ** 2 + (mx - b) ** 2).min()) for a, b in zip(y, x, strict=True)) > limit:
-                    gone |= parts == k
-                    out[parts == k, 3] = 0
+        far = beyond(parts, main, max(GAP, GAP_SHARE * float(np.hypot(*parts.shape))) ** 2)[parts]
+        gone |= far
+        out[far, 3] = 0
     near = np.zeros_like(gone)
     padded = np.pad(gone, 1)
     for dy, dx in AROUND:
@@ -97,62 +100,101 @@ def without_background(image: np.ndarray, tolerance: int = 32, consistent: float
     return out.astype(np.uint8)
 
 
-def repaired(image: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, str, dict]:
+def _beside(at: np.ndarray, w: int, h: int) -> np.ndarray:
+    """The places up, left, right and down of each place of a grid; -1 outside."""
+    y, x = np.divmod(at, w)
+    return np.stack([np.where(y > 0, at - w, -1), np.where(x > 0, at - 1, -1), np.where(x < w - 1, at + 1, -1), np.where(y < h - 1, at + w, -1)], axis=1)
+
+
+def _firsts(at: np.ndarray) -> np.ndarray:
+    """Where each value of an array stands first, in order."""
+    return np.sort(np.unique(at, return_index=True)[1])
+
+
+def repaired(image: np.ndarray, mask: np.ndarray, surface: np.ndarray | None = None) -> tuple[np.ndarray, str, dict]:
     """The masked pixels filled from the surface around them, a reason why not (or ""), and the metrics.
 
     A ring of 16 samples at least, close together, seeds the fill; each masked pixel takes the nearest seed's colour (breadth first, up, left, right,
-    down), and 64 passes in place, each pixel the rounded mean of its neighbours, smooth it. In place and rounded, the result depends on the
-    reading order, so it is done pixel by pixel.
+    down), and 64 passes in place, each pixel the rounded mean of its neighbours, smooth it. In place and in reading order, a pixel of diagonal d in
+    pass k sees what diagonal d - 1 has after pass k and d + 1 after pass k - 1; so at step t all pixels with d + 2 k = t change at once.
+    With ``surface``, samples come from it alone, and steps between neighbours of the ring and across the seam count instead of spreads.
     """
     h, w = mask.shape
-    inside = [(y, x) for y in range(h) for x in range(w) if mask[y, x]]
-    metrics = {"masked": len(inside), "ring": 0, "mad": 0.0, "p95": 0.0}
-    if not inside:
+    on, flat = mask.ravel().astype(bool), image.reshape(h * w, -1)[:, :3].astype(np.int64)
+    open_ = np.ones(h * w, bool) if surface is None else surface.ravel().astype(bool)
+    inside = np.flatnonzero(on)
+    metrics = {"masked": 0, "ring": 0, "mad": 0.0, "p95": 0.0}
+    if not open_[inside].all():
+        return image, "surface_samples_insufficient", metrics
+    metrics["masked"] = len(inside)
+    if not len(inside):
         return image, "mask_empty", metrics
-    around = lambda y, x: [(y + dy, x + dx) for dy, dx in CROSS if 0 <= y + dy < h and 0 <= x + dx < w]
-    seen, front, ring = set(inside), inside, []
-    while len(ring) < RING and front:
-        nxt = []
-        for p in front:
-            for q in around(*p):
-                if q not in seen:
-                    seen.add(q)
-                    nxt.append(q)
-        ring += nxt
-        front = nxt
+    rank95 = lambda v: float(np.sort(v)[int(np.ceil(0.95 * len(v))) - 1]) if len(v) else 0.0
+    seen, front, found = on.copy(), inside, []
+    while sum(map(len, found)) < RING and len(front):
+        q = _beside(front, w, h).ravel()
+        q = q[(q >= 0) & ~seen[q]]
+        q = q[_firsts(q)]
+        seen[q] = True
+        front = q[open_[q]]
+        found.append(front)
+    ring = np.concatenate(found)
     metrics["ring"] = len(ring)
     if len(ring) < RING:
         return image, "surface_samples_insufficient", metrics
-    colours = np.array([image[p][:3] for p in ring], np.float64)
-    middle = np.median(colours, axis=0)
-    metrics["mad"] = float(np.median(np.abs(colours - middle), axis=0).max())
-    if metrics["mad"] > RING_MAD:
+    middle = np.median(flat[ring], axis=0)
+    safe, limit = ring, RING_MAD
+    if surface is None:
+        metrics["mad"] = float(np.median(np.abs(flat[ring] - middle), axis=0).max())
+    else:
+        of_ring, q = np.zeros(h * w, bool), _beside(ring, w, h)
+        of_ring[ring] = True
+        pair = (q > ring[:, None]) & of_ring[q]
+        metrics["mad"], limit = rank95(np.abs(flat[np.repeat(ring, pair.sum(axis=1))] - flat[q[pair]]).max(axis=1)), SURFACE_STEP
+    if metrics["mad"] > limit:
         return image, "surface_variance_too_high", metrics
-    safe = [p for p, c in zip(ring, colours, strict=True) if np.sqrt(((c - middle) ** 2).sum()) <= SEED_DISTANCE]
+    if surface is None:
+        safe = ring[np.sqrt(((flat[ring] - middle) ** 2).sum(axis=1)) <= SEED_DISTANCE]
     metrics["ring"] = len(safe)
     if len(safe) < RING:
         return image, "surface_samples_insufficient", metrics
-    seed = {p: p for p in safe}
-    queue = list(safe)
-    for p in queue:  # grows while it is read
-        for q in around(*p):
-            if mask[q] and q not in seed:
-                seed[q] = seed[p]
-                queue.append(q)
-    out = image.astype(np.int64)
-    for p in inside:
-        if p not in seed:
-            return image, "surface_samples_insufficient", metrics
-        out[p][:3] = image[seed[p]][:3]
-    known = {p: [q for q in around(*p) if q in seed] for p in inside}
-    for _ in range(PASSES):
-        for p in inside:
-            out[p][:3] = half_up(np.array([out[q][:3] for q in known[p]]).sum(axis=0) / len(known[p]))
-    off = sorted(float(np.abs(out[p][:3] - middle).max()) for p in inside)
-    metrics["p95"] = off[int(np.ceil(0.95 * len(off))) - 1]
-    if metrics["p95"] > FILLED_P95:
-        return image, "filled_pixels_too_different", metrics
-    return out.astype(np.uint8), "", metrics
+    seed = np.full(h * w, -1)
+    seed[safe] = front = safe
+    while len(front):
+        q, of = _beside(front, w, h).ravel(), np.repeat(seed[front], 4)
+        new = (q >= 0) & on[q] & (seed[q] < 0)
+        q, of = q[new], of[new]
+        first = _firsts(q)
+        seed[q[first]] = of[first]
+        front = q[first]
+    if (seed[inside] < 0).any():
+        return image, "surface_samples_insufficient", metrics
+    out = flat.copy()
+    out[inside] = flat[seed[inside]]
+    diagonal = inside // w + inside % w
+    order = np.lexsort((diagonal, diagonal % 2))
+    at, diagonal = inside[order], diagonal[order]
+    q = _beside(at, w, h)
+    known = (q >= 0) & (seed[q] >= 0)
+    count = known.sum(axis=1)
+    halves = np.searchsorted(diagonal % 2, [0, 1, 2])
+    for t in range(int(diagonal.min()), int(diagonal.max()) + 2 * PASSES - 1):
+        low, high = halves[t % 2 : t % 2 + 2]
+        a, b = low + np.searchsorted(diagonal[low:high], [t - 2 * PASSES + 2, t + 1])
+        if a < b:
+            total = (out[q[a:b]] * known[a:b, :, None]).sum(axis=1)
+            out[at[a:b]] = (2 * total + count[a:b, None]) // (2 * count[a:b, None])
+    if surface is None:
+        metrics["p95"] = rank95(np.abs(out[inside] - middle).max(axis=1))
+        if metrics["p95"] > FILLED_P95:
+            return image, "filled_pixels_too_different", metrics
+    else:
+        q = _beside(inside, w, h)
+        seam = (q >= 0) & ~on[q] & open_[q]
+        metrics["p95"] = rank95(np.abs(out[np.repeat(inside, seam.sum(axis=1))] - out[q[seam]]).max(axis=1))
+    made = image.copy()
+    made.reshape(h * w, -1)[:, :3] = out
+    return made.astype(np.uint8), "", metrics
 
 
 def per_tile(tiles: DataFrame, work: Callable[[np.ndarray], list[tuple]], schema: str, width: int, height: int, key: str = "tile_id") -> DataFrame:

@@ -12,7 +12,7 @@ from strataframe.functions import geometry as g
 from strataframe.functions import text as t
 from strataframe.operators import graph, layout, ledger, planner, raster, raster_udf, routing, selection
 from strataframe.plans import lifts
-from strataframe.plans.lifts import HEIGHT, KINDS, ROLES, WIDTH, duck
+from strataframe.plans.lifts import HEIGHT, KINDS, ROLES, WIDTH, duck, grouped
 from strataframe.sources import publish
 from strataframe.streaming import routing as streams
 
@@ -65,7 +65,7 @@ def clip_warning(spark, d):
     return layout.clip_warnings(lifts.nodes(spark, d), WIDTH, HEIGHT)
 
 
-@query("iou_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 WHERE {IOU} >= 0.25")
+@query("iou_pairs", grouped(f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 WHERE {IOU} >= 0.25"))
 def iou_pairs(spark, d):
     return layout.overlapping_pairs(_clipped(spark, d), "iou", 0.25)
 
@@ -75,12 +75,12 @@ def iou_pairs_by_tile(spark, d):
     return layout.overlapping_pairs_by_tile(_clipped(spark, d), WIDTH)
 
 
-@query("overlap_smaller_pairs", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {SMALLER} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 WHERE {SMALLER} >= 0.5")
+@query("overlap_smaller_pairs", grouped(f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {SMALLER} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 WHERE {SMALLER} >= 0.5"))
 def overlap_smaller_pairs(spark, d):
     return layout.overlapping_pairs(_clipped(spark, d), "smaller", 0.5)
 
 
-@query("duplicate_nodes", f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 AND a.role = b.role WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9")
+@query("duplicate_nodes", grouped(f"{PIXEL_NODES} SELECT a.slide_id, a.ord AS a, b.ord AS b, {IOU} AS overlap FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND b.ord - a.ord > 0 AND a.role = b.role WHERE a.role NOT IN (0, 1, 5) AND {IOU} >= 0.9"))
 def duplicate_nodes(spark, d):
     rows = _clipped(spark, d).where("role not in (0, 1, 5)")
     return layout.overlapping_pairs(rows, "iou", 0.9, F.col("a.role") == F.col("b.role"))
@@ -349,7 +349,7 @@ def relation_direction(spark, d):
     return graph.order_edges(_relations(spark, d))
 
 
-@query("zindex_conflict", f"{GRAPH}, {REL}, {NARROW} SELECT o.slide_id, o.rel_id, rear, front FROM o JOIN nodes r ON r.slide_id = o.slide_id AND r.node_id = rear JOIN nodes f ON f.slide_id = o.slide_id AND f.node_id = front WHERE f.z - r.z <= 0")
+@query("zindex_conflict", grouped(f"{GRAPH}, {REL}, {NARROW} SELECT o.slide_id, o.rel_id, rear, front FROM o JOIN nodes r ON r.slide_id = o.slide_id AND r.node_id = rear JOIN nodes f ON f.slide_id = o.slide_id AND f.node_id = front WHERE f.z - r.z <= 0"))
 def zindex_conflict(spark, d):
     return graph.z_conflicts(_relations(spark, d), lifts.nodes(spark, d))
 
@@ -359,7 +359,7 @@ TWO_WAY = "two AS (SELECT slide_id, rel_id, kind, from_id, to_id FROM rel UNION
 
 @query(
     "contradictory_relations",
-    f"{GRAPH}, {REL}, {TWO_WAY}, {NARROW.replace('FROM rel', 'FROM two')} SELECT slide_id, rel_id, rear, front FROM o WHERE EXISTS (SELECT 1 FROM o p WHERE p.slide_id = o.slide_id AND p.rear = o.front AND p.front = o.rear)",
+    grouped(f"{GRAPH}, {REL}, {TWO_WAY}, {NARROW.replace('FROM rel', 'FROM two')} SELECT slide_id, rel_id, rear, front FROM o WHERE EXISTS (SELECT 1 FROM o p WHERE p.slide_id = o.slide_id AND p.rear = o.front AND p.front = o.rear)"),
 )
 def contradictory_relations(spark, d):
     rel = _relations(spark, d)
@@ -433,7 +433,7 @@ def carried_text_association(spark, d):
     return rel.join(ids, ["slide_id", "rel_id"], "left").select("slide_id", "rel_id", "from_id", F.coalesce("texts", F.lit("")).alias("texts"), F.col("texts").isNull().alias("dangling"))
 
 
-@query("ambiguous_overlap", f"{PIXEL_NODES} SELECT a.slide_id, a.node_id AS backing, b.node_id AS object FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.role = 2 AND b.role IN (3, 6) AND {SMALLER} >= 0.5")
+@query("ambiguous_overlap", grouped(f"{PIXEL_NODES} SELECT a.slide_id, a.node_id AS backing, b.node_id AS object FROM clipped a JOIN clipped b ON a.slide_id = b.slide_id AND a.role = 2 AND b.role IN (3, 6) AND {SMALLER} >= 0.5"))
 def ambiguous_overlap(spark, d):
     rows = _named(_clipped(spark, d))
     found = layout.paired(rows.where("role = 'text-backing'"), rows.where("role = 'foreground-object'"), g.overlap_of_smaller(layout.sides.A, layout.sides.B) >= 0.5)
@@ -879,8 +879,10 @@ def merged_nodes(spark, d):
 
 @query(
     "merged_relations",
-    f"{GRAPH}, {REL}, {REFINED} SELECT r.slide_id, r.rel_id FROM rel r WHERE EXISTS (SELECT 1 FROM k WHERE k.slide_id = r.slide_id AND k.node_id = r.from_id) AND EXISTS (SELECT 1 FROM k WHERE k.slide_id = r.slide_id AND k.node_id = r.to_id) "
-    "AND NOT (EXISTS (SELECT 1 FROM t WHERE t.slide_id = r.slide_id AND t.node_id = r.from_id) AND EXISTS (SELECT 1 FROM t WHERE t.slide_id = r.slide_id AND t.node_id = r.to_id))",
+    grouped(
+        f"{GRAPH}, {REL}, {REFINED} SELECT r.slide_id, r.rel_id FROM rel r WHERE EXISTS (SELECT 1 FROM k WHERE k.slide_id = r.slide_id AND k.node_id = r.from_id) AND EXISTS (SELECT 1 FROM k WHERE k.slide_id = r.slide_id AND k.node_id = r.to_id) "
+        "AND NOT (EXISTS (SELECT 1 FROM t WHERE t.slide_id = r.slide_id AND t.node_id = r.from_id) AND EXISTS (SELECT 1 FROM t WHERE t.slide_id = r.slide_id AND t.node_id = r.to_id))"
+    ),
 )
 def merged_relations(spark, d):
     return _merged(spark, d)[1].select("slide_id", "rel_id")

@@ -9,7 +9,7 @@ from strataframe.functions import geometry as g
 from strataframe.operators import candidates, occlusion, raster_udf
 from strataframe.plans import lifts
 from strataframe.plans.catalogue import GRAPH, PIXEL_NODES, REL, _clipped, _named, _relations, query
-from strataframe.plans.lifts import HEIGHT, WIDTH, duck
+from strataframe.plans.lifts import HEIGHT, WIDTH, duck, grouped
 
 # A tile's bright pixels are the rear object, its dark ones lie in front; the dark ones of the four middle columns are hidden.
 MASKS = f"WITH {duck('pixels')}, vis AS MATERIALIZED (SELECT tile_id, x, y FROM pixels WHERE v >= 130), occ AS MATERIALIZED (SELECT tile_id, x, y FROM pixels WHERE v < 126), hid AS MATERIALIZED (SELECT tile_id, x, y FROM occ WHERE x BETWEEN 2 AND 5), opq AS MATERIALIZED (SELECT tile_id, x, y FROM pixels WHERE v <> 127)"
@@ -108,9 +108,9 @@ def crop_canonicity(spark, d):
 
 @query(
     "candidates_with_masks",
-    f"""{GRAPH}, {REL}, o AS (SELECT slide_id, to_id AS node_id, from_id AS occluder FROM rel WHERE kind = 'occludes'), m AS (SELECT slide_id, node_id FROM nodes WHERE ord % 3 <> 0),
+    grouped(f"""{GRAPH}, {REL}, o AS (SELECT slide_id, to_id AS node_id, from_id AS occluder FROM rel WHERE kind = 'occludes'), m AS (SELECT slide_id, node_id FROM nodes WHERE ord % 3 <> 0),
 k AS (SELECT o.slide_id, o.node_id FROM o LEFT JOIN m ON m.slide_id = o.slide_id AND m.node_id = o.occluder GROUP BY ALL HAVING count(*) = count(m.node_id))
-SELECT n.slide_id, n.node_id FROM nodes n JOIN m ON m.slide_id = n.slide_id AND m.node_id = n.node_id JOIN k ON k.slide_id = n.slide_id AND k.node_id = n.node_id""",
+SELECT n.slide_id, n.node_id FROM nodes n JOIN m ON m.slide_id = n.slide_id AND m.node_id = n.node_id JOIN k ON k.slide_id = n.slide_id AND k.node_id = n.node_id"""),
 )
 def candidates_with_masks(spark, d):
     n = lifts.nodes(spark, d)
@@ -135,8 +135,8 @@ def unplanned_completions(spark, d):
 
 @query(
     "compound_members",
-    f"""{GRAPH}, {REL}, p AS (SELECT DISTINCT r.slide_id, c.node_id AS group_id, CASE WHEN r.from_id = c.node_id THEN r.to_id ELSE r.from_id END AS node_id FROM rel r JOIN nodes c ON c.slide_id = r.slide_id AND c.role = 4 AND c.node_id IN (r.from_id, r.to_id))
-SELECT p.slide_id, p.group_id || ':' || p.node_id AS member_id, CASE WHEN n.role = 4 THEN 'compound-group' ELSE 'foreground-object' END AS kind, n.z FROM p JOIN nodes n ON n.slide_id = p.slide_id AND n.node_id = p.node_id WHERE n.role IN (3, 4, 6)""",
+    grouped(f"""{GRAPH}, {REL}, p AS (SELECT DISTINCT r.slide_id, c.node_id AS group_id, CASE WHEN r.from_id = c.node_id THEN r.to_id ELSE r.from_id END AS node_id FROM rel r JOIN nodes c ON c.slide_id = r.slide_id AND c.role = 4 AND c.node_id IN (r.from_id, r.to_id))
+SELECT p.slide_id, p.group_id || ':' || p.node_id AS member_id, CASE WHEN n.role = 4 THEN 'compound-group' ELSE 'foreground-object' END AS kind, n.z FROM p JOIN nodes n ON n.slide_id = p.slide_id AND n.node_id = p.node_id WHERE n.role IN (3, 4, 6)"""),
 )
 def compound_members(spark, d):
     n = _named(lifts.nodes(spark, d))
@@ -163,8 +163,8 @@ def final_z(spark, d):
 
 @query(
     "completion_context",
-    f"""WITH {duck("nodes")}, k AS (SELECT slide_id, CASE WHEN role < 3 THEN 'rear' ELSE 'front' END AS side, node_id, repeat(node_id, CAST(z * 60 AS BIGINT)) AS label FROM nodes), p AS (SELECT *, row_number() OVER (PARTITION BY slide_id, side ORDER BY node_id) AS n FROM k), q AS MATERIALIZED (SELECT * FROM p WHERE n <= 8),
-l AS (SELECT slide_id, max(u) AS lim FROM (SELECT slide_id, u, 200 + sum(40 + length(node_id) + least(length(label), u)) AS bytes FROM q, range(0, 201) r(u) GROUP BY ALL) b WHERE bytes <= 8192 GROUP BY slide_id) SELECT q.slide_id, q.side, q.node_id, substring(q.label, 1, l.lim) AS label FROM q JOIN l ON l.slide_id = q.slide_id""",
+    grouped(f"""WITH {duck("nodes")}, k AS (SELECT slide_id, CASE WHEN role < 3 THEN 'rear' ELSE 'front' END AS side, node_id, repeat(node_id, CAST(z * 60 AS BIGINT)) AS label FROM nodes), p AS (SELECT *, row_number() OVER (PARTITION BY slide_id, side ORDER BY node_id) AS n FROM k), q AS MATERIALIZED (SELECT * FROM p WHERE n <= 8),
+l AS (SELECT slide_id, max(u) AS lim FROM (SELECT slide_id, u, 200 + sum(40 + length(node_id) + least(length(label), u)) AS bytes FROM q, range(0, 201) r(u) GROUP BY ALL) b WHERE bytes <= 8192 GROUP BY slide_id) SELECT q.slide_id, q.side, q.node_id, substring(q.label, 1, l.lim) AS label FROM q JOIN l ON l.slide_id = q.slide_id"""),
 )
 def completion_context(spark, d):
     n = lifts.nodes(spark, d).select("slide_id", F.when(F.col("role") < 3, "rear").otherwise("front").alias("side"), "node_id", F.expr("repeat(node_id, cast(z * 60 as int))").alias("label"))

@@ -99,3 +99,8 @@ def duck(*names: str) -> str:
         "decisions": DECISIONS.format(documents="documents", labels="labels"),
     }
     return ", ".join(f"{k} AS MATERIALIZED ({all_of[k]})" for k in names)
+
+
+def grouped(sql: str) -> str:
+    """The rows of an oracle, which are all different, from an aggregate instead of straight from a join."""
+    return f"SELECT * FROM ({sql}) q GROUP BY ALL"

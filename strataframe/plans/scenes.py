@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.operators import hidden, runs
+from strataframe.operators import build, hidden, runs
 from strataframe.operators.durable import stored
 from strataframe.plans.catalogue import query
+from strataframe.plans.lifts import grouped
 
 WIDE, HIGH = 16, 12
 SPARK_VALUES = "SELECT vec_id AS tile_id, transform(embedding, e -> CAST(least(255D, greatest(0D, floor((CAST(e AS DOUBLE) + 1) * 128))) AS BIGINT)) AS v, sequence(0, 191) AS places FROM {embeddings}"
@@ -83,7 +84,7 @@ def mask_components(spark, d):
     return runs.sizes(runs.components(_inputs(spark, d)[0])).select("tile_id", runs.place(F.col("component"), WIDE).alias("first"), "pixels")
 
 
-@query("hidden_evidence", f"{DUCK}, {EVIDENCE} SELECT e.tile_id, e.component, e.pixels, p.n AS pairs, c.n AS contacts FROM ev e JOIN (SELECT tile_id, piece, count(*) AS n FROM pairs GROUP BY ALL) p ON p.tile_id = e.tile_id AND p.piece = e.piece JOIN (SELECT tile_id, piece, count(*) AS n FROM con GROUP BY ALL) c ON c.tile_id = e.tile_id AND c.piece = e.piece")
+@query("hidden_evidence", grouped(f"{DUCK}, {EVIDENCE} SELECT e.tile_id, e.component, e.pixels, p.n AS pairs, c.n AS contacts FROM ev e JOIN (SELECT tile_id, piece, count(*) AS n FROM pairs GROUP BY ALL) p ON p.tile_id = e.tile_id AND p.piece = e.piece JOIN (SELECT tile_id, piece, count(*) AS n FROM con GROUP BY ALL) c ON c.tile_id = e.tile_id AND c.piece = e.piece"))
 def hidden_evidence(spark, d):
     e = _evidence(spark, d)
     n = e.contacts.groupBy("tile_id", "component").agg(F.count(F.lit(1)).alias("contacts"))
@@ -145,11 +146,77 @@ HEX = " || ".join(f"lpad(lower(to_hex(CAST({c} AS BIGINT))), 2, '0')" for c in (
 
 @query(
     "completion_from_pixels",
-    f"""{DUCK}, {EVIDENCE}, {LOOK}, {JUDGED}, {OUTCOMES}, img AS (SELECT s.tile_id, s.y, s.x, CASE WHEN v.x IS NOT NULL THEN s.r WHEN g.x IS NOT NULL THEN s.ar ELSE 0 END AS r, CASE WHEN v.x IS NOT NULL THEN s.g WHEN g.x IS NOT NULL THEN s.ag ELSE 0 END AS g, CASE WHEN v.x IS NOT NULL THEN s.b WHEN g.x IS NOT NULL THEN s.ab ELSE 0 END AS b, CASE WHEN v.x IS NOT NULL THEN s.a WHEN g.x IS NOT NULL THEN s.aa ELSE 0 END AS a
+    grouped(f"""{DUCK}, {EVIDENCE}, {LOOK}, {JUDGED}, {OUTCOMES}, img AS (SELECT s.tile_id, s.y, s.x, CASE WHEN v.x IS NOT NULL THEN s.r WHEN g.x IS NOT NULL THEN s.ar ELSE 0 END AS r, CASE WHEN v.x IS NOT NULL THEN s.g WHEN g.x IS NOT NULL THEN s.ag ELSE 0 END AS g, CASE WHEN v.x IS NOT NULL THEN s.b WHEN g.x IS NOT NULL THEN s.ab ELSE 0 END AS b, CASE WHEN v.x IS NOT NULL THEN s.a WHEN g.x IS NOT NULL THEN s.aa ELSE 0 END AS a
 FROM scenes s JOIN res ON res.tile_id = s.tile_id AND res.status = 'accepted' LEFT JOIN vis v ON v.tile_id = s.tile_id AND v.x = s.x AND v.y = s.y LEFT JOIN gpx g ON g.tile_id = s.tile_id AND g.x = s.x AND g.y = s.y),
-dig AS (SELECT tile_id, sha256(string_agg({HEX}, '' ORDER BY y, x)) AS sha256 FROM img GROUP BY tile_id) SELECT res.*, dig.sha256 FROM res LEFT JOIN dig ON dig.tile_id = res.tile_id""",
+dig AS (SELECT tile_id, sha256(string_agg({HEX}, '' ORDER BY y, x)) AS sha256 FROM img GROUP BY tile_id) SELECT res.*, dig.sha256 FROM res LEFT JOIN dig ON dig.tile_id = res.tile_id"""),
 )
 def completion_from_pixels(spark, d):
     visible, occluder, source, returned, tolerance = _inputs(spark, d)
     result, _, image = hidden.completed(tiles(spark, d), visible, occluder, source, returned, tolerance)
     return result.join(hidden.image_digests(image), "tile_id", "left")
+
+
+# ---- repair and recomposition of whole pages ---------------------------------------------------------------------------------------
+
+#: What is taken out of a scene: a line of text (required), the object, the second bar, and a spot across the bar's upper side.
+OWNED = """SELECT tile_id, 'text' AS owner, TRUE AS required, x, y FROM {s} WHERE tile_id % 2 = 0 AND y = 0 AND x BETWEEN 3 AND 5
+UNION ALL SELECT tile_id, 'object', FALSE, x, y FROM {s} WHERE front UNION ALL SELECT tile_id, 'bar2', FALSE, x, y FROM {s} WHERE visible AND y = 10
+UNION ALL SELECT tile_id, 'spot', FALSE, x, y FROM {s} WHERE tile_id % 4 <> 3 AND x BETWEEN 12 AND 13 AND y BETWEEN 5 AND 6"""
+#: What is put back: the pixels taken out, some of them changed, half transparent at times, and strict at times.
+LAID = """SELECT o.tile_id, o.owner, CASE o.owner WHEN 'object' THEN 2 WHEN 'bar2' THEN 1 ELSE 3 END AS z, o.owner = 'spot' AND o.tile_id % 5 = 2 AS strict, o.x, o.y,
+CASE WHEN o.owner = 'object' AND o.tile_id % 3 = 1 AND o.x = 7 AND o.y BETWEEN 3 AND 7 THEN least(255, s.r + 60) WHEN o.owner = 'spot' AND o.tile_id % 5 = 2 AND o.tile_id % 2 = 1 AND o.y = 6 THEN s.r - 30 ELSE s.r END AS r, s.g, s.b,
+CASE WHEN o.owner = 'bar2' AND o.tile_id % 10 = 5 THEN 100 ELSE 255 END AS a FROM {o} o JOIN {s} s ON s.tile_id = o.tile_id AND s.x = o.x AND s.y = o.y WHERE NOT o.required"""
+
+
+def _page(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """source, owners, layers, ignored."""
+    s = stored(scenes(spark, d), "scenes")
+    source = s.select("tile_id", "x", "y", *(F.col(c).cast("long").alias(c) for c in ("r", "g", "b")), F.lit(255).cast("long").alias("a"))
+    owners = stored(spark.sql(OWNED, s=s), "owners")
+    layers = spark.sql(LAID, s=s, o=owners)
+    layers = stored(layers.select("tile_id", "owner", F.col("z").cast("long").alias("z"), "strict", "x", "y", *(F.col(c).cast("long").alias(c) for c in ("r", "g", "b", "a"))), "layers")
+    return source, owners, layers, owners.where("required").select("tile_id", "x", "y")
+
+
+@query("owner_union_repair")
+def owner_union_repair(spark, d):
+    source, owners, _, _ = _page(spark, d)
+    out, filled = build.union_repair(source, owners)
+    total = filled.groupBy("tile_id").agg(F.count(F.lit(1)).alias("filled"), F.sum(F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("colours"))
+    return out.withColumn("failing", F.array_join("failing", ",")).join(total, "tile_id", "left")
+
+
+def _covered(c: str) -> str:
+    """A channel after the layers bar2, object and spot, in this order."""
+    out = f"b.{c}"
+    for layer in ("l1", "l2", "l3"):
+        out = f"CASE WHEN {layer}.a IS NULL THEN {out} ELSE CAST(floor(({layer}.{c} * {layer}.a + ({out}) * (255 - {layer}.a)) / 255.0 + 0.5) AS BIGINT) END"
+    return out
+
+
+@query(
+    "page_recomposition",
+    f"""{DUCK}, own AS MATERIALIZED ({OWNED.format(s="scenes")}), lay AS MATERIALIZED ({LAID.format(s="scenes", o="own")}), bac AS (SELECT s.tile_id, s.x, s.y, CASE WHEN s.front THEN 120 ELSE s.r END AS r, CASE WHEN s.front THEN 200 ELSE s.g END AS g, CASE WHEN s.front THEN 120 ELSE s.b END AS b FROM scenes s),
+pre AS (SELECT s.tile_id, s.x, s.y, s.r, s.g, s.b, {_covered("r")} AS o_r, {_covered("g")} AS o_g, {_covered("b")} AS o_b, l1.a AS a1, l2.a AS a2, l3.a AS a3, l3.strict AS strict3 FROM scenes s JOIN bac b ON b.tile_id = s.tile_id AND b.x = s.x AND b.y = s.y
+  LEFT JOIN lay l1 ON l1.tile_id = s.tile_id AND l1.x = s.x AND l1.y = s.y AND l1.owner = 'bar2' LEFT JOIN lay l2 ON l2.tile_id = s.tile_id AND l2.x = s.x AND l2.y = s.y AND l2.owner = 'object' LEFT JOIN lay l3 ON l3.tile_id = s.tile_id AND l3.x = s.x AND l3.y = s.y AND l3.owner = 'spot'
+  WHERE NOT (s.tile_id % 2 = 0 AND s.y = 0 AND s.x BETWEEN 3 AND 5)),
+stp AS (SELECT *, abs(r - o_r) + abs(g - o_g) + abs(b - o_b) AS total, greatest(abs(r - o_r), abs(g - o_g), abs(b - o_b)) AS step,
+  list_filter([CASE WHEN a3 > 0 THEN 'spot' END, CASE WHEN a2 > 0 AND coalesce(a3, 0) < 254 THEN 'object' END, CASE WHEN a1 > 0 AND coalesce(a3, 0) < 254 AND coalesce(a2, 0) < 254 THEN 'bar2' END], lambda n: n IS NOT NULL) AS seen FROM pre),
+agg AS (SELECT tile_id, count(*) AS compared, sum(total) / (count(*) * 3.0) AS mae, CAST(list_sort(list(step))[CAST(least(count(*) - 1, floor(count(*) * 0.95)) AS BIGINT) + 1] AS BIGINT) AS p95, count(*) FILTER (step > 24) AS changed, coalesce(bool_or(len(seen) <> 1) FILTER (step > 24), FALSE) AS ambiguous,
+  coalesce(list_sort(list_distinct(list(seen[1]) FILTER (step > 24 AND len(seen) = 1))), []) AS affected, coalesce(bool_or(strict3 AND list_contains(seen, 'spot')) FILTER (step > 24), FALSE) AS violated FROM stp GROUP BY tile_id),
+fin AS (SELECT *, mae <= 3 AND p95 <= 12 AND changed / compared <= 0.02 AND NOT violated AS accepted, ambiguous OR changed = 0 OR len(affected) = 0 AS unsure FROM agg)
+SELECT tile_id, accepted, CASE WHEN accepted THEN NULL WHEN unsure THEN 'ambiguous' ELSE 'deterministic' END AS attribution, CASE WHEN accepted OR unsure THEN '' WHEN violated THEN 'spot' ELSE array_to_string(affected, ',') END AS affected, compared, CAST(round(mae * 3 * compared) AS BIGINT) AS total, p95, changed FROM fin""",
+)
+def page_recomposition(spark, d):
+    source, _, layers, ignored = _page(spark, d)
+    front = _inputs(spark, d)[1].withColumn("front", F.lit(True))
+    plain = {"r": 120, "g": 200, "b": 120}
+    back = source.join(front, ["tile_id", "x", "y"], "left").select("tile_id", "x", "y", *(F.when(F.col("front"), v).otherwise(F.col(c)).cast("long").alias(c) for c, v in plain.items()), "a")
+    out = build.whole_page(source, back, layers, ignored)
+    return out.select("tile_id", "accepted", "attribution", F.array_join("affected", ",").alias("affected"), "compared", F.round(F.col("mae") * 3 * F.col("compared")).cast("long").alias("total"), "p95", "changed")
+
+
+@query("semantic_build")
+def semantic_build(spark, d):
+    decisions, pages = build.semantic_build(*_page(spark, d))
+    return decisions.join(pages, "tile_id")
