@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.operators import build, hidden, runs
+from strataframe.operators import backing, build, hidden, runs
 from strataframe.operators.durable import stored
 from strataframe.plans.catalogue import query
 from strataframe.plans.lifts import grouped
@@ -220,3 +220,81 @@ def page_recomposition(spark, d):
 def semantic_build(spark, d):
     decisions, pages = build.semantic_build(*_page(spark, d))
     return decisions.join(pages, "tile_id")
+
+
+# ---- surfaces that carry text ----------------------------------------------------------------------------------------------------------
+
+#: A surface around the bar of a scene: cut out with holes, at times with a slit to the outside, with glyphs on it; some boxes leave it or another text meets it.
+CUT = "SELECT tile_id, x, y, CASE WHEN visible OR x BETWEEN 1 AND 14 AND y BETWEEN 3 AND 8 THEN CASE WHEN tile_id % 7 = 3 AND x = 6 AND y <= 4 THEN 0 WHEN (r + x) % 11 = 4 AND y = 5 THEN 0 ELSE 255 END ELSE 0 END AS a FROM {s}"
+TEXT_BOXES = """SELECT tile_id, 't' AS text_id, TRUE AS carried, CAST(CASE WHEN tile_id % 8 = 5 THEN 0 ELSE 3 END AS DOUBLE) AS x, 4.5 AS y, 7.0 AS w, 1.5 AS h FROM {t}
+UNION ALL SELECT tile_id, 'u', FALSE, 2.0, CASE WHEN tile_id % 9 = 2 THEN 5.0 ELSE 0.0 END, 2.5, 1.5 FROM {t}"""
+#: Nine surfaces of ten are plain or rise to the right, the tenth is rough; ink is dark, on some tiles hardly darker than the surface.
+INKED = """SELECT tile_id, x, y, CASE WHEN glyph THEN CASE WHEN tile_id % 12 = 7 THEN 190 ELSE 20 END ELSE CASE WHEN tile_id % 10 = 4 THEN (r * 7 + x * 31 + y * 17) % 120 + 100 ELSE 180 + x * (tile_id % 3) END END AS r,
+CASE WHEN glyph THEN CASE WHEN tile_id % 12 = 7 THEN 70 ELSE 20 END ELSE 80 END AS g, CASE WHEN glyph THEN CASE WHEN tile_id % 12 = 7 THEN 60 ELSE 20 END ELSE 60 + y END AS b, 255 AS a, glyph
+FROM (SELECT *, x BETWEEN 4 AND 8 AND y = 5 AND (x + g) % 3 = 0 AS glyph FROM {s}) q"""
+
+
+def _surface(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """cut, source, texts, glyphs, inks."""
+    s = stored(scenes(spark, d), "scenes")
+    long = lambda df, *c: df.withColumns({n: F.col(n).cast("long") for n in c})
+    inked = stored(long(spark.sql(INKED, s=s), "r", "g", "b", "a"), "inked")
+    wide = inked.where("glyph").select("tile_id", F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(dx == dy == 0).alias("core")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("p"))
+    glyphs = wide.select("tile_id", "p.x", "p.y", "p.core").groupBy("tile_id", "x", "y").agg(F.bool_or("core").alias("core")).withColumn("text_id", F.lit("t"))
+    tile = s.select("tile_id").distinct()
+    dark = F.when(F.col("tile_id") % 12 == 7, F.array(*map(F.lit, (190, 70, 60)))).otherwise(F.array(*map(F.lit, (20, 20, 20))))
+    inks = tile.select("tile_id", F.lit("t").alias("text_id"), *(dark[k].cast("long").alias(c) for k, c in enumerate(("r", "g", "b"))))
+    return long(spark.sql(CUT, s=s), "a"), inked.drop("glyph"), spark.sql(TEXT_BOXES, t=tile), glyphs, inks
+
+
+HELD = f"""cut AS MATERIALIZED ({CUT.format(s="scenes")}), opn AS MATERIALIZED (SELECT tile_id, x, y FROM cut WHERE a < 255), {duck_components("oc", "opn")},
+sup AS MATERIALIZED (SELECT c.tile_id, c.x, c.y, CASE WHEN o.c IS NOT NULL AND (o.tile_id, o.c) IN (SELECT (tile_id, c) FROM oc WHERE x IN (0, 15) OR y IN (0, 11)) THEN c.a ELSE 255 END AS a FROM cut c LEFT JOIN oc o ON o.tile_id = c.tile_id AND o.x = c.x AND o.y = c.y)"""
+
+
+@query("backing_support", f"{DUCK}, {HELD} SELECT tile_id, count(*) FILTER (sup.a = 255) AS inside, count(*) FILTER (sup.a = 255 AND cut.a < 255) AS holes FROM sup JOIN cut USING (tile_id, x, y) GROUP BY tile_id")
+def backing_support(spark, d):
+    cut = _surface(spark, d)[0]
+    both = backing.support(cut).join(cut.withColumnRenamed("a", "own"), ["tile_id", "x", "y"])
+    return both.groupBy("tile_id").agg(F.count_if(F.col("a") == 255).alias("inside"), F.count_if((F.col("a") == 255) & (F.col("own") < 255)).alias("holes"))
+
+
+@query(
+    "backing_boxes",
+    f"""{DUCK}, {HELD}, box AS (SELECT *, floor(x) AS l, floor(y) AS t, ceil(x + w) AS e, ceil(y + h) AS b FROM ({TEXT_BOXES.format(t="tiles")}) q), met AS (SELECT b.tile_id, b.text_id, b.carried, (b.e - b.l) * (b.b - b.t) AS area, count(s.a) FILTER (s.a >= 128) AS solid, count(s.a) FILTER (s.a >= 16) AS held
+FROM box b LEFT JOIN sup s ON s.tile_id = b.tile_id AND s.x >= b.l AND s.x < b.e AND s.y >= b.t AND s.y < b.b GROUP BY ALL) SELECT tile_id, bool_and(CASE WHEN carried THEN solid = area ELSE held = 0 END) AS fits FROM met GROUP BY tile_id""",
+)
+def backing_boxes(spark, d):
+    cut, _, texts, _, _ = _surface(spark, d)
+    return backing.boxes_fit(texts, backing.support(cut))
+
+
+_PLANE = {
+    "det": "n*(suu*stt-sut*sut) - su*(su*stt-sut*st) + st*(su*sut-suu*st)",
+    "p": "(s{c}*(suu*stt-sut*sut) - su*(su{c}*stt-sut*st{c}) + st*(su{c}*sut-suu*st{c}))",
+    "u": "(n*(su{c}*stt-sut*st{c}) - s{c}*(su*stt-sut*st) + st*(su*st{c}-su{c}*st))",
+    "t": "(n*(suu*st{c}-su{c}*sut) - su*(su*st{c}-su{c}*st) + s{c}*(su*sut-suu*st))",
+}
+_OFF = ", ".join(f"abs(s.{c} - ({_PLANE['p'].format(c=c)} + {_PLANE['u'].format(c=c)} * s.u + {_PLANE['t'].format(c=c)} * s.t) / ({_PLANE['det']}))" for c in "rgb")
+
+
+@query(
+    "surface_residual",
+    f"""{DUCK}, {HELD}, ink AS MATERIALIZED ({INKED.format(s="scenes")}), sol AS MATERIALIZED (SELECT tile_id, x, y FROM sup WHERE a >= 128), inn AS (SELECT s.tile_id, s.x, s.y FROM sol s JOIN sol n ON n.tile_id = s.tile_id AND abs(n.x - s.x) + abs(n.y - s.y) = 1 GROUP BY ALL HAVING count(*) = 4),
+sam AS MATERIALIZED (SELECT i.tile_id, k.x, k.y, k.r, k.g, k.b FROM inn i JOIN ink k ON k.tile_id = i.tile_id AND k.x = i.x AND k.y = i.y WHERE NOT k.glyph),
+ends_ AS (SELECT tile_id, count(*) AS n, min(x) AS x0, min(y) AS y0, greatest(1, max(x) - min(x)) AS sx, greatest(1, max(y) - min(y)) AS sy FROM sam GROUP BY tile_id),
+sca AS MATERIALIZED (SELECT s.*, e.n AS many, (s.x - e.x0) / e.sx AS u, (s.y - e.y0) / e.sy AS t FROM sam s JOIN ends_ e ON e.tile_id = s.tile_id WHERE e.n >= 16),
+sum_ AS (SELECT tile_id, CAST(many AS DOUBLE) AS n, sum(u) AS su, sum(t) AS st, sum(u * u) AS suu, sum(u * t) AS sut, sum(t * t) AS stt, {", ".join(f"CAST(sum({c}) AS DOUBLE) AS s{c}, sum(u * {c}) AS su{c}, sum(t * {c}) AS st{c}" for c in "rgb")} FROM sca GROUP BY tile_id, many),
+res AS (SELECT s.tile_id, quantile_disc(greatest({_OFF}), 0.95) AS residual FROM sca s JOIN sum_ m ON m.tile_id = s.tile_id WHERE abs({_PLANE["det"]}) > 1e-6 GROUP BY s.tile_id)
+SELECT t.tile_id, coalesce(e.n, 0) AS samples, r.residual IS NOT NULL AS planar, round(coalesce(r.residual, -1), 6) + 0.0 AS residual FROM tiles t LEFT JOIN ends_ e ON e.tile_id = t.tile_id LEFT JOIN res r ON r.tile_id = t.tile_id""".replace("{c}", "{{c}}"),
+)
+def surface_residual(spark, d):
+    cut, source, _, glyphs, _ = _surface(spark, d)
+    out = backing.surface_residual(source, backing.support(cut), glyphs.where("core"))
+    known = F.col("residual") < float("inf")
+    return out.select("tile_id", "samples", known.alias("planar"), (F.round(F.when(known, F.col("residual")).otherwise(-1.0), 6) + 0.0).alias("residual"))
+
+
+@query("text_backing")
+def text_backing(spark, d):
+    result, asset = backing.extracted(*_surface(spark, d))
+    return result.join(hidden.image_digests(asset), "tile_id", "left")
