@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.operators import raster_udf, runs
-from strataframe.operators.durable import stored
+from strataframe.operators.durable import large, stored
 from strataframe.operators.hidden import distance
 
 KEY, PIXEL, RGB = "tile_id", ["tile_id", "x", "y"], ("r", "g", "b")
@@ -38,7 +38,7 @@ def support(cut: DataFrame) -> DataFrame:
     """(tile, x, y, a, inside): the cut-out with its enclosed holes opaque: whatever is not reached from the crop's edge through pixels that aren't opaque, corners counting."""
     ends = [f(F.col(c)).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]
     box = cut.groupBy(KEY).agg(*ends)
-    open_ = stored(runs.components(cut.where("a < 255")), "open")
+    open_ = large(runs.components(cut.where("a < 255")), "open")
     edge = (F.col("y") == F.col("low_y")) | (F.col("y") == F.col("high_y")) | (F.col("x0") == F.col("low_x")) | (F.col("x1") == F.col("high_x"))
     outside = open_.join(box, KEY).groupBy(KEY, "component").agg(F.bool_or(edge).alias("outside")).where("outside")
     reached = runs.pixels(open_.join(outside.select(KEY, "component"), [KEY, "component"], "left_semi")).withColumn("reached", F.lit(True))
@@ -80,7 +80,7 @@ def surface_residual(source: DataFrame, surface: DataFrame, excluded: DataFrame)
     """
     solid = surface.where(F.col("a") >= SURFACE).select(*PIXEL)
     inner = _beside(solid).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("n")).where("n = 4").select(*PIXEL)
-    samples = stored(solid.join(inner, PIXEL, "left_semi").join(excluded.select(*PIXEL).distinct(), PIXEL, "left_anti").join(source.select(*PIXEL, *RGB), PIXEL), "surface")
+    samples = large(solid.join(inner, PIXEL, "left_semi").join(excluded.select(*PIXEL).distinct(), PIXEL, "left_anti").join(source.select(*PIXEL, *RGB), PIXEL), "surface")
     ends = samples.groupBy(KEY).agg(F.count(F.lit(1)).alias("samples"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.lit(1), F.max("x") - F.min("x")).alias("sx"), F.greatest(F.lit(1), F.max("y") - F.min("y")).alias("sy"))
     scaled = samples.join(ends, KEY).withColumns({"u": (F.col("x") - F.col("x0")) / F.col("sx"), "t": (F.col("y") - F.col("y0")) / F.col("sy")})
     products = {"su": "u", "st": "t", "suu": "u * u", "sut": "u * t", "stt": "t * t"} | {f"s{p}{c}": f"{e} * {c}" for c in RGB for p, e in (("", "1"), ("u", "u"), ("t", "t"))}
@@ -128,7 +128,7 @@ def repaired_surface(source: DataFrame, mask: DataFrame, surface: DataFrame) ->
 
     kind = source.schema[KEY].dataType.simpleString()
     out = gathered.select(KEY, part("y"), part("x"), part("c"), part("f")).mapInArrow(rows, f"{KEY} {kind}, repair_reason string, filled array<struct<x: long, y: long, r: long, g: long, b: long>>")
-    out = stored(out, "surfaces")
+    out = large(out, "surfaces")
     return out.select(KEY, "repair_reason"), out.select(KEY, F.explode("filled").alias("f")).select(KEY, "f.*")
 
 
@@ -151,18 +151,18 @@ def blends(before: tuple[Column, ...], after: tuple[Column, ...], ink: tuple[Col
 
 def extracted(cut: DataFrame, source: DataFrame, texts: DataFrame, glyphs: DataFrame, inks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes: tile, accepted, reason, residue, seam, residual; assets of accepted tiles: tile, x, y, r, g, b, a)."""
-    held = stored(support(cut), "support")
+    held = large(support(cut), "support")
     fits = boxes_fit(texts, held)
     mask = glyphs.select(*PIXEL).distinct().withColumn("on", F.lit(True))
     # Alpha is given back where text stood on enclosed holes; the mask keeps what lies on the surface then.
-    both = stored(cut.select(*PIXEL, F.col("a").alias("own")).join(held, PIXEL).join(mask, PIXEL, "left").withColumn("on", F.coalesce("on", F.lit(False))), "both")
+    both = large(cut.select(*PIXEL, F.col("a").alias("own")).join(held, PIXEL).join(mask, PIXEL, "left").withColumn("on", F.coalesce("on", F.lit(False))), "both")
     alpha = both.select(*PIXEL, F.when(F.col("on"), F.col("a")).otherwise(F.col("own")).alias("a"), "on", (F.col("on") & (F.col("a") > F.col("own"))).alias("given"))
-    surface = stored(alpha, "alpha")
+    surface = large(alpha, "alpha")
     repair = surface.where(F.col("on") & (F.col("a") >= SURFACE)).select(*PIXEL)
     first = surface_residual(source, surface, repair).select(KEY, F.col("residual").alias("first"))
     reasons, filled = repaired_surface(source, repair, surface)
     new = filled.select(*PIXEL, *(F.col(c).alias(f"f{c}") for c in RGB))
-    after = stored(source.join(new, PIXEL, "left").select(*PIXEL, *(F.coalesce(f"f{c}", c).alias(c) for c in RGB), *(F.col(c).alias(f"s{c}") for c in RGB), "a"), "after")
+    after = large(source.join(new, PIXEL, "left").select(*PIXEL, *(F.coalesce(f"f{c}", c).alias(c) for c in RGB), *(F.col(c).alias(f"s{c}") for c in RGB), "a"), "after")
     now, old = tuple(F.col(c) for c in RGB), tuple(F.col(f"s{c}") for c in RGB)
     core = glyphs.where("core").select(*PIXEL, "text_id").join(surface.select(*PIXEL, F.col("a").alias("alpha"), "given"), PIXEL).join(after, PIXEL)
     stays = core.where(F.col("alpha") >= SURFACE).select(*PIXEL, distance(now, old).alias("d")).distinct().groupBy(KEY).agg((F.count_if(F.col("d") < GONE) / F.count(F.lit(1))).alias("residue"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.operators import candidates, raster_udf
-from strataframe.operators.durable import removed, stored
+from strataframe.operators.durable import large, removed, stored
 
 KEY, PIXEL, RGB = "tile_id", ["tile_id", "x", "y"], ("r", "g", "b")
 #: A ring grows by a pixel at least in each step, so what lies farther than this from a mask never counts for its repair.
@@ -28,7 +28,7 @@ def group_repairs(source: DataFrame, owners: DataFrame) -> DataFrame:
     A group sees the pixels around it only, so a page with many groups is many units of work.
     """
     groups = stored(candidates.owner_groups(owners.select(KEY, "owner", "x", "y")), "groups")
-    masks = stored(owners.join(groups, [KEY, "owner"]).select(*PIXEL, "owner_group").distinct(), "masks")
+    masks = large(owners.join(groups, [KEY, "owner"]).select(*PIXEL, "owner_group").distinct(), "masks")
     members = groups.groupBy(KEY, "owner_group").agg(F.array_sort(F.collect_set("owner")).alias("members"))
     ends = [f(F.col(c)).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]
     boxes = masks.groupBy(KEY, "owner_group").agg(*ends)
@@ -67,7 +67,7 @@ def union_repair(source: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataF
 
     ``failing`` has all owners of groups that could not be repaired, ``reason`` is that of the first such group; a tile without owners is accepted.
     """
-    groups = stored(group_repairs(source, owners), "repairs")
+    groups = large(group_repairs(source, owners), "repairs")
     failed = F.col("reason").isNotNull()
     total = groups.groupBy(KEY).agg(
         (~F.bool_or(failed)).alias("accepted"), F.min_by("reason", F.when(failed, F.col("owner_group"))).alias("reason"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(failed, F.col("members")))))).alias("failing"),

@@ -41,3 +41,8 @@ def removed(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             fs, folder = _at(df.sparkSession, path)
             fs.delete(folder, True)
+
+
+def large(df: DataFrame, name: str) -> DataFrame:
+    """A stored table whose size has no bound but the input's: joins sort and merge it and never collect it for a broadcast, small as its files may be."""
+    return stored(df, name).hint("merge")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators import occlusion, runs
-from strataframe.operators.durable import stored
+from strataframe.operators.durable import large, stored
 from strataframe.operators.occlusion import KEY, PIXEL, SIDES
 
 #: Alpha that counts as there and as opaque; samples of a colour; spread, distance apart, distance of a match, step of a seam.
@@ -51,7 +51,7 @@ class Evidence:
     pieces: DataFrame
 
     def stored(self) -> Evidence:
-        return Evidence(*(stored(df, n) for n, df in vars(self).items()))
+        return Evidence(*(large(df, n) for n, df in vars(self).items()))
 
 
 def contacts_of(behind: DataFrame, visible: DataFrame) -> DataFrame:
@@ -83,13 +83,13 @@ def hidden_evidence(visible: DataFrame, occluder: DataFrame, tolerance: DataFram
     """``tolerance``: (tile_id, tolerance). Tiles without any pair have no rows."""
     occluder = occluder.select(*PIXEL).distinct()
     visible = visible.select(*PIXEL).distinct().join(occluder, PIXEL, "left_anti")
-    rear, front = stored(runs.components(visible), "rear"), stored(runs.components(occluder), "front")
+    rear, front = large(runs.components(visible), "rear"), large(runs.components(occluder), "front")
     behind = runs.pixels(front, "component")
     named = runs.pixels(rear, "component").withColumnRenamed("component", "part")
-    touching = stored(contacts_of(behind, named), "touching")
+    touching = large(contacts_of(behind, named), "touching")
     lines = _lines(continuing(touching, runs.sizes(rear).withColumnRenamed("component", "part")))
     group = [KEY, "component", "across", "first", "line"]
-    lines = stored(lines, "lines")
+    lines = large(lines, "lines")
     counted = lines.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     opposite = _near(counted, tolerance, "component").withColumnRenamed("n", "m")
     met = counted.where("first").join(opposite, group)
@@ -119,7 +119,7 @@ def appearance(e: Evidence, occluder: DataFrame, source: DataFrame) -> DataFrame
         "background": occlusion.background_samples(e.visible, hidden, occluder, opaque, wide, wide),
     }
     samples = reduce(DataFrame.union, [df.select(*PIXEL, F.lit(part).alias("part")) for part, df in found.items()]).join(opaque, PIXEL)
-    samples = stored(samples, "samples")
+    samples = large(samples, "samples")
     middle = samples.groupBy(KEY, "part").agg(F.count(F.lit(1)).alias("n"), *(F.median(c).alias(f"m{c}") for c in RGB))
     off = distance(_rgb(), _rgb("m")).alias("off")
     spread = samples.join(middle, [KEY, "part"]).select(KEY, "part", off).groupBy(KEY, "part").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY off)").alias("off"))
@@ -170,7 +170,7 @@ def bridged(e: Evidence, generated: DataFrame, pieces: DataFrame, tolerance: Dat
 
 def assessed(e: Evidence, visible: DataFrame, profile: DataFrame, source: DataFrame, returned: DataFrame, tolerance: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(metrics and reason of each tile with a proposal; the generated pixels)."""
-    found = stored(classified(e, profile.where("reason is null"), returned), "classified")
+    found = large(classified(e, profile.where("reason is null"), returned), "classified")
     generated = found.where("kind = 'rear'").drop("kind")
     count = lambda k: F.count_if(F.col("kind") == k)
     kinds = found.groupBy(KEY).agg(count("rear").alias("generated"), count("front").alias("residual"), count("unknown").alias("unknown"), count("fringe").alias("fringe"))
@@ -180,7 +180,7 @@ def assessed(e: Evidence, visible: DataFrame, profile: DataFrame, source: DataFr
     mark = lambda m, n: m.select(*PIXEL).distinct().withColumn(n, F.lit(1))
     moved = changed.join(mark(e.hidden, "in_hidden"), PIXEL, "left").join(mark(visible, "in_visible"), PIXEL, "left")
     moved = moved.groupBy(KEY).agg(F.count_if(F.col("in_hidden").isNull()).alias("outside_changed"), F.count("in_visible").alias("visible_changed"))
-    pieces = stored(runs.components(generated), "pieces")
+    pieces = large(runs.components(generated), "pieces")
     whole = runs.components(generated.select(*PIXEL).union(visible.select(*PIXEL)))
     out = kinds.join(moved, KEY, "left").join(seams(e, generated, source), KEY, "left")
     out = out.join(runs.one_component(pieces).withColumnRenamed("single", "one_piece"), KEY, "left").join(runs.one_component(whole).withColumnRenamed("single", "one_whole"), KEY, "left")

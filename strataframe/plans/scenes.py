@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.operators import backing, build, hidden, runs
-from strataframe.operators.durable import stored
+from strataframe.operators.durable import large
 from strataframe.plans.catalogue import query
 from strataframe.plans.lifts import grouped
 
@@ -68,7 +68,7 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """visible, occluder, source, returned, tolerance."""
-    s = stored(scenes(spark, d), "scenes")
+    s = large(scenes(spark, d), "scenes")
     of = lambda *c: s.select("tile_id", "x", "y", *(F.col(n).cast("long").alias(n[-1]) for n in c))
     mask = lambda where: s.where(where).select("tile_id", "x", "y")
     return mask("visible"), mask("front"), of("r", "g", "b", "a"), of("ar", "ag", "ab", "aa"), tiles(spark, d).select("tile_id", "tolerance")
@@ -170,11 +170,11 @@ CASE WHEN o.owner = 'bar2' AND o.tile_id % 10 = 5 THEN 100 ELSE 255 END AS a FRO
 
 def _page(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """source, owners, layers, ignored."""
-    s = stored(scenes(spark, d), "scenes")
+    s = large(scenes(spark, d), "scenes")
     source = s.select("tile_id", "x", "y", *(F.col(c).cast("long").alias(c) for c in ("r", "g", "b")), F.lit(255).cast("long").alias("a"))
-    owners = stored(spark.sql(OWNED, s=s), "owners")
+    owners = large(spark.sql(OWNED, s=s), "owners")
     layers = spark.sql(LAID, s=s, o=owners)
-    layers = stored(layers.select("tile_id", "owner", F.col("z").cast("long").alias("z"), "strict", "x", "y", *(F.col(c).cast("long").alias(c) for c in ("r", "g", "b", "a"))), "layers")
+    layers = large(layers.select("tile_id", "owner", F.col("z").cast("long").alias("z"), "strict", "x", "y", *(F.col(c).cast("long").alias(c) for c in ("r", "g", "b", "a"))), "layers")
     return source, owners, layers, owners.where("required").select("tile_id", "x", "y")
 
 
@@ -236,9 +236,9 @@ FROM (SELECT *, x BETWEEN 4 AND 8 AND y = 5 AND (x + g) % 3 = 0 AS glyph FROM {s
 
 def _surface(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """cut, source, texts, glyphs, inks."""
-    s = stored(scenes(spark, d), "scenes")
+    s = large(scenes(spark, d), "scenes")
     long = lambda df, *c: df.withColumns({n: F.col(n).cast("long") for n in c})
-    inked = stored(long(spark.sql(INKED, s=s), "r", "g", "b", "a"), "inked")
+    inked = large(long(spark.sql(INKED, s=s), "r", "g", "b", "a"), "inked")
     wide = inked.where("glyph").select("tile_id", F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(dx == dy == 0).alias("core")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("p"))
     glyphs = wide.select("tile_id", "p.x", "p.y", "p.core").groupBy("tile_id", "x", "y").agg(F.bool_or("core").alias("core")).withColumn("text_id", F.lit("t"))
     tile = s.select("tile_id").distinct()
