@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import exact_dedup, packing, pii, quality, simhash
-from strataframe.llm.shared import read, stored
+from strataframe.llm.shared import read, removed, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else stored(docs, f"stage{k}"), sf_dir)
-    return docs
+    """The stages in order, each one's table written before the next; a table goes once the one after it is whole."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1], 1):
+        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            removed(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
