@@ -33,9 +33,10 @@ def lines(text: Column) -> Column:
 
 
 def advance_units(line: Column) -> Column:
-    """Width of a line in units of its font size: each class of characters is counted once, in hundredths."""
-    counts = [F.regexp_count(line, F.lit(p)) for p, _ in ADVANCES[:-1]]
-    counts.append(F.regexp_count(line, F.lit(rf"[\p{{P}}&&[^{ADVANCES[1][0][1:-1]}]]")))
+    """Width of a line in units of its font size: each class of characters is counted once, by what is missing without it, in hundredths."""
+    n = F.length(line)
+    counts = [n - F.length(F.regexp_replace(line, f"{p}++", "")) for p, _ in ADVANCES[:-1]]
+    counts.append(n - F.length(F.regexp_replace(line, rf"[\p{{P}}&&[^{ADVANCES[1][0][1:-1]}]]++", "")))
     known = sum((n * round(units * 100) for n, (_, units) in zip(counts, ADVANCES, strict=True)), F.lit(0))
     return (known + (F.length(line) - sum(counts, F.lit(0))) * round(OTHER * 100)) / 100
 

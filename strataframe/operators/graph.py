@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strataframe.operators.durable import stored
+
 PAGE = "slide_id"
 PROTECTED = ("background", "text")
 STANDALONE = ("foreground-object", "text-backing", "compound-group")
@@ -223,6 +225,7 @@ def refinement_requests(nodes: DataFrame, relations: DataFrame, limit: int = 8)
     Nodes have boxes in 0..1 as (x, y, w, h), role names and confidence. One request for each set of targets, the most severe and first stated;
     order: severity, confidence, area (large first), targets.
     """
+    nodes, relations = stored(nodes, "nodes"), stored(relations, "relations")  # each is read many times
     plain = nodes.where(~protected(F.col("role")))
     n_rel = Window.partitionBy(PAGE).orderBy("rel_id")
     rel = relations.withColumn("at", F.row_number().over(n_rel))

@@ -859,7 +859,8 @@ SELECT c.event_id, CAST(r.cw AS BIGINT) AS width, CAST(r.ch AS BIGINT) AS height
 )
 def provider_canvas(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (40 + F.col("event_id") * 37 % 1900).cast("int").alias("w"), (30 + F.col("event_id") * 53 % 1500).cast("int").alias("h"))
-    c = e.select("event_id", selection.provider_canvas(F.col("w"), F.col("h")).alias("c"))
+    sizes = e.select("w", "h").distinct().withColumn("c", selection.provider_canvas(F.col("w"), F.col("h")))  # each size once, however many rows have it
+    c = e.join(sizes, ["w", "h"])
     return c.select("event_id", F.col("c.width").cast("long").alias("width"), F.col("c.height").cast("long").alias("height"))
 
 
