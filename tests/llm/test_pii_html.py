@@ -47,7 +47,7 @@ def docs_of(spark, texts):
     return spark.createDataFrame([(k, t, "x", "y", 3) for k, t in enumerate(texts)], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("key", ["k1", "another", "3"])
+@pytest.mark.parametrize("key", ["k1", "another"])
 def test_names_of_all_scripts(spark, key):
     """Hundreds of names of each script: none keeps a part, given names keep gender and script, no two people become one."""
     rng = random.Random(7)
@@ -105,7 +105,7 @@ def test_rewriting_by_brute_force(spark):
 
 def test_exceptions_of_rows_without_ids(spark, monkeypatch):
     """Rows with null and repeated ids that all need a second draw are rewritten each by its own contents."""
-    texts = [f"see {a}.{b}.{c}.{d} now" for a in range(1, 6) for b in range(5) for c in range(5) for d in range(5)]
+    texts = [f"see {a}.{b}.{c}.{d} now" for a in range(1, 4) for b in range(4) for c in range(4) for d in range(3)]
     docs = spark.createDataFrame([(None if k % 2 else 7, t, "x", "y", 3) for k, t in enumerate(texts)], SCHEMA)
     got = pii.rewritten(docs, "k")
     assert got.count() == len(texts) and got.select("text").distinct().count() == len(texts)
