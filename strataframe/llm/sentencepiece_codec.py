@@ -15,10 +15,13 @@ which it removes. One pass in the order of ranks is exact because what happens b
 depends on nothing outside them: a piece is made when the piece's own string would be, so its *order* (the merge that makes it possible,
 the place of that merge, and the steps after it) is worked out once for each piece, by :func:`orders`. Pieces that merges never make have no edge.
 
-Words are looked up where they stand: the lattices of the commonest words of a bounded sample of documents (at most ``KNOWN`` words; any
-choice gives the same ids) are folded once and broadcast, and every other word of a text gets its own lattice in place, after texts have been dealt
-by row (equal rows once, with their number), which is the only large exchange. The words' ids are put together
-to those of the texts in Arrow batches, as the words come. Words over ``SHORT`` characters don't fit the mask; their lattices are folded there with a heap.
+Each different word is folded once. The commonest words of a bounded sample of documents (at most ``KNOWN``; any choice gives the same ids)
+are broadcast and looked up where they stand. What they don't cover is a table of (text's digest, word), written once: its different words are folded
+in tasks of about ``TASK`` words, so that sorting their edges stays in memory; ids go back by two joins of narrow rows, by the word and
+then by the digest, where texts move for the only time. A word that many texts share is in the sample but for
+vanishing odds (texts are drawn by their digest, copies as one), so neither join has a hot word; copies of a text share a digest, and AQE splits those.
+The words' ids are put together to those of the texts in Arrow batches, as the words come. Words over ``SHORT`` characters don't fit the
+mask; their lattices are folded there with a heap.
 
 Decoding explodes ids, joins them with the piece table and puts the bytes together.
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.shared import least_hashed, read, removed, stored
 
-MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES = "▁", "piece_bpe_32k.model", 60, 40_000, 500_000, 1_000_000
+MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES, TASK = "▁", "piece_bpe_32k.model", 60, 40_000, 500_000, 1_000_000, 20_000
 #: Marks with a run of letters or a run of other characters; line feeds alone.
 WORD = rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}\n]+|{MARK}+|\n"
 
@@ -188,21 +191,19 @@ def _ids(c: Codec, e: Column) -> Column:
     return F.when(_field(e, "none") == 1, utf8).otherwise(_little_endian(x))
 
 
-def folded(rows: DataFrame, c: Codec, *keys: str) -> DataFrame:
-    """``keys`` and data, the ids of each row's word as bytes, by a lattice of its own. ``rows`` has the keys, unique, and word of at most SHORT characters.
-
-    Rows come dealt by a key already, so that edges, some 25 for a word, are grouped where they are made.
-    """
-    n, own = F.length("word"), list(dict.fromkeys([*keys, "word"]))
-    starts = rows.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    parts = starts.select(*own, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(c.longest), n - F.col("i")))).alias("l"))
-    parts = parts.select(*keys, "i", "l", F.substr("word", F.col("i") + 1, F.col("l")).alias("part"))
+def folded(rows: DataFrame, c: Codec) -> DataFrame:
+    """word and data, the ids of the word as bytes. ``rows`` is a written table of different words of at most SHORT characters."""
+    rows = rows.repartition(rows.count() // TASK + 1, "word")  # edges, some 25 for a word, are grouped where they are made
+    n = F.length("word")
+    starts = rows.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    parts = starts.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(c.longest), n - F.col("i")))).alias("l"))
+    parts = parts.select("word", "i", "l", F.substr("word", F.col("i") + 1, F.col("l")).alias("part"))
     edges = parts.join(F.broadcast(piece_table(rows.sparkSession, c)), "part", "left").where("id is not null or l = 1")
     zero = F.lit(0)
     edge = _packed(
         rank=F.coalesce("rank", zero), at=F.col("i") + F.coalesce("place", zero), step=F.coalesce("step", zero), i=F.col("i"), l=F.col("l"), none=F.col("id").isNull().cast("int"), value=F.coalesce("id", F.ascii("part"))
     )
-    grouped = edges.groupBy(*keys).agg(F.max(F.col("i") + F.col("l")).alias("n"), F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.max(F.col("i") + F.col("l")).alias("n"), F.collect_list(edge).alias("edges"))
 
     def spans(e: Column) -> tuple[Column, Column]:
         low = _shift(_field(e, "i"))
@@ -223,7 +224,7 @@ def folded(rows: DataFrame, c: Codec, *keys: str) -> DataFrame:
         return F.sort_array(F.transform(F.filter("edges", on), lambda e: e.bitwiseAND(F.lit(place).cast("long"))))
 
     found = F.aggregate(F.sort_array("edges"), _shift(F.col("n") + 1) - 1, take, path)
-    return grouped.select(*keys, F.unhex(F.array_join(F.transform(found, lambda e: _ids(c, e)), "")).alias("data"))
+    return grouped.select("word", F.unhex(F.array_join(F.transform(found, lambda e: _ids(c, e)), "")).alias("data"))
 
 
 def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNOWN) -> DataFrame:
@@ -236,14 +237,14 @@ def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNO
         if total > most:
             least = r["n"] + 1
             break
-    out = stored(folded(counts.where(F.col("n") >= least).select("word").repartition("word"), c, "word"), "words")
+    out = stored(folded(counts.where(F.col("n") >= least).select("word"), c), "words")
     removed(counts)
     return out
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -> Iterator[pa.RecordBatch]:
     """Rows of documents from rows of words, which come in page order; a document's first word has what is known of the whole."""
-    c, at, n, parts, head = codec(path), 0, 0, [], {}
+    c, at, n, parts, doc_id, misses = codec(path), 0, 0, [], None, {}
     out: list[list] = [[], [], [], [], []]
 
     def rows() -> pa.RecordBatch:
@@ -257,7 +258,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -
         if not b.num_rows:
             continue
         pos = b.column("pos").fill_null(0).to_numpy(zero_copy_only=False)
-        data, begins = b.column("data"), np.flatnonzero(pos == 0).tolist()
+        data, begins = b.column("data").cast(pa.binary()), np.flatnonzero(pos == 0).tolist()
         offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
         buffer = memoryview(data.buffers()[2] or b"")
         empty = np.flatnonzero(data.is_null().to_numpy(zero_copy_only=False))
@@ -267,15 +268,16 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -
             if pos[first] == 0:
                 at, parts = 0, []
                 n = b.column("n")[first].as_py()
-                head = {x: b.column(x)[first].as_py() for x in ("doc_id", "copies")}
-                head["misses"] = {m["pos"]: m["data"] for m in b.column("misses")[first].as_py() or ()}
+                doc_id = b.column("doc_id")[first].as_py()
+                misses = {m["word"]: m["data"] for m in b.column("misses")[first].as_py() or ()}
             if n and int(pos[first]) != at:
                 raise RuntimeError("words came out of order")
             k = first
             for gap in empty[np.searchsorted(empty, first) : np.searchsorted(empty, stop)].tolist() if n else ():
                 parts.append(bytes(buffer[offsets[k] : offsets[gap]]))
-                found = head["misses"].get(at + gap - first)
-                parts.append(np.array(c.ids_of(b.column("long")[gap].as_py()), "<u4").tobytes() if found is None else found)
+                word = b.column("word")[gap].as_py()
+                found = misses.get(word)
+                parts.append(np.array(c.ids_of(word), "<u4").tobytes() if found is None else found)
                 k = gap
             if n:
                 parts.append(bytes(buffer[offsets[k] : offsets[stop]]))
@@ -284,9 +286,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -
                 joined = b"".join(parts)
                 numbers = np.frombuffer(joined, "<u4")
                 said = hashlib.sha256(c.decode(numbers).encode()).hexdigest()
-                for _ in range(head["copies"]):
-                    for column, x in zip(out, (head["doc_id"], len(joined) // 4, zlib.crc32(joined), said, numbers if ids else None), strict=True):
-                        column.append(x)
+                for column, x in zip(out, (doc_id, len(joined) // 4, zlib.crc32(joined), said, numbers if ids else None), strict=True):
+                    column.append(x)
                 parts, at, n = [], 0, 0
                 if len(out[0]) >= 1000:
                     yield rows()
@@ -301,19 +302,17 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col:
     c = codec(path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = F.broadcast(known_words(own, c))
-    own = own.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary")))).where("row is not null")
-    rows = own.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    # Each use below reads these two columns through one filter (joins would add it to some), so the exchange is made once.
-    dealt = own.groupBy("row").agg(F.first("text").alias("text"))
-    others = dealt.select("row", F.posexplode(words(F.col("text"))).alias("pos", "word")).where(F.length("word") <= SHORT).join(known.select("word"), "word", "left_anti")
-    misses = folded(others, c, "row", "pos").groupBy("row").agg(F.collect_list(F.struct("pos", "data")).alias("misses"))
-    base = dealt.select("row", words(F.col("text")).alias("words")).join(rows, "row").join(misses, "row", "left")
-    base = base.select("doc_id", "copies", "misses", "words", F.coalesce(F.size("words"), F.lit(0)).alias("n"))
-    each = base.select("doc_id", "copies", "misses", F.greatest("n", F.lit(0)).alias("n"), F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
+    own = own.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_key"))
+    others = own.select("text_key", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).where(F.length("word") <= SHORT)
+    pairs = stored(others.join(known, "word", "left_anti").distinct(), "pairs")
+    rare = stored(pairs.select("word").distinct(), "rare")
+    misses = pairs.join(folded(rare, c), "word").groupBy("text_key").agg(F.collect_list(F.struct("word", "data")).alias("misses"))
+    base = own.join(misses.hint("shuffle_hash"), "text_key", "left").withColumn("words", words(F.col("text"))).withColumn("n", F.coalesce(F.size("words"), F.lit(0)))
+    each = base.select("doc_id", "misses", F.greatest("n", F.lit(0)).alias("n"), F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
     # A document's own columns travel with its first word alone.
     first = F.coalesce("pos", F.lit(0)) == 0
-    whole = [F.when(first, F.col(x)).alias(x) for x in ("doc_id", "copies", "misses", "n")]
-    told = each.select("pos", "data", F.when(F.length("word") > SHORT, F.col("word")).alias("long"), *whole)
+    whole = [F.when(first, F.col(x)).alias(x) for x in ("doc_id", "misses", "n")]
+    told = each.select("pos", "data", F.when(F.col("data").isNull(), F.col("word")).alias("word"), *whole)
     schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<long>" * ids
     return told.mapInArrow(lambda b: _assembled(b, path, ids), schema)
 

@@ -674,7 +674,7 @@ def test_stages_of_odd_rows(spark, corpus, monkeypatch):
 def test_lattice_is_relational(spark):
     """Substrings are exploded, joined with the broadcast pieces, grouped by word without Python, and folded by one aggregate."""
     c = sentencepiece_codec.codec()
-    out = sentencepiece_codec.folded(spark.createDataFrame([("▁words",)], "word string"), c, "word")
+    out = sentencepiece_codec.folded(spark.createDataFrame([("▁words",)], "word string"), c)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode") == 2 and "BroadcastHashJoin [part" in plan and "collect_list" in plan and "aggregate(sort_array(" in plan
     assert "Python" not in plan and "Arrow" not in plan
