@@ -16,11 +16,11 @@ depends on nothing outside them: a piece is made when the piece's own string wou
 the place of that merge, and the steps after it) is worked out once for each piece, by :func:`orders`. Pieces that merges never make have no edge.
 
 Each different word is folded once. The commonest words of a bounded sample of documents (at most ``KNOWN``; any choice gives the same ids)
-are broadcast and looked up where they stand. What they don't cover is a table of (text's digest, word), written once: its different words are folded
+are broadcast, to the join below and to the workers, and looked up where they stand. What they don't cover is a table of (text's digest, word), written once: its different words are folded
 in tasks of about ``TASK`` words, so that sorting their edges stays in memory; ids go back by two joins of narrow rows, by the word and
 then by the digest, where texts move for the only time. A word that many texts share is in the sample but for
 vanishing odds (texts are drawn by their digest, copies as one), so neither join has a hot word; copies of a text share a digest, and AQE splits those.
-The words' ids are put together to those of the texts in Arrow batches, as the words come. Words over ``SHORT`` characters don't fit the
+The words' ids are put together to those of the texts in Arrow batches, a row for each document and ``BLOCK`` words at a time. Words over ``SHORT`` characters don't fit the
 mask; their lattices are folded there with a heap.
 
 Decoding explodes ids, joins them with the piece table and puts the bytes together.
@@ -34,17 +34,19 @@ from __future__ import annotations
 import hashlib
 import heapq
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm.shared import least_hashed, read, removed, stored
 
-MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES, TASK = "▁", "piece_bpe_32k.model", 60, 40_000, 500_000, 1_000_000, 20_000
+MARK, MODEL, SHORT, SAMPLE, KNOWN, PIECES, TASK, BLOCK = "▁", "piece_bpe_32k.model", 60, 40_000, 500_000, 1_000_000, 20_000, 100_000
 #: Marks with a run of letters or a run of other characters; line feeds alone.
 WORD = rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}\n]+|{MARK}+|\n"
 
@@ -242,79 +244,59 @@ def known_words(docs: DataFrame, c: Codec, sample: int = SAMPLE, most: int = KNO
     return out
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of documents from rows of words, which come in page order; a document's first word has what is known of the whole."""
-    c, at, n, parts, doc_id, misses = codec(path), 0, 0, [], None, {}
-    out: list[list] = [[], [], [], [], []]
+_KNOWN: dict[str, dict[str, bytes]] = {}
 
-    def rows() -> pa.RecordBatch:
-        types, names = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "ids"]
-        done = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)][: 4 + ids], names[: 4 + ids])
-        for x in out:
-            x.clear()
-        return done
 
+def _known(name: str, table: Broadcast) -> dict[str, bytes]:
+    """The broadcast words of one query, read once by each worker."""
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        said = pa.ipc.open_stream(table.value).read_all()
+        _KNOWN[name] = dict(zip(said["word"].to_pylist(), said["data"].to_pylist(), strict=True))
+    return _KNOWN[name]
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], path: str | None, ids: bool, name: str, table: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows of documents from their words, each looked up among the broadcast ones and then among those of its text; long words are folded."""
+    c, known = codec(path), _known(name, table)
+    types, names = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "ids"]
     for b in batches:
-        if not b.num_rows:
-            continue
-        pos = b.column("pos").fill_null(0).to_numpy(zero_copy_only=False)
-        data, begins = b.column("data").cast(pa.binary()), np.flatnonzero(pos == 0).tolist()
-        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
-        buffer = memoryview(data.buffers()[2] or b"")
-        empty = np.flatnonzero(data.is_null().to_numpy(zero_copy_only=False))
-        if not begins or begins[0]:
-            begins = [0, *begins]
-        for first, stop in zip(begins, [*begins[1:], b.num_rows], strict=True):
-            if pos[first] == 0:
-                at, parts = 0, []
-                n = b.column("n")[first].as_py()
-                doc_id = b.column("doc_id")[first].as_py()
-                misses = {m["word"]: m["data"] for m in b.column("misses")[first].as_py() or ()}
-            if n and int(pos[first]) != at:
-                raise RuntimeError("words came out of order")
-            k = first
-            for gap in empty[np.searchsorted(empty, first) : np.searchsorted(empty, stop)].tolist() if n else ():
-                parts.append(bytes(buffer[offsets[k] : offsets[gap]]))
-                word = b.column("word")[gap].as_py()
-                found = misses.get(word)
-                parts.append(np.array(c.ids_of(word), "<u4").tobytes() if found is None else found)
-                k = gap
-            if n:
-                parts.append(bytes(buffer[offsets[k] : offsets[stop]]))
-                at += stop - first
-            if at == n:
-                joined = b"".join(parts)
-                numbers = np.frombuffer(joined, "<u4")
-                said = hashlib.sha256(c.decode(numbers).encode()).hexdigest()
-                for column, x in zip(out, (doc_id, len(joined) // 4, zlib.crc32(joined), said, numbers if ids else None), strict=True):
-                    column.append(x)
-                parts, at, n = [], 0, 0
-                if len(out[0]) >= 1000:
-                    yield rows()
-    if at != n:
-        raise RuntimeError("the last words of a document are missing")
-    if out[0]:
-        yield rows()
+        each = b.column("words").cast(pa.list_(pa.string()))
+        ends, values = each.offsets.to_pylist(), each.values
+        out: list[list] = [[], [], [], [], []]
+        for k, doc_id in enumerate(b.column("doc_id").to_pylist()):
+            own, parts = {m["word"]: m["data"] for m in b.column("misses")[k].as_py() or ()}, []
+            for at in range(ends[k], ends[k + 1], BLOCK):
+                found = values.slice(at, min(BLOCK, ends[k + 1] - at)).to_pylist()
+                said = list(map(known.get, found))
+                if None in said:
+                    said = [x or own.get(w) or np.array(c.ids_of(w), "<u4").tobytes() for x, w in zip(said, found, strict=True)]
+                parts.append(b"".join(said))
+            joined = b"".join(parts)
+            numbers = np.frombuffer(joined, "<u4")
+            told = hashlib.sha256(c.decode(numbers).encode()).hexdigest()
+            for column, x in zip(out, (doc_id, len(numbers), zlib.crc32(joined), told, numbers if ids else None), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)][: 4 + ids], names[: 4 + ids])
 
 
 def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and, with ``ids``, the ids."""
     c = codec(path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = F.broadcast(known_words(own, c))
+    known = known_words(own, c)
     own = own.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_key"))
     others = own.select("text_key", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).where(F.length("word") <= SHORT)
-    pairs = stored(others.join(known, "word", "left_anti").distinct(), "pairs")
+    pairs = stored(others.join(F.broadcast(known), "word", "left_anti").distinct(), "pairs")
     rare = stored(pairs.select("word").distinct(), "rare")
     misses = pairs.join(folded(rare, c), "word").groupBy("text_key").agg(F.collect_list(F.struct("word", "data")).alias("misses"))
-    base = own.join(misses.hint("shuffle_hash"), "text_key", "left").withColumn("words", words(F.col("text"))).withColumn("n", F.coalesce(F.size("words"), F.lit(0)))
-    each = base.select("doc_id", "misses", F.greatest("n", F.lit(0)).alias("n"), F.posexplode_outer("words").alias("pos", "word")).join(known, "word", "left")
-    # A document's own columns travel with its first word alone.
-    first = F.coalesce("pos", F.lit(0)) == 0
-    whole = [F.when(first, F.col(x)).alias(x) for x in ("doc_id", "misses", "n")]
-    told = each.select("pos", "data", F.when(F.col("data").isNull(), F.col("word")).alias("word"), *whole)
+    told = own.join(misses.hint("shuffle_hash"), "text_key", "left").select("doc_id", words(F.col("text")).alias("words"), "misses")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, (some := known.toArrow()).schema) as w:  # KNOWN words of SHORT characters at most
+        w.write_table(some)
+    name, table = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
     schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<long>" * ids
-    return told.mapInArrow(lambda b: _assembled(b, path, ids), schema)
+    return told.mapInArrow(lambda b: _assembled(b, path, ids, name, table), schema)
 
 
 def decoded(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
