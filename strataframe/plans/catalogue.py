@@ -969,4 +969,4 @@ def text_mask(spark, d):
     return raster_udf.tile_text_masks(lifts.pixels(spark, d), gain=2)
 
 
-from strataframe.plans import completion, masks, packaged, scenes  # noqa: E402, F401  (add their queries)
+from strataframe.plans import completion, masks, packaged, replied, scenes  # noqa: E402, F401  (add their queries)
