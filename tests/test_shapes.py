@@ -43,3 +43,19 @@ def test_scan_lines_pixel_by_pixel(spark):
     assert len(held) == len(set(held)) and set(held) == {(t, x, y) for t, s in tiles.items() for x, y in s}
     assert {r.tile_id: r.pixels for r in shapes.areas(whole, "tile_id").collect()} == {t: len(s) for t, s in tiles.items() if s}
     assert shapes.spans(df.where("false"), W, H, "id").isEmpty()
+
+
+def test_areas_without_listing_runs(spark, monkeypatch):
+    """The counts of runs that are never listed: of shapes alone, and of masks whose runs are united in many pieces."""
+    rng = random.Random(4)
+    rows = [(k, k % 5, rng.choice(["polygon", "round_rectangle", "ellipse"]), *(rng.uniform(-9, 40) for _ in "xy"), rng.uniform(-0.5, 30), rng.uniform(0.1, 25), rng.uniform(-1, 9)) for k in range(200)]
+    rows += [(300, 6, "ellipse", 60.0, 3.0, 5.0, 5.0, 1.0), (301, 7, "polygon", 3.0, 40.0, 5.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, tile_id long, primitive string, x double, y double, w double, h double, radius double").coalesce(1)
+    one = shapes.spans(df, W, H, "id", "tile_id")
+    want = sorted(map(tuple, shapes.areas(one, "id").collect())), sorted(map(tuple, shapes.areas(shapes.merged(one, "tile_id"), "tile_id").collect()))
+    for limit in (shapes.RUNS, 7):
+        monkeypatch.setattr(shapes, "RUNS", limit)
+        assert sorted(map(tuple, shapes.shape_areas(df, W, H, "id").collect())) == want[0]
+        assert sorted(map(tuple, shapes.mask_areas(df, W, H, "tile_id").collect())) == want[1]
+    plan = shapes.mask_areas(df, W, H, "tile_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
