@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -44,20 +45,23 @@ def route(rows: Iterable[tuple], cursor: dict[str, int], stopped: bool) -> tuple
 
 
 def routed(requests: DataFrame) -> DataFrame:
-    """Batch form: each run's requests in order of seq."""
+    """Batch form: each run's requests in order of seq. Runs pass through as sorted rows, so a task holds one batch of rows, however long a run is."""
 
-    fields = ("seq", "operation", "s0", "s1", "s2")
-    runs = requests.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    fields = ("run_id", "seq", "operation", "s0", "s1", "s2")
     arrow = to_arrow_schema(T._parse_datatype_string(SCHEMA))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, cursor, stopped = None, {}, False  # of the run that the last batch ended in
         for batch in batches:
             out = []
-            for run, own in zip(batch.column("run_id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                out += route([(run, *(r[f] for f in fields)) for r in own], {}, False)[0]
+            for own, held in itertools.groupby(zip(*(batch.column(f).to_pylist() for f in fields), strict=True), lambda r: r[0]):
+                if own != run:
+                    run, cursor, stopped = own, {}, False
+                done, stopped = route(held, cursor, stopped)
+                out += done
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return runs.mapInArrow(rows, SCHEMA)
+    return requests.select(*fields).repartition("run_id").sortWithinPartitions("run_id", "seq").mapInArrow(rows, SCHEMA)
 
 
 def attempt_counts(routed_rows: DataFrame) -> DataFrame:
