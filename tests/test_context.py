@@ -22,3 +22,12 @@ def test_limit_of_labels(spark, monkeypatch):
         assert {tuple(r) for r in candidates.context_nodes(df).collect()} == want
     plan = candidates.context_nodes(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan and plan.index("Window") < plan.index("substring(coalesce(label")  # a child is printed below its parent: labels are cut before they are sorted
+
+
+def test_targets_in_one_aggregate(spark):
+    nodes = spark.createDataFrame([(1, "a", "icon"), (1, "b", "text"), (1, "c", "icon"), (2, "a", "background"), (3, "z", "icon"), (3, "y", "icon"), (None, "a", "icon")], "slide_id long, node_id string, role string")
+    asked = spark.createDataFrame([(1, "c"), (1, "a"), (1, "a"), (1, "b"), (1, "?"), (2, "a"), (3, None), (3, "y"), (3, "z"), (4, "a"), (None, "a")], "slide_id long, node_id string")
+    out = candidates.target_nodes(asked, nodes)
+    assert sorted((r.slide_id, r.targets) for r in out.collect()) == [(1, ["a", "c"]), (3, ["y", "z"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1  # no task sorts and hashes the same rows for several operators
