@@ -61,3 +61,11 @@ def test_coordinate_free(spark):
     said = [json.dumps({"output": {"choices": [{"message": {"content": c}}]}}) for c in content] + ["x", '{"output": 1}', '{"output": {"choices": [1, {"message": {"content": [{"text": "z"}]}}]}}', None]
     df = spark.createDataFrame(list(enumerate(said)), "slide_id long, reply string")
     assert sorted(r.slide_id for r in replies.coordinate_free(df).collect()) == [0, 4, 7]
+
+
+def test_read_once(spark):
+    """Replies are opened once: no branch of the plan reads them again to find those with faults."""
+    df = spark.createDataFrame([(0, "{}")], "slide_id long, reply string")
+    for out in (replies.vision_elements(replies.vision_checked(df)), replies.scene_nodes(replies.scene_checked(df)), replies.faults(replies.scene_checked(df))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") == 1 and "Join" not in plan
