@@ -19,6 +19,8 @@ TYPES = ["text", "panel", "shape", "icon", "illustration", "photo", "background"
 EDITABLE = ["text", "native-shape", "bitmap", "background"]
 NODE_KEYS = ["id", "role", "bbox", "confidence", "zIndex", "label", "extractionHints"]
 RELATION_KEYS = ["id", "kind", "from", "to", "confidence"]
+#: A list's entries by their fields; one that is no object is null.
+ENTRIES = "array<map<string,variant>>"
 SCALE, WIDTH, HEIGHT, SAFE = 1000, 1280, 720, 2**53 - 1
 
 
@@ -70,7 +72,7 @@ def unfenced(text: Column) -> Column:
 
 def _entries(name: str) -> Column:
     """The entries of the list in the column ``name``: part, ord, and m, the entry's fields."""
-    return F.transform(name, lambda x, k: F.struct(F.lit(name).alias("part"), k.cast("long").alias("ord"), _at(x, "", "map<string,variant>").alias("m")))
+    return F.transform(name, lambda m, k: F.struct(F.lit(name).alias("part"), k.cast("long").alias("ord"), m.alias("m")))
 
 
 def _judged(parts: DataFrame, faults: Column) -> DataFrame:
@@ -91,7 +93,7 @@ def scene_checked(replies: DataFrame, column: str = "reply", key: str = "slide_i
     text = unfenced(F.col(column))
     opened = replies.select(key, F.try_parse_json(text).alias("v"), text.alias("t"))
     opened = opened.select(key, "v", json_repaired(F.when(F.col("v").isNull(), F.col("t"))).alias("t")).select(key, F.coalesce("v", F.try_parse_json("t")).alias("v"))
-    lists = opened.select(key, F.col("v").isNotNull().alias("json"), *(_at("v", name, "array<variant>").alias(name) for name in ("nodes", "relations")))
+    lists = opened.select(key, F.col("v").isNotNull().alias("json"), *(_at("v", name, ENTRIES).alias(name) for name in ("nodes", "relations")))
     parts = lists.select(key, "json", F.concat(_entries("nodes"), _entries("relations")).alias("e")).select(key, "json", F.col("e").isNotNull().alias("lists"), F.explode_outer("e").alias("e")).select(key, "json", "lists", "e.*")
     m = F.col("m")
     said = F.coalesce(_at(m["extractionHints"], "", "array<variant>"), F.map_values(_at(m["extractionHints"], "", "map<string,variant>")), F.array().cast("array<variant>"))
@@ -148,11 +150,11 @@ def vision_checked(replies: DataFrame, column: str = "reply", key: str = "slide_
 
     def form(v: str, normal: bool) -> Column:
         none = F.struct(F.lit(None).cast("string").alias("part"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("map<string,variant>").alias("m"))
-        listed = F.transform(f"{v}_list", lambda x, k: F.struct(F.lit("elements").alias("part"), k.cast("long").alias("ord"), _at(x, "", "map<string,variant>").alias("m")))
+        listed = F.transform(f"{v}_list", lambda m, k: F.struct(F.lit("elements").alias("part"), k.cast("long").alias("ord"), m.alias("m")))
         rows = F.when(F.size(f"{v}_list") > 0, listed).otherwise(F.array(none))
         return F.transform(rows, lambda r: F.struct(F.lit(normal).alias("normal"), F.col(f"{v}_json").alias("json"), F.col(f"{v}_list").isNotNull().alias("lists"), r["part"].alias("part"), r["ord"].alias("ord"), r["m"].alias("m")))
 
-    lists = opened.select(key, *(c for v in ("v", "raw") for c in (F.col(v).isNotNull().alias(f"{v}_json"), _at(v, "elements", "array<variant>").alias(f"{v}_list"))))
+    lists = opened.select(key, *(c for v in ("v", "raw") for c in (F.col(v).isNotNull().alias(f"{v}_json"), _at(v, "elements", ENTRIES).alias(f"{v}_list"))))
     parts = lists.select(key, F.explode_outer(F.concat(form("v", True), form("raw", False))).alias("e")).select(key, "e.*")
     m = F.col("m")
     at = _at(m["bbox"], "", "map<string,variant>")
