@@ -108,22 +108,62 @@ def _rgb(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in RGB)
 
 
+#: Facts of a pixel as bits: in the visible part, of the occluder, hidden, opaque, an end of a pair, near something hidden; and the sides.
+VISIBLE, FRONT, HIDDEN, CLEAR, END, NEAR = (1 << k for k in range(6))
+SIDE = {side: 64 << k for k, side in enumerate(SIDES)}
+
+
+def _marked(pixels: DataFrame, bits: Column | int, *rgb: str) -> DataFrame:
+    return pixels.select(*PIXEL, (bits if isinstance(bits, Column) else F.lit(bits)).cast("int").alias("bits"), *(F.col(c) if c in rgb else F.lit(None).cast("long").alias(c) for c in RGB))
+
+
+def _facts(*marked: DataFrame) -> DataFrame:
+    """One row for each pixel with all its bits and its colour."""
+    return reduce(DataFrame.union, marked).groupBy(*PIXEL).agg(F.bit_or("bits").alias("bits"), *(F.max(c).alias(c) for c in RGB))
+
+
+def _has(*bits: int) -> Column:
+    return F.col("bits").bitwiseAND(F.lit(sum(bits))) == sum(bits)
+
+
+def _around(pixels: DataFrame, *keep: str) -> DataFrame:
+    """The pixels of the square around each pixel, repeated as they come."""
+    step = F.sequence(F.lit(-occlusion.RADIUS), F.lit(occlusion.RADIUS))
+    out = pixels.select(KEY, *keep, "y", F.explode(F.transform(step, lambda d: F.col("x") + d)).alias("x")).where("x >= 0")
+    return out.select(KEY, *keep, "x", F.explode(F.transform(step, lambda d: F.col("y") + d)).alias("y")).where("y >= 0")
+
+
+def _samples(e: Evidence, occluder: DataFrame, source: DataFrame) -> DataFrame:
+    """(tile, part, bits, r, g, b): samples of the three colours; those of the rear object with the sides of the contacts that they are near.
+
+    What the masks say of a pixel meets in one aggregate, so no mask is joined with another. Contacts on left and right go before those on top and bottom.
+    """
+    hidden = e.hidden.select(*PIXEL)
+    beside = hidden.select(KEY, F.explode(F.array(*(F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.lit(SIDE[s]).alias("side")) for s, (dx, dy) in SIDES.items()))).alias("p")).select(KEY, "p.*")
+    sides = sum(SIDE.values())
+    contacts = _facts(_marked(beside, F.col("side")), _marked(e.contacts, END)).where(_has(END) & (F.col("bits").bitwiseAND(F.lit(sides)) > 0))
+    seen = contacts.select(*PIXEL, F.col("bits").alias("own"), F.bit_or("bits").over(Window.partitionBy(KEY)).alias("bits"))
+    across, down = SIDE["left"] | SIDE["right"], SIDE["top"] | SIDE["bottom"]
+    axis = F.when(_has(across), F.lit(across)).when(_has(down), F.lit(down)).otherwise(F.lit(0))
+    wanted = seen.select(*PIXEL, F.col("own").bitwiseAND(axis).alias("side")).where("side > 0")
+    facts = _facts(
+        _marked(e.visible, VISIBLE), _marked(occluder, FRONT), _marked(hidden, HIDDEN), _marked(source.where(F.col("a") >= OPAQUE), CLEAR, *RGB), _marked(_around(hidden), NEAR), _marked(_around(wanted, "side"), F.col("side")),
+    ).where(_has(CLEAR))
+    rear = _has(VISIBLE) & ~_has(HIDDEN) & ~_has(FRONT) & (F.col("bits").bitwiseAND(F.lit(sides)) > 0)
+    parts = F.array(F.when(rear, "rear"), F.when(_has(HIDDEN), "front"), F.when(_has(NEAR) & ~_has(VISIBLE) & ~_has(FRONT), "background"))
+    return facts.select(KEY, "bits", *RGB, F.explode(parts).alias("part")).where("part is not null")
+
+
 def appearance(e: Evidence, occluder: DataFrame, source: DataFrame) -> DataFrame:
     """(tile, rear_n, rear_r, …, reason): the three colours of each tile with evidence, and why they don't qualify (null if they do)."""
-    opaque = source.where(F.col("a") >= OPAQUE)
-    hidden, ends = e.hidden.select(*PIXEL), e.contacts.select(*PIXEL).distinct()
-    wide = 1 << 30
-    found = {
-        "rear": occlusion.rear_samples(e.visible, hidden, occluder, opaque, wide, wide, ends),
-        "front": hidden.join(opaque.select(*PIXEL), PIXEL, "left_semi"),
-        "background": occlusion.background_samples(e.visible, hidden, occluder, opaque, wide, wide),
-    }
-    samples = reduce(DataFrame.union, [df.select(*PIXEL, F.lit(part).alias("part")) for part, df in found.items()]).join(opaque, PIXEL)
-    samples = large(samples, "samples")
-    middle = samples.groupBy(KEY, "part").agg(F.count(F.lit(1)).alias("n"), *(F.median(c).alias(f"m{c}") for c in RGB))
+    hidden = e.hidden.select(*PIXEL)
+    samples = large(_samples(e, occluder, source), "samples")
+    # Both opposite sides need samples of their own, else the rear object has none.
+    enough = sum((F.count_if(_has(bit)) >= occlusion.SAMPLES).cast("int") for bit in SIDE.values())
+    middle = samples.groupBy(KEY, "part").agg(F.count(F.lit(1)).alias("n"), *(F.median(c).alias(f"m{c}") for c in RGB), enough.alias("sides")).where("part <> 'rear' or sides = 2").drop("sides")
     off = distance(_rgb(), _rgb("m")).alias("off")
-    spread = samples.join(middle, [KEY, "part"]).select(KEY, "part", off).groupBy(KEY, "part").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY off)").alias("off"))
-    one = middle.join(spread, [KEY, "part"])
+    kept = [F.first(c).alias(c) for c in ("n", *(f"m{c}" for c in RGB))]
+    one = samples.join(middle, [KEY, "part"]).select(KEY, "part", off, "n", *(f"m{c}" for c in RGB)).groupBy(KEY, "part").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY off)").alias("off"), *kept)
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
     names = {"n": "n", "off": "off", **{f"m{c}": c for c in RGB}}
     profile = one.groupBy(KEY).agg(*(pick(p, c).alias(f"{p}_{n}") for p in PARTS for c, n in names.items()))
