@@ -113,18 +113,8 @@ def repaired_surface(source: DataFrame, mask: DataFrame, surface: DataFrame) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reasons, filled = [], []
-            for k in range(b.num_rows):
-                y, x, c, f = (np.asarray(b.column(n)[k].values.to_numpy()) for n in ("y", "x", "c", "f"))
-                top, left = y.min(), x.min()
-                image, flags = np.zeros((y.max() - top + 1, x.max() - left + 1, 4), np.uint8), np.zeros((y.max() - top + 1, x.max() - left + 1), int)
-                image[y - top, x - left] = np.stack([c >> 16, c >> 8 & 255, c & 255, np.full_like(c, 255)], axis=1)
-                flags[y - top, x - left] = f
-                made, reason, _ = raster_udf.repaired(image, flags % 2 == 1, flags >= 2)
-                reasons.append(reason or None)
-                filled.append([] if reason else [{"x": int(j + left), "y": int(i + top), **{n: int(made[i, j, m]) for m, n in enumerate(RGB)}} for i, j in np.argwhere(flags % 2 == 1)])
-            of = pa.list_(pa.struct([(n, pa.int64()) for n in ("x", "y", *RGB)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reasons, pa.string()), pa.array(filled, of)], [KEY, "repair_reason", "filled"])
+            reasons, _, filled = raster_udf.repaired_lists(*(b.column(n) for n in ("y", "x", "c", "f")), surface=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), reasons, filled], [KEY, "repair_reason", "filled"])
 
     kind = source.schema[KEY].dataType.simpleString()
     out = gathered.select(KEY, part("y"), part("x"), part("c"), part("f")).mapInArrow(rows, f"{KEY} {kind}, repair_reason string, filled array<struct<x: long, y: long, r: long, g: long, b: long>>")

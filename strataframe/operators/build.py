@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,30 +33,17 @@ def group_repairs(source: DataFrame, owners: DataFrame) -> DataFrame:
     boxes = masks.groupBy(KEY, "owner_group").agg(*ends)
     near = [F.col(c).between(F.col(f"low_{c}") - MARGIN, F.col(f"high_{c}") + MARGIN) for c in "xy"]
     crops = source.join(boxes, KEY).where(near[0] & near[1]).join(masks.withColumn("on", F.lit(True)), [*PIXEL, "owner_group"], "left")
-    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("int").alias("c"), F.coalesce("on", F.lit(False)).alias("on"))
+    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("int").alias("c"), F.coalesce("on", F.lit(False)).cast("int").alias("on"))
     gathered = crops.groupBy(KEY, "owner_group").agg(F.collect_list(pixel).alias("p"))
     part = lambda f: F.transform("p", lambda p: p[f]).alias(f)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k in range(b.num_rows):
-                y, x, c, on = (np.asarray(b.column(n)[k].values.to_numpy(zero_copy_only=False)) for n in ("y", "x", "c", "on"))
-                top, left = y.min(), x.min()
-                image = np.zeros((y.max() - top + 1, x.max() - left + 1, 4), np.uint8)
-                mask, there = np.zeros(image.shape[:2], bool), np.zeros(image.shape[:2], bool)
-                image[y - top, x - left] = np.stack([c >> 16, c >> 8 & 255, c & 255, np.full_like(c, 255)], axis=1)
-                mask[y - top, x - left], there[y - top, x - left] = on.astype(bool), True
-                made, reason, m = raster_udf.repaired(image, mask)
-                at = np.argwhere(mask) if not reason else []
-                filled = [{"x": int(j + left), "y": int(i + top), "c": (int(made[i, j, 0]) << 16) + (int(made[i, j, 1]) << 8) + int(made[i, j, 2])} for i, j in at]
-                out.append((reason or None, m["masked"], m["ring"], m["mad"], m["p95"], filled))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int64())]))]
-            names = ["reason", "masked", "ring", "mad", "p95", "filled"]
-            made = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], [KEY, "owner_group", *names])
-
-    schema = f"{KEY} long, owner_group string, reason string, masked long, ring long, mad double, p95 double, filled array<struct<x: long, y: long, c: long>>"
+            reasons, metrics, filled = raster_udf.repaired_lists(*(b.column(n) for n in ("y", "x", "c", "on")))
+            made = [pa.array([m[n] for m in metrics], t) for n, t in (("masked", pa.int64()), ("ring", pa.int64()), ("mad", pa.float64()), ("p95", pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), reasons, *made, filled], [KEY, "owner_group", "reason", "masked", "ring", "mad", "p95", "filled"])
+
+    schema = f"{KEY} long, owner_group string, reason string, masked long, ring long, mad double, p95 double, filled array<struct<x: long, y: long, r: long, g: long, b: long>>"
     done = gathered.select(F.col(KEY).cast("long").alias(KEY), "owner_group", part("y"), part("x"), part("c"), part("on")).mapInArrow(rows, schema)
     return done.join(members, [KEY, "owner_group"])
 
@@ -77,8 +63,7 @@ def union_repair(source: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataF
     out = out.withColumn("failing", F.coalesce("failing", F.array().cast("array<string>"))).fillna(0, ["masked", "ring", "mad", "p95"])
     out = stored(out.withColumn("reason", F.when(~F.col("accepted"), F.col("reason"))), "unions")
     pixel = groups.join(out.where("accepted").select(KEY), KEY, "left_semi").select(KEY, F.explode("filled").alias("f"))
-    c = F.col("f.c")
-    return out, pixel.select(KEY, "f.x", "f.y", F.shiftright(c, 16).alias("r"), (F.shiftright(c, 8) % 256).alias("g"), (c % 256).alias("b"))
+    return out, pixel.select(KEY, "f.*")
 
 
 def filled_in(source: DataFrame, filled: DataFrame) -> DataFrame:
