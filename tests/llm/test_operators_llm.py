@@ -626,6 +626,20 @@ def test_sentencepiece_of_the_whole_table(spark):
     assert sorted((r.doc_id, r.n_ids, r.ids_crc32) for r in got.collect()) == want
 
 
+def test_sentencepiece_moves_no_texts(spark, corpus, monkeypatch):
+    """Words are dealt once and texts only as compressed numbers; splits, batches and tasks of any size give the same ids."""
+    c = sentencepiece_codec.codec()
+    texts = [*corpus, *((900 + k, f"déjà vu x{k}zq 日本\n\n  " * 30) for k in range(40)), *((2000, "copied qqzx text") for _ in range(30)), (2001, "w" * 70), (2002, "")]
+    for name, n in (("SPLIT", 50), ("PART", 400), ("BLOCK", 7), ("SHARE", 1_000)):
+        monkeypatch.setattr(sentencepiece_codec, name, n)
+    monkeypatch.setattr(sentencepiece_codec.known_words, "__defaults__", (20_000, 40))
+    enc = sentencepiece_codec.encoded(shared.stored(table(spark, texts), "texts"), ids=True)
+    plan = enc._sc._jvm.PythonSQLUtils.explainString(enc._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any(re.search(r"\b(text|words)#", x) for x in moved)
+    assert sorted((str(r.doc_id), r.ids) for r in enc.collect()) == sorted((str(i), c.model.encode(t or "")) for i, t in texts)
+
+
 # ---- all ----------------------------------------------------------------------------------------------------------------------
 
 
